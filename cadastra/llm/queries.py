@@ -28,6 +28,28 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import neardup_components
+
+    found = neardup_components(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_documents
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_documents(docs)
+    return found.select(F.col(f"row.c{docs.columns.index('doc_id')}").alias("doc_id"), "language", "posterior", "accepted", "declared")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored
+
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import shared, warc
 

@@ -126,3 +126,27 @@ def _mark(edges: DataFrame) -> tuple:
         F.coalesce(F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")), F.lit(0)).alias("s"),
     ).first()
     return row["n"], row["x"], row["s"]
+
+
+def annotate(df: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """``row`` (all columns of ``df`` as one struct) and the columns that ``fn`` makes.
+
+    ``fn`` gets the batch's arrays of ``columns`` and returns arrays that match
+    ``schema``.  Texts cross to Python once; as the table's own columns stay inside
+    ``row`` no name can clash."""
+    at = [df.columns.index(c) for c in columns]
+    names = [c.split()[0] for c in schema.split(", ")]
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    packed = plain.select(F.struct(*plain.columns).alias("row"))
+
+    def run(batches):
+        for b in batches:
+            row = b.column(0)
+            yield pa.RecordBatch.from_arrays([row, *fn([row.field(i) for i in at])], names=["row", *names])
+
+    return map_batches(packed, run, f"row {packed.schema[0].dataType.simpleString()}, {schema}")
+
+
+def restore(annotated: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` back from ``row``, under their own names."""
+    return annotated.select(*[F.col(f"row.c{i}") for i in range(len(like.columns))]).toDF(*like.columns)
