@@ -148,3 +148,17 @@ def _searching(index):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "item_id", "shingles", "found"])
 
     return run
+
+
+#: DuckDB SQL of the query: exact containment of every item in every document.
+ORACLE_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM dw WHERE len(w) > 0),
+sh AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM iw WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS n FROM sh GROUP BY item_id)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS shingles, CAST(count(DISTINCT ds.s) AS INTEGER) AS found, count(DISTINCT ds.s) / CAST(n AS DOUBLE) AS containment
+FROM ds JOIN sh USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(DISTINCT ds.s) >= 0.8 * n - 1e-9
+"""

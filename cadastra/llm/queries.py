@@ -50,6 +50,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "license", F.array_join("notices", ",").alias("notices"))
+
+
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import shared, warc
 
@@ -87,4 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate, licenses
+
+    return {"op4_license_scan": licenses.oracle_sql(), "op9_benchmark_contamination": decontaminate.ORACLE_SQL}
