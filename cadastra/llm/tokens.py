@@ -12,12 +12,21 @@ from __future__ import annotations
 
 import json
 import os
+import string
+from array import array
 
 import numpy as np
 from pyspark.sql import SparkSession
 
 #: Chunks kept in a worker's memo before it starts anew.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 700_000
+PUNCTUATION = string.punctuation
+
+
+#: Byte-level BPE writes bytes that are no printable Latin-1 characters as those from U+0100 on.
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+SPACE = chr(ALPHABET[32])
 
 
 class ChunkEncoder:
@@ -26,8 +35,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        self.model = self.tokenizer.model
         self.mode = mode_of(json.loads(source))
         self.memo: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text (null: empty)."""
@@ -51,25 +62,55 @@ class ChunkEncoder:
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, chunks: list[list[str]]) -> None:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        wanted = set().union(*chunks) - self.memo.keys() if chunks else set()
-        if not wanted:
-            return
-        names, told = [], []
+        memo = self.memo
+        if len(memo) > MEMO_CHUNKS:
+            memo.clear()
+        wanted = [c for c in set().union(*chunks) if c not in memo] if chunks else []
+        names, told, parts = [], [], []
+        atoms: set[str] = set()
         for c in wanted:
+            core = c.rstrip(PUNCTUATION)
+            if len(core) != len(c) and core.isalpha():
+                # letters, then ASCII punctuation: both patterns part them, and neither part sees the other
+                tail = c[len(core) :]
+                parts.append((c, core, tail))
+                atoms.add(core)
+                if tail not in self.tails:
+                    if len(self.tails) > MEMO_CHUNKS:
+                        self.tails.clear()
+                    self.tails[tail] = self._library([tail])[0]
+                continue
+            if core and c.isalpha():
+                atoms.add(c)
+                continue
             said = self._standing(c)
             if said is None:
-                self.memo[c] = None
+                memo[c] = None
             elif not said:
-                self.memo[c] = b""
+                memo[c] = b""
             else:
                 names.append(c)
                 told.append(said)
-        self.memo.update(zip(names, self._library(told)))
+        memo.update(zip(names, self._library(told)))
+        for c in atoms:
+            if c not in memo:
+                memo[c] = self._model(c)
+        for c, core, tail in parts:
+            memo[c] = memo[core] + self.tails[tail]
+
+    def _model(self, word: str) -> bytes:
+        """A word of letters straight from the library's BPE model.  Normalisation and
+        pre-tokenisation of such a word are known: (lower case and) its bytes as the
+        byte-level alphabet writes them, with the space before it in ``byte`` mode."""
+        told = " " + word if self.mode == "byte" else word.lower()
+        if word.isascii():
+            return array("I", [t.id for t in self.model.tokenize(SPACE + word if self.mode == "byte" else told)]).tobytes()
+        if max(told) >= "\u0180":
+            return self._library([self._standing(word)])[0]
+        return array("I", [t.id for t in self.model.tokenize(told.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
 
     def _standing(self, chunk: str) -> str | None:
         """The string that the library gets for a chunk; None if it depends on its neighbours."""
