@@ -162,3 +162,22 @@ sizes AS (SELECT item_id, count(*) AS n FROM sh GROUP BY item_id)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS shingles, CAST(count(DISTINCT ds.s) AS INTEGER) AS found, count(DISTINCT ds.s) / CAST(n AS DOUBLE) AS containment
 FROM ds JOIN sh USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(DISTINCT ds.s) >= 0.8 * n - 1e-9
 """
+
+
+def without_items(docs: DataFrame, bench: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that contain no item; nulls and empty tables as in
+    ``contained_items``, extra columns stay."""
+    spark = docs.sparkSession
+    items = bench.select(F.col(item_text_col).cast("string").alias("text")).distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        index = spark.sparkContext.broadcast(Sketches([(i, r["text"]) for i, r in enumerate(part.collect())], size, threshold))  # at most one block of text
+        found = shared.annotate(docs, [text_col], _hits(index), "hits int")
+        docs = shared.restore(found.where("hits = 0"), docs)
+    return docs
+
+
+def _hits(index):
+    return lambda columns: [pa.array([len(index.value.search(t)) for t in columns[0].to_pylist()], pa.int32())]

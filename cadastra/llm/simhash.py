@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -168,3 +168,106 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# Wide fingerprints: near copies by word shingles at a similarity of 0.8 or more.
+
+#: 64-bit words of a wide fingerprint; each has two indexed segments.
+WIDE_WORDS, WIDE_SEGMENT = 5, 24
+#: Bits of 320 that differ at a Jaccard similarity of 0.8: the cosine is then
+#: 2J / (1 + J), the share of differing bits its angle over pi.
+WIDE_RADIUS = 48
+HUBS = 6
+_TWIST = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
+
+
+def wide_fingerprint(text: str | None, size: int = 5) -> list[int]:
+    """SimHash of ``WIDE_WORDS`` signed 64-bit words; zeros without words."""
+    found = shingles_of(words_of(text), size)
+    n = len(found)
+    if not n:
+        return [0] * WIDE_WORDS
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=n)
+    out = []
+    for twist in _TWIST:
+        mixed = hashes * twist
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= twist
+        counts = np.zeros(BITS, dtype=np.int64)
+        for i in range(0, n, _ROWS):
+            counts += np.unpackbits(mixed[i : i + _ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        out.append(int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _distance(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(1, WIDE_WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
+
+
+def wide_edges(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Edges between ``nodes(node, w0, ...)`` that meet in a segment within one bit
+    and differ in at most ``radius`` bits.
+
+    Buckets of more than ``HOT_BUCKET`` fingerprints are linked by hubs: every member
+    is compared with the same few members, which connects a group of near copies at a
+    cost in proportion to it.  Members that are near no hub are compared among
+    themselves in the same way, round after round, until few are left."""
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
+    mask = F.lit((1 << WIDE_SEGMENT) - 1)
+    at = F.array(*[F.struct(F.lit(2 * i + k).alias("t"), F.shiftrightunsigned(F.col(f"w{i}"), k * WIDE_SEGMENT).bitwiseAND(mask).alias("s")) for i in range(WIDE_WORDS) for k in range(2)])
+    cut = nodes.select("node", *words, F.explode(at).alias("c"))
+
+    def key(value: Column) -> Column:
+        return F.shiftleft(F.col("c.t").cast("long"), 32).bitwiseOR(value)
+
+    keyed = cut.select("node", *words, key(F.col("c.s")).alias("k"))
+    sizes = shared.checkpoint(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("k"))
+    hot_keys = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
+    cold = keyed.join(hot_keys, "k", "left_anti")
+    probes = cut.select("node", *words, key(F.col("c.s")).alias("own"), F.explode(_ball(F.col("c.s"), WIDE_SEGMENT, 1)).alias("v"), F.col("c")).select("node", *words, "own", key(F.col("v")).alias("k"))
+    met = probes.alias("x").join(cold.alias("y"), "k").where((F.col("x.node") != F.col("y.node")) & ((F.col("k") != F.col("own")) | (F.col("x.node") < F.col("y.node"))) & (_distance("x", "y") <= radius))
+    out = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # bit-flip probes from cold buckets into hot ones
+    met = probes.where(F.col("k") != F.col("own")).join(hot_keys, "k").select(F.col("own"), "k", "node", *words)
+    rest = shared.checkpoint(keyed.join(hot_keys, "k").unionByName(met.select("node", *words, "k")).distinct())
+    first = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node", "k").alias("h"), "node", *words))), 1, HUBS)
+    while not rest.isEmpty():
+        # a few members of least hash: combined to so many in every map task
+        parts = rest.select("k", F.spark_partition_id().alias("p"), "node", *words)
+        local = parts.withColumn("r", F.row_number().over(Window.partitionBy("k", "p").orderBy(F.xxhash64("node", "k")))).where(F.col("r") <= HUBS)
+        hubs = local.groupBy("k").agg(first.alias("hubs"))
+        seen = rest.alias("x").join(hubs, "k").select("k", F.col("x.node").alias("node"), *words, F.explode("hubs").alias("y"))
+        tested = seen.select("k", F.struct("node", *words).alias("x"), "y", (_distance_of("y", words) <= radius).alias("near"))
+        tested = shared.checkpoint(tested.select("k", F.col("x.node").alias("node"), F.col("y.node").alias("hub"), "near"))
+        out = out.union(tested.where("near AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        settled = tested.where("near").select("k", "node").distinct()
+        rest = shared.checkpoint(rest.join(settled, ["k", "node"], "left_anti"))
+    return out
+
+
+def _distance_of(y: str, words: list[str]) -> Column:
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{y}.{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{y}.{words[0]}"))))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """The columns of ``docs`` for one row of each group of near copies: the row with
+    the smallest id (null ids last; of repeated rows one).
+
+    Rows group if wide fingerprints over ``size``-word shingles differ in at most
+    ``radius`` bits, directly or by a chain.  Texts without words form one group.
+    An empty table stays empty; extra columns stay, whatever their names."""
+
+    def fn(columns):
+        prints = np.array([wide_fingerprint(t, size) for t in columns[0].to_pylist()], dtype=np.int64).reshape(-1, WIDE_WORDS)
+        return [pa.array(prints[:, i], pa.int64()) for i in range(WIDE_WORDS)]
+
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
+    at = docs.columns.index(id_col)
+    coded = shared.annotate(docs, [text_col], fn, ", ".join(f"{w} long" for w in words))
+    coded = shared.materialise(coded.withColumn("n", F.monotonically_increasing_id()), "wide")
+    rank = F.struct(F.col(f"row.c{at}").isNull().alias("none"), F.col(f"row.c{at}").alias("id"), "n")
+    prints = coded.groupBy(*words).agg(F.min(rank).alias("best"))
+    prints = shared.materialise(prints.withColumn("node", F.monotonically_increasing_id()), "wide-prints")
+    linked = shared.connected_components(wide_edges(prints.select("node", *words), radius))
+    groups = prints.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("best").alias("best"))
+    return shared.restore(coded.join(groups.select(F.col("best.n").alias("n")), "n", "left_semi"), docs)
