@@ -62,7 +62,8 @@ def centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def bounds(ring: Column) -> Column:
-    return F.struct(*[f(F.transform(ring, lambda p, a=a: p[a])).alias(n) for f, a, n in ((F.array_min, "x", "xmin"), (F.array_min, "y", "ymin"), (F.array_max, "x", "xmax"), (F.array_max, "y", "ymax"))])
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
 def rect_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

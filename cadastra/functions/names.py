@@ -76,27 +76,30 @@ def levenshtein(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+def forms(c: Column) -> Column:
+    """What the distances compare: the name, with digits, with numerals, its base and
+    number.  Computed once per name, before any pairs are made."""
+    ar = roman_to_arabic(c)
+    return F.struct(c.alias("plain"), ar.alias("arabic"), arabic_to_roman(c).alias("roman"), name_base(ar).alias("base"), name_number(ar).alias("number"))
+
+
 def distance_three(a: Column, b: Column, k: int) -> Column:
-    """``struct(distance, method)`` of normalised names: direct, numerals to digits and
+    """``struct(distance, method)`` of two ``forms``: direct, numerals to digits and
     digits to numerals; a later strategy wins only if strictly nearer."""
-    direct = F.levenshtein(a, b)
-    ar, br = roman_to_arabic(a), roman_to_arabic(b)
-    an, bn = name_number(ar), name_number(br)
-    second = F.when(an.isNotNull() & bn.isNotNull(), F.when(an == bn, F.levenshtein(name_base(ar), name_base(br))).otherwise(F.lit(k + 1))).otherwise(F.levenshtein(ar, br))
-    third = F.levenshtein(arabic_to_roman(a), arabic_to_roman(b))
-    best = F.least(direct, second, third)
+    direct = F.levenshtein(a["plain"], b["plain"])
+    numbered = a["number"].isNotNull() & b["number"].isNotNull()
+    second = F.when(numbered, F.when(a["number"] == b["number"], F.levenshtein(a["base"], b["base"])).otherwise(F.lit(k + 1))).otherwise(F.levenshtein(a["arabic"], b["arabic"]))
+    best = F.least(direct, second, F.levenshtein(a["roman"], b["roman"]))
     return F.struct(best.alias("distance"), F.when(best == direct, "DIRECT").otherwise("ROMAN_NUMERAL").alias("method"))
 
 
 def distance_roman(a: Column, b: Column, k: int) -> Column:
-    """Distance after numerals to digits; null where the names may not match: different
-    numbers, or more than ``min(k, 2)`` edits between names without numbers."""
-    ar, br = roman_to_arabic(a), roman_to_arabic(b)
-    an, bn = name_number(ar), name_number(br)
-    whole = F.levenshtein(ar, br)
+    """Distance of two ``forms`` after numerals to digits; null where the names may not
+    match: different numbers, or more than ``min(k, 2)`` edits between names without."""
+    whole = F.levenshtein(a["arabic"], b["arabic"])
     found = (
-        F.when(an.isNotNull() & bn.isNotNull(), F.when(an == bn, F.levenshtein(name_base(ar), name_base(br))))
-        .when(an.isNotNull() | bn.isNotNull(), whole)
+        F.when(a["number"].isNotNull() & b["number"].isNotNull(), F.when(a["number"] == b["number"], F.levenshtein(a["base"], b["base"])))
+        .when(a["number"].isNotNull() | b["number"].isNotNull(), whole)
         .when(whole <= min(k, 2), whole)
     )
     return F.when(found <= k, found)

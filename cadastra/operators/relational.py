@@ -51,22 +51,22 @@ def join_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def matched_by_length(left: DataFrame, right: DataFrame, a: str, b: str, k: int) -> DataFrame:
     """Candidate pairs for an edit distance of at most ``k``: lengths within ``k``, as an
-    equi-join; each left row looks for 2k+1 lengths."""
-    x = left.withColumn("_l", F.explode(F.sequence(F.length(a) - k, F.length(a) + k)))
-    return x.join(right.withColumn("_l", F.length(b)), "_l").drop("_l")
+    equi-join; each left row looks for 2k+1 lengths.  Adds the names' forms ``_a, _b``."""
+    x = left.withColumn("_a", names.forms(F.col(a))).withColumn("_l", F.explode(F.sequence(F.length(a) - k, F.length(a) + k)))
+    return x.join(right.withColumn("_b", names.forms(F.col(b))).withColumn("_l", F.length(b)), "_l").drop("_l")
 
 
 def fuzzy_all(src: DataFrame, refs: DataFrame, src_name: str, ref_name: str, k: int) -> DataFrame:
     """All references whose best-of-three distance is at most ``k``.  Numerals change
     lengths by up to six letters, so candidates may differ by that much more."""
     pairs = matched_by_length(src, refs, src_name, ref_name, k + 6)
-    scored = pairs.withColumn("_d", names.distance_three(F.col(src_name), F.col(ref_name), k))
-    return scored.where(F.col("_d.distance") <= k).withColumn("distance", F.col("_d.distance")).withColumn("method", F.col("_d.method")).drop("_d")
+    scored = pairs.withColumn("_d", names.distance_three(F.col("_a"), F.col("_b"), k))
+    return scored.where(F.col("_d.distance") <= k).withColumn("distance", F.col("_d.distance")).withColumn("method", F.col("_d.method")).drop("_d", "_a", "_b")
 
 
 def fuzzy_roman(src: DataFrame, refs: DataFrame, src_key: str, src_name: str, ref_name: str, ref_order: str, k: int) -> DataFrame:
     """The nearest reference by the numeral-aware distance; ties: reference order."""
-    pairs = matched_by_length(src, refs, src_name, ref_name, k + 6).withColumn("distance", names.distance_roman(F.col(src_name), F.col(ref_name), k)).where("distance IS NOT NULL")
+    pairs = matched_by_length(src, refs, src_name, ref_name, k + 6).withColumn("distance", names.distance_roman(F.col("_a"), F.col("_b"), k)).where("distance IS NOT NULL")
     best = pairs.groupBy(src_key).agg(F.min(F.struct("distance", ref_order, ref_name)).alias("m"))
     return best.select(src_key, F.col("m.distance").alias("distance"), F.col(f"m.{ref_order}").alias(ref_order), F.col(f"m.{ref_name}").alias(ref_name))
 

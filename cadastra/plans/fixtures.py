@@ -12,7 +12,7 @@ AREAS = """SELECT c_custkey AS id, lpad(CAST(c_custkey AS STRING), 14, '0') AS g
 BUILDINGS = """SELECT o_orderkey AS pid, CAST((o_orderkey*7919)%2000 AS DOUBLE)/10 + 220*(o_custkey div 1000) AS x, CAST((o_orderkey*6101)%2000 AS DOUBLE)/10 AS y,
  1 + o_orderkey%6 AS hh, o_custkey AS owner FROM orders"""
 #: Enumeration areas: parts as areas with codes and household counts.
-EAS = """SELECT p_partkey AS ea_id, lpad(CAST(p_partkey%1000 AS STRING), 6, '0') AS ean, lpad(CAST(p_partkey%37 AS STRING), 9, '0') AS parent, CAST((p_partkey*17)%450 AS INT) AS hhcount,
+EAS = """SELECT p_partkey AS ea_id, lpad(CAST(p_partkey%1000 AS STRING), 6, '0') AS ean, lpad(CAST(((p_partkey*31)%211 div 40)*1000 + ((p_partkey*59)%199 div 40) + 100000*(p_partkey div 1000) AS STRING), 9, '0') AS parent, CAST((p_partkey*17)%450 AS INT) AS hhcount,
  CASE WHEN p_partkey%11=0 THEN 'for_delineation' WHEN p_partkey%13=0 THEN 'For Delineation ' END AS eadel_indi, p_name AS name,
  CAST((p_partkey*31)%211 + 230*(p_partkey div 1000) AS DOUBLE) AS x0, CAST((p_partkey*59)%199 AS DOUBLE) AS y0,
  CAST((p_partkey*31)%211 + 230*(p_partkey div 1000) + 4 + p_partkey%3 AS DOUBLE) AS x1, CAST((p_partkey*59)%199 + 4 + p_partkey%4 AS DOUBLE) AS y1 FROM part"""
