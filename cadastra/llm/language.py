@@ -26,9 +26,9 @@ from . import shared
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 #: Pseudo-counts of a trigram; text evidence is tempered as trigrams overlap.
-ALPHA, TEMPER = 0.5, 0.33
+ALPHA, TEMPER = 0.01, 0.33
 #: How reliable declared languages and address suffixes are taken to be.
 DECLARED, SUFFIX = 0.95, 0.90
 UNKNOWN_PRIOR = 0.01
@@ -57,7 +57,7 @@ def trigrams(text: str | None) -> np.ndarray:
     raw = raw[keep].astype(np.uint32)
     if len(raw) < 3:
         return np.empty(0, dtype=np.int64)
-    return ((raw[:-2] * 31 + raw[1:-1]) * 977 + raw[2:] * 7919 & np.uint32(BUCKETS - 1)).astype(np.int64)
+    return ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)
 
 
 def seed_counts() -> np.ndarray:
