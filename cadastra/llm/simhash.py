@@ -177,7 +177,9 @@ WIDE_WORDS, WIDE_SEGMENT = 5, 24
 #: Bits of 320 that differ at a Jaccard similarity of 0.8: the cosine is then
 #: 2J / (1 + J), the share of differing bits its angle over pi.
 WIDE_RADIUS = 48
-HUBS = 6
+HUBS = 4
+#: Buckets of more wide fingerprints than this are linked by hubs.
+WIDE_BUCKET = 8
 _TWIST = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 
 
@@ -200,51 +202,61 @@ def wide_fingerprint(text: str | None, size: int = 5) -> list[int]:
     return out
 
 
-def _distance(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(1, WIDE_WORDS)), F.bit_count(F.col(f"{x}.w0").bitwiseXOR(F.col(f"{y}.w0"))))
-
-
 def wide_edges(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """Edges between ``nodes(node, w0, ...)`` that meet in a segment within one bit
     and differ in at most ``radius`` bits.
 
-    Buckets of more than ``HOT_BUCKET`` fingerprints are linked by hubs: every member
-    is compared with the same few members, which connects a group of near copies at a
+    Only keys and numbers are shuffled for the enumerated balls; the fingerprints are
+    fetched for the candidates.  Buckets of more than ``WIDE_BUCKET`` fingerprints are
+    linked by hubs, together with the fingerprints one bit away: every member is
+    compared with the same few members, which connects a group of near copies at a
     cost in proportion to it.  Members that are near no hub are compared among
-    themselves in the same way, round after round, until few are left."""
+    themselves in the same way, with four times as many hubs each round."""
     words = [f"w{i}" for i in range(WIDE_WORDS)]
     mask = F.lit((1 << WIDE_SEGMENT) - 1)
-    at = F.array(*[F.struct(F.lit(2 * i + k).alias("t"), F.shiftrightunsigned(F.col(f"w{i}"), k * WIDE_SEGMENT).bitwiseAND(mask).alias("s")) for i in range(WIDE_WORDS) for k in range(2)])
-    cut = nodes.select("node", *words, F.explode(at).alias("c"))
 
-    def key(value: Column) -> Column:
-        return F.shiftleft(F.col("c.t").cast("long"), 32).bitwiseOR(value)
+    def key(segment: int) -> Column:
+        value = F.shiftrightunsigned(F.col(f"w{segment // 2}"), segment % 2 * WIDE_SEGMENT).bitwiseAND(mask)
+        return F.lit(segment << 32).cast("long").bitwiseOR(value)
 
-    keyed = cut.select("node", *words, key(F.col("c.s")).alias("k"))
-    sizes = shared.checkpoint(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_BUCKET).select("k"))
-    hot_keys = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
+    keyed = nodes.select("node", F.explode(F.array(*[key(i) for i in range(2 * WIDE_WORDS)])).alias("k"))
+    hot = shared.checkpoint(keyed.groupBy("k").count().where(F.col("count") > WIDE_BUCKET).select("k"))
+    small = hot.count() <= 100_000
+    hot_keys = F.broadcast(hot) if small else hot
     cold = keyed.join(hot_keys, "k", "left_anti")
-    probes = cut.select("node", *words, key(F.col("c.s")).alias("own"), F.explode(_ball(F.col("c.s"), WIDE_SEGMENT, 1)).alias("v"), F.col("c")).select("node", *words, "own", key(F.col("v")).alias("k"))
-    met = probes.alias("x").join(cold.alias("y"), "k").where((F.col("x.node") != F.col("y.node")) & ((F.col("k") != F.col("own")) | (F.col("x.node") < F.col("y.node"))) & (_distance("x", "y") <= radius))
-    out = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # bit-flip probes from cold buckets into hot ones
-    met = probes.where(F.col("k") != F.col("own")).join(hot_keys, "k").select(F.col("own"), "k", "node", *words)
-    rest = shared.checkpoint(keyed.join(hot_keys, "k").unionByName(met.select("node", *words, "k")).distinct())
-    first = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node", "k").alias("h"), "node", *words))), 1, HUBS)
+    # the ball's keys; the lowest bit of the number says whether it is the own key
+    probes = cold.select((F.col("node") * 2).alias("x"), "k", F.explode(_ball(F.col("k"), WIDE_SEGMENT, 1)).alias("v"))
+    probes = probes.select((F.col("x") + (F.col("v") == F.col("k")).cast("long")).alias("x"), F.col("v").alias("k"))
+    x = F.shiftright("x", 1)
+    pairs = probes.join(cold, "k").where((F.col("x") % 2 == 0) | (x < F.col("node"))).select(F.least(x, "node").alias("a"), F.greatest(x, "node").alias("b")).distinct()
+    found = pairs.join(nodes.withColumnRenamed("node", "a"), "a").join(nodes.select(F.col("node").alias("b"), F.struct(*words).alias("y")), "b")
+    out = found.where(_distance_of("y", words) <= radius).select("a", "b")
+    # hot keys, with the rows whose own key is one bit away
+    near = F.explode(F.transform(F.sequence(F.lit(-1), F.lit(WIDE_SEGMENT - 1)), lambda i: F.when(i < 0, F.col("k")).otherwise(F.col("k").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
+    around = hot.select(F.col("k").alias("h"), near.alias("k"))
+    around = F.broadcast(around) if small else around
+    rest = keyed.join(around, "k").select(F.col("h").alias("k"), "node").join(nodes, "node")
+    rest, hubs = shared.checkpoint(rest), HUBS
     while not rest.isEmpty():
-        # a few members of least hash: combined to so many in every map task
-        parts = rest.select("k", F.spark_partition_id().alias("p"), "node", *words)
-        local = parts.withColumn("r", F.row_number().over(Window.partitionBy("k", "p").orderBy(F.xxhash64("node", "k")))).where(F.col("r") <= HUBS)
-        hubs = local.groupBy("k").agg(first.alias("hubs"))
-        seen = rest.alias("x").join(hubs, "k").select("k", F.col("x.node").alias("node"), *words, F.explode("hubs").alias("y"))
-        tested = seen.select("k", F.struct("node", *words).alias("x"), "y", (_distance_of("y", words) <= radius).alias("near"))
-        tested = shared.checkpoint(tested.select("k", F.col("x.node").alias("node"), F.col("y.node").alias("hub"), "near"))
-        out = out.union(tested.where("near AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        settled = tested.where("near").select("k", "node").distinct()
-        rest = shared.checkpoint(rest.join(settled, ["k", "node"], "left_anti"))
+        # a few members of least hash: cut to so many in every map task first
+        parts = rest.withColumn("p", F.spark_partition_id())
+        local = parts.withColumn("r", F.row_number().over(Window.partitionBy("k", "p").orderBy(F.xxhash64("node", "k")))).where(F.col("r") <= hubs)
+        first = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node", "k").alias("h"), "node", *words))), 1, hubs)
+        chosen = local.groupBy("k").agg(first.alias("hubs"))
+        seen = rest.join(chosen, "k")
+        is_near = F.filter("hubs", lambda y: _bits(y, words) <= radius)
+        tested = shared.checkpoint(seen.select("k", "node", F.transform(is_near, lambda y: y["node"]).alias("hubs")))
+        settled = tested.where(F.size("hubs") > 0)
+        out = out.union(settled.select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b"))
+        rest = shared.checkpoint(rest.join(settled.select("k", "node"), ["k", "node"], "left_anti"))
+        hubs *= 4
     return out
 
 
+def _bits(y: Column, words: list[str]) -> Column:
+    return sum((F.bit_count(F.col(w).bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(y[words[0]])))
+
+
 def _distance_of(y: str, words: list[str]) -> Column:
     return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{y}.{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{y}.{words[0]}"))))
 
@@ -257,17 +269,50 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``radius`` bits, directly or by a chain.  Texts without words form one group.
     An empty table stays empty; extra columns stay, whatever their names."""
 
-    def fn(columns):
-        prints = np.array([wide_fingerprint(t, size) for t in columns[0].to_pylist()], dtype=np.int64).reshape(-1, WIDE_WORDS)
-        return [pa.array(prints[:, i], pa.int64()) for i in range(WIDE_WORDS)]
+    def run(batches):
+        for b in batches:
+            prints = np.array([wide_fingerprint(t, size) for t in b.column(2).to_pylist()], dtype=np.int64).reshape(-1, WIDE_WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(prints[:, i], pa.int64()) for i in range(WIDE_WORDS)]], names=["id", "h", *words])
 
     words = [f"w{i}" for i in range(WIDE_WORDS)]
-    at = docs.columns.index(id_col)
-    coded = shared.annotate(docs, [text_col], fn, ", ".join(f"{w} long" for w in words))
-    coded = shared.materialise(coded.withColumn("n", F.monotonically_increasing_id()), "wide")
-    rank = F.struct(F.col(f"row.c{at}").isNull().alias("none"), F.col(f"row.c{at}").alias("id"), "n")
+    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    coded = shared.map_batches(docs.select(key.alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), run, ", ".join(["id long", "h long", *[f"{w} long" for w in words]]))
+    coded = shared.materialise(coded, "wide")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     prints = coded.groupBy(*words).agg(F.min(rank).alias("best"))
     prints = shared.materialise(prints.withColumn("node", F.monotonically_increasing_id()), "wide-prints")
     linked = shared.connected_components(wide_edges(prints.select("node", *words), radius))
-    groups = prints.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("best").alias("best"))
-    return shared.restore(coded.join(groups.select(F.col("best.n").alias("n")), "n", "left_semi"), docs)
+    grouped = prints.join(linked, "node", "left").withColumn("g", F.coalesce("root", "node"))
+    best = grouped.groupBy("g").agg(F.min("best").alias("top"))
+    chosen = grouped.join(best, "g").select(*words, "top")
+    kept = coded.join(chosen, words).select("id", "h", (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("h") == F.col("top.h"))).alias("keep"))
+    fate = shared.checkpoint(kept.groupBy("id", "h").agg(F.max("keep").alias("keep"), F.count("*").alias("n")).where("NOT keep OR n > 1"))
+    return _without(docs, fate, id_col, text_col)
+
+
+#: So many removed rows at most are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _without(docs: DataFrame, fate: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows in ``fate(id, h, keep, n)`` that go, and one of each kept
+    row that is repeated."""
+    gone, repeated = fate.where("NOT keep").select("id", "h"), fate.where("keep").select("id", "h")
+    h = "_h"
+    while h in docs.columns:
+        h += "_"
+    told = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    some = fate.agg(F.sum(F.when(F.col("keep"), 0).otherwise(1)), F.sum(F.when(F.col("keep"), 1).otherwise(0))).first()
+
+    def sized(df: DataFrame, n: int | None) -> DataFrame:
+        return F.broadcast(df) if (n or 0) <= BROADCAST_ROWS else df
+
+    def same(df: DataFrame) -> Column:
+        return (told[h] == df["h"]) & told[id_col].cast("long").eqNullSafe(df["id"])
+
+    either = gone.union(repeated)
+    out = told.join(sized(either, (some[0] or 0) + (some[1] or 0)), same(either), "left_anti")
+    if some[1]:
+        twice = told.join(sized(repeated, some[1]), same(repeated), "left_semi")
+        out = out.union(twice.dropDuplicates([id_col, h]))
+    return out.drop(h)

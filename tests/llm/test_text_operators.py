@@ -111,7 +111,7 @@ def test_near_copies_keep_one(docs, rows, empty):
 
 
 def test_wide_hubs_connect_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HOT_BUCKET", 4)
+    monkeypatch.setattr(simhash, "WIDE_BUCKET", 4)
     rng = random.Random(1)
     base = [rng.getrandbits(63) for _ in range(5)]
     rows = []
@@ -309,3 +309,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not ids & {r[0] for r in bad} and 800 not in ids
     assert {600 + i for i in range(120)} <= ids and len(ids & set(range(60, 66))) <= 1
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_connected_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(shared, "TASK_EDGES", bound)
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(5, 5), (None, 3), (7, None), (-5, 450), (450, -5)]
+    nodes = sorted({x for e in edges if None not in e and e[0] != e[1] for x in e})
+    want = components(nodes, [(nodes.index(a), nodes.index(b)) for a, b in edges if None not in (a, b) and a != b])
+    got = {r["node"]: r["root"] for r in shared.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == dict(zip(nodes, want))
+    assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
