@@ -284,7 +284,7 @@ def union(gs: list[Geometry]) -> Geometry:
 
 
 def intersection(a: Geometry, b: Geometry) -> Geometry:
-    return _combine([a, b], lambda x: x[:, 0] & x[:, 1]) if a and b else []
+    return [] if apart(a, b) else _combine([a, b], lambda x: x[:, 0] & x[:, 1])
 
 
 def difference(a: Geometry, *others: Geometry) -> Geometry:
@@ -319,9 +319,20 @@ def is_valid(g: Geometry) -> bool:
     return abs(area(fixed) - area(g)) <= 1e-9 * max(1.0, area(fixed)) and len(fixed) == len(g) and sum(map(len, fixed)) == sum(map(len, g))
 
 
+def apart(a: Geometry, b: Geometry) -> bool:
+    """Whether the bounding boxes do not even touch."""
+    if not a or not b:
+        return True
+    p, q = bounds(a), bounds(b)
+    tol = 1e-9 * max(map(abs, (*p, *q, 1.0)))
+    return p[0] > q[2] + tol or q[0] > p[2] + tol or p[1] > q[3] + tol or q[1] > p[3] + tol
+
+
 def shared_boundary(a: Geometry, b: Geometry) -> float:
     """Length of the border that two geometries have in common (overlaps count with
     their outline); negative where they do not meet."""
+    if apart(a, b):
+        return -1.0
     arr = Arrangement([a, b])
     if not len(arr.cycles):
         return -1.0
