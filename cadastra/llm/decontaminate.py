@@ -34,7 +34,8 @@ BLOCK_BYTES = 32 << 20
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 18
-_MEMO: dict[str, int] = {}
+#: Words kept in a worker's memo before it starts anew.
+MEMO_WORDS = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -53,15 +54,16 @@ def shingle_hashes(words: list[str], size: int = SHINGLE) -> np.ndarray:
     """64-bit hash of every shingle in text order, from memoised word hashes."""
     if not words:
         return np.empty(0, dtype=np.uint64)
+    memo = shared.only_memo("decontaminate", dict)
     try:
-        codes = np.fromiter(map(_MEMO.__getitem__, words), dtype=np.uint64, count=len(words))
+        codes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
-        if len(_MEMO) > 500_000:
-            _MEMO.clear()
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
         for w in words:
-            if w not in _MEMO:
-                _MEMO[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        codes = np.fromiter(map(_MEMO.__getitem__, words), dtype=np.uint64, count=len(words))
+            if w not in memo:
+                memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        codes = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(size, len(words))
     n = len(words) - size + 1
     h = np.full(n, size, dtype=np.uint64)

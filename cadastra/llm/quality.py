@@ -40,7 +40,8 @@ FOLDS, HELD_OUT = 4, 2
 STATISTICS = 21
 SIZE = WORD_BUCKETS + SHAPE_BUCKETS + STATISTICS
 
-_MEMO: dict[str, tuple[int, int, int]] = {}
+#: Words kept in a worker's memo before it starts anew.
+MEMO_WORDS = 250_000
 _CLASSES = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 white space, 5 plain punctuation, 6 symbols, 7 beyond ASCII
 _CLASSES[97:123], _CLASSES[65:91], _CLASSES[48:58], _CLASSES[128:] = 1, 2, 3, 7
 _CLASSES[[9, 10, 11, 12, 13, 32]] = 4
@@ -63,11 +64,12 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     text = text or ""
     words = text.split()
     counts = Counter(words)
-    if len(_MEMO) > 500_000:
-        _MEMO.clear()
+    memo = shared.only_memo("quality", dict)
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
     for w in counts:
-        if w not in _MEMO:
-            _MEMO[w] = _word(w)
+        if w not in memo:
+            memo[w] = _word(w)
     total = len(words)
     stat = np.zeros(STATISTICS)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
@@ -80,7 +82,7 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
         stat[5] = 1.0
         used = np.flatnonzero(stat)
         return (WORD_BUCKETS + SHAPE_BUCKETS + used).astype(np.int32), stat[used].astype(np.float32)
-    rows = np.array([_MEMO[w] for w in counts], dtype=np.int64)
+    rows = np.array([memo[w] for w in counts], dtype=np.int64)
     n = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
     kinds = np.bincount(_CLASSES[raw], minlength=8) / len(raw)
     stat[6:14] = kinds

@@ -70,6 +70,18 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_MEMOS: dict = {}
+
+
+def only_memo(name, make):
+    """The worker's memo of one operator.  Python workers live on from stage to stage, so
+    a memo that another operator has left behind goes first."""
+    if name not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[name] = make()
+    return _MEMOS[name]
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch size where it has Spark's default."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -77,6 +89,53 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+#: A graph of no more edges than this is finished by one task.
+TASK_EDGES = 400_000
+
+
+class Forest:
+    """Union-find over any keys; the smaller key is the root."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        above = self.above
+        root = x
+        while (up := above.get(root, root)) != root:
+            root = up
+        while (up := above.get(x, x)) != root:
+            above[x], x = root, up
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.above[max(a, b)] = min(a, b)
+        return True
+
+
+def _spanning(batches):
+    """Of a partition's edges those that join what was apart: no connection is lost."""
+    forest = Forest()
+    for b in batches:
+        keep = [forest.join(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def _finished(batches):
+    forest, nodes = Forest(), set()
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            forest.join(x, y)
+            nodes.update((x, y))
+    rows = sorted(nodes)
+    for i in range(0, len(rows), 10_000):
+        part = rows[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([forest.find(x) for x in part], pa.int64())], names=["node", "root"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` of longs.
 
@@ -85,17 +144,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     steps until nothing changes; each step is a grouped minimum (combined before
     the shuffle) and a join back on the same key, so a hub costs its edges and
     never a group held in one task.  Each round is checkpointed, which cuts the
-    lineage and survives lost executors.  No edges gives no rows; self-loops,
-    repeated and null-ended edges are ignored."""
-    step = checkpoint(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    lineage and survives lost executors.  Before the first round each partition
+    drops edges that join nothing new; once at most ``TASK_EDGES`` edges are left, one
+    task finishes them.  No edges gives no rows; self-loops, repeated and null-ended
+    edges are ignored."""
+    whole = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    step = checkpoint(whole.mapInArrow(_spanning, "a long, b long").distinct())
     mark = _mark(step)
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
+        if mark[0] <= TASK_EDGES:
+            return checkpoint(step.coalesce(1).mapInArrow(_finished, "node long, root long"))
         both = step.union(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -18,6 +18,8 @@ from array import array
 import numpy as np
 from pyspark.sql import SparkSession
 
+from . import shared
+
 #: Chunks kept in a worker's memo before it starts anew.
 MEMO_CHUNKS = 700_000
 PUNCTUATION = string.punctuation
@@ -145,16 +147,9 @@ def mode_of(spec: dict) -> str:
     return "whole"
 
 
-_ENCODERS: dict[int, ChunkEncoder] = {}
-
-
 def encoder(source: str) -> ChunkEncoder:
     """One encoder per worker process and tokenizer."""
-    key = hash(source)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(source)
-    return _ENCODERS[key]
+    return shared.only_memo(("tokens", hash(source)), lambda: ChunkEncoder(source))
 
 
 def broadcast_tokenizer(spark: SparkSession, path: str):
