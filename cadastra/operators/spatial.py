@@ -7,6 +7,8 @@ then tested exactly.  Inputs have columns ``x0, y0, x1, y1`` (points: ``x, y``).
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,16 @@ def semi_location(left: DataFrame, right: DataFrame, size: float, key: str) -> D
     return left.join(hits, key, "left_semi")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``; a
+    temporary one is set only where there is none, as in local tests."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cadastra-checkpoint-"))
+    return df.checkpoint()
+
+
 def nearest(points: DataFrame, others: DataFrame, key: str, other_key: str, size: float, group: tuple[str, ...] = ()) -> DataFrame:
     """``(key, other key, d2)``: the nearest other point that does not coincide.
 
@@ -121,11 +133,11 @@ def nearest(points: DataFrame, others: DataFrame, key: str, other_key: str, size
         d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
         met = near.join(cell, ["cx", "cy", *group]).withColumn("d2", d2).where("d2 > 0")
         best = met.groupBy(key).agg(F.min(F.struct("d2", "ok")).alias("m")).select(key, F.col("m.ok").alias(other_key), F.col("m.d2").alias("d2"))
-        sure = best if last else best.where(F.col("d2") <= size * size)
+        sure = cut_lineage(best if last else best.where(F.col("d2") <= size * size))
         found = sure if found is None else found.union(sure)
         if last:
             return found
-        open_ = open_.join(sure.select(key), key, "left_anti")
+        open_ = cut_lineage(open_.join(sure.select(key), key, "left_anti"))
         if open_.isEmpty():
             return found
         size *= 2
