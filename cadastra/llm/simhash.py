@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, similar
 
 SEED = 42
 #: A segment bucket with more distinct fingerprints than this is searched by ball keys.
@@ -170,7 +170,8 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Wide fingerprints: near copies by word shingles at a similarity of 0.8 or more.
+# Wide fingerprints: a probabilistic search by word shingles.  ``near_copies`` does not
+# rest on them, it compares the shingles themselves.
 
 #: 64-bit words of a wide fingerprint; each has two indexed segments.
 WIDE_WORDS, WIDE_SEGMENT = 5, 24
@@ -261,31 +262,25 @@ def _distance_of(y: str, words: list[str]) -> Column:
     return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{y}.{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{y}.{words[0]}"))))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The columns of ``docs`` for one row of each group of near copies: the row with
     the smallest id (null ids last; of repeated rows one).
 
-    Rows group if wide fingerprints over ``size``-word shingles differ in at most
-    ``radius`` bits, directly or by a chain.  Texts without words form one group.
-    An empty table stays empty; extra columns stay, whatever their names."""
-
-    def run(batches):
-        for b in batches:
-            prints = np.array([wide_fingerprint(t, size) for t in b.column(2).to_pylist()], dtype=np.int64).reshape(-1, WIDE_WORDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(prints[:, i], pa.int64()) for i in range(WIDE_WORDS)]], names=["id", "h", *words])
-
-    words = [f"w{i}" for i in range(WIDE_WORDS)]
+    Rows group if the Jaccard similarity of their sets of ``size``-word shingles is 0.8
+    or more, directly or by a chain; the search is exact (see ``similar``).  Texts
+    without words form one group.  An empty table stays empty; extra columns stay,
+    whatever their names."""
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    coded = shared.map_batches(docs.select(key.alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), run, ", ".join(["id long", "h long", *[f"{w} long" for w in words]]))
-    coded = shared.materialise(coded, "wide")
+    texts = docs.select(key.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    coded = shared.materialise(similar.coded(texts, size), "shingled")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    prints = coded.groupBy(*words).agg(F.min(rank).alias("best"))
-    prints = shared.materialise(prints.withColumn("node", F.monotonically_increasing_id()), "wide-prints")
-    linked = shared.connected_components(wide_edges(prints.select("node", *words), radius))
-    grouped = prints.join(linked, "node", "left").withColumn("g", F.coalesce("root", "node"))
+    prints = coded.groupBy("s", "t").agg(F.min(rank).alias("best"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(m).alias(m) for m in similar.MAP])
+    prints = shared.materialise(prints.withColumn("node", F.monotonically_increasing_id()), "shingled-sets")
+    linked = similar.components(prints, texts, size)
+    grouped = prints.select("s", "t", "node", "best").join(linked, "node", "left").withColumn("g", F.coalesce("root", "node"))
     best = grouped.groupBy("g").agg(F.min("best").alias("top"))
-    chosen = grouped.join(best, "g").select(*words, "top")
-    kept = coded.join(chosen, words).select("id", "h", (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("h") == F.col("top.h"))).alias("keep"))
+    chosen = grouped.join(best, "g").select("s", "t", "top")
+    kept = coded.select("id", "h", "s", "t").join(chosen, ["s", "t"]).select("id", "h", (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("h") == F.col("top.h"))).alias("keep"))
     fate = shared.checkpoint(kept.groupBy("id", "h").agg(F.max("keep").alias("keep"), F.count("*").alias("n")).where("NOT keep OR n > 1"))
     return _without(docs, fate, id_col, text_col)
 
