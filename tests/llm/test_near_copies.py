@@ -63,6 +63,18 @@ def test_all_pairs_of_0_8_to_0_9_are_found(spark):
     assert kept(spark, texts) == survivors(texts)
 
 
+def test_below_0_8_nothing_is_linked(spark):
+    rng = random.Random(2)
+    line = words(rng, 12)
+    # one line repeated: nearly the same shingles by count, few in common as sets
+    texts = [" ".join(line * 40 + words(rng, 8)) for _ in range(10)]
+    for _ in range(40):
+        base = words(rng, 120)
+        texts += [" ".join(base), " ".join(base[:-14] + words(rng, 14))]
+    assert max(jaccard(texts[i], texts[i + 1]) for i in range(10, len(texts), 2)) < 0.8
+    assert kept(spark, texts) == list(range(len(texts)))
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(4)
     frequent = np.sort(rng.integers(1, 400, 60, dtype=np.uint64))
