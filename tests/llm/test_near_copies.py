@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pytest
+
 from cadastra.llm import simhash, similar
 
 SCHEMA = "doc_id long, text string"
@@ -75,6 +77,26 @@ def test_below_0_8_nothing_is_linked(spark):
     assert kept(spark, texts) == list(range(len(texts)))
 
 
+@pytest.mark.parametrize("few, block", [(64, 256), (3, 7)])
+def test_families_that_share_a_passage(spark, monkeypatch, few, block):
+    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(3)
+    passage = words(rng, 100)
+    texts = []
+    for _ in range(8):  # the passage is most of each text; families differ in the rest
+        tail = words(rng, 25)
+        texts += [" ".join(passage + changed(rng, tail, rng.randrange(3))) for _ in range(12)]
+    drift = words(rng, 150)
+    for _ in range(40):  # a chain: only neighbours are near
+        texts.append(" ".join(drift))
+        drift = changed(rng, drift, 2)
+    rng.shuffle(texts)
+    want = survivors(texts)
+    assert 1 < len(want) < len(texts) // 2
+    assert kept(spark, texts) == want
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(4)
     frequent = np.sort(rng.integers(1, 400, 60, dtype=np.uint64))
