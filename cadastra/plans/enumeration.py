@@ -196,6 +196,12 @@ def split(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, b
         parts = enforce_minimum(_kept(ea, cells_to_parts(ea, groups, "kmeans")), low, high, ea.get("flagged", False))
         if len(parts) >= 2:
             return parts
+    return split_strips(ea, low, high)
+
+
+def split_strips(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS) -> list[dict]:
+    """The first number of strips that gives two parts, all within ``high`` if one does;
+    parts above it are cut to strips again until they give no two parts."""
     base, best = max(2, math.ceil(ea["hh"] / high)), None
     for n in range(base, base + 5):
         parts = enforce_minimum(_kept(ea, strips(ea, n)), low, high, ea.get("flagged", False))
@@ -203,7 +209,9 @@ def split(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, b
             if all(p["hh"] <= high for p in parts):
                 return parts
             best = best or parts
-    return best or [ea]
+    if best is None:
+        return [ea]
+    return [q for p in best for q in (split_strips(p, low, high) if p["hh"] > high else [p])]
 
 
 def _kept(ea: dict, parts: list[dict]) -> list[dict]:

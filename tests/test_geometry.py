@@ -117,6 +117,18 @@ def test_split_is_a_partition():
     assert ea.split_lines(parts)
 
 
+def test_strips_over_the_limit_are_cut_again():
+    # most households in the first tenth of the area, the others thin
+    dense = [(0.02 + 0.01 * i, 0.5 + 0.1 * (i % 80), 10.0, 0.0) for i in range(96)]
+    thin = [(1.5 + 0.5 * i, 5.0, 10.0, 0.0) for i in range(15)]
+    area = {"id": 1, "ean": "001000", "geom": square(0, 0, 10, 10), "buildings": dense + thin, "hh": 1110.0, "flagged": False}
+    parts = ea.split_strips(area)
+    assert all(100 < p["hh"] <= 300 for p in parts)
+    assert sum(p["hh"] for p in parts) == 1110 and sum(arr.area(p["geom"]) for p in parts) == pytest.approx(100, rel=1e-6)
+    # what a single pass leaves
+    assert any(p["hh"] > 300 for n in range(4, 9) for p in ea.enforce_minimum(ea._kept(dict(area), ea.strips(dict(area), n))))
+
+
 def test_greedy_groups_respect_limits_and_barriers():
     pts = [(0.0, 0.0, 0.4), (1.0, 0.0, 0.4), (2.0, 0.0, 0.4), (10.0, 0.0, 0.1)]
     assert ea.greedy_groups(pts, 1.0) == [[0, 1], [2, 3]]
