@@ -20,6 +20,8 @@ from cadastra.geometry import wkb
 MIN_HOUSEHOLDS, MAX_HOUSEHOLDS = 100, 300
 MERGE_PASSES = 5
 KMEANS_ROUNDS = 30
+#: Places whose nearest neighbour is further than so many medians are isolated.
+OUTLIER_FACTOR, OUTLIER_PLACES = 3.0, 6
 
 
 def greedy_groups(points: list[tuple[float, float, float]], limit: float, barriers: np.ndarray | None = None) -> list[list[int]]:
@@ -86,6 +88,32 @@ def weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, seed: int =
     return labels
 
 
+def isolated(points: np.ndarray) -> np.ndarray:
+    """Which points lie at places too far from any other to count for the clusters; none
+    if less than two places would be left."""
+    places, at = np.unique(points, axis=0, return_inverse=True)
+    if len(places) < OUTLIER_PLACES:
+        return np.zeros(len(points), dtype=bool)
+    near = np.array([np.partition(np.hypot(*(places - p).T), 1)[1] for p in places])
+    far = near > OUTLIER_FACTOR * np.sort(near)[len(near) // 2]
+    return far[at.ravel()] if (~far).sum() >= 2 else np.zeros(len(points), dtype=bool)
+
+
+def clusters(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Labels of weighted clusters of the points that are not isolated; isolated ones go
+    to the nearest centre."""
+    alone = isolated(points)
+    core, own = points[~alone], weights[~alone]
+    found = weighted_kmeans(core, own, k)
+    labels = np.empty(len(points), dtype=int)
+    labels[~alone] = found
+    if alone.any():
+        names = np.unique(found)
+        centres = np.array([np.average(core[found == c], axis=0, weights=own[found == c] if own[found == c].sum() > 0 else None) for c in names])
+        labels[alone] = names[((points[alone][:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)]
+    return labels
+
+
 def _part(parent: dict, geom: arr.Geometry, how: str) -> dict:
     inside = arr.contains(geom, np.array([b[:2] for b in parent["buildings"]]).reshape(-1, 2)) if parent["buildings"] else []
     own = [b for b, hit in zip(parent["buildings"], inside) if hit and id(b) not in parent.setdefault("_taken", set())]
@@ -178,6 +206,15 @@ def enforce_value(parts: list[dict], limit: float) -> list[dict]:
     return parts
 
 
+def value_checked(ea: dict, parts: list[dict], low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS) -> list[dict]:
+    """Parts of a split after the check that the value of each stays below ``high`` by
+    the area's households."""
+    limit = high / ea["hh"] if ea["hh"] else 1.0
+    if len(parts) < 2 or max(sum(b[3] for b in p["buildings"]) for p in parts) < limit:
+        return parts
+    return enforce_value(enforce_minimum(parts, low, high, ea.get("flagged", False)), limit)
+
+
 def split(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, barriers: np.ndarray | None = None) -> list[dict]:
     """Point groups first, then weighted clusters, then strips; the area itself if no
     way gives two parts."""
@@ -191,7 +228,7 @@ def split(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, b
                 return parts
         k = max(2, round(ea["hh"] / high))
         xy = np.array([p[:2] for p in points])
-        labels = weighted_kmeans(xy, np.array([b[2] for b in ea["buildings"]], dtype=float), k)
+        labels = clusters(xy, np.array([b[2] for b in ea["buildings"]], dtype=float), k)
         groups = [list(np.flatnonzero(labels == c)) for c in sorted(set(labels))]
         parts = enforce_minimum(_kept(ea, cells_to_parts(ea, groups, "kmeans")), low, high, ea.get("flagged", False))
         if len(parts) >= 2:
@@ -275,9 +312,11 @@ def number(areas: list[dict], base: int) -> list[dict]:
 RESULT = "parent string, ea_id long, ean string, new_ea string, hh double, bldg_count int, split_by string, sink string, geom binary"
 
 
-def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS) -> DataFrame:
+def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, barriers: DataFrame | None = None) -> DataFrame:
     """The engine per parent.  ``eas``: ea_id, ean, parent, hhcount, flagged, geom (WKB);
-    ``buildings``: ea_id, parent, x, y, hh, value (share of the area's total).
+    ``buildings``: ea_id, parent, x, y, hh, value (share of the area's total);
+    ``barriers``: parent, x0, y0, x1, y1, segments of roads and rivers that groups of
+    points do not cross.
 
     A failing group fails the job; nothing is dropped."""
     columns = ["parent", "ea_id", "ean", "new_ea", "hh", "bldg_count", "split_by", "sink", "geom"]
@@ -292,7 +331,8 @@ def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS,
             total = sum(x[2] for x in b)
             ea = {"id": int(r.ea_id), "ean": r.ean, "geom": wkb.parse(r.geom), "buildings": b, "hh": float(total or r.hhcount or 0), "flagged": bool(r.flagged), "split_by": "none"}
             if ea["flagged"] or ea["hh"] >= high:
-                parts = split(ea, low, high)
+                walls = np.array([list(w) for w in r.barriers], dtype=float).reshape(-1, 4) if r.barriers is not None and len(r.barriers) else None
+                parts = value_checked(ea, split(ea, low, high, walls), low, high)
                 if len(parts) > 1:
                     done += parts
                     continue
@@ -305,6 +345,11 @@ def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS,
         return pd.DataFrame(rows, columns=columns)
 
     inside = buildings.select(*[F.col(c).alias(f"b_{c}") for c in ("parent", "ea_id", "x", "y", "hh", "value")])
+    if barriers is None:
+        eas = eas.withColumn("barriers", F.lit(None).cast("array<array<double>>"))
+    else:
+        segment = F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
+        eas = eas.join(barriers.groupBy("parent").agg(F.collect_list(segment).alias("barriers")), "parent", "left")
     return eas.groupBy("parent").cogroup(inside.groupBy("b_parent")).applyInPandas(run, RESULT)
 
 

@@ -129,6 +129,30 @@ def test_strips_over_the_limit_are_cut_again():
     assert any(p["hh"] > 300 for n in range(4, 9) for p in ea.enforce_minimum(ea._kept(dict(area), ea.strips(dict(area), n))))
 
 
+def delineated(spark, points, barriers=None):
+    eas = spark.createDataFrame([(1, "001000", "p", 400.0, False, wkb.dump(square(0, 0, 10, 10)))], "ea_id long, ean string, parent string, hhcount double, flagged boolean, geom binary")
+    inside = spark.createDataFrame([(1, "p", *b) for b in points], "ea_id long, parent string, x double, y double, hh double, value double")
+    walls = None if barriers is None else spark.createDataFrame(barriers, "parent string, x0 double, y0 double, x1 double, y1 double")
+    return sorted((r["hh"], r["sink"]) for r in ea.delineate(eas, inside, barriers=walls).collect())
+
+
+def test_delineate_heeds_barriers_and_values(spark):
+    grid = [(x + i, 1.0 + 2 * j) for x in (1.0, 5.9) for i in (0.0, 1.0, 2.0, 3.0) for j in range(5)]
+    even = [(*p, 10.0, 1 / 40) for p in grid]
+    assert delineated(spark, even, [("p", 5.0, -1.0, 5.0, 11.0), ("other", 0.0, 0.0, 1.0, 1.0)]) == [(200.0, "delineated"), (200.0, "delineated")]
+    assert delineated(spark, even) != [(200.0, "delineated"), (200.0, "delineated")]
+    heavy = [(*p, 10.0, 0.8 if i == 0 else 0.2 / 39) for i, p in enumerate(grid)]
+    assert delineated(spark, heavy) == [(400.0, "retained")]
+
+
+def test_isolated_buildings_do_not_move_the_clusters():
+    near = [(i % 3, i // 3) for i in range(9)]
+    xy = np.array([*near, *[(x + 10, y) for x, y in near], (60.0, 0.0)], dtype=float)
+    assert ea.isolated(xy).tolist() == [False] * 18 + [True] and not ea.isolated(xy[:5]).any()
+    labels = ea.clusters(xy, np.ones(len(xy)), 2).tolist()
+    assert len(set(labels[:9])) == len(set(labels[9:])) == 1 and labels[0] != labels[18]
+
+
 def test_greedy_groups_respect_limits_and_barriers():
     pts = [(0.0, 0.0, 0.4), (1.0, 0.0, 0.4), (2.0, 0.0, 0.4), (10.0, 0.0, 0.1)]
     assert ea.greedy_groups(pts, 1.0) == [[0, 1], [2, 3]]
