@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, similar
@@ -53,7 +53,12 @@ def fingerprint(text: str | None, size: int) -> int:
     n = len(found)
     if not n:
         return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; zero without any."""
+    n = len(hashes)
     counts = np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, _ROWS):
         part = hashes[i : i + _ROWS].view(np.uint8).reshape(-1, 8)
@@ -170,118 +175,28 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Wide fingerprints: a probabilistic search by word shingles.  ``near_copies`` does not
-# rest on them, it compares the shingles themselves.
-
-#: 64-bit words of a wide fingerprint; each has two indexed segments.
-WIDE_WORDS, WIDE_SEGMENT = 5, 24
-#: Bits of 320 that differ at a Jaccard similarity of 0.8: the cosine is then
-#: 2J / (1 + J), the share of differing bits its angle over pi.
-WIDE_RADIUS = 48
-HUBS = 4
-#: Buckets of more wide fingerprints than this are linked by hubs.
-WIDE_BUCKET = 8
-_TWIST = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
-
-
-def wide_fingerprint(text: str | None, size: int = 5) -> list[int]:
-    """SimHash of ``WIDE_WORDS`` signed 64-bit words; zeros without words."""
-    found = shingles_of(words_of(text), size)
-    n = len(found)
-    if not n:
-        return [0] * WIDE_WORDS
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=n)
-    out = []
-    for twist in _TWIST:
-        mixed = hashes * twist
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= twist
-        counts = np.zeros(BITS, dtype=np.int64)
-        for i in range(0, n, _ROWS):
-            counts += np.unpackbits(mixed[i : i + _ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out.append(int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0]))
-    return out
-
-
-def wide_edges(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Edges between ``nodes(node, w0, ...)`` that meet in a segment within one bit
-    and differ in at most ``radius`` bits.
-
-    Only keys and numbers are shuffled for the enumerated balls; the fingerprints are
-    fetched for the candidates.  Buckets of more than ``WIDE_BUCKET`` fingerprints are
-    linked by hubs, together with the fingerprints one bit away: every member is
-    compared with the same few members, which connects a group of near copies at a
-    cost in proportion to it.  Members that are near no hub are compared among
-    themselves in the same way, with four times as many hubs each round."""
-    words = [f"w{i}" for i in range(WIDE_WORDS)]
-    mask = F.lit((1 << WIDE_SEGMENT) - 1)
-
-    def key(segment: int) -> Column:
-        value = F.shiftrightunsigned(F.col(f"w{segment // 2}"), segment % 2 * WIDE_SEGMENT).bitwiseAND(mask)
-        return F.lit(segment << 32).cast("long").bitwiseOR(value)
-
-    keyed = nodes.select("node", F.explode(F.array(*[key(i) for i in range(2 * WIDE_WORDS)])).alias("k"))
-    hot = shared.checkpoint(keyed.groupBy("k").count().where(F.col("count") > WIDE_BUCKET).select("k"))
-    small = hot.count() <= 100_000
-    hot_keys = F.broadcast(hot) if small else hot
-    cold = keyed.join(hot_keys, "k", "left_anti")
-    # the ball's keys; the lowest bit of the number says whether it is the own key
-    probes = cold.select((F.col("node") * 2).alias("x"), "k", F.explode(_ball(F.col("k"), WIDE_SEGMENT, 1)).alias("v"))
-    probes = probes.select((F.col("x") + (F.col("v") == F.col("k")).cast("long")).alias("x"), F.col("v").alias("k"))
-    x = F.shiftright("x", 1)
-    pairs = probes.join(cold, "k").where((F.col("x") % 2 == 0) | (x < F.col("node"))).select(F.least(x, "node").alias("a"), F.greatest(x, "node").alias("b")).distinct()
-    found = pairs.join(nodes.withColumnRenamed("node", "a"), "a").join(nodes.select(F.col("node").alias("b"), F.struct(*words).alias("y")), "b")
-    out = found.where(_distance_of("y", words) <= radius).select("a", "b")
-    # hot keys, with the rows whose own key is one bit away
-    near = F.explode(F.transform(F.sequence(F.lit(-1), F.lit(WIDE_SEGMENT - 1)), lambda i: F.when(i < 0, F.col("k")).otherwise(F.col("k").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))))
-    around = hot.select(F.col("k").alias("h"), near.alias("k"))
-    around = F.broadcast(around) if small else around
-    rest = keyed.join(around, "k").select(F.col("h").alias("k"), "node").join(nodes, "node")
-    rest, hubs = shared.checkpoint(rest), HUBS
-    while not rest.isEmpty():
-        # a few members of least hash: cut to so many in every map task first
-        parts = rest.withColumn("p", F.spark_partition_id())
-        local = parts.withColumn("r", F.row_number().over(Window.partitionBy("k", "p").orderBy(F.xxhash64("node", "k")))).where(F.col("r") <= hubs)
-        first = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node", "k").alias("h"), "node", *words))), 1, hubs)
-        chosen = local.groupBy("k").agg(first.alias("hubs"))
-        seen = rest.join(chosen, "k")
-        is_near = F.filter("hubs", lambda y: _bits(y, words) <= radius)
-        tested = shared.checkpoint(seen.select("k", "node", F.transform(is_near, lambda y: y["node"]).alias("hubs")))
-        settled = tested.where(F.size("hubs") > 0)
-        out = out.union(settled.select(F.col("node").alias("a"), F.explode("hubs").alias("b")).where("a <> b"))
-        rest = shared.checkpoint(rest.join(settled.select("k", "node"), ["k", "node"], "left_anti"))
-        hubs *= 4
-    return out
-
-
-def _bits(y: Column, words: list[str]) -> Column:
-    return sum((F.bit_count(F.col(w).bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(y[words[0]])))
-
-
-def _distance_of(y: str, words: list[str]) -> Column:
-    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{y}.{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"{y}.{words[0]}"))))
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """The columns of ``docs`` for one row of each group of near copies: the row with
     the smallest id (null ids last; of repeated rows one).
 
     Rows group if the Jaccard similarity of their sets of ``size``-word shingles is 0.8
-    or more, directly or by a chain; the search is exact (see ``similar``).  Texts
-    without words form one group.  An empty table stays empty; extra columns stay,
-    whatever their names."""
+    or more, directly or by a chain.  Fingerprints of the sets within two bits are the
+    first candidates; at 0.8 some 15 % of the bits of a fingerprint differ, so the search
+    goes on over sketches of the sets (see ``similar``), and every link is verified on
+    whole sets.  Null texts and texts without words form one group.  An empty table
+    stays empty; extra columns stay, whatever their names."""
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(key.alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    coded = shared.materialise(similar.coded(texts, size), "shingled")
+    coded = shared.materialise(similar.coded(texts, size, majority), "shingled")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    prints = coded.groupBy("s", "t").agg(F.min(rank).alias("best"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(m).alias(m) for m in similar.MAP])
-    prints = shared.materialise(prints.withColumn("node", F.monotonically_increasing_id()), "shingled-sets")
-    linked = similar.components(prints, texts, size)
-    grouped = prints.select("s", "t", "node", "best").join(linked, "node", "left").withColumn("g", F.coalesce("root", "node"))
-    best = grouped.groupBy("g").agg(F.min("best").alias("top"))
-    chosen = grouped.join(best, "g").select("s", "t", "top")
-    kept = coded.select("id", "h", "s", "t").join(chosen, ["s", "t"]).select("id", "h", (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("h") == F.col("top.h"))).alias("keep"))
-    fate = shared.checkpoint(kept.groupBy("id", "h").agg(F.max("keep").alias("keep"), F.count("*").alias("n")).where("NOT keep OR n > 1"))
+    prints = coded.groupBy("s", "t").agg(F.min(rank).alias("best"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
+    # numbered in order of rank, so the smallest number of a group is its best row
+    prints = shared.materialise(prints.orderBy("best").withColumn("node", F.monotonically_increasing_id()), "shingled-sets")
+    linked = similar.components(prints, texts, size, near_pairs)
+    beaten = linked.where("node <> root").select("node")
+    keepers = shared.checkpoint(prints.select("node", "best").join(beaten, "node", "left_anti").select(F.col("best.id").alias("i"), F.col("best.h").alias("g")))
+    rows = coded.groupBy("id", "h").agg(F.count("*").alias("n")).join(keepers, (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i")), "left")
+    fate = shared.checkpoint(rows.select("id", "h", F.col("g").isNotNull().alias("keep"), "n").where("NOT keep OR n > 1"))
     return _without(docs, fate, id_col, text_col)
 
 

@@ -1,15 +1,20 @@
-"""Exact join of texts by the Jaccard similarity of their sets of word shingles.
-
-Two sets with a Jaccard similarity of ``NUM / DEN`` or more share at least that part of
-the larger one, so in any common order of all shingles their first ``n - ceil(n * NUM /
-DEN) + 1`` members have one in common (prefix filter).  The order puts shingles that are
-frequent in a sample last; the sample decides costs only, never the result.
-
-Texts that meet in a prefix shingle are candidates.  Where three or more meet, each is
-first tested against the two outer ones, which connects groups of near copies at a cost
-in proportion to them.  Of the pairs left only those whose ends are not connected yet
-matter: in shingles of few texts they become different pairs, in others they are tested
-by pairs of blocks that return spanning edges.  Every link is verified on whole sets."""
+"""Join of texts by the Jaccard similarity of their sets of word shingles.
+
+The smallest ``SKETCH`` hashes of a set are its sketch.  Of two sets that are near copies
+each of the smallest hashes of the union is in both with the probability of their
+similarity, so their sketches have far more than half in common.  A text therefore may
+leave out the half of its sketch that is most frequent among all texts, in an order that
+is the same for all: of what two texts share the least frequent key stays on both sides.
+Passages that many documents share go first, and a text whose other half is its own meets
+nobody.  Texts of up to ``SKETCH`` shingles are found without loss; of longer pairs with
+exactly 0.8 two in a million may be missed, of more similar ones less.
+
+Candidates of the first round are the links of SimHash fingerprints (multi-index hashing
+over the same shingles) and, for every text, the earlier one that it shares most keys
+with.  Then texts of one key that are not connected yet are tested against the key's two
+outer texts, and of the pairs left only those whose ends are not connected matter: in keys
+of few texts they become different pairs, in others they are tested by pairs of blocks
+that return spanning edges.  Every link is verified on whole sets."""
 
 from __future__ import annotations
 
@@ -18,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -26,16 +31,15 @@ from . import shared
 SEED = 42
 #: Jaccard similarity from which texts are near copies.
 NUM, DEN = 4, 5
-#: Texts looked at for frequent shingles, and so many of these at most.
-SAMPLE, FREQUENT = 8_000, 100_000
-#: Shingles of more texts than this are tested by blocks of ``BLOCK``.
+#: Smallest hashes kept of a set, and how many of them may be left out.
+SKETCH = 48
+SPARE = SKETCH // 2
+#: Keys of more texts than this are tested by blocks of ``BLOCK``.
 FEW = 64
 BLOCK = 256
 #: Tables of no more rows than this are broadcast.
 SMALL = 100_000
 _COLUMNS = 1 << 14
-#: Words of the bit map of a prefix.
-MAP = [f"m{i}" for i in range(8)]
 
 
 def shingle_set(words: list[bytes], size: int) -> np.ndarray:
@@ -46,73 +50,41 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=len(found)))
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """First members of a set in the common order: by hash, the frequent ones last."""
-    n = len(own)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        late = frequent[at] == own
-        own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]])]])
-    return own[: n - -(-NUM * n // DEN) + 1] if n else own
-
-
-def bit_map(keys: np.ndarray) -> np.ndarray:
-    """A bit per key by its low bits; a bit that another map lacks is a key it lacks."""
-    bits = np.zeros(64 * len(MAP), dtype=np.uint8)
-    bits[keys & np.uint64(64 * len(MAP) - 1)] = 1
-    return np.packbits(bits, bitorder="little").view("<i8")
-
-
 def alike(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether sets with so many common members and so many together are near copies."""
     return (NUM + DEN) * common >= NUM * sizes
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
+def spare(n: Column) -> Column:
+    """Keys that a text of ``n`` shingles may leave out: near copies share more."""
+    return F.least(F.ceil(n * NUM / DEN).cast("int") - 1, F.lit(SPARE))
 
-def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles found in three or more sampled texts, and the place of
-    each by frequency."""
-    step = max(1, texts.count() // SAMPLE)
 
-    def run(batches):
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_words(t), size).view(np.int64))], names=["s"])
-
-    found = shared.map_batches(texts.where(F.pmod("h", F.lit(step)) == 0).select("text"), run, "s long")
-    top = found.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(FREQUENT)
-    hashes = np.array([r[0] for r in top.select("s").collect()], dtype=np.int64).view(np.uint64)[::-1]
-    order = np.argsort(hashes)
-    return hashes[order], order
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def coded(texts: DataFrame, size: int) -> DataFrame:
-    """``(id, h, s, t, n, keys, m0, ...)`` per row of ``texts(id, h, text)``: digest of
-    the set in two halves, its size, its prefix and the prefix's bit map."""
-    frequent, rank = frequent_shingles(texts, size)
+def coded(texts: DataFrame, size: int, fingerprint) -> DataFrame:
+    """``(id, h, s, t, n, fp, keys)`` per row of ``texts(id, h, text)``: digest of the set
+    in two halves, its size, its fingerprint and its sketch."""
 
     def run(batches):
         for b in batches:
-            digests, sizes, keys, maps = [], [], [], []
+            digests, sizes, fps, keys = [], [], [], []
             for t in b.column(2).to_pylist():
                 own = shingle_set(_words(t), size)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype=np.int64))
                 sizes.append(len(own))
-                first = prefix(own, frequent, rank)
-                keys.append(first.view(np.int64))
-                maps.append(bit_map(first))
+                fps.append(fingerprint(own))
+                keys.append(own[:SKETCH].view(np.int64))
             digests = np.array(digests, dtype=np.int64).reshape(-1, 2)
-            maps = np.array(maps, dtype=np.int64).reshape(-1, len(MAP))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*keys, np.empty(0, dtype=np.int64)]), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes, pa.int32()), lists, *[pa.array(maps[:, i]) for i in range(len(MAP))]],
-                names=["id", "h", "s", "t", "n", "keys", *MAP])
+                [b.column(0), b.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), lists],
+                names=["id", "h", "s", "t", "n", "fp", "keys"])
 
-    return shared.map_batches(texts.select("id", "h", "text"), run, ", ".join(["id long, h long, s long, t long, n int, keys array<long>", *[f"{m} long" for m in MAP]]))
+    return shared.map_batches(texts.select("id", "h", "text"), run, "id long, h long, s long, t long, n int, fp long, keys array<long>")
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -121,7 +93,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, prints: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``(node, n, members)`` of ``nodes(node)``, made again from the texts."""
+    """``(node, members)`` of ``nodes(node)``, made again from the texts."""
     want = shared.checkpoint(prints.join(nodes.distinct(), "node", "left_semi").select("node", F.col("best.id").alias("i"), F.col("best.h").alias("g")))
     found = texts.join(sized(want), (F.col("h") == F.col("g")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
 
@@ -143,26 +115,12 @@ def _verified(batches):
 
 
 def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that are near copies.
-
-    A common member that is not in both prefixes is outside the one that ends first, so
-    the prefixes bound the common part, and their bit maps, which are small, bound what
-    is common to them; few other pairs are left to fetch the sets for."""
-    at = prints.select("node", "n", F.size("keys").alias("p"), F.struct(*MAP).alias("m"))
-    both = pairs.join(at.toDF("a", "na", "pa", "ma"), "a").join(at.toDF("b", "nb", "pb", "mb"), "b")
-
-    def lacks(x: str, y: str):
-        return sum((F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{m}")))) for m in MAP[1:]), F.bit_count(F.col(f"{x}.m0").bitwiseAND(F.bitwise_not(F.col(f"{y}.m0")))))
-
-    def enough(shared_keys, pa_, pb_):
-        most = shared_keys + F.greatest(F.col("na") - pa_, F.col("nb") - pb_)
-        return F.least(most, "na", "nb") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM
-
-    mapped = F.least(F.col("pa") - lacks("ma", "mb"), F.col("pb") - lacks("mb", "ma"))
-    left = shared.materialise(both.where(enough(mapped, F.col("pa"), F.col("pb"))).select("a", "b"), "mapped-pairs")
-    keyed = prints.select("node", "n", "keys")
-    both = left.join(keyed.toDF("a", "na", "ka"), "a").join(keyed.toDF("b", "nb", "kb"), "b")
-    left = shared.materialise(both.where(enough(F.size(F.array_intersect("ka", "kb")), F.size("ka"), F.size("kb"))).select("a", "b"), "likely-pairs")
+    """Of ``pairs(a, b)`` those that are near copies: sizes and sketches are compared
+    first, by the low bits of their keys; the sets are fetched for what is left."""
+    at = prints.select("node", "n", F.transform("keys", lambda k: (k.bitwiseAND(0xFFFF) - 0x8000).cast("short")).alias("m"))
+    both = pairs.join(at.toDF("a", "na", "ma"), "a").join(at.toDF("b", "nb", "mb"), "b")
+    near = (F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM) & (F.size(F.array_intersect("ma", "mb")) > F.least(spare(F.col("na")), spare(F.col("nb"))) - 2)
+    left = shared.materialise(both.where(near).select("a", "b"), "likely-pairs")
     sets = _sets(texts, prints, left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))), size)
     full = left.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return shared.materialise(shared.map_batches(full, _verified, "a long, b long"), "near-pairs")
@@ -196,28 +154,51 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
 
-def components(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``(node, root)`` of the different sets ``prints(node, best, n, keys, m0, ...)`` that are
+def meeting_keys(prints: DataFrame) -> DataFrame:
+    """``(node, k)``: of every sketch the keys that other sketches have too, less the
+    most frequent ones that near copies can do without."""
+    keyed = prints.select("node", "n", F.explode("keys").alias("k"))
+    met = shared.materialise(keyed.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "met")
+    found = keyed.join(sized(met), "k").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "k"))).alias("met"))  # a sketch at most
+    rarest = F.slice("met", 1, F.greatest(F.size("met") - spare(F.col("n")), F.lit(0)))
+    return shared.materialise(found.select("node", F.explode(rarest).alias("m")).select("node", "m.k"), "met-nodes")
+
+
+def fingerprint_pairs(prints: DataFrame, near_pairs) -> DataFrame:
+    """``(a, b)`` of nodes that SimHash links: the first ones of linked fingerprints, and
+    each other node with the first of its own fingerprint."""
+    first = shared.checkpoint(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("c")))
+    same = prints.select("node", "fp").join(first.where("c > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = near_pairs(first.select("fp"))
+    across = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.union(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def components(prints: DataFrame, texts: DataFrame, size: int, near_pairs) -> DataFrame:
+    """``(node, root)`` of the different sets ``prints(node, best, n, fp, keys)`` that are
     near copies of others, directly or by a chain."""
-    keyed = prints.select("node", F.explode("keys").alias("k"))
-    met = shared.materialise(keyed.groupBy("k").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("c > 1"), "met")
-    many = met.where("c > 2")
-    members = shared.materialise(keyed.join(sized(many.select("k")), "k"), "met-nodes")
-    # of shingles with the same texts one is enough
-    alike_keys = members.groupBy("k").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).join(many, "k")
-    keys = shared.checkpoint(alike_keys.groupBy("x", "y", "c", "lo", "hi").agg(F.min("k").alias("k")).select("k", "c", "lo", "hi"))
-    members = shared.materialise(members.join(sized(keys), "k"), "met-nodes")
-
-    outer = members.select("node", F.explode(F.array("lo", "hi")).alias("o")).where("node <> o").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-    first = shared.materialise(met.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(outer).distinct(), "pairs")
+    members = meeting_keys(prints)
+    keys = members.groupBy("k").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
+    # of keys with the same texts one is enough
+    keys = shared.checkpoint(keys.groupBy("x", "y", "c", "lo", "hi").agg(F.min("k").alias("k"), F.count("*").alias("times")))
+    members = shared.materialise(members.join(sized(keys.select("k", "c", "lo", "hi", "times")), "k"), "met-nodes")
+
+    lower = members.where("node <> lo").groupBy("node", "lo").agg(F.sum("times").alias("times"))
+    closest = lower.groupBy("node").agg(F.max(F.struct("times", (-F.col("lo")).alias("o"))).alias("m")).select((-F.col("m.o")).alias("a"), F.col("node").alias("b"))
+    first = shared.materialise(closest.union(fingerprint_pairs(prints, near_pairs)).distinct(), "pairs")
     found = shared.connected_components(verified(first, prints, texts, size))
 
-    told = members.join(found, "node", "left").select("k", "c", "node", F.coalesce("root", "node").alias("root"))
-    mixed = shared.checkpoint(told.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"))
-    rest = shared.materialise(told.join(sized(mixed), "k"), "met-rest")
+    outer = _open(members, found).select("node", "root", F.explode(F.array("lo", "hi")).alias("o")).where("node <> o")
+    ends = found.select(F.col("node").alias("o"), F.col("root").alias("other"))
+    outer = outer.join(ends, "o", "left").where("root <> coalesce(other, o)").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+    outer = shared.materialise(outer.join(first, ["a", "b"], "left_anti"), "pairs")
+    edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(outer, prints, texts, size))
+    found = shared.connected_components(edges)
+
+    rest = shared.materialise(_open(members, found), "met-rest")
     few = rest.where(F.col("c") <= FEW)
     x, y = few.select("k", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("k", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "k").where("a < b AND ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    pairs = x.join(y, "k").where("a < b AND ra <> rb").select("a", "b").distinct().join(first.union(outer), ["a", "b"], "left_anti")
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(shared.materialise(pairs, "pairs"), prints, texts, size))
 
     hot = rest.where(F.col("c") > FEW).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
@@ -225,3 +206,10 @@ def components(prints: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     dealt = hot.select("k", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "root")
     blocks = dealt.join(_sets(texts, prints, hot.select("node"), size), "node").groupBy("k", "i", "j").applyInArrow(_block, "a long, b long")
     return shared.connected_components(edges.union(shared.materialise(blocks, "block-pairs")))
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their roots, of the keys whose texts are not all connected."""
+    told = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = shared.checkpoint(told.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k"))
+    return told.join(sized(mixed), "k")

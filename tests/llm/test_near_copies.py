@@ -97,13 +97,20 @@ def test_families_that_share_a_passage(spark, monkeypatch, few, block):
     assert kept(spark, texts) == want
 
 
-def test_prefixes_of_alike_sets_meet():
+def test_sketches_of_alike_sets_keep_a_common_key():
+    """The rarest half of either sketch, in any common order, has a key of both."""
     rng = np.random.default_rng(4)
-    frequent = np.sort(rng.integers(1, 400, 60, dtype=np.uint64))
-    frequent = np.unique(frequent)
-    rank = rng.permutation(len(frequent))
-    for _ in range(300):
-        a = np.unique(rng.integers(1, 400, 60, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(1, 400, 3, dtype=np.uint64)]))
-        if similar.alike(np.array(len(np.intersect1d(a, b))), len(a) + len(b)):
-            assert set(similar.prefix(a, frequent, rank)) & set(similar.prefix(b, frequent, rank))
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        union = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        both = rng.permutation(len(union))[: -(-4 * len(union) // 5)]
+        side = rng.random(len(union)) < 0.5
+        shared_ = np.isin(np.arange(len(union)), both)
+        a, b = union[shared_ | side], union[shared_ | ~side]
+        order = rng.permutation(len(union))
+        left = []
+        for x in (a, b):
+            keys = sorted(x[: similar.SKETCH], key=lambda k: order[np.searchsorted(union, k)])
+            spare = min(-(-similar.NUM * len(x) // similar.DEN) - 1, similar.SPARE)
+            left.append(set(keys[: len(keys) - spare]))
+        assert left[0] & left[1]

@@ -110,19 +110,6 @@ def test_near_copies_keep_one(docs, rows, empty):
     assert simhash.near_copies(empty).count() == 0
 
 
-def test_wide_hubs_connect_a_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "WIDE_BUCKET", 4)
-    rng = random.Random(1)
-    base = [rng.getrandbits(63) for _ in range(5)]
-    rows = []
-    for i in range(120):
-        words = [b ^ sum(1 << k for k in rng.sample(range(64), 2)) for b in base]
-        rows.append((i, *[w - (1 << 64) if w >= 1 << 63 else w for w in words]))
-    nodes = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, w3 long, w4 long")
-    roots = {r["root"] for r in shared.connected_components(simhash.wide_edges(nodes)).collect()}
-    assert roots == {0}
-
-
 def test_packing(docs, rows, empty):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = [r.asDict() for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 256, 0).collect()]
