@@ -63,6 +63,7 @@ def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.shared_path(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     found = warc.archived_pages(spark, path)
+    shared.drop_path(spark, path)  # the result is in tables of its own
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -33,6 +33,8 @@ CHUNK_BYTES = 8192
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+#: So many digests of repeated payloads at most (32 bytes and an id each) are broadcast.
+BROADCAST_DIGESTS = 500_000
 
 
 def record_id(kind: str, key: int | None, digest: str, part: int = 1) -> str:
@@ -91,12 +93,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """One record per row of ``pages``.  Of equal payloads of ``REVISIT_BYTES`` or more
     the row with the largest id is the response; the others revisit it.  Repeated rows
     of that id are responses too; null ids are never the largest unless all are null,
-    and then all are responses.  Null html is an empty payload; null urls are left out."""
+    and then all are responses.  Null html is an empty payload; null urls are left out.
+    Very long pages become segments.  An empty table gives an empty folder.
+
+    Repeated payloads are found by digests and ids alone; the payloads themselves are
+    shuffled only where more than ``BROADCAST_DIGESTS`` different ones are repeated."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    large = rows.select("id", F.sha2("payload", 256).alias("d"), F.octet_length("payload").alias("n")).where(F.col("n") >= REVISIT_BYTES)
-    stored = large.groupBy("d").agg(F.max("id").alias("stored"), F.count("*").alias("c")).where("c > 1").select("d", "stored")
-    marked = rows.withColumn("d", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.sha2("payload", 256))).join(stored, "d", "left")
-    marked = marked.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("stored")), F.col("stored")).alias("response"))
+    digest, long = F.unhex(F.sha2("payload", 256)), F.octet_length("payload") >= REVISIT_BYTES
+    stored = rows.where(long).select("id", digest.alias("d")).groupBy("d").agg(F.max("id").alias("stored"), F.count("*").alias("c"))
+    stored = shared.checkpoint(stored.where("c > 1").select("d", "stored"))
+    response = F.when(~F.col("id").eqNullSafe(F.col("stored")), F.col("stored")).alias("response")
+    if stored.count() <= BROADCAST_DIGESTS:  # no payload is shuffled
+        marked = rows.withColumn("d", F.when(long, digest)).join(F.broadcast(stored), "d", "left").select("id", "url", "payload", response)
+    else:  # short payloads stay out of the join, where they would all have one key
+        marked = rows.where(long).withColumn("d", digest).join(stored, "d", "left").select("id", "url", "payload", response)
+        marked = marked.union(rows.where(~long).select("id", "url", "payload", F.lit(None).cast("long")))
 
     def run(batches):
         count = 0
