@@ -3,8 +3,8 @@
 Hierarchical residual packing.  Round 0 tokenises a partition, cuts long documents
 into pieces and packs the pieces best-fit decreasing; bins that are nearly full leave
 at once.  Underfull bins travel on as single items (a bin's number and its fill, no
-tokens): groups of partitions are merged as a tree, each merge packs bins best-fit
-again and lets nearly full ones go, until one group is left or merging helps no more.
+tokens): each round deals them to fewer groups, a tree of merges; each merge packs bins
+best-fit again and lets nearly full ones go, until one group is left or groups are full.
 Every round is written to the shared folder, so a lost executor costs one round's
 tasks at most and no order of rows can change a placement already made."""
 
@@ -23,9 +23,9 @@ from . import shared, tokens
 
 #: A bin with at most this share of its room left is not merged further.
 NEARLY_FULL = 0.002
-#: Partitions merged into one in each round.
+#: Groups merged into one in each round.
 FAN_IN = 16
-#: Bins that one task of a merging round takes; more keep more groups.
+#: Bins of a group on average, so that a task can hold it; more keep more groups.
 BINS_PER_TASK = 200_000
 
 
@@ -68,8 +68,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     A document is its tokens and ``end_id``.  Nulls: a null text is an empty one (its
     piece is ``end_id`` alone); a row with a null id is packed like any other.
     Repeated rows are packed each by itself.  Ties are packed in the order read; the
-    number of sequences depends only on sizes and partitions.  An empty table gives
-    no rows.  Other columns are ignored, whatever their names."""
+    number of sequences depends only on sizes and partitions.  Very long texts are
+    encoded whole and cut.  An empty table gives no rows.  Other columns are ignored, whatever their names."""
     spark = docs.sparkSession
     source = tokens.broadcast_tokenizer(spark, tokenizer_path)
     slack = int(capacity * NEARLY_FULL)
@@ -113,11 +113,10 @@ def merge_bins(bins: DataFrame, capacity: int, slack: int) -> DataFrame | None:
     members = "array<struct<bin:long,shift:long>>"
     level = shared.checkpoint(bins.select("bin", "fill", F.array(F.struct("bin", F.lit(0).cast("long").alias("shift"))).cast(members).alias("members")))
     left, top = level.agg(F.count("*"), F.max(F.shiftright("bin", 32))).first()
-    groups, width, done = (top or 0) + 1, 1, []
+    groups, done = (top or 0) + 1, []
     while left:
-        width *= FAN_IN
         now = max(-(-groups // FAN_IN), -(-left // BINS_PER_TASK))
-        merged = level.repartitionById(now, (F.floor(F.shiftright("bin", 32) / width) % now).cast("int"))
+        merged = dealt(level, now)
         merged = shared.checkpoint(shared.map_batches(_tuples(merged), _pack_level(capacity), f"bin long, fill long, members {members}"))
         if now == 1 or now >= groups:
             done.append(merged)
@@ -133,6 +132,11 @@ def merge_bins(bins: DataFrame, capacity: int, slack: int) -> DataFrame | None:
     return out.select(F.col("bin").alias("parent"), F.explode("members").alias("m")).select("m.bin", "parent", "m.shift").where("bin <> parent OR shift <> 0")
 
 
+def dealt(bins: DataFrame, groups: int) -> DataFrame:
+    """``bins`` in so many partitions of about equal size."""
+    return bins.repartitionById(groups, F.pmod(F.xxhash64("bin"), F.lit(groups)).cast("int"))
+
+
 def _tuples(df: DataFrame) -> DataFrame:
     return df.select("bin", "fill", F.col("members.bin").alias("m"), F.col("members.shift").alias("s"))
 
