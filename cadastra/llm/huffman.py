@@ -19,7 +19,6 @@
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import struct
 import zlib
@@ -35,6 +34,8 @@ LIMIT = 16
 STRIDE = 512
 #: Ids of a block; only a single longer document makes a larger one.
 BLOCK_IDS = 1 << 20
+#: Documents of a partition, and so many partitions at most.
+PART_DOCS, PARTS = 8192, 50_000
 MAGIC = b"CHB1"
 
 
@@ -156,18 +157,42 @@ def unpack_block(data: bytes) -> tuple[list[int | None], list[int], np.ndarray,
     return [None if null else k for k, null, _ in entries], [c for *_, c in entries], ids, first
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n, ids)`` with little-endian ids of two bytes where the vocabulary allows."""
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", cuts: np.ndarray | None = None) -> DataFrame:
+    """``(id, n, ids, p)`` with little-endian ids of two bytes where the vocabulary
+    allows; p is the number of the document's range between ``cuts``."""
     source = tokens.broadcast_tokenizer(docs.sparkSession, tokenizer_path)
+    ranges = docs.sparkSession.sparkContext.broadcast(np.empty(0, dtype=np.int64) if cuts is None else cuts)  # PARTS numbers at most
     end = np.array([end_id], dtype="<u4").tobytes()
     wide = vocabulary(tokenizer_path, end_id) > 1 << 16
 
     def run(batches):
         for b in batches:
             coded = [np.frombuffer(x + end, dtype="<u4") for x in tokens.encoder(source.value).encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array([c.tobytes() if wide else c.astype("<u2").tobytes() for c in coded], pa.binary())], names=["id", "n", "ids"])
+            packed = [c.tobytes() if wide else c.astype("<u2").tobytes() for c in coded]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(packed, pa.binary()), pa.array(range_of(b.column(0), packed, ranges.value), pa.int32())], names=["id", "n", "ids", "p"])
 
-    return shared.map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, n long, ids binary")
+    return shared.map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, n long, ids binary, p int")
+
+
+_NULL = -(1 << 63)
+
+
+def id_cuts(ids: DataFrame, parts: int) -> np.ndarray:
+    """Upper ends of ranges with about equally many ``ids(id)``, null as the least; an id
+    of more rows than a range takes is the end of several."""
+    if parts < 2:
+        return np.empty(0, dtype=np.int64)
+    cuts = ids.agg(F.percentile_approx(F.coalesce("id", F.lit(_NULL)), [i / parts for i in range(1, parts)], min(100 * parts, 1_000_000))).first()[0]
+    return np.array(cuts or [], dtype=np.int64)
+
+
+def range_of(ids: pa.Array, packed: list[bytes], cuts: np.ndarray) -> np.ndarray:
+    """Range per row; rows of an id that ends several are dealt to all of these."""
+    keys = ids.fill_null(_NULL).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
+    for i in np.flatnonzero(high - low > 1):
+        low[i] += zlib.crc32(packed[i]) % (high[i] - low[i])
+    return low
 
 
 def vocabulary(tokenizer_path: str, end_id: int) -> int:
@@ -207,52 +232,42 @@ def _joined(run):
     return joined
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", docs_per_part: int = 8192) -> None:
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text", docs_per_part: int = PART_DOCS) -> None:
     """Write all ids of ``docs`` in ascending id order as coded blocks to ``path``.
 
     Nulls: a null text is an empty one; null ids come first.  Repeated ids stand
-    side by side.  An empty table gives an empty dataset."""
-    coded = shared.materialise(tokenise(docs, tokenizer_path, end_id, id_col, text_col), "ids")
-    size = vocabulary(tokenizer_path, end_id)
+    side by side.  A very long text is a block of its own.  An empty table gives an
+    empty dataset.  Other columns are ignored, whatever their names."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    parts = min(max(1, -(-ids.count() // docs_per_part)), PARTS)
+    cuts = id_cuts(ids, parts)
+    with shared.scratch(docs.sparkSession, "token-ids"):
+        _write_coded(shared.materialise(tokenise(docs, tokenizer_path, end_id, id_col, text_col, cuts), "ids"), vocabulary(tokenizer_path, end_id), len(cuts) + 1, path)
+
+
+def _write_coded(coded: DataFrame, size: int, parts: int, path: str) -> None:
     lengths = code_lengths(count_ids(coded, size))
-    rows = coded.count()
-    parts = max(1, -(-rows // docs_per_part))
-    cuts = coded.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts)) if parts > 1 else []
-    part = _part_of(cuts)
-    totals = dict(coded.select(part.alias("p"), "n").groupBy("p").agg(F.sum("n")).collect())  # a row per file written
-    first, at = {}, 0
-    for p in range(len(cuts) + 1):
-        first[p] = at
-        at += totals.get(p, 0)
-    placed = coded.select("id", "n", "ids", part.alias("p")).repartitionById(len(cuts) + 1, F.col("p")).sortWithinPartitions(F.col("id").asc_nulls_first(), "n", F.xxhash64("ids"))
+    totals = dict(coded.groupBy("p").agg(F.sum("n")).collect())  # a row per range
+    first = np.cumsum([0, *[totals.get(p, 0) for p in range(parts)]]).tolist()
+    placed = coded.repartitionById(parts, F.col("p")).sortWithinPartitions("p", F.col("id").asc_nulls_first(), "n", F.xxhash64("ids")).select("id", "n", "ids", "p")
 
     def run(batches):
-        code, keys, counts, held, have, place = Code(lengths), [], [], [], 0, None
+        code, keys, counts, held, have, place, at = Code(lengths), [], [], [], 0, 0, None
         for b in batches:
             for key, n, x, p in zip(*(c.to_pylist() for c in b.columns)):
-                place = first[p] if place is None else place
+                if p != at or have >= BLOCK_IDS:
+                    if keys:
+                        yield from _block(code, keys, counts, held, place, size)
+                    place = place + have if p == at else first[p]
+                    keys, counts, held, have, at = [], [], [], 0, p
                 keys.append(key), counts.append(n), held.append(x)
                 have += n
-                if have >= BLOCK_IDS:
-                    yield from _block(code, keys, counts, held, place, size)
-                    place += have
-                    keys, counts, held, have = [], [], [], 0
         if keys:
             yield from _block(code, keys, counts, held, place, size)
 
     shared.map_batches(placed, run, "first long, block binary").write.option("compression", "none").parquet(path)
 
 
-def _part_of(cuts: list[int]):
-    if not cuts:
-        return F.lit(0)
-    bounds = F.udf(lambda i: 0 if i is None else bisect.bisect_left(cuts, i), "int") if len(cuts) > 2000 else None
-    if bounds is not None:
-        return bounds(F.col("id"))
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("id"))), F.lit(0)).cast("int")
-
-
 def _block(code: Code, keys, counts, held, place: int, size: int):
     ids = np.frombuffer(b"".join(held), dtype=_kind(size))
     yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([pack_block(code, keys, counts, ids, place)], pa.binary())], names=["first", "block"])

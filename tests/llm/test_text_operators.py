@@ -12,6 +12,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from cadastra.llm import decontaminate, huffman, language, licenses, packing, quality, shared, simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, score string"
@@ -138,6 +140,27 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_merging_groups_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BINS_PER_TASK", 40)
+    rng = random.Random(5)
+    fills = [(p << 32 | i, rng.randrange(1, 60)) for p in range(3) for i in range(400)]
+    bins = spark.createDataFrame(fills, "bin long, fill long")
+    sizes = [r["count"] for r in packing.dealt(bins, -(-len(fills) // 40)).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 80
+    moved = {r["bin"]: (r["parent"], r["shift"]) for r in packing.merge_bins(bins, 100, 0).collect()}
+    held = {}
+    for b, n in fills:
+        parent, shift = moved.get(b, (b, 0))
+        held.setdefault(parent, []).append((shift, n))
+    for parts in held.values():
+        ends = [0]
+        for at, n in sorted(parts):
+            assert at == ends[-1]
+            ends.append(at + n)
+        assert ends[-1] <= 100
+    assert len(held) < 1.1 * sum(n for _, n in fills) / 100
+
+
 def test_best_fit_never_overflows():
     rng = random.Random(0)
     for _ in range(50):
@@ -195,6 +218,20 @@ def test_token_files(spark, docs, rows, empty):
     assert huffman.read_digests(spark, out).count() == 0
 
 
+def test_an_id_of_many_rows_fills_several_ranges(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, f"text number {i}") for i in range(60)] + [(None, f"none {i}") for i in range(30)] + [(i, "one more") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = huffman.id_cuts(df.select(F.col("doc_id").alias("id")), 10)
+    assert (cuts == 7).sum() > 2
+    sizes = [r["count"] for r in huffman.tokenise(df, path, 1, cuts=cuts).groupBy("p").count().collect()]
+    assert max(sizes) < 50
+    huffman.write_ids(df, path, 1, str(tmp_path / "ids"), docs_per_part=11)
+    got = sorted((r["start"], r["n_tokens"], r["id"]) for r in huffman.read_digests(spark, str(tmp_path / "ids")).collect())
+    assert [g[0] for g in got] == np.cumsum([0, *[g[1] for g in got]])[:-1].tolist()
+    assert [g[2] for g in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+
+
 def test_contained_items(spark, docs, rows, empty):
     long = next(r for r in rows if r[0] == 203)[1].split()
     items = [(1, " ".join(long[1000:1030]).upper() + "!"), (2, " ".join(long[50:70] + ["other"] * 30)), (3, None), (4, ""), (5, "twice"), (5, "twice"), (6, " ".join(long[3000:3300]))]
