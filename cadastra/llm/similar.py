@@ -13,8 +13,8 @@ Candidates of the first round are the links of SimHash fingerprints (multi-index
 over the same shingles) and, for every text, the earlier one that it shares most keys
 with.  Then texts of one key that are not connected yet are tested against the key's two
 outer texts, and of the pairs left only those whose ends are not connected matter: in keys
-of few texts they become different pairs, in others they are tested by pairs of blocks
-that return spanning edges.  Every link is verified on whole sets."""
+of few texts they become different pairs, in others the texts outside the largest
+component are tested against all by pairs of blocks that return spanning edges.  Every link is verified on whole sets."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ SEED = 42
 NUM, DEN = 4, 5
 #: Smallest hashes kept of a set, and how many of them may be left out.
 SKETCH = 48
-SPARE = SKETCH // 2
+SPARE = 24
 #: Keys of more texts than this are tested by blocks of ``BLOCK``.
 FEW = 64
 BLOCK = 256
@@ -56,8 +56,9 @@ def alike(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def spare(n: Column) -> Column:
-    """Keys that a text of ``n`` shingles may leave out: near copies share more."""
-    return F.least(F.ceil(n * NUM / DEN).cast("int") - 1, F.lit(SPARE))
+    """Keys that a text of ``n`` shingles may leave out: near copies share more.  Those of
+    so few shingles that its near copies' sketches are whole sets too share 0.8 of them."""
+    return F.when(n * DEN <= SKETCH * NUM, F.ceil(n * NUM / DEN).cast("int") - 1).otherwise(SPARE)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -201,8 +202,15 @@ def components(prints: DataFrame, texts: DataFrame, size: int, near_pairs) -> Da
     pairs = x.join(y, "k").where("a < b AND ra <> rb").select("a", "b").distinct().join(first.union(outer), ["a", "b"], "left_anti")
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(shared.materialise(pairs, "pairs"), prints, texts, size))
 
-    hot = rest.where(F.col("c") > FEW).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    hot = hot.withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    # texts that are connected already need no test among themselves: those of a key's
+    # largest component meet the others only
+    hot = rest.where(F.col("c") > FEW)
+    main = hot.groupBy("k", "root").agg(F.count("*").alias("held")).groupBy("k").agg(F.max(F.struct("held", (-F.col("root")).alias("r"))).alias("m"))
+    hot = hot.join(sized(shared.checkpoint(main.select("k", "m.held", (-F.col("m.r")).alias("main")))), "k")
+    hot = hot.withColumn("few", F.ceil((F.col("c") - F.col("held")) / BLOCK).cast("int")).withColumn("many", F.ceil(F.col("held") / BLOCK).cast("int"))
+    inner, h = F.col("root") == F.col("main"), F.xxhash64("node")
+    hot = hot.withColumn("at", F.when(inner, F.col("few") + F.pmod(h, "many")).otherwise(F.pmod(h, "few")).cast("int"))
+    hot = hot.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
     dealt = hot.select("k", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "node", "root")
     blocks = dealt.join(_sets(texts, prints, hot.select("node"), size), "node").groupBy("k", "i", "j").applyInArrow(_block, "a long, b long")
     return shared.connected_components(edges.union(shared.materialise(blocks, "block-pairs")))
