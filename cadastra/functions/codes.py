@@ -57,10 +57,12 @@ def correspondence_key(map_uuid: Column, geocode: Column, year: Column) -> Colum
 
 
 def ea_display_name(name: Column, code: Column) -> Column:
-    """``EA`` and the name, or else the last six (or three) digits of the code."""
-    tail = F.when(F.length(code) >= 6, F.substring(code, -6, 6)).otherwise(F.substring(code, -3, 3))
-    shown = F.coalesce(F.when(F.trim(name) != "", F.trim(name)), tail)
-    return F.when(F.upper(shown).startswith("EA "), shown).otherwise(F.concat(F.lit("EA "), shown))
+    """``EA`` and the name; without one the code's last six digits, or three, or all of
+    it, whichever are digits first; without a code 'EA Unknown'."""
+    plain = F.regexp_replace(F.trim(name.cast("string")), r"\.0$", "")
+    named = F.when(F.upper(plain).startswith("EA "), plain).otherwise(F.concat(F.lit("EA "), plain))
+    tail = F.when(F.substring(code, -6, 6).rlike(r"^\d{6}$"), F.substring(code, -6, 6)).when(F.substring(code, -3, 3).rlike(r"^\d{3}$"), F.substring(code, -3, 3)).otherwise(code)
+    return F.when(plain != "", named).when(code != "", F.concat(F.lit("EA "), tail)).otherwise("EA Unknown")
 
 
 def compose_ea_code(mother: Column, sequence: Column) -> Column:
@@ -93,7 +95,7 @@ RESERVED = r"(?:COM[0-9]|CON|LPT[0-9]|NUL|PRN|AUX|com[0-9]|con|lpt[0-9]|nul|prn|
 
 
 def is_valid_filename(c: Column) -> Column:
-    return ~c.rlike(r'[<>:"/\\?*|]') & ~c.rlike(rf"^{RESERVED}(\..*)?$") & (F.length(c) <= 254) & (F.length(c) > 0) & ~c.rlike(r"[\s.]$")
+    return ~c.rlike(r'[<>:"/\\?*|]') & ~c.rlike(rf"^{RESERVED}$") & (F.length(c) <= 254) & (F.length(c) > 0) & ~c.rlike(r"[\s.]$")
 
 
 def is_valid_path(c: Column) -> Column:
@@ -117,25 +119,22 @@ def bump(version: Column, part: str) -> Column:
 
 
 def clean_change_line(c: Column) -> Column:
-    """A change note without bullets, links, authors and commit prefixes."""
-    out = F.regexp_replace(c, r"^\s*[-*•]\s*", "")
-    out = F.regexp_replace(out, r"https?://\S+", "")
-    out = F.regexp_replace(out, r"\s+by\s+@[\w-]+", "")
-    out = F.regexp_replace(out, r"^(?:feat|fix|chore|docs|refactor|style|test|perf)(?:\([^)]*\))?!?:\s*", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """A change note without its bullet, author, link, last ellipsis and commit prefix."""
+    out = F.regexp_replace(F.trim(c), r"^\*\s+", "")
+    out = F.regexp_replace(out, r"\s+by @[\w-]+ in https?://\S+", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"\s+in https?://\S+", ""), "…$", "")
+    return F.trim(F.regexp_replace(out, r"(?i)^(?:feat|fix|refactor|perf|docs|style|test|chore|build)(?:\([^)]*\))?[!:]?\s*", ""))
 
 
 def is_noise_line(c: Column) -> Column:
-    return (F.length(c) < 5) | F.lower(c).rlike(r"^(?:merge (?:branch|pull request)|wip|bump version|update readme)")
+    """Notes of under five characters, merges, branch names, releases and housekeeping."""
+    return c.isNull() | (F.length(c) < 5) | c.rlike(r"(?i)^(?:merge\s|(?:bugfix|feature|hotfix)/|release v\d+|update changelog|(?:chore|ci|bump|wip)\s*[:(])")
 
 
 def change_category(c: Column) -> Column:
-    word = F.lower(F.regexp_extract(c, r"^\s*(\w+)", 1))
-    return (
-        F.when(word.isin("fixed", "fix", "fixes", "resolved", "resolve", "corrected", "bug", "bugfix"), "fixes")
-        .when(word.isin("improved", "improve", "enhanced", "enhance", "updated", "update", "optimized", "refactored", "refined"), "improvements")
-        .otherwise("features")
-    )
+    """By how a note begins."""
+    text = F.trim(F.lower(c))
+    return F.when(text.rlike("^(?:fixed|resolved|bug)"), "fixes").when(text.rlike("^(?:improved|enhanced|optimized|updated|refactored)"), "improvements").otherwise("features")
 
 
 def try_number(c: Column, default: float | None = None) -> Column:

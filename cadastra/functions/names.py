@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import functools
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,17 +130,35 @@ def title_case_smart(c: Column, strict_capitals: bool = False) -> Column:
     return F.when((F.upper(c) == c) & c.rlike(r"\p{Lu}"), title_case(c)).otherwise(c)
 
 
-def close_match(keys: list[str], cutoff: float = 0.75):
-    """Pandas UDF: the key most alike by matching blocks (ratio ``cutoff`` or more), null
-    if none.  For the few distinct names that exact lookups leave; ``keys`` is bounded."""
+def _cut(length: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """Start and end of the i-th of k+1 parts of a text."""
+    return F.floor(length * i / (k + 1)).cast("int"), F.floor(length * (i + 1) / (k + 1)).cast("int")
+
+
+def edit_segments(text: Column, k: int) -> Column:
+    """A text's k+1 parts as ``struct(l, i, s)``: of two texts within k edits at least one
+    part of either is found in the other, at most k places away."""
+    length = F.length(text)
+
+    def part(i: Column) -> Column:
+        lo, hi = _cut(length, i, k)
+        return F.struct(length.alias("l"), i.alias("i"), F.substring(text, lo + 1, hi - lo).alias("s"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), part)
+
 
-    @functools.lru_cache(maxsize=100_000)
-    def best(name: str) -> str | None:
-        found = difflib.get_close_matches(name, keys, n=1, cutoff=cutoff)
-        return found[0] if found else None
+def edit_probes(text: Column, k: int) -> Column:
+    """Every ``struct(l, i, s)`` under which a text within k edits can be found: for each
+    length, part and place that k edits allow."""
+    length = F.length(text)
 
-    @F.pandas_udf("string")
-    def udf(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: best(n) if n else None)
+    def place(l: Column, i: Column) -> Column:
+        lo, hi = _cut(l, i, k)
+        shift = length - l
+        first = F.greatest(lo - F.floor((F.lit(k) - shift) / 2).cast("int"), F.lit(0))
+        last = F.least(lo + F.floor((F.lit(k) + shift) / 2).cast("int"), length - (hi - lo))
+        starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.struct(l.alias("l"), i.alias("i"), F.substring(text, at + 1, hi - lo).alias("s")))
 
-    return udf
+    lengths, parts = F.sequence(F.greatest(length - k, F.lit(0)), length + k), F.sequence(F.lit(0), F.lit(k))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda l: F.flatten(F.transform(parts, lambda i: place(l, i))))))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 # Labels and code lists of the survey forms.
 BUILDING_TYPES = {
-    "01": "Single house", "02": "Duplex", "03": "Apartment/accessoria/rowhouse", "04": "Condominium/condotel", "05": "Other multi-unit residential", "06": "Commercial/industrial/agricultural",
-    "07": "Institutional living quarter", "08": "Homeless", "09": "Relocated", "10": "Demolished", "11": "Not a building", "12": "Others",
+    "01": "01_Single House", "02": "02_Duplex", "03": "03_Apartment/Accessoria/Rowhouse", "04": "04_Condominium/Condotel",
+    "05": "05_Other Multi-Unit Residential Building", "06": "06_Commercial/Industrial/Agricultural", "07": "07_Institutional Living Quarter",
+    "08": "08_None (Homeless)", "09": "09_Temporary Evacuation Centers/Relocation Area",
+    "10": "10_Demolished/Destroyed, Dilapidated, and Out-of-scope", "11": "11_Purely Commercial/Industrial/Agricultural Building", "99": "99_Other Type of Building",
 }
-ROAD_CLASSES = {2001: "Expressway", 2002: "National road", 2003: "Provincial road", 2004: "City/municipal road", 2005: "Barangay road", 2010: "Other road"}
-REQUIRED = ("region", "province", "city_mun", "barangay", "longitude", "latitude", "map_uuid", "bsn_geoid", "ean", "bsn", "ea_geocode", "uplocation", "bldg_type", "datecreate")
+ROAD_CLASSES = {2001: "Provincial/National Road", 2002: "Municipal Road", 2003: "Barangay Road", 2004: "Alley", 2005: "Proposed Road", 2010: "Trail"}
+REQUIRED = ("region", "province", "city_mun", "barangay", "longitude", "latitude", "map_uuid", "bsn_geoid", "ean", "bsn", "ea_geocode", "bldg_type", "up_feature", "date")
 LENGTHS = {"ean": 6, "bsn": 5, "bsn_geoid": 19, "ea_geocode": 14}
 
 
@@ -39,7 +41,7 @@ def building_labels(bsn: Column, bldg_type: Column) -> Column:
     """Every label whose rule holds; rules may overlap."""
     n = bsn.try_cast("int")
     rules = (
-        ("Existing", (n > 0) & (n < 40000)), ("Homeless", (n >= 60000) & (n < 70000)), ("New", (n >= 70000) & (n < 80000)),
+        ("Existing", (n > 0) & (n < 40000)), ("Homeless", (n > 60000) & (n < 70000)), ("New", (n > 70000) & (n < 80000)),
         ("Relocation", n == 55555), ("Demolished", bsn == "00000"), ("ILQ", bldg_type == "07"),
     )
     return F.array_compact(F.array(*[F.when(rule, label) for label, rule in rules]))
@@ -54,8 +56,8 @@ def form_violations(columns: dict[str, Column], layer_name: Column) -> Column:
 
 
 def needs_check(columns: dict[str, Column]) -> Column:
-    """A required value is missing or a code has the wrong length."""
-    out = F.lit(False)
+    """A required value is missing, a code has the wrong length or ``up_feature`` is 0."""
+    out = F.coalesce(columns["up_feature"].cast("string") == "0", F.lit(False)) if "up_feature" in columns else F.lit(False)
     for name in REQUIRED:
         if name in columns:
             out = out | columns[name].isNull()
@@ -84,3 +86,30 @@ def building_population(c: Column, missing: float = 1.0) -> Column:
     """Households of a building; missing, blank, not positive and not numeric count as ``missing``."""
     n = c.cast("string").try_cast("double")
     return F.when(n.isNotNull() & ~F.isnan(n) & (n > 0), n).otherwise(F.lit(missing))
+
+
+def prevention_reasons(supported: Column, valid: Column, localized: Column, remote_raster: Column) -> Column:
+    """Why a layer cannot be packaged, an array: an unsupported source, and of an invalid
+    layer whether its shared data are missing, its remote raster is out of reach or
+    it is invalid as such."""
+    broken = F.when(~valid & localized, "localized_path").when(~valid & remote_raster, "invalid_remote_raster_layer").when(~valid, "invalid")
+    return F.array_compact(F.array(F.when(~supported, "unsupported_datasource"), broken))
+
+
+# What a package leaves out, by name or by path from its root.
+PACKAGE_EXCLUSIONS = (
+    ".git", ".git/*", ".github", ".github/*", ".agents", ".agents/*", ".antigravity*", "docs", "docs/*", "scripts", "scripts/*", "node_modules", "node_modules/*",
+    "__pycache__", "__pycache__/*", "*.pyc", "*.zip", "package.json", "package-lock.json", "pnpm-lock.yaml", "tsconfig*.json", ".gitignore", "README.md",
+)
+
+
+def glob_pattern(glob: str) -> str:
+    """Java regular expression of a file-name glob: ``*`` and ``?`` match any characters,
+    a slash too."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() or c in "/_" else "\\" + c) for c in glob) + "$"
+
+
+def is_excluded(name: Column, path: Column) -> Column:
+    """Whether a file's name or path matches an exclusion."""
+    every = "|".join(f"(?:{glob_pattern(g)})" for g in PACKAGE_EXCLUSIONS)
+    return name.rlike(every) | path.rlike(every)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,38 +51,97 @@ def join_all(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "left")
 
 
-def matched_by_length(left: DataFrame, right: DataFrame, a: str, b: str, k: int) -> DataFrame:
-    """Candidate pairs for an edit distance of at most ``k``: lengths within ``k``, as an
-    equi-join; each left row looks for 2k+1 lengths.  Adds the names' forms ``_a, _b``."""
-    x = left.withColumn("_a", names.forms(F.col(a))).withColumn("_l", F.explode(F.sequence(F.length(a) - k, F.length(a) + k)))
-    return x.join(right.withColumn("_b", names.forms(F.col(b))).withColumn("_l", F.length(b)), "_l").drop("_l")
+def edit_candidates(left: DataFrame, right: DataFrame, k: int, forms: Sequence[str] = ("plain", "arabic", "roman")) -> DataFrame:
+    """Pairs ``(_x, _y)`` of different names ``left(_x, _a)`` and ``right(_y, _b)`` that may
+    be within ``k`` edits in one of the forms, or in their bases where their numbers are
+    equal.  An equi-join on the parts of one name that must occur in the other, for
+    each form: no pair within ``k`` edits is missed, whatever numerals do to lengths."""
+    out = None
+    for form in [*forms, "base"]:
+        on = [F.col(f"_n{t}") for t in "ab"] if form == "base" else []
+        x = left.select("_x", F.col("_a.number").alias("_na"), F.explode(names.edit_probes(F.col(f"_a.{form}"), k)).alias("p"))
+        y = right.select("_y", F.col("_b.number").alias("_nb"), F.explode(names.edit_segments(F.col(f"_b.{form}"), k)).alias("q"))
+        same = (F.col("p.l") == F.col("q.l")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.s") == F.col("q.s"))
+        met = x.join(y, same & (on[0] == on[1]) if on else same).select("_x", "_y")
+        out = met if out is None else out.union(met)
+    return out.distinct()
+
+
+def _with_forms(src: DataFrame, refs: DataFrame, src_name: str, ref_name: str, k: int, forms: Sequence[str]) -> DataFrame:
+    """Candidate pairs of rows with their names' forms ``_a, _b``, which are computed once
+    per different name."""
+    left = src.select(F.col(src_name).alias("_x")).distinct().select("_x", names.forms(F.col("_x")).alias("_a"))
+    right = refs.select(F.col(ref_name).alias("_y")).distinct().select("_y", names.forms(F.col("_y")).alias("_b"))
+    pairs = edit_candidates(left, right, k, forms).join(left, "_x").join(right, "_y")
+    return pairs.join(src, F.col("_x") == F.col(src_name)).join(refs, F.col("_y") == F.col(ref_name))
 
 
 def fuzzy_all(src: DataFrame, refs: DataFrame, src_name: str, ref_name: str, k: int) -> DataFrame:
-    """All references whose best-of-three distance is at most ``k``.  Numerals change
-    lengths by up to six letters, so candidates may differ by that much more."""
-    pairs = matched_by_length(src, refs, src_name, ref_name, k + 6)
-    scored = pairs.withColumn("_d", names.distance_three(F.col("_a"), F.col("_b"), k))
-    return scored.where(F.col("_d.distance") <= k).withColumn("distance", F.col("_d.distance")).withColumn("method", F.col("_d.method")).drop("_d", "_a", "_b")
+    """All references whose best-of-three distance is at most ``k``."""
+    scored = _with_forms(src, refs, src_name, ref_name, k, ("plain", "arabic", "roman")).withColumn("_d", names.distance_three(F.col("_a"), F.col("_b"), k))
+    return scored.where(F.col("_d.distance") <= k).withColumn("distance", F.col("_d.distance")).withColumn("method", F.col("_d.method")).drop("_d", "_a", "_b", "_x", "_y")
 
 
 def fuzzy_roman(src: DataFrame, refs: DataFrame, src_key: str, src_name: str, ref_name: str, ref_order: str, k: int) -> DataFrame:
     """The nearest reference by the numeral-aware distance; ties: reference order."""
-    pairs = matched_by_length(src, refs, src_name, ref_name, k + 6).withColumn("distance", names.distance_roman(F.col("_a"), F.col("_b"), k)).where("distance IS NOT NULL")
+    pairs = _with_forms(src, refs, src_name, ref_name, k, ("arabic",)).withColumn("distance", names.distance_roman(F.col("_a"), F.col("_b"), k)).where("distance IS NOT NULL")
     best = pairs.groupBy(src_key).agg(F.min(F.struct("distance", ref_order, ref_name)).alias("m"))
     return best.select(src_key, F.col("m.distance").alias("distance"), F.col(f"m.{ref_order}").alias(ref_order), F.col(f"m.{ref_name}").alias(ref_name))
 
 
-def cascade_lookup(src: DataFrame, refs: DataFrame, name: str, ref_name: str, ref_code: str, ref_order: str) -> DataFrame:
-    """Exact, then normalised lookup; of references with one key the last wins."""
+#: Keys that one pass of ``close_matches`` compares each name with.
+CLOSE_BLOCK = 20_000
+
+
+def close_matches(src: DataFrame, keys: DataFrame, name: str, key: str, cutoff: float = 0.75) -> DataFrame:
+    """``(name, match, ratio)``: the key most alike by matching blocks, of a ratio of
+    ``cutoff`` or more; ties: the last in order.
+
+    For the different names that exact lookups leave.  They are compared with blocks of
+    ``CLOSE_BLOCK`` keys, one broadcast block after the other; the best of each block
+    meet in a grouped maximum."""
+    names_, keys_ = src.select(F.col(name).alias("name")).where("name <> ''").distinct(), keys.select(F.col(key).alias("k")).where("k <> ''").distinct()
+    blocks, out = max(1, -(-keys_.count() // CLOSE_BLOCK)), None
+    for i in range(blocks):
+        part = keys_.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i)
+        held = src.sparkSession.sparkContext.broadcast(sorted(r[0] for r in part.collect()))  # one block
+        found = names_.mapInPandas(_closest(held, cutoff), "name string, match string, ratio double")
+        out = found if out is None else out.union(found)
+    return out.groupBy("name").agg(F.max(F.struct("ratio", "match")).alias("m")).select("name", "m.match", "m.ratio")
+
+
+def _closest(held, cutoff: float):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name in pdf["name"]:
+                for match in difflib.get_close_matches(name, held.value, n=1, cutoff=cutoff):
+                    rows.append((name, match, difflib.SequenceMatcher(None, match, name).ratio()))
+            yield pd.DataFrame(rows, columns=["name", "match", "ratio"])
+
+    return run
+
+
+def cascade_lookup(src: DataFrame, refs: DataFrame, name: str, ref_name: str, ref_code: str, ref_order: str, cutoff: float | None = None) -> DataFrame:
+    """Exact, then normalised lookup; of references with one key the last wins.  With
+    ``cutoff`` what is left takes the normalised reference most alike (``close_matches``)."""
     def table(key: Column, out: str) -> DataFrame:
         return refs.select(key.alias(f"_{out}"), F.col(ref_code), F.col(ref_order)).where(F.col(f"_{out}") != "").groupBy(f"_{out}").agg(F.max_by(ref_code, ref_order).alias(out))
 
     exact, normal = table(F.lower(F.trim(ref_name)), "c_exact"), table(names.normalize_barangay(F.col(ref_name)), "c_norm")
     keyed = src.withColumn("_c_exact", F.lower(F.trim(name))).withColumn("_c_norm", names.normalize_barangay(F.col(name)))
     out = keyed.join(exact, "_c_exact", "left").join(normal, "_c_norm", "left")
-    status = F.when(F.col("c_exact").isNotNull(), "EXACT").when(F.col("c_norm").isNotNull(), "NORMALIZED").otherwise("UNMATCHED")
-    return out.withColumn("code", F.coalesce("c_exact", "c_norm")).withColumn("status", status).drop("_c_exact", "_c_norm", "c_exact", "c_norm")
+    found = [("EXACT", "c_exact"), ("NORMALIZED", "c_norm")]
+    if cutoff is not None:
+        left = out.where("c_exact IS NULL AND c_norm IS NULL")
+        close = close_matches(left, normal, "_c_norm", "_c_norm", cutoff).join(normal.toDF("match", "c_close"), "match").select(F.col("name").alias("_c_norm"), "c_close")
+        out = out.join(close, "_c_norm", "left")
+        found.append(("CLOSE", "c_close"))
+    status = F.lit("UNMATCHED")
+    for said, column in reversed(found):
+        status = F.when(F.col(column).isNotNull(), said).otherwise(status)
+    columns = [c for _, c in found]
+    return out.withColumn("code", F.coalesce(*columns)).withColumn("status", status).drop("_c_exact", "_c_norm", *columns)
 
 
 def anti_unmatched(src: DataFrame, matched: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

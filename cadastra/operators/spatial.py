@@ -105,11 +105,13 @@ def semi_location(left: DataFrame, right: DataFrame, size: float, key: str) -> D
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where there is none, as in local tests."""
+    """Checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``; only
+    a local master, as in tests, gets a temporary one where there is none."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cadastra-checkpoint-"))
     return df.checkpoint()
 
@@ -163,3 +165,17 @@ def strips(areas: DataFrame, count: Column) -> DataFrame:
 def first_per(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in a given order."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def numbered(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """Rows with running numbers after ``start`` in the order of a column: ranges are
+    numbered each by itself, from the sum of the ranges before them."""
+    placed = cut_lineage(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted(map(tuple, placed.groupBy("_p").count().collect()))  # a row per partition
+    before, at = [], start
+    for p, n in sizes:
+        before.append((p, at))
+        at += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_p int, _o long"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return placed.join(offsets, "_p").withColumn(name, F.col("_o") + within).drop("_p", "_o")

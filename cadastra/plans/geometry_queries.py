@@ -111,7 +111,9 @@ def e12(spark, sf):
     return enumeration.delineate(eas, buildings).select("parent", "ea_id", "new_ea", "hh", "bldg_count", "split_by", "sink")
 
 
-@query("E01_inject_special")
+@query("E01_inject_special", f"""{duck('areas', 'eas')}, i AS (SELECT a.id*10000000 + b.id AS issue, greatest(a.x0,b.x0) AS x0, greatest(a.y0,b.y0) AS y0, least(a.x1,b.x1) AS x1, least(a.y1,b.y1) AS y1 FROM areas a JOIN areas b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+ o AS (SELECT issue, ea_id, parent, ean, (least(i.x1,e.x1)-greatest(i.x0,e.x0))*(least(i.y1,e.y1)-greatest(i.y0,e.y0)) AS area FROM i JOIN eas e ON i.x0 < e.x1 AND e.x0 < i.x1 AND i.y0 < e.y1 AND e.y0 < i.y1 QUALIFY row_number() OVER (PARTITION BY issue ORDER BY area DESC, ea_id) = 1)
+ SELECT parent, (SELECT max(ea_id) FROM eas) + row_number() OVER (ORDER BY issue) AS fid, issue, ea_id AS source_id, ean, area FROM o""")
 def e01(spark, sf):
     """Overlaps of areas as special areas of the parent that they overlap most, with the
     attributes of the area there that they overlap most and new numbers."""
@@ -120,7 +122,5 @@ def e01(spark, sf):
     eas = load(spark, sf, "eas").select("ea_id", "parent", "ean", *spatial.BOX)
     best = spatial.best_overlap(issues, eas.select("ea_id", *spatial.BOX), CELL, "issue", "ea_id")
     top = eas.agg(F.coalesce(F.max("ea_id"), F.lit(0))).first()[0]  # one number
-    from pyspark.sql import Window
-
-    special = best.join(eas.select("ea_id", "parent", "ean"), "ea_id").withColumn("fid", F.lit(top) + F.row_number().over(Window.partitionBy("parent").orderBy("issue")))
+    special = spatial.numbered(best.join(eas.select("ea_id", "parent", "ean"), "ea_id"), "issue", "fid", top)
     return special.select("parent", "fid", "issue", F.col("ea_id").alias("source_id"), "ean", geo.floor_round(F.col("area"), 6).alias("area"))

@@ -121,6 +121,12 @@ def j13(spark, sf):
     return rel.cascade_lookup(load(spark, sf, "names").select("id", "name"), refs, "name", "p_name", "p_partkey", "o").select("id", "code", "status")
 
 
+@query("J13_cascade_close")
+def j13_close(spark, sf):
+    refs = load(spark, sf, "part").select("p_name", "p_partkey", F.col("p_partkey").alias("o"))
+    return rel.cascade_lookup(load(spark, sf, "names").select("id", "name"), refs, "name", "p_name", "p_partkey", "o", cutoff=0.75).select("id", "code", "status")
+
+
 @query("J14_control_points", f"{duck('names', 'reference_names')} SELECT n.id, ref_order FROM names n JOIN (SELECT lower(trim(ref_name)) AS k, min(ref_order) AS ref_order FROM reference_names GROUP BY 1) r ON lower(trim(n.clean)) = k")
 def j14(spark, sf):
     refs = load(spark, sf, "reference_names").groupBy(F.lower(F.trim("ref_name")).alias("k")).agg(F.min("ref_order").alias("ref_order"))
@@ -175,11 +181,11 @@ def p17(spark, sf):
     return met.groupBy(F.col("a.ea_id").alias("ea_id")).agg(F.count("*").alias("n"))
 
 
-@query("A01_involved_areas", f"""{A} SELECT city_mun AS gmd_uuid, min(geocode) AS geocode, string_agg(geocode, ',' ORDER BY geocode) AS involved_areas, string_agg(barangay || ', ' || city_mun, ';' ORDER BY geocode) AS involved_bgys, count(*) AS count_involved_areas,
+@query("A01_involved_areas", f"""{A} SELECT city_mun AS issue_uuid, min(geocode) AS geocode, string_agg(geocode, ',' ORDER BY geocode) AS involved_areas, string_agg(barangay || ', ' || city_mun, ';' ORDER BY geocode) AS involved_bgys, count(*) AS count_involved_areas,
  count(DISTINCT region) AS n_region, count(DISTINCT province) AS n_province, count(DISTINCT city_mun) AS n_city_mun, count(DISTINCT barangay) AS n_barangay FROM areas GROUP BY city_mun""")
 def a01(spark, sf):
-    df = load(spark, sf, "areas").withColumn("gmd_uuid", F.col("city_mun"))
-    return rel.involved_areas(df, "gmd_uuid").select("gmd_uuid", "geocode", "involved_areas", "involved_bgys", "count_involved_areas", "n_region", "n_province", "n_city_mun", "n_barangay")
+    df = load(spark, sf, "areas").withColumn("issue_uuid", F.col("city_mun"))
+    return rel.involved_areas(df, "issue_uuid").select("issue_uuid", "geocode", "involved_areas", "involved_bgys", "count_involved_areas", "n_region", "n_province", "n_city_mun", "n_barangay")
 
 
 @query("A02_count_involved", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem")
@@ -363,21 +369,21 @@ def w05(spark, sf):
     return spatial.first_per(load(spark, sf, "eas"), ["parent"], [F.col("hhcount").desc(), F.col("ea_id")]).select("parent", "ea_id")
 
 
-_CAND = "SELECT l_orderkey AS k, l_partkey AS ref, CAST(l_quantity AS BIGINT) AS d FROM lineitem"
+_CAND = "SELECT l_orderkey // 4 AS k, l_partkey AS ref, CAST(l_quantity AS BIGINT) AS d FROM lineitem"
 
 
 @query("W06_best_and_ties", f"SELECT k, min(d) AS best, CASE WHEN count(*) FILTER (d = m) > 1 THEN 'MULTIPLE_MATCHES' ELSE 'MATCH' END AS status FROM (SELECT *, min(d) OVER (PARTITION BY k) AS m FROM ({_CAND})) GROUP BY k")
 def w06(spark, sf):
-    df = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").cast("long").alias("d"))
+    df = load(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("k"), F.col("l_quantity").cast("long").alias("d"))
     best = df.groupBy("k", "d").agg(F.count("*").alias("n")).groupBy("k").agg(F.min(F.struct("d", "n")).alias("b"))
     return best.select("k", F.col("b.d").alias("best"), F.when(F.col("b.n") > 1, "MULTIPLE_MATCHES").otherwise("MATCH").alias("status"))
 
 
-@query("W07_top_candidates", f"SELECT k, string_agg(label, ', ' ORDER BY d, ref, label) AS all_candidates FROM (SELECT *, ref || ' (dist=' || d || ')' AS label FROM ({_CAND}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, ref) <= 3) GROUP BY k")
+@query("W07_top_candidates", f"SELECT k, string_agg(label, ', ' ORDER BY d, ref, label) AS all_candidates FROM (SELECT *, ref || ' (dist=' || d || ')' AS label FROM ({_CAND}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, ref) <= 10) GROUP BY k")
 def w07(spark, sf):
-    df = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("ref"), F.col("l_quantity").cast("long").alias("d"))
+    df = load(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("k"), F.col("l_partkey").alias("ref"), F.col("l_quantity").cast("long").alias("d"))
     label = F.concat(F.col("ref").cast("string"), F.lit(" (dist="), F.col("d").cast("string"), F.lit(")"))
-    return rel.top_candidates(df, "k", label, ["d", "ref"], 3)
+    return rel.top_candidates(df, "k", label, ["d", "ref"])
 
 
 @query("W08_role_autodetect", "WITH l AS (SELECT lower(replace(p_name, ' ', '_')) AS name FROM part), r AS (SELECT unnest(['_bolt', '_gear', '_ring', '_plate']) AS suffix) SELECT suffix, min(name) AS layer FROM l JOIN r ON suffix(name, suffix) GROUP BY suffix")
@@ -556,10 +562,10 @@ def r04(spark, sf):
 _ACTION = "CASE WHEN o_orderkey % 6 = 0 THEN 'remove' WHEN o_orderpriority = '1-URGENT' THEN 'offline' WHEN o_orderpriority = '2-HIGH' THEN 'copy' WHEN o_orderpriority = '3-MEDIUM' THEN 'no_action' ELSE 'keep_existent' END"
 
 
-@query("R05_prevention_reason", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'invalid' WHEN o_orderkey % 10 = 1 THEN 'unsupported_source' WHEN o_orderkey % 15 = 2 THEN 'no_primary_key' WHEN o_orderkey % 21 = 4 THEN 'localized_path' END AS reason FROM orders")
+@query("R05_prevention_reason", """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 10 = 1 THEN 'unsupported_datasource' END, CASE WHEN o_orderkey % 6 > 1 THEN NULL WHEN o_orderkey % 15 < 5 THEN 'localized_path' WHEN o_orderkey % 21 < 7 THEN 'invalid_remote_raster_layer' ELSE 'invalid' END) AS reasons FROM orders""")
 def r05(spark, sf):
     k = F.col("o_orderkey")
-    return load(spark, sf, "orders").select("o_orderkey", F.when(k % 6 == 0, "invalid").when(k % 10 == 1, "unsupported_source").when(k % 15 == 2, "no_primary_key").when(k % 21 == 4, "localized_path").alias("reason"))
+    return load(spark, sf, "orders").select("o_orderkey", F.array_join(rules.prevention_reasons(k % 10 != 1, k % 6 > 1, k % 15 < 5, k % 21 < 7), ",").alias("reasons"))
 
 
 def _action():
@@ -598,25 +604,20 @@ def r10(spark, sf):
     return found.join(part.where("p_size > 48").select(F.concat("p_name", F.lit(".gpkg")).alias("path")), "path", "left_anti")
 
 
-@query("R11_forbidden_paths", "SELECT p_partkey FROM part WHERE p_partkey % 6 NOT IN (0, 5)")
+@query("R11_forbidden_paths", "SELECT p_partkey FROM part WHERE p_partkey % 6 NOT IN (0, 4, 5)")
 def r11(spark, sf):
     from .scalar_queries import _FILE
 
     return load(spark, sf, "part").where(~codes.is_valid_path(F.expr(_FILE))).select("p_partkey")
 
 
-_GLOBS = ("*.gear", "old*", "*/small_*", "red?bolt")
+_PATHS = (".git/config", "a/.gitignore", "docs/x.md", "src/docs.md", "a/b.pyc", "tsconfig.base.json", "a/package.json", "my-package.json", "__pycache__/x", "a/__pycache__/x.txt", ".antigravity2/y", "README.md", "README.txt", "scripts/run.py")
 
 
-@query("R12_exclusion_globs", "SELECT p_partkey FROM part WHERE p_name LIKE '% gear' OR p_name LIKE 'old%' OR p_name LIKE 'red_bolt'")
+@query("R12_exclusion_globs", "SELECT p_partkey FROM part WHERE p_partkey % 14 IN (0, 1, 2, 4, 5, 6, 8, 10, 11, 13)")
 def r12(spark, sf):
-    import fnmatch
-
-    name = F.when(F.endswith("p_name", F.lit(" gear")), F.replace("p_name", F.lit(" "), F.lit("."))).otherwise(F.col("p_name"))
-    hit = F.lit(False)
-    for g in _GLOBS:
-        hit = hit | name.rlike(f"^{fnmatch.translate(g).replace('(?s:', '(?:').replace(')\\Z', ')').replace('\\z', '')}$")
-    return load(spark, sf, "part").where(hit).select("p_partkey")
+    path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % 14 + 1).cast("int"))
+    return load(spark, sf, "part").where(rules.is_excluded(F.substring_index(path, "/", -1), path)).select("p_partkey")
 
 
 @query("overlap_report", f"""{AB}, o AS (SELECT a.id AS id1, b.id AS id2, greatest(a.x0,b.x0) AS x0, greatest(a.y0,b.y0) AS y0, least(a.x1,b.x1) AS x1, least(a.y1,b.y1) AS y1, a.geocode AS g1, b.geocode AS g2,

@@ -146,8 +146,8 @@ def p11(spark, sf):
     return rel.text_search(load(spark, sf, "areas"), ["barangay", "city_mun", "geocode"], " 12 ").select("id")
 
 
-@query("P12_rule_classify", f"""{S} SELECT fid, concat_ws(',', CASE WHEN CAST(bsn AS INT) > 0 AND CAST(bsn AS INT) < 40000 THEN 'Existing' END, CASE WHEN CAST(bsn AS INT) >= 60000 AND CAST(bsn AS INT) < 70000 THEN 'Homeless' END,
- CASE WHEN CAST(bsn AS INT) >= 70000 AND CAST(bsn AS INT) < 80000 THEN 'New' END, CASE WHEN CAST(bsn AS INT) = 55555 THEN 'Relocation' END, CASE WHEN bsn = '00000' THEN 'Demolished' END, CASE WHEN bldg_type = '07' THEN 'ILQ' END) AS labels FROM survey""")
+@query("P12_rule_classify", f"""{S} SELECT fid, concat_ws(',', CASE WHEN CAST(bsn AS INT) > 0 AND CAST(bsn AS INT) < 40000 THEN 'Existing' END, CASE WHEN CAST(bsn AS INT) > 60000 AND CAST(bsn AS INT) < 70000 THEN 'Homeless' END,
+ CASE WHEN CAST(bsn AS INT) > 70000 AND CAST(bsn AS INT) < 80000 THEN 'New' END, CASE WHEN CAST(bsn AS INT) = 55555 THEN 'Relocation' END, CASE WHEN bsn = '00000' THEN 'Demolished' END, CASE WHEN bldg_type = '07' THEN 'ILQ' END) AS labels FROM survey""")
 def p12(spark, sf):
     return load(spark, sf, "survey").select("fid", F.array_join(rules.building_labels(F.col("bsn"), F.col("bldg_type")), ",").alias("labels"))
 
@@ -159,14 +159,15 @@ def p13(spark, sf):
     return df.select("fid", F.array_join(rules.form_violations({c: F.col(c) for c in df.columns}, F.lit("00000000000123_bldgpts")), ",").alias("broken"))
 
 
-@query("P14_check_input", f"""{S} SELECT fid FROM survey WHERE longitude IS NULL OR latitude IS NULL OR map_uuid IS NULL OR bsn_geoid IS NULL OR ean IS NULL OR bsn IS NULL OR ea_geocode IS NULL OR bldg_type IS NULL OR datecreate IS NULL
+@query("P14_check_input", f"""{S} SELECT fid FROM survey WHERE longitude IS NULL OR latitude IS NULL OR map_uuid IS NULL OR bsn_geoid IS NULL OR ean IS NULL OR bsn IS NULL OR ea_geocode IS NULL OR bldg_type IS NULL OR fid % 11 = 5 OR fid % 11 = 0
  OR length(ean) <> 6 OR length(bsn) <> 5 OR length(bsn_geoid) <> 19 OR length(ea_geocode) <> 14""")
 def p14(spark, sf):
     df = load(spark, sf, "survey")
-    return df.where(rules.needs_check({c: F.col(c) for c in df.columns})).select("fid")
+    features = F.when(F.col("fid") % 11 != 5, (F.col("fid") % 11).cast("string"))
+    return df.where(rules.needs_check({c: F.col(c) for c in df.columns} | {"up_feature": features, "date": F.col("datecreate")})).select("fid")
 
 
-@query("P15_road_class", "SELECT o_orderkey, CASE 2001 + o_orderkey % 12 WHEN 2001 THEN 'Expressway' WHEN 2002 THEN 'National road' WHEN 2003 THEN 'Provincial road' WHEN 2004 THEN 'City/municipal road' WHEN 2005 THEN 'Barangay road' WHEN 2010 THEN 'Other road' END AS road_class FROM orders")
+@query("P15_road_class", "SELECT o_orderkey, CASE 2001 + o_orderkey % 12 WHEN 2001 THEN 'Provincial/National Road' WHEN 2002 THEN 'Municipal Road' WHEN 2003 THEN 'Barangay Road' WHEN 2004 THEN 'Alley' WHEN 2005 THEN 'Proposed Road' WHEN 2010 THEN 'Trail' END AS road_class FROM orders")
 def p15(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", rules.decode((F.lit(2001) + F.col("o_orderkey") % 12).cast("int"), rules.ROAD_CLASSES).alias("road_class"))
 
@@ -214,9 +215,9 @@ def f09(spark, sf):
 
 @query("F10_close_match")
 def f10(spark, sf):
-    keys = [r[0] for r in load(spark, sf, "reference_names").select("ref_name").distinct().orderBy("ref_name").collect()]
-    left = load(spark, sf, "names").select(names.normalize_name(F.col("name")).alias("name")).distinct()
-    return left.select("name", names.close_match(keys)(F.col("name")).alias("match"))
+    left = load(spark, sf, "names").select(names.normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct()
+    found = rel.close_matches(left, load(spark, sf, "reference_names"), "name", "ref_name")
+    return left.join(found.select("name", "match"), "name", "left")
 
 
 @query("F11_clean_geocode", "SELECT c_custkey, lpad(regexp_replace(regexp_replace(trim(CAST(c_custkey AS VARCHAR) || '.0'), '\\.0$', ''), '\\D', '', 'g'), 9, '0') AS v FROM customer")
@@ -283,9 +284,12 @@ def f21(spark, sf):
     return load(spark, sf, "events").select("event_id", F.date_format("ts", "MM.dd.yyyy - hh:mm:ss a").alias("stamp"))
 
 
-@query("F22_value_map", f"{S} SELECT fid, CASE bldg_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.BUILDING_TYPES.items()) + " END AS label FROM survey")
+@query("F22_value_map", f"""{S} SELECT fid, CASE CASE WHEN fid % 29 = 0 THEN '99' ELSE bldg_type END WHEN '01' THEN '01_Single House' WHEN '02' THEN '02_Duplex' WHEN '03' THEN '03_Apartment/Accessoria/Rowhouse' WHEN '04' THEN '04_Condominium/Condotel'
+ WHEN '05' THEN '05_Other Multi-Unit Residential Building' WHEN '06' THEN '06_Commercial/Industrial/Agricultural' WHEN '07' THEN '07_Institutional Living Quarter' WHEN '08' THEN '08_None (Homeless)' WHEN '09' THEN '09_Temporary Evacuation Centers/Relocation Area'
+ WHEN '10' THEN '10_Demolished/Destroyed, Dilapidated, and Out-of-scope' WHEN '11' THEN '11_Purely Commercial/Industrial/Agricultural Building' WHEN '99' THEN '99_Other Type of Building' END AS label FROM survey""")
 def f22(spark, sf):
-    return load(spark, sf, "survey").select("fid", rules.decode(F.col("bldg_type"), rules.BUILDING_TYPES).alias("label"))
+    kind = F.when(F.col("fid") % 29 == 0, "99").otherwise(F.col("bldg_type"))
+    return load(spark, sf, "survey").select("fid", rules.decode(kind, rules.BUILDING_TYPES).alias("label"))
 
 
 @query("F23_correspondence", f"{S} SELECT fid, coalesce(map_uuid, '') || ':' || ea_geocode || ':' || CAST(year(datecreate) AS VARCHAR) AS v FROM survey")
@@ -294,10 +298,13 @@ def f23(spark, sf):
     return load(spark, sf, "survey").select("fid", codes.correspondence_key(F.col("map_uuid"), F.col("ea_geocode"), year).alias("v"))
 
 
-@query("F24_ea_display_name", f"{E}, z AS (SELECT ea_id, coalesce(CASE WHEN ea_id % 3 = 0 AND trim(name) <> '' THEN trim(name) WHEN ea_id % 3 = 1 THEN 'EA 7' END, right(ean, 6)) AS s FROM eas) SELECT ea_id, CASE WHEN upper(s) LIKE 'EA %' THEN s ELSE 'EA ' || s END AS v FROM z")
+@query("F24_ea_display_name", f"""{E}, z AS (SELECT ea_id, CASE ea_id % 6 WHEN 0 THEN name WHEN 1 THEN 'EA 7' WHEN 2 THEN ' 12.0 ' END AS n, CASE ea_id % 6 WHEN 3 THEN ean WHEN 4 THEN 'AB' || substr(ean, 3, 1) || 'X' || substr(ean, 4, 3) END AS c FROM eas)
+ SELECT ea_id, CASE ea_id % 6 WHEN 0 THEN 'EA ' || trim(n) WHEN 1 THEN 'EA 7' WHEN 2 THEN 'EA 12' WHEN 3 THEN 'EA ' || c WHEN 4 THEN 'EA ' || right(c, 3) ELSE 'EA Unknown' END AS v FROM z""")
 def f24(spark, sf):
-    name = F.when(F.col("ea_id") % 3 == 0, F.col("name")).when(F.col("ea_id") % 3 == 1, "EA 7")
-    return load(spark, sf, "eas").select("ea_id", codes.ea_display_name(name, F.col("ean")).alias("v"))
+    kind = F.col("ea_id") % 6
+    name = F.when(kind == 0, F.col("name")).when(kind == 1, "EA 7").when(kind == 2, " 12.0 ")
+    code = F.when(kind == 3, F.col("ean")).when(kind == 4, F.concat(F.lit("AB"), F.substring("ean", 3, 1), F.lit("X"), F.substring("ean", 4, 3)))
+    return load(spark, sf, "eas").select("ea_id", codes.ea_display_name(name, code).alias("v"))
 
 
 @query("F25_layer_type_key", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '') ELSE regexp_replace(p_name, '^[^ ]* ', '') END AS v FROM part")
@@ -323,16 +330,18 @@ def f28(spark, sf):
     return df.select("p_partkey", codes.bump(F.col("s"), "minor").alias("bumped"), (F.col("s") > F.struct(F.lit(2).alias("major"), F.lit(7).alias("minor"), F.lit(3).alias("patch"))).alias("newer"))
 
 
-@query("F29_change_lines", "SELECT p_partkey, p_name || ' done' AS line, length(p_name || ' done') < 5 AS noise FROM part")
+@query("F29_change_lines", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN 'Merge branch ' || p_name WHEN 2 THEN 'Bugfix/' || p_name WHEN 3 THEN 'release v' || p_partkey WHEN 4 THEN 'Update changelog' WHEN 5 THEN 'ok' WHEN 6 THEN 'update readme' ELSE 'wip' END AS line,
+ p_partkey % 8 IN (1, 2, 3, 4, 5, 7) AS noise FROM part""")
 def f29(spark, sf):
-    line = F.concat(F.lit(" - fix(core): "), F.col("p_name"), F.lit("   done by @some-one https://host.example/pull/"), F.col("p_partkey").cast("string"))
+    kinds = ("concat('* fix(core): ', p_name, ' by @some-one in https://host.example/pull/', p_partkey)", "concat('Merge branch ', p_name, '…')", "concat('Bugfix/', p_name)", "concat('release v', p_partkey)", "'Update changelog'", "'* feat!ok'", "'docs: update readme in https://host.example/x'", "'chore:wip'")
+    line = F.expr("CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds)) + " END")
     df = load(spark, sf, "part").select("p_partkey", codes.clean_change_line(line).alias("line"))
     return df.select("p_partkey", "line", codes.is_noise_line(F.col("line")).alias("noise"))
 
 
-@query("F30_change_category", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'fixes' WHEN 1 THEN 'improvements' ELSE 'features' END AS category FROM part")
+@query("F30_change_category", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'fixes' WHEN 1 THEN 'improvements' WHEN 2 THEN 'features' WHEN 3 THEN 'features' WHEN 4 THEN 'fixes' ELSE 'features' END AS category FROM part")
 def f30(spark, sf):
-    verb = F.element_at(F.array(F.lit("Fixed"), F.lit("Improved"), F.lit("Added"), F.lit("New")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    verb = F.element_at(F.array(*map(F.lit, ("Fixed", "refactored", "Fix", "Improve", " Bugs in", "Corrected"))), (F.col("p_partkey") % 6 + 1).cast("int"))
     return load(spark, sf, "part").select("p_partkey", codes.change_category(F.concat_ws(" ", verb, F.col("p_name"))).alias("category"))
 
 
@@ -361,7 +370,7 @@ def f34(spark, sf):
 _FILE = "CASE p_partkey % 6 WHEN 0 THEN p_name || '.gpkg' WHEN 1 THEN 'CON' WHEN 2 THEN p_name || '?.csv' WHEN 3 THEN p_name || ' ' WHEN 4 THEN 'lpt1.txt' ELSE 'dir/' || p_name || '/x.qgz' END"
 
 
-@query("F35_valid_filename", f"SELECT p_partkey, p_partkey % 6 = 0 AS as_name, p_partkey % 6 IN (0, 5) AS as_path FROM part")
+@query("F35_valid_filename", "SELECT p_partkey, p_partkey % 6 IN (0, 4) AS as_name, p_partkey % 6 IN (0, 4, 5) AS as_path FROM part")
 def f35(spark, sf):
     df = load(spark, sf, "part").select("p_partkey", F.expr(_FILE).alias("f"))
     return df.select("p_partkey", codes.is_valid_filename(F.col("f")).alias("as_name"), codes.is_valid_path(F.col("f")).alias("as_path"))

@@ -59,6 +59,51 @@ def test_matchers(spark):
     assert tuple(one(names.distance_three, "Manawe", "Magaud")) == (3, "DIRECT")
 
 
+def test_matchers_lose_no_pair(spark):
+    """Numerals change lengths by more than the edits allowed; brute force over all pairs."""
+    import random
+
+    rng = random.Random(6)
+    left = ["lot xxxviii blk xxxviii", "xxxviii", "a", "", "san jose 2", "barurao ii", "pob", "manawe"]
+    right = ["lot 38 blk 38", "38", "b", "san josé ii", "san joze 02", "barurao 2", "pob 1", "magaud", "xx"]
+    for _ in range(40):
+        w = "".join(rng.choice("abci ") for _ in range(rng.randrange(1, 14)))
+        left.append(" ".join(w.split()) or "q")
+        right.append("".join(c if rng.random() > 0.15 else rng.choice("abx") for c in w).strip() or "r")
+    a = spark.createDataFrame([(v,) for v in sorted(set(left))], "a string")
+    b = spark.createDataFrame(list(enumerate(sorted(set(right)))), "o int, b string")
+    for k in (1, 3):
+        got = {(r["a"], r["b"], r["distance"]) for r in rel.fuzzy_all(a, b, "a", "b", k).collect()}
+        pairs = a.crossJoin(b).select("a", "b", names.distance_three(names.forms(F.col("a")), names.forms(F.col("b")), k)["distance"].alias("d")).where(F.col("d") <= k)
+        assert got == {tuple(r) for r in pairs.collect()}
+        assert ("lot xxxviii blk xxxviii", "lot 38 blk 38", 0) in got
+        near = a.crossJoin(b).select("a", "o", "b", names.distance_roman(names.forms(F.col("a")), names.forms(F.col("b")), k).alias("d")).where("d IS NOT NULL")
+        want = near.groupBy("a").agg(F.min(F.struct("d", "o", "b")).alias("m")).select("a", "m.d", "m.o", "m.b")
+        assert {tuple(r) for r in rel.fuzzy_roman(a, b, "a", "a", "b", "o", k).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_close_matches_equal_the_library(spark, monkeypatch):
+    import difflib
+
+    monkeypatch.setattr(rel, "CLOSE_BLOCK", 3)
+    src = ["sanjose", "snjose", "barurao", "zzz", "poblacion1", ""]
+    keys = ["sanjoze", "sanjos", "sanjose1", "poblacion", "barurau", "baruraa", "x"]
+    got = rel.close_matches(spark.createDataFrame([(v,) for v in [*src, *src]], "n string"), spark.createDataFrame([(k,) for k in keys], "k string"), "n", "k")
+    want = {s: m[0] for s in src if s and (m := difflib.get_close_matches(s, keys, n=1, cutoff=0.75))}
+    assert {r["name"]: r["match"] for r in got.collect()} == want
+    refs = spark.createDataFrame([("San Jose", 1, 1), ("Barurao II", 2, 2), ("Barurao II", 3, 3)], "ref string, code int, o int")
+    rows = spark.createDataFrame([(1, "san jose"), (2, "Barurao 2"), (3, "Bararao 2"), (4, "nothing"), (5, None)], "id int, name string")
+    found = rel.cascade_lookup(rows, refs, "name", "ref", "code", "o", cutoff=0.75)
+    assert {r["id"]: (r["code"], r["status"]) for r in found.collect()} == {1: (1, "EXACT"), 2: (3, "NORMALIZED"), 3: (3, "CLOSE"), 4: (None, "UNMATCHED"), 5: (None, "UNMATCHED")}
+
+
+def test_fixed_forms(spark):
+    assert values(spark, ["CON", "CON.txt", "con", "a.", "a|b", "x" * 255, "ok.csv"], codes.is_valid_filename) == [False, True, False, False, False, False, True]
+    assert values(spark, [".git/a", "x/y.pyc", "x/y.py", "docs", "docs2"], lambda c: rules.is_excluded(F.substring_index(c, "/", -1), c)) == [True, True, False, True, False]
+    assert values(spark, [None, "123456", "x23", "AB-456", ""], lambda c: codes.ea_display_name(F.lit(None).cast("string"), c)) == ["EA Unknown", "EA 123456", "EA x23", "EA 456", "EA Unknown"]
+    assert values(spark, [60000, 60001, 70000, 70001, 80000], lambda c: F.array_join(rules.building_labels(c, F.lit("01")), ",")) == ["", "Homeless", "", "New", ""]
+
+
 def test_affine_is_recovered_with_swap_and_outliers(spark):
     rows = [(float(i % 7) * 1000, float(i % 5) * 900) for i in range(40)]
     data = [(y, x, 121 + 3e-6 * x, 14 + 3e-6 * y) for x, y in rows[:-1]] + [(0.0, 0.0, 130.0, 20.0)]
