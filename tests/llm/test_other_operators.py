@@ -154,3 +154,61 @@ def test_recall_of_random_pairs_at_the_threshold():
 
     found = meets(own_a, own_b) | meets(probe_a, own_b) | meets(probe_b, own_a)
     assert found.mean() >= 0.97
+
+
+PROSE = "Words of a paragraph that is long enough to say something about the matter at hand. " * 3
+
+
+def page_text(*parts):
+    return "\n".join(p.strip() for p in parts)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body><form id='aspnetForm'><h1>Title</h1><p>{a}</p><p>{b}</p></form></body>", "Title|a|b"),
+    ("<main><div class='search-algorithms'><p>{a}</p><p>{b}</p></div></main>", "a|b"),
+    ("<article><h1>T</h1><p>{a}</p><section class='related-work'><h2>Related work</h2><p>{b}</p></section></article>", "T|a|Related work|b"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>{a}</p></article>", "Title|a"),
+    ("<body><article><p>{a}</p></article><article><p>{b}</p><p>more</p></article></body>", "a|b|more"),
+    ("<body><h1>Title</h1><div><p>{a}</p></div><div><p>{b}</p></div></body>", "Title|a|b"),
+    ("<body><h1>Title</h1><div>{a}</div></body>", "Title|a"),
+    ("<article><h1>H</h1><p>{a}</p><div class='comments'><article class='comment'><p>{a}{b}</p></article></div></article>", "H|a"),
+    ("<article><p>{a}</p><div class='ad'><p>{b}</p></div><form><p>Your name</p></form></article>", "a"),
+    ("<div class='modal-open'><nav><a href=x>menu</a></nav><div id='content-sidebar-wrap'><article><p>{a}</p></article></div></div><aside>{b}</aside>", "a"),
+    ("<ul><li><a href=x>Home</a></li></ul><div><p>{a}</p><p>short</p></div><footer>{b}</footer>", "a|short"),
+    ("<article><p>a &amp; b&nbsp;c<br>d</p>\n x  y <script>var a='<p>'</script></article>", "a & b c d|x y"),
+    ("<p>{a}<style>p</style>", "a"), ("", ""), (None, ""), ("<nav>{a}</nav>", ""),
+])
+def test_content_lines_choose_the_region(page, want):
+    a, b = PROSE, PROSE.replace("matter", "other matter")
+    said = {"a": a, "b": b}
+    assert html.extract(page and page.replace("{a}", a).replace("{b}", b)) == page_text(*[said.get(w, w) for w in want.split("|")])
+
+
+def test_planted_articles_come_back():
+    """Random articles in random frames of furniture, whatever nests around them."""
+    import random
+
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abdeinorst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+    for _ in range(150):
+        blocks = [prose(4)] + [prose(rng.choice((3, 25, 60, 120))) for _ in range(rng.randrange(2, 9))]
+        inner = f"<h1>{blocks[0]}</h1>" + "".join(rng.choice(("<p>{}</p>", "<div><p><b>{}</b></p></div>", "<blockquote>{}</blockquote>")).format(b) for b in blocks[1:])
+        furniture = ["<nav>" + "<li><a href=x>menu entry</a></li>" * 6 + "</nav>", f"<footer>{prose(20)}</footer>", f"<div class='cookie-notice'>{prose(15)}</div>", f"<aside>{prose(30)}</aside>", f"<form>{prose(5)}<input></form>", "<div class='menu'><a href=y>one</a> <a href=z>two</a></div>", "<script>x()</script>"]
+        rng.shuffle(furniture)
+        k = rng.randrange(len(furniture))
+        body = "".join(furniture[:k]) + f"<article>{inner}<section id='comments'>{prose(40)}</section></article>" + "".join(furniture[k:])
+        for wrap in rng.choice(([], ["<div class='page header-fixed'>"], ["<form id='all'>", "<div class='sidebar-left'>"])):
+            body = wrap + body
+        assert html.extract(f"<html><head><title>t</title></head><body>{body}</body></html>") == "\n".join(blocks)
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    for deep in ("<div>x" * 50_000, "<b>" * 50_000 + "x" + "</b>" * 50_000, "<div>x</p></span>" * 50_000):
+        began = time.process_time()
+        html.extract(deep)
+        assert time.process_time() - began < 10
