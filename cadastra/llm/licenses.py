@@ -1,10 +1,9 @@
 """Licence scans by canonical digest lookup.
 
-A text is normalised (case, punctuation, copyright lines, equivalent spellings) and
-the digest of the *whole* result is looked up among the digests of known licences.
-The same is done for every line, for the one-line notices under which texts stand.
-The known digests are a fixed table of the library, so the lookup is a hash join
-whose build side never grows."""
+A text is normalised (case, punctuation, copyright lines, list marks, equivalent
+spellings) and the digest of the *whole* result is joined to a table of the digests of
+known licences: a hash join, whose build side is broadcast if it is small.  Lines are
+looked up likewise among the few one-line notices under which texts stand."""
 
 from __future__ import annotations
 
@@ -12,7 +11,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -74,77 +73,106 @@ SPELLINGS = {
 }
 PHRASES = (("sub license", "sublicense"), ("per cent", "percent"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"))
 
+#: SHA-256 of long licences' normalised texts, whole and without what follows
+#: their terms.
+DIGESTS = {
+    "Apache-2.0": ("7b571b8565095b87bb5ed8f67791b3c731f9a3ef97358bee998034dbea1c7bcc", "45df9a8c8175e1f3d96df434dfa66a6607395771eb52baf9c7cef88e58ab9477", "af110ac32e282715feaba8a911c700bbf71cdaca12855507d998ea999ab6bf4f"),
+    "Artistic-1.0-Perl": ("b06eda62b7e0c69e6f8a5960610095b69349654af941a79eca834edcd5e64e49",),
+    "CC0-1.0": ("888ab175b43ed137ae3c3f8f32a1f0e1677fe31f7a9f09890c39b11b1934ad6c",),
+    "GFDL-1.2": ("66c938a4f3d2114cc3d60f4233a4f26e8c730064aa767788d4745dedea334da1",),
+    "GFDL-1.3": ("3c375c0e780727eaa9ddb17a7fa022a4b0b7ed527f12a3da106f47b622a3b3f1",),
+    "GPL-1.0": ("ac910954c3184907f3947de0193b0169b8c69656ff2de7f3330438f6ba4fb746", "0460830f1601ab5f615dd93818221b48820590af661686bdf540c70fe3d696a4", "e865a0dda2da3969652b87fd53fdbacbc9c971447325f465df48971826e5f97c"),
+    "GPL-2.0": ("2e8e378a3d24393c0f3fd1439ffbe84e750886c09715e622426a6a0e54fa1bee", "80edaf5771a2ca5e7df6a5c023beb15391e60cf1bbae81a82600bb184fecef39", "724499132592c4e4c95c8d0a0a79e0045822f797839536a7338312694e3341bc"),
+    "GPL-3.0": ("1d853c80efe5ceb4de7b2f36ad97f5659946947afc9c6c75fa3fa50e20368ef2", "8c24ccf35998bd73317aa0801f6e6cbd865514baf55f246a48a8e890d1abc3d1", "a7d16b580457c566303df373fd362c5bfbfbc013734bed4e4cf732a569a5598e"),
+    "LGPL-2.0": ("4a1b1cb15d45262f049457ae26945909d0e5af93e2e3fb5de82c9f72ac6bebe2", "2894b2cb46a2c83844eec54a57337498c55bc0779fe2dbdd14bc94a567a3c32e", "9445838f80c534db1f71155f4c93f1464bf680d2a091792f3f2146f5cefef806"),
+    "LGPL-2.1": ("f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98", "303c35384a2d8ff561e8480f4d8bc87bd79ea2d92d62ba0b24d22e2c1f88f1e3", "70a277553f5f0e974016dfc6aed9adda07c554792c5f1f3d75acb63053de3f89"),
+    "LGPL-3.0": ("cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45",),
+    "MPL-1.1": ("b5fc2798ec24fca87e412725b368714138a3081d89f9c0aed70b6df92dd9db66",),
+    "MPL-2.0": ("3693d0f300437bad55b29627761506ebba14142328cf40f43ed3d46ce72d04b4",),
+}
+#: A table of known digests of no more rows than this is broadcast (some 100 bytes a row).
+BROADCAST_ROWS = 200_000
+
 _WORD = re.compile(r"[^\W_]+")
 _COPYRIGHT = re.compile(r"(?im)^[^\w\n(©]*(?:copyright\s*(?:\(c\)|©|\d)|\(c\)\s|©)[^\n]*$")
+_MARK = re.compile(r"(?m)^[ \t]*(?:\(?(?:[0-9]{1,2}|[a-zA-Z])[.)]|[*•-])[ \t]+")
 
 
 def normalise(text: str | None) -> str:
     """Lower-case words with one space between, equivalent spellings made one, lines
-    that state a copyright left out."""
+    that state a copyright and marks of lists left out."""
     if not text:
         return ""
-    words = _WORD.findall(_COPYRIGHT.sub("", text).lower())
-    out = " ".join([SPELLINGS.get(w, w) for w in words])
+    words = _WORD.findall(_MARK.sub("", _COPYRIGHT.sub("", text)).lower())
+    out = " " + " ".join([SPELLINGS.get(w, w) for w in words])
     for a, b in PHRASES:
-        if a in out:
-            out = re.sub(rf"\b{a}", b, out)
-    return out
+        out = out.replace(f" {a}", f" {b}")
+    return out[1:]
 
 
-def digest(normal: str) -> bytes:
-    return hashlib.sha256(normal.encode("utf-8", "surrogatepass")).digest()
+def digest(normal: str) -> str:
+    return hashlib.sha256(normal.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def known() -> tuple[dict[bytes, str], dict[bytes, str]]:
-    """Licence by digest of a whole text, and by digest of a line."""
-    lines = {digest(normalise(t)): name for name, texts in NOTICES.items() for t in texts}
-    return lines | {digest(normalise(t)): name for name, texts in TEXTS.items() for t in texts}, lines
+def known(spark: SparkSession) -> DataFrame:
+    """``(digest, license)`` of the known whole texts."""
+    rows = {digest(normalise(t)): name for table in (NOTICES, TEXTS) for name, texts in table.items() for t in texts}
+    return spark.createDataFrame(sorted((rows | {d: name for name, found in DIGESTS.items() for d in found}).items()), "digest string, license string")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, license, notices, digest)`` per row: the licence that the whole text is
     (null if none), the sorted licences that its lines state and the digest of the
-    whole normalised text.
-
-    Nulls: a null text is an empty one, which is no licence; null ids are carried.
-    Ties cannot arise, a digest belongs to one licence.  Repeated rows get equal
-    results; an empty table gives no rows; other columns are ignored."""
+    whole normalised text.  ``texts(digest, license)`` are further known digests.
+
+    Nulls: a null text is an empty one, which is no licence; null ids are carried.  Of
+    several licences of one digest the first by name is taken.  Very long texts are
+    normalised whole.  Repeated rows get equal results; an empty table gives no rows;
+    other columns are ignored, whatever their names."""
+    spark = docs.sparkSession
+    table = known(spark) if texts is None else known(spark).union(texts.select("digest", "license"))
+    table = table.where("digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"))
+    if texts is None or table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
 
     def run(batches):
-        texts, lines = known()
+        lines = {normalise(t): name for name, notices in NOTICES.items() for t in notices}
         for b in batches:
-            whole, notices, digests = [], [], []
+            notices, digests = [], []
             for text in b.column(1).to_pylist():
-                d = digest(normalise(text))
-                whole.append(texts.get(d))
-                digests.append(d.hex())
-                said = {lines[x] for line in set((text or "").split("\n")) if (x := digest(normalise(line))) in lines}
+                digests.append(digest(normalise(text)))
+                said = {lines[x] for line in set((text or "").split("\n")) if (x := normalise(line)) in lines}
                 notices.append(sorted(said))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.string()), pa.array(notices, pa.list_(pa.string())), pa.array(digests, pa.string())], names=["id", "license", "notices", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(notices, pa.list_(pa.string())), pa.array(digests, pa.string())], names=["id", "notices", "digest"])
 
-    return shared.map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, license string, notices array<string>, digest string")
+    coded = shared.map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, notices array<string>, digest string")
+    return coded.join(table, "digest", "left").select("id", "license", "notices", "digest")
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL over ``documents`` for the query, which keeps whole texts and lines."""
-    rows = ", ".join(f"('{normalise(t)}', '{name}')" for name, texts in NOTICES.items() for t in texts)
-    # a whole licence text is compared without its spaces' and punctuation's variants
-    long = ", ".join(f"('{normalise(t)}', '{name}')" for name, texts in TEXTS.items() for t in texts)
+    """DuckDB SQL over ``documents`` for the query: texts, lines and the known texts as
+    they are written are all normalised there."""
+    def literal(t: str) -> str:
+        return "'" + t.replace("'", "''") + "'"
+
+    def values(table: dict) -> str:
+        return ", ".join(f"({literal(t)}, '{name}')" for name, texts in table.items() for t in texts)
 
     def normal(x: str) -> str:
-        out = f"trim(regexp_replace(lower(regexp_replace({x}, '(?im)^[^\\w\\n(©]*(copyright\\s*(\\(c\\)|©|\\d)|\\(c\\)\\s|©)[^\\n]*$', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-        for a, b in [*SPELLINGS.items()]:
-            out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
+        out = f"regexp_replace({x}, '(?im)^[^\\w\\n(©]*(copyright\\s*(\\(c\\)|©|\\d)|\\(c\\)\\s|©)[^\\n]*$', '', 'g')"
+        out = f"regexp_replace({out}, '(?m)^[ \\t]*(\\(?([0-9]{{1,2}}|[a-zA-Z])[.)]|[*•-])[ \\t]+', '', 'g')"
+        out = f"string_split(trim(regexp_replace(lower({out}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+        spelt = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items())
+        out = f"' ' || array_to_string(list_transform({out}, lambda w: CASE w {spelt} ELSE w END), ' ')"
         for a, b in PHRASES:
-            out = f"regexp_replace({out}, '\\b{a}', '{b}', 'g')"
-        return out
+            out = f"replace({out}, ' {a}', ' {b}')"
+        return f"substr({out}, 2)"
 
+    long = " UNION ".join(f"SELECT '{d}', '{name}'" for name, found in DIGESTS.items() for d in found)
     return f"""
-    WITH notice(t, name) AS (VALUES {rows}), whole(t, name) AS (SELECT * FROM notice UNION SELECT * FROM (VALUES {long}) v(t, name)),
+    WITH notice(raw, name) AS (VALUES {values(NOTICES)}), whole(raw, name) AS (SELECT * FROM notice UNION ALL SELECT * FROM (VALUES {values(TEXTS)}) v(raw, name)),
+    line_of AS (SELECT {normal('raw')} AS t, name FROM notice), text_of AS (SELECT d, min(name) AS license FROM (SELECT sha256({normal('raw')}) AS d, name FROM whole UNION ALL ({long})) GROUP BY d),
     lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-    hinted AS (SELECT doc_id, line FROM lines WHERE regexp_matches(lower(line), 'licen|reserved|spdx|cc0')),
-    said AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM hinted JOIN notice ON notice.t = {normal('line')} GROUP BY doc_id),
-    short AS (SELECT doc_id, text FROM documents WHERE regexp_matches(lower(text), 'licen|reserved|spdx|cc0|permi|software')),
-    is_text AS (SELECT doc_id, min(name) AS license FROM short JOIN whole ON whole.t = {normal('text')} GROUP BY doc_id)
-    SELECT d.doc_id, license, coalesce(notices, '') AS notices
-    FROM documents d LEFT JOIN said USING (doc_id) LEFT JOIN is_text USING (doc_id)"""
+    said AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM lines JOIN line_of ON line_of.t = {normal('line')} GROUP BY doc_id),
+    digests AS (SELECT doc_id, sha256({normal("coalesce(text, '')")}) AS digest FROM documents)
+    SELECT doc_id, license, coalesce(notices, '') AS notices, digest FROM digests LEFT JOIN said USING (doc_id) LEFT JOIN text_of ON d = digest"""

@@ -54,7 +54,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
     found = scan(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "license", F.array_join("notices", ",").alias("notices"))
+    return found.select(F.col("id").alias("doc_id"), "license", F.array_join("notices", ",").alias("notices"), "digest")
 
 
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

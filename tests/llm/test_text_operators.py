@@ -3,6 +3,7 @@ small tables with nulls, empty and long texts, repeated rows and clashing names.
 
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from cadastra.llm import decontaminate, huffman, language, licenses, packing, quality, shared, simhash, tokens
+from cadastra.llm import decontaminate, huffman, language, licenses, packing, quality, queries, shared, simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, score string"
 
@@ -263,13 +264,34 @@ def test_licences(spark, empty):
     mit = licenses.TEXTS["MIT"][0]
     rows = [
         (1, "Copyright (c) 2020 Some One\n\n" + mit.upper().replace("SUBLICENSE", "sub-license")), (2, mit + " more"), (3, "Released under the MIT Licence.\nText follows."),
-        (4, None), (5, ""), (6, "© 2019 X\n" + licenses.TEXTS["BSD-3-Clause"][0].replace(".", " ;")), (7, "All rights reserved"), (None, licenses.TEXTS["ISC"][0])]
-    got = {r["id"]: (r["license"], r["notices"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        (4, None), (5, ""), (6, "© 2019 X\n" + re.sub(r"(?<!\d)\.", " ;", licenses.TEXTS["BSD-3-Clause"][0])), (7, "All rights reserved"), (None, licenses.TEXTS["ISC"][0])]
+    rows += [(9, "A house licence.\n* of two parts"), (9, "A house licence.\n* of two parts"), (10, licenses.TEXTS["BSD-2-Clause"][0].replace("1. ", "* ").replace("2. ", "(b) "))]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, digest string, license string")
+    house = spark.createDataFrame([(licenses.digest("a house license of two parts"), "house"), (licenses.digest("other"), "other"), (None, "none")], "digest string, license string")
+    found = licenses.scan(docs, house).collect()
+    got = {r["id"]: (r["license"], r["notices"]) for r in found}
+    assert len(found) == len(rows) and got[9][0] == "house" and got[10][0] == "BSD-2-Clause"
+    assert licenses.scan(docs).where("license = 'house'").count() == 0
+    assert {r["id"]: r["digest"] for r in found}[5] == licenses.digest("")
     assert got[1][0] == "MIT" and got[2][0] is None and got[3] == (None, ["MIT"]) and got[4] == (None, []) and got[5] == (None, [])
     assert got[6][0] == "BSD-3-Clause" and got[7] == ("all-rights-reserved", ["all-rights-reserved"]) and got[None][0] == "ISC"
     assert licenses.scan(empty).count() == 0
 
 
+def test_licence_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(t for texts in [*licenses.TEXTS.values(), *licenses.NOTICES.values()] for t in texts)]
+    rows += [(100, "Copyright 2001 A\n 2) centre\n(c) 2 B\nfavourite sub-licences"), (101, None), (102, "x\nAll rights reserved.\nSPDX-License-Identifier: MIT")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(licenses.oracle_sql())
+    names = [d[0] for d in want.description]
+    got = queries.op4_license_scan(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_language(spark, docs, empty):
     found = {}
     for r in language.identify_documents(docs).select("row.c0", "language", "accepted", "posterior").collect():
