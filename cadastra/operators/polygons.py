@@ -50,13 +50,14 @@ def _relations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def relation(a: Column, b: Column) -> Column:
-    """``relate`` of two WKB columns."""
-    return F.pandas_udf(_relations, RELATION)(a, b)
+    """``relate`` of two WKB columns; marked as not repeatable, so that no filter takes it
+    before the pairs are dealt or evaluates it twice."""
+    return F.pandas_udf(_relations, RELATION).asNondeterministic()(a, b)
 
 
-def dealt(pairs: DataFrame) -> DataFrame:
-    """Candidates in even partitions: the work on a pair is far more than its bytes tell."""
-    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows in even partitions: the work on a shape is far more than its bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def polygon_join(left: DataFrame, right: DataFrame, size: float, predicates: tuple[int, ...] = (0,), on: list[str] = (), geom: str = "geom") -> DataFrame:
@@ -83,8 +84,8 @@ def point_join(points: DataFrame, areas: DataFrame, size: float, geom: str = "ge
     def holds(shape: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([bool(arr.contains(wkb.parse(g), np.array([[p, q]]))[0]) for g, p, q in zip(shape, x, y)])
 
-    met = spatial.box_join(points, boxed(areas, geom), size)
-    return met.where(holds(F.col(f"b.{geom}"), F.col("a.x"), F.col("a.y")))
+    met = dealt(spatial.box_join(points, boxed(areas, geom), size))
+    return met.where(holds.asNondeterministic()(F.col(f"b.{geom}"), F.col("a.x"), F.col("a.y")))
 
 
 def overlap_polygons(areas: DataFrame, size: float, key: str = "id", geom: str = "geom") -> DataFrame:
@@ -104,7 +105,7 @@ def overlap_polygons(areas: DataFrame, size: float, key: str = "id", geom: str =
             out.append(row)
         return pd.Series(out)
 
-    return met.select("a", "b", F.posexplode(parts(F.col(f"a.{geom}"), F.col(f"b.{geom}"))).alias("part", "p")).select("a", "b", "part", "p.*")
+    return met.select("a", "b", F.posexplode(parts.asNondeterministic()(F.col(f"a.{geom}"), F.col(f"b.{geom}"))).alias("part", "p")).select("a", "b", "part", "p.*")
 
 
 FREE = "tile string, piece int, edge boolean, geom binary, area double, borders array<struct<side:string,lo:double,hi:double>>"
@@ -143,7 +144,7 @@ def gap_polygons(areas: DataFrame, tile: float, geom: str = "geom") -> DataFrame
             rows.append((f"{cx}|{cy}", i, edge, wkb.dump([p]), arr.area([p]), borders))
         return pd.DataFrame(rows, columns=["tile", "piece", "edge", "geom", "area", "borders"])
 
-    pieces = spatial.cut_lineage(every.groupBy("cx", "cy").applyInPandas(free, FREE).withColumn("id", F.concat_ws("|", "tile", "piece")))
+    pieces = spatial.cut_lineage(dealt(every, "cx", "cy").groupBy("cx", "cy").applyInPandas(free, FREE).withColumn("id", F.concat_ws("|", "tile", "piece")))
     sides = pieces.select("id", F.explode("borders").alias("s")).select("id", "s.*")
     x, y = sides.toDF("a", "side", "l1", "h1"), sides.toDF("b", "side", "l2", "h2")
     links = spatial.cut_lineage(x.join(y, "side").where("a <> b AND l1 < h2 AND l2 < h1").select("a", "b").distinct())
