@@ -111,6 +111,40 @@ def overlap_polygons(areas: DataFrame, size: float, key: str = "id", geom: str =
 FREE = "tile string, piece int, edge boolean, geom binary, area double, borders array<struct<side:string,lo:double,hi:double>>"
 
 
+#: Links of no more than so many are followed by one task, more by rounds.
+TASK_LINKS = 200_000
+
+
+def _united(batches):
+    """``(id, least id reachable)`` of every piece with a link."""
+    above: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"], pdf["b"]):
+            a, b = find(a), find(b)
+            above[max(a, b)] = min(a, b)
+    yield pd.DataFrame([(x, find(x)) for x in list(above)], columns=["id", "g"])
+
+
+def _spread(pieces: DataFrame, links: DataFrame) -> DataFrame:
+    """``(id, gap, edge)``: the least name of linked pieces, by rounds that double."""
+    label = spatial.cut_lineage(pieces.select("id", F.col("id").alias("gap"), "edge"))
+    while True:
+        near = links.join(label, F.col("a") == F.col("id")).groupBy("b").agg(F.min("gap").alias("g"))
+        spread = label.join(near, F.col("id") == F.col("b"), "left").select("id", F.least("gap", F.coalesce("g", "gap")).alias("gap"), "edge")
+        least = spread.select(F.col("id").alias("gap"), F.col("gap").alias("g2"))
+        now = spatial.cut_lineage(spread.join(least, "gap").select("id", F.col("g2").alias("gap"), "edge"))
+        if now.exceptAll(label).isEmpty():
+            return now
+        label = now
+
+
 def gap_polygons(areas: DataFrame, tile: float, geom: str = "geom") -> DataFrame:
     """``(gap, geom, area)``: what all areas together enclose without covering it.
 
@@ -148,15 +182,8 @@ def gap_polygons(areas: DataFrame, tile: float, geom: str = "geom") -> DataFrame
     sides = pieces.select("id", F.explode("borders").alias("s")).select("id", "s.*")
     x, y = sides.toDF("a", "side", "l1", "h1"), sides.toDF("b", "side", "l2", "h2")
     links = spatial.cut_lineage(x.join(y, "side").where("a <> b AND l1 < h2 AND l2 < h1").select("a", "b").distinct())
-    label = spatial.cut_lineage(pieces.select("id", F.col("id").alias("gap"), "edge"))
-    while True:  # the least name and any border spread over linked pieces, by doubling
-        near = links.join(label, F.col("a") == F.col("id")).groupBy("b").agg(F.min("gap").alias("g"), F.max("edge").alias("e"))
-        spread = label.join(near, F.col("id") == F.col("b"), "left").select("id", F.least("gap", F.coalesce("g", "gap")).alias("gap"), (F.col("edge") | F.coalesce("e", F.lit(False))).alias("edge"))
-        least = spread.select(F.col("id").alias("gap"), F.col("gap").alias("g2"), F.col("edge").alias("e2"))
-        now = spatial.cut_lineage(spread.join(least, "gap").select("id", F.col("g2").alias("gap"), (F.col("edge") | F.col("e2")).alias("edge")))
-        if now.exceptAll(label).isEmpty():
-            break
-        label = now
+    label = _spread(pieces, links) if links.count() > TASK_LINKS else spatial.cut_lineage(
+        pieces.join(links.coalesce(1).mapInPandas(_united, "id string, g string"), "id", "left").select("id", F.coalesce("g", "id").alias("gap"), "edge"))
     closed = label.groupBy("gap").agg(F.max("edge").alias("open")).where("NOT open").select("gap")
     inside = pieces.join(label.select("id", "gap"), "id").join(closed, "gap").select("gap", "geom")
 

@@ -37,9 +37,10 @@ def test_points_in_a_triangle(spark):
     assert got == {1, 2, 4, 5}
 
 
-@pytest.mark.parametrize("tile", [1.5, 3.0, 50.0])
-def test_gaps_do_not_depend_on_the_tiles(spark, tile):
+@pytest.mark.parametrize(("tile", "links"), [(1.5, 200_000), (3.0, 0), (50.0, 200_000)])
+def test_gaps_do_not_depend_on_the_tiles(spark, monkeypatch, tile, links):
     """A ring of squares around a 3 x 3 hole, one around a triangle, an open notch."""
+    monkeypatch.setattr(polygons, "TASK_LINKS", links)
     rings = {k: square(x, y) for k, (x, y) in enumerate((x, y) for x in range(5) for y in range(5) if x in (0, 4) or y in (0, 4))}
     rings |= {100: [(10.0, 0.0), (14.0, 0.0), (14.0, 4.0)], 101: [(10.0, 0.0), (14.0, 4.0), (10.0, 4.0), (10.0, 3.0), (11.0, 3.0), (10.0, 2.0)], 102: [(9.0, 1.0), (10.0, 2.0), (10.0, 3.0), (9.0, 4.0)]}
     found = sorted(round(r["area"], 6) for r in polygons.gap_polygons(frame(spark, rings), tile).collect())
