@@ -27,7 +27,7 @@ from . import shared
 COSINE = 0.98
 #: Tables, lattices per table (eight projections each), scale of the projections and
 #: neighbouring points probed in each lattice: recall 0.999 and more of brute force
-#: on near copies, measured in tests/llm/test_embeddings.py.
+#: on near copies, measured in tests/llm/test_other_operators.py.
 TABLES, LATTICES, SCALE, PROBES = 5, 2, 0.7, 3
 SEED = 11
 #: Cells with more vectors than this are verified block by block.
