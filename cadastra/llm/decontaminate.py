@@ -43,13 +43,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def shingle_set(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
-    """Different shingles; fewer words than ``size`` are one shingle, none give none."""
-    if len(words) <= size:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(size))))
-
-
 def shingle_hashes(words: list[str], size: int = SHINGLE) -> np.ndarray:
     """64-bit hash of every shingle in text order, from memoised word hashes."""
     if not words:
@@ -74,47 +67,73 @@ def shingle_hashes(words: list[str], size: int = SHINGLE) -> np.ndarray:
     return h
 
 
+def grams(words: list[str], size: int) -> set[tuple[str, ...]]:
+    """Different runs of ``size`` words."""
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else set()
+
+
 class Sketches:
-    """Sketch values of a block of items, with the items' shingles for verification."""
+    """A block of items as sorted arrays: shingle hashes of each, sketch values and their
+    owners, and the texts for the exact check; measured at nine times the text while it is built.  Items of
+    fewer words than a shingle are indexed apart, by their own length."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int = SHINGLE, threshold: float = THRESHOLD):
-        self.size, self.threshold = size, threshold
-        self.items: list[tuple[int, set]] = []
-        found: dict[int, list[int]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int, str | None]], size: int = SHINGLE, threshold: float = THRESHOLD, inside: bool = True):
+        self.threshold, self.size = threshold, size
+        lengths: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for key, text in items:
-            words = words_of(text)
-            own = shingle_set(words, size)
-            if not own:
-                continue
-            values = np.unique(shingle_hashes(words, size))
-            upper = 1 << (len(own) - 1).bit_length()
-            for v in values[: math.floor((1 - threshold) * upper + 1e-9) + 1]:
-                found[int(v)].append(len(self.items))
-            self.items.append((key, own))
-        self.values = np.array(sorted(found), dtype=np.uint64)
-        self.owners = [found[int(v)] for v in self.values]
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[self.values >> np.uint64(64 - _FILTER_BITS)] = True
+            if words := words_of(text):
+                lengths[min(size, len(words))].append((key, " ".join(words)))
+        self.parts = [_Part(n, found, threshold, inside or n == size) for n, found in sorted(lengths.items())]
 
     def search(self, text: str | None) -> list[tuple[int, int, int]]:
         """``(item, shingles, shingles found)`` of the items that the text contains."""
         words = words_of(text)
-        h = shingle_hashes(words, self.size)
-        h = h[self.filter[h >> np.uint64(64 - _FILTER_BITS)]]
-        if not len(h) or not len(self.values):
+        return [hit for part in self.parts for hit in part.search(words)] if words else []
+
+
+class _Part:
+    """Items of one shingle length; if not ``inside``, only as whole texts."""
+
+    def __init__(self, size: int, items: list[tuple[int, str]], threshold: float, inside: bool):
+        self.size, self.threshold, self.inside = size, threshold, inside
+        self.keys, self.texts = [i[0] for i in items], [i[1] for i in items]
+        need = [np.unique(shingle_hashes(text.split(" "), size)) for text in self.texts]
+        cut = []
+        for h in need:
+            upper = 1 << (len(h) - 1).bit_length()
+            cut.append(h[: math.floor((1 - threshold) * upper + 1e-9) + 1])
+        self.need = np.concatenate(need)
+        self.start = np.cumsum([0, *map(len, need)])
+        sketch, owner = np.concatenate(cut), np.repeat(np.arange(len(items), dtype=np.int32), list(map(len, cut)))
+        order = np.argsort(sketch, kind="stable")
+        self.owner = owner[order]
+        self.values, self.first = np.unique(sketch[order], return_index=True)
+        self.first = np.append(self.first, len(order))
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
+        self.filter[self.values >> np.uint64(64 - _FILTER_BITS)] = True
+
+    def search(self, words: list[str]) -> list[tuple[int, int, int]]:
+        if len(words) < self.size or not self.inside and len(words) > self.size:
             return []
+        every = shingle_hashes(words, self.size)
+        h = every[self.filter[every >> np.uint64(64 - _FILTER_BITS)]]
         at = np.searchsorted(self.values, h)
         at[at == len(self.values)] = 0
         hit = np.unique(at[self.values[at] == h])
         if not len(hit):
             return []
-        own = shingle_set(words, self.size)
-        out = []
-        for i in sorted({i for k in hit for i in self.owners[k]}):
-            key, need = self.items[i]
-            have = len(need & own)
-            if have >= self.threshold * len(need) - 1e-9:
-                out.append((key, len(need), have))
+        every = np.unique(every)
+        own, out = None, []
+        for i in np.unique(np.concatenate([self.owner[self.first[k] : self.first[k + 1]] for k in hit])):
+            need = self.need[self.start[i] : self.start[i + 1]]
+            near = np.minimum(np.searchsorted(every, need), len(every) - 1)
+            if np.count_nonzero(every[near] == need) < self.threshold * len(need) - 1e-9:
+                continue
+            own = grams(words, self.size) if own is None else own
+            exact = grams(self.texts[i].split(" "), self.size)
+            have = len(exact & own)
+            if have >= self.threshold * len(exact) - 1e-9:
+                out.append((self.keys[i], len(exact), have))
         return out
 
 
@@ -123,8 +142,8 @@ def contained_items(docs: DataFrame, bench: DataFrame, size: int = SHINGLE, thre
     whose different shingles it contains to at least ``threshold``.
 
     Nulls: texts that are null or without words contain nothing and are contained
-    in nothing; null ids are carried.  Texts of fewer words than a shingle are one
-    shingle, so a very short item is found in a document of just those words.
+    in nothing; null ids are carried.  An item of fewer words than a shingle is found
+    wherever its words follow each other in a document.  Very long texts are hashed whole.
     Repeated documents give repeated rows; repeated benchmark rows count once.  Ties
     do not matter.  Empty tables give no rows.  Other columns are ignored."""
     spark = docs.sparkSession
@@ -155,11 +174,10 @@ def _searching(index):
 #: DuckDB SQL of the query: exact containment of every item in every document.
 ORACLE_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-ds AS (SELECT doc_id, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM dw WHERE len(w) > 0),
-sh AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM iw WHERE len(w) > 0),
+iw AS (SELECT item_id, w, least(len(w), 5) AS l FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i+l-1], ' '))) AS s
+    FROM dw, (SELECT DISTINCT l FROM iw) WHERE len(w) >= l),
+sh AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i+l-1], ' '))) AS s FROM iw),
 sizes AS (SELECT item_id, count(*) AS n FROM sh GROUP BY item_id)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS shingles, CAST(count(DISTINCT ds.s) AS INTEGER) AS found, count(DISTINCT ds.s) / CAST(n AS DOUBLE) AS containment
 FROM ds JOIN sh USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(DISTINCT ds.s) >= 0.8 * n - 1e-9
@@ -168,14 +186,15 @@ FROM ds JOIN sh USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n
 
 def without_items(docs: DataFrame, bench: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item; nulls and empty tables as in
-    ``contained_items``, extra columns stay."""
+    ``contained_items``, extra columns stay.  An item of fewer words than a shingle, a
+    name or a number, tells only if it is the whole document: clean documents stay."""
     spark = docs.sparkSession
     items = bench.select(F.col(item_text_col).cast("string").alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Sketches([(i, r["text"]) for i, r in enumerate(part.collect())], size, threshold))  # at most one block of text
+        index = spark.sparkContext.broadcast(Sketches([(i, r["text"]) for i, r in enumerate(part.collect())], size, threshold, inside=False))  # at most one block of text
         found = shared.annotate(docs, [text_col], _hits(index), "hits int")
         docs = shared.restore(found.where("hits = 0"), docs)
     return docs
