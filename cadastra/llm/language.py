@@ -156,10 +156,13 @@ def identify(
 
     kind = given.schema["row"].dataType.simpleString()
     seen = shared.map_batches(given, run, f"row {kind}, declared string, host string, suffix string, text_ll array<double>")
-    with_prior = seen
     prior = host_priors(given.select("host", "declared"))
-    size = prior.count()
-    with_prior = seen.join(F.broadcast(prior) if size <= BROADCAST_HOSTS else prior, "host", "left")
+    if prior.count() <= BROADCAST_HOSTS:
+        with_prior = seen.join(F.broadcast(prior), "host", "left")
+    else:  # rows of a large host, and those of none, are dealt over tasks by what they hold
+        told_apart = [f"row.c{i}" for i, f in enumerate(docs.schema) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+        sizes = shared.checkpoint(given.groupBy("host").agg(F.count("*").alias("rows")))
+        with_prior = shared.join_unique(seen, shared.checkpoint(prior), ["host"], sizes, told_apart, "left")
     classes = [*LANGUAGES, UNKNOWN]
     spread = len(LANGUAGES) - 1
 

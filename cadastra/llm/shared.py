@@ -89,6 +89,29 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Rows of one key that a task takes at least, and how many keys may be dealt apart.
+KEY_ROWS, HOT_KEYS = 2000, 100_000
+
+
+def join_unique(many: DataFrame, few: DataFrame, on: list[str], sizes: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined to ``few``, whose keys ``on`` are unique; ``sizes(*on, rows)`` tells
+    how many rows of ``many`` a key has and should be a stored table.
+
+    Keys of many rows are dealt over several tasks by the hash of ``spread`` and their row
+    of ``few`` is repeated.  A key is dealt apart if it has more than ``KEY_ROWS`` rows and
+    more than 1 in ``HOT_KEYS`` of all, so at most ``HOT_KEYS`` hashes are broadcast."""
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long")).first()[0]
+    limit = max(KEY_ROWS, total // HOT_KEYS)
+    hot = sizes.where(F.col("rows") > limit).groupBy(F.xxhash64(*on).alias("_h")).agg(F.max(F.ceil(F.col("rows") / limit)).cast("int").alias("_k"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", F.xxhash64(*on)).join(F.broadcast(hot), "_h", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+
+    left = dealt(many).withColumn("_part", F.pmod(F.xxhash64(*spread), F.col("_k")).cast("int")).drop("_h", "_k")
+    right = dealt(few).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_h", "_k")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 _MEMOS: dict = {}
 
 

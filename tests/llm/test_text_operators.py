@@ -309,6 +309,25 @@ def test_language(spark, docs, empty):
     assert language.identify_documents(empty).count() == 0
 
 
+def test_hot_hosts_are_dealt(spark, docs, monkeypatch):
+    found = lambda: sorted(map(tuple, language.identify_documents(docs).select("row.c0", "language", "posterior", "accepted").collect()), key=repr)
+    want = found()
+    monkeypatch.setattr(language, "BROADCAST_HOSTS", -1)
+    monkeypatch.setattr(shared, "KEY_ROWS", 3)
+    assert found() == want
+
+
+def test_join_unique(spark, monkeypatch):
+    monkeypatch.setattr(shared, "KEY_ROWS", 10)
+    many = spark.range(500).select("id", (F.col("id") % 7 * F.when(F.col("id") < 300, 0).otherwise(1)).alias("k"))
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string")
+    sizes = many.groupBy("k").agg(F.count("*").alias("rows"))
+    for how in ("inner", "left"):
+        got = shared.join_unique(many, few, ["k"], sizes, ["id"], how)
+        assert got.columns == ["k", "id", "v"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(few, "k", how).collect()))
+    assert shared.join_unique(many.limit(0), few, ["k"], sizes.limit(0), ["id"]).count() == 0
+
+
 def test_host_priors_are_smoothed(spark):
     rows = [("a.x.de", "de")] * 50 + [("b.x.de", None)] * 3 + [("c.com", "en")] * 100
     prior = {r["host"]: r["prior"] for r in language.host_priors(spark.createDataFrame(rows, "host string, declared string")).collect()}
