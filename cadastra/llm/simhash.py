@@ -162,13 +162,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Ties do not arise, a minimum decides.  Empty tables give empty results.  Other
     columns are ignored, whatever their names."""
     fps = shared.materialise(fingerprints(docs, id_col, text_col, size), "simhash")
-    nodes = shared.checkpoint(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    comp = connected = shared.connected_components(near_pairs(nodes.select("fp"), radius, parts))
+    nodes = shared.checkpoint(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows")))
+    connected = shared.connected_components(near_pairs(nodes.select("fp"), radius, parts))
     comp = connected.join(nodes.withColumnRenamed("fp", "node"), "node")
-    lowest = comp.groupBy("root").agg(F.min("low").alias("component"))
-    linked = connected.join(lowest, "root").select(F.col("node").alias("fp"), "component")
+    lowest = shared.checkpoint(comp.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("rows")))
+    linked = shared.join_unique(connected, lowest.drop("rows"), ["root"], lowest, ["node"]).select(F.col("node").alias("fp"), "component")
     own = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
-    return fps.join(own, "fp").select("id", "fp", "component")
+    return shared.join_unique(fps, own, ["fp"], nodes, ["id"]).select("id", "fp", "component")
 
 
 def fingerprint_hex(fp: Column) -> Column:
