@@ -32,7 +32,7 @@ TABLES, LATTICES, SCALE, PROBES = 5, 2, 0.7, 3
 SEED = 11
 #: Cells with more vectors than this are verified block by block.
 HOT_CELL = 64
-BLOCK = 256
+BLOCK = 1024
 
 
 def e8(x: np.ndarray) -> np.ndarray:
@@ -157,12 +157,16 @@ def _block(table: pa.Table) -> pa.Table:
     node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
     stored = table.column("stored").to_numpy(zero_copy_only=False)
     vectors = table.column("v").to_pylist()
+    kind = np.unique([f"{len(v)} {l}" for v, l in zip(vectors, table.column("label").to_pylist())], return_inverse=True)[1]
     own, probed = table.column("hot_own").to_pylist(), table.column("hot_probed").to_pylist()
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     rows: list[tuple[int, int | None, int]] = []
     if len(left) and len(right):
-        u = unit_rows(vectors)
-        link = u[left] @ u[right].T >= COSINE
+        u = np.zeros((len(vectors), max(map(len, vectors))))
+        for w in {len(v) for v in vectors}:
+            at = [i for i, v in enumerate(vectors) if len(v) == w]
+            u[at, :w] = unit_rows([vectors[i] for i in at])
+        link = (u[left] @ u[right].T >= COSINE) & (kind[left][:, None] == kind[right][None, :])
         link &= np.where(stored[left][:, None], node[left][:, None] < node[right][None, :], True)
         a, c = np.nonzero(link)
         if len(a):
@@ -243,13 +247,13 @@ def neardup_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
         own.withColumn("stored", F.lit(True)).union(coded.select("node", F.explode("probed").alias("key"), F.lit(False).alias("stored"))).join(hot, "key"))
     none = F.array().cast("array<long>")
     hot_cells = hot_entries.groupBy("node").agg(F.collect_list(F.when(F.col("stored"), F.col("key"))).alias("hot_own"), F.collect_list(F.when(~F.col("stored"), F.col("key"))).alias("hot_probed"))  # its own few cells
-    full = classes.select("node", "v", "copies").join(hot_cells, "node", "left").select("node", "v", "copies", F.coalesce("hot_own", none).alias("hot_own"), F.coalesce("hot_probed", none).alias("hot_probed"))
+    full = classes.select("node", "v", "copies", "label").join(hot_cells, "node", "left").select("node", "v", "copies", F.col("label").cast("string").alias("label"), F.coalesce("hot_own", none).alias("hot_own"), F.coalesce("hot_probed", none).alias("hot_probed"))
     full = shared.materialise(full, "vectors-hot")
 
     x, y = full.alias("x"), full.alias("y")
     joined = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
     met = F.arrays_overlap("x.hot_own", "y.hot_own") | F.arrays_overlap("x.hot_own", "y.hot_probed") | F.arrays_overlap("x.hot_probed", "y.hot_own")
-    tested = joined.where(~met).select("a", F.col("x.v"), F.col("x.copies"), "b", F.col("y.v"), F.col("y.copies")).toDF("a", "x", "ma", "b", "y", "mb")
+    tested = joined.where(~met & (F.col("x.label") == F.col("y.label"))).select("a", F.col("x.v"), F.col("x.copies"), "b", F.col("y.v"), F.col("y.copies")).toDF("a", "x", "ma", "b", "y", "mb")
     links = shared.materialise(shared.map_batches(tested, _verified, "a long, b long, ma long, mb long"), "links")
 
     # hot cells: pairs of blocks
@@ -265,9 +269,10 @@ def neardup_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     counts = counts.groupBy("node").agg(F.sum("n").alias("n"))
     edges = links.select("a", "b").union(counted.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     connected = shared.connected_components(edges)
-    lowest = connected.join(classes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
-    found = connected.join(lowest, "root").select("node", "component")
+    lowest = shared.checkpoint(connected.join(classes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("rows")))
+    found = shared.join_unique(connected, lowest.drop("rows"), ["root"], lowest, ["node"]).select("node", "component")
     result = classes.join(counts, "node", "left").join(found, "node", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "low").alias("component"))
-    linked = rows.where("sound").join(result, ["label", "v"]).select("id", "n_links", "component", (F.col("id") == F.col("component")).alias("kept"))
+    copies = classes.select("label", "v", F.col("copies").alias("rows"))
+    linked = shared.join_unique(rows.where("sound").drop("sound"), result, ["label", "v"], copies, ["id"]).select("id", "n_links", "component", (F.col("id") == F.col("component")).alias("kept"))
     alone = rows.where("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.col("id").isNotNull().alias("kept"))
     return linked.union(alone)
