@@ -144,6 +144,34 @@ def cascade_lookup(src: DataFrame, refs: DataFrame, name: str, ref_name: str, re
     return out.withColumn("code", F.coalesce(*columns)).withColumn("status", status).drop("_c_exact", "_c_norm", *columns)
 
 
+def layer_key(c: Column | str) -> Column:
+    """A layer's name without its area suffix, letters and digits only."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?i)[_\-\s]+(bgy|barangay)$", "")), "[^a-z0-9]", "")
+
+
+def _substrings(c: Column) -> Column:
+    n = F.length(c)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substr(c, i, m)))))
+
+
+def city_detect(layers: DataFrame, cities: DataFrame, layer: str, city: str, order: str, cutoff: float | None = None) -> DataFrame:
+    """``layers`` with the first city (by ``order``) whose key contains the layer's key or
+    lies in it, else with ``cutoff`` the one most alike; null if there is none.
+
+    Containment is an equi-join of one side's keys with the other side's substrings, so
+    it takes names, not texts."""
+    keyed = layers.withColumn("_key", layer_key(layer))
+    names_ = keyed.select(F.col("_key").alias("k")).where("k <> ''").distinct()
+    refs = cities.select(F.regexp_replace(F.lower(city), "[^a-z0-9]", "").alias("c"), F.col(city).alias("_city"), F.col(order).alias("_order")).where("c <> ''").groupBy("c").agg(F.min(F.struct("_order", "_city")).alias("r"))
+    within = names_.select("k", F.explode(_substrings(F.col("k"))).alias("c")).join(refs, "c")
+    around = refs.select("c", "r", F.explode(_substrings(F.col("c"))).alias("k")).join(names_, "k")
+    found = within.select("k", "r").union(around.select("k", "r")).groupBy("k").agg(F.min("r")["_city"].alias("_found"))
+    if cutoff is not None:
+        close = close_matches(names_.join(found, "k", "left_anti"), refs, "k", "c", cutoff).join(refs.select(F.col("c").alias("match"), "r"), "match")
+        found = found.union(close.select("name", "r._city"))
+    return keyed.join(found.withColumnRenamed("k", "_key"), "_key", "left").drop("_key").withColumnRenamed("_found", "city")
+
+
 def anti_unmatched(src: DataFrame, matched: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     """Rows without a match, with default columns."""
     return src.join(matched, key, "left_anti").select("*", *[F.lit(v).alias(c) for c, v in defaults.items()])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
+from cadastra.operators.polygons import dealt
 
 MIN_HOUSEHOLDS, MAX_HOUSEHOLDS = 100, 300
 MERGE_PASSES = 5
@@ -350,7 +351,7 @@ def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS,
     else:
         segment = F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
         eas = eas.join(barriers.groupBy("parent").agg(F.collect_list(segment).alias("barriers")), "parent", "left")
-    return eas.groupBy("parent").cogroup(inside.groupBy("b_parent")).applyInPandas(run, RESULT)
+    return dealt(eas, "parent").groupBy("parent").cogroup(dealt(inside, "b_parent").groupBy("b_parent")).applyInPandas(run, RESULT)
 
 
 def split_lines(parts: list[dict]) -> list[arr.Ring]:
@@ -360,3 +361,18 @@ def split_lines(parts: list[dict]) -> list[arr.Ring]:
         for b in parts[:i]:
             out += arr.shared_lines(a["geom"], b["geom"])
     return arr.merge_lines(out)
+
+
+LINES = "parent string, ea_id long, line int, length double, points array<array<double>>"
+
+
+def split_borders(done: DataFrame) -> DataFrame:
+    """The lines along which areas were split, from the rows of ``delineate``: a row per
+    joined line, numbered within its area.  A task sees the parts of one area."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shapes = sorted((wkb.parse(g) for g in pdf["geom"]), key=arr.centroid)
+        lines = sorted(split_lines([{"geom": g} for g in shapes]))
+        rows = [(*key, i, sum(math.dist(p, q) for p, q in zip(line, line[1:])), [list(map(float, p)) for p in line]) for i, line in enumerate(lines)]
+        return pd.DataFrame(rows, columns=["parent", "ea_id", "line", "length", "points"])
+
+    return done.where("sink = 'delineated'").groupBy("parent", "ea_id").applyInPandas(run, LINES)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
+from cadastra.operators.polygons import dealt
+
 
 def area_of(c: Column | str) -> Column:
     return wkb.geometry_udf(arr.area, "double")(c)
@@ -35,6 +37,33 @@ def difference_of(a: Column | str, b: Column | str) -> Column:
     return wkb.geometry_udf(lambda x, y: arr.difference(x, y))(a, b)
 
 
+def union_of(a: Column | str, b: Column | str) -> Column:
+    return wkb.geometry_udf(lambda x, y: arr.union([x, y]))(a, b)
+
+
+def largest_part_of(c: Column | str) -> Column:
+    """The largest polygon of a multi-part geometry; ties: the first."""
+    return wkb.geometry_udf(lambda g: [max(g, key=lambda p: arr.area([p]))] if g else g)(c)
+
+
+def single_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """A row per polygon of each geometry, numbered in ``part`` from 0, with the row's
+    attributes; rows without a polygon are left out."""
+    @F.pandas_udf("array<binary>")
+    def split(shapes: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else [wkb.dump([p]) for p in wkb.parse(g)] for g in shapes])
+
+    return df.select(*[c for c in df.columns if c != geom], F.posexplode(split(geom)).alias("part", geom))
+
+
+def without_slivers(df: DataFrame, key: str, geom: str = "geom", share: float = 1e-4) -> DataFrame:
+    """``(key, geom)``: the parts of all rows of a key, without those smaller than
+    ``share`` of its largest, united to one row.  Null keys are left out."""
+    parts = single_parts(df.select(key, geom), geom).withColumn("_size", area_of(geom))
+    top = parts.groupBy(key).agg((share * F.max("_size")).alias("_least"))
+    return dissolve(parts.join(top, key).where("_size >= _least"), key, geom)
+
+
 def dissolve(df: DataFrame, key: str, geom: str = "geom", parts: int = 8) -> DataFrame:
     """Union per key in two levels: ``parts`` partial unions of a key, then theirs."""
     salted = df.where(F.col(geom).isNotNull()).select(key, F.col(geom).alias("geom"), F.pmod(F.xxhash64(geom), F.lit(parts)).alias("s"))
@@ -43,7 +72,7 @@ def dissolve(df: DataFrame, key: str, geom: str = "geom", parts: int = 8) -> Dat
         return pd.DataFrame([(pdf[key].iloc[0], wkb.dump(arr.union([wkb.parse(g) for g in pdf["geom"]])))], columns=[key, "geom"])
 
     kind = df.schema[key].dataType.simpleString()
-    first = salted.groupBy(key, "s").applyInPandas(merge, f"{key} {kind}, geom binary")
+    first = dealt(salted, key, "s").groupBy(key, "s").applyInPandas(merge, f"{key} {kind}, geom binary")
     return first.groupBy(key).applyInPandas(merge, f"{key} {kind}, geom binary")
 
 
@@ -129,7 +158,7 @@ def repair(df: DataFrame, key: str, fid: str = "fid", geom: str = "geom", select
             out.append((k, i, wkb.dump(done if arr.is_valid(done) else unspike(own) or g), True))
         return pd.DataFrame(out, columns=["k", "fid", "geom", "repaired"])
 
-    return rows.groupBy("k").applyInPandas(run, f"k {kinds[0]}, fid {kinds[1]}, geom binary, repaired boolean").withColumnRenamed("k", key)
+    return dealt(rows, "k").groupBy("k").applyInPandas(run, f"k {kinds[0]}, fid {kinds[1]}, geom binary, repaired boolean").withColumnRenamed("k", key)
 
 
 def _inner(face: arr.Geometry) -> arr.Point:
@@ -163,7 +192,7 @@ def recover_null(df: DataFrame, key: str, fid: str = "fid", geom: str = "geom",
                 out[at] = (*out[at][:2], wkb.dump(max(free, key=lambda f: f[0])[1]), True)
         return pd.DataFrame(out, columns=["k", "fid", "geom", "recovered"])
 
-    return rows.groupBy("k").applyInPandas(run, f"k {kinds[0]}, fid {kinds[1]}, geom binary, recovered boolean").withColumnRenamed("k", key)
+    return dealt(rows, "k").groupBy("k").applyInPandas(run, f"k {kinds[0]}, fid {kinds[1]}, geom binary, recovered boolean").withColumnRenamed("k", key)
 
 
 def fill_gaps(polygons: list[arr.Geometry], target: int, extent: arr.Geometry) -> tuple[arr.Geometry, arr.Geometry]:
@@ -210,4 +239,4 @@ def gap_fill(df: DataFrame, key: str, fid: str, geom: str, target: Column, exten
             out = [(pdf["k"].iloc[0], role, pdf["fid"].iloc[at], arr.area(g), wkb.dump(g)) for role, g in roles]
         return pd.DataFrame(out, columns=["k", "role", "fid", "area", "geom"])
 
-    return rows.groupBy("k").applyInPandas(run, f"k {kinds[0]}, role string, fid {kinds[1]}, area double, geom binary").withColumnRenamed("k", key)
+    return dealt(rows, "k").groupBy("k").applyInPandas(run, f"k {kinds[0]}, role string, fid {kinds[1]}, area double, geom binary").withColumnRenamed("k", key)

@@ -3,13 +3,14 @@ areas of overlays can be counted by unit cells in SQL."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cadastra.functions import geo
 from cadastra.geometry import wkb
-from cadastra.operators import spatial
+from cadastra.operators import polygons, spatial
 
-from . import enumeration
+from . import enumeration, special
 from . import geometry_ops as ops
 from .fixtures import CELL, duck, load
 from .registry import query
@@ -42,7 +43,7 @@ def g02(spark, sf):
 @query("G06_difference", f"{A} SELECT a.id AS id1, b.id AS id2, (a.x1-a.x0)*(a.y1-a.y0) - (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS area FROM areas a JOIN areas b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def g06(spark, sf):
     areas = load(spark, sf, "areas").select("id", *spatial.BOX).withColumn("g", wkb.rectangle(*[F.col(c) for c in spatial.BOX]))
-    p = spatial.overlap_pairs(areas, CELL)
+    p = polygons.dealt(spatial.overlap_pairs(areas, CELL))
     return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), geo.floor_round(ops.area_of(ops.difference_of("a.g", "b.g")), 6).alias("area"))
 
 
@@ -61,7 +62,7 @@ def g12(spark, sf):
         faces = arr.Arrangement([wkb.parse(g) for g in pdf["geom"]]).faces()
         return pd.DataFrame([(pdf["parent"].iloc[0], float(sum(arr.area(f) for f, label in faces if label.any())))], columns=["parent", "area"])
 
-    done = _polygons(spark, sf).select("parent", "geom").groupBy("parent").applyInPandas(run, "parent string, area double")
+    done = polygons.dealt(_polygons(spark, sf).select("parent", "geom"), "parent").groupBy("parent").applyInPandas(run, "parent string, area double")
     return done.select("parent", geo.floor_round(F.col("area"), 6).alias("area"))
 
 
@@ -111,16 +112,85 @@ def e12(spark, sf):
     return enumeration.delineate(eas, buildings).select("parent", "ea_id", "new_ea", "hh", "bldg_count", "split_by", "sink")
 
 
-@query("E01_inject_special", f"""{duck('areas', 'eas')}, i AS (SELECT a.id*10000000 + b.id AS issue, greatest(a.x0,b.x0) AS x0, greatest(a.y0,b.y0) AS y0, least(a.x1,b.x1) AS x1, least(a.y1,b.y1) AS y1 FROM areas a JOIN areas b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
- o AS (SELECT issue, ea_id, parent, ean, (least(i.x1,e.x1)-greatest(i.x0,e.x0))*(least(i.y1,e.y1)-greatest(i.y0,e.y0)) AS area FROM i JOIN eas e ON i.x0 < e.x1 AND e.x0 < i.x1 AND i.y0 < e.y1 AND e.y0 < i.y1 QUALIFY row_number() OVER (PARTITION BY issue ORDER BY area DESC, ea_id) = 1)
- SELECT parent, (SELECT max(ea_id) FROM eas) + row_number() OVER (ORDER BY issue) AS fid, issue, ea_id AS source_id, ean, area FROM o""")
+@query("E17_split_lines")
+def e17(spark, sf):
+    eas, buildings = _engine(spark, sf)
+    return enumeration.split_borders(enumeration.delineate(eas, buildings)).select("parent", "ea_id", "line", geo.floor_round(F.col("length"), 6).alias("length"))
+
+
+_CROSS = "{a}.x0 < {b}.x1 AND {b}.x0 < {a}.x1 AND {a}.y0 < {b}.y1 AND {b}.y0 < {a}.y1"
+_BOTH = "greatest({a}.x0,{b}.x0) AS x0, greatest({a}.y0,{b}.y0) AS y0, least({a}.x1,{b}.x1) AS x1, least({a}.y1,{b}.y1) AS y1"
+
+
+def _boxes(a: str, b: str) -> tuple[str, str]:
+    return _BOTH.format(a=a, b=b), _CROSS.format(a=a, b=b)
+
+
+_AB, _IP, _CE = _boxes("a", "b"), _boxes("i", "p"), _boxes("c", "e")
+
+
+@query("E01_inject_special", f"""{duck('areas', 'eas')}, i AS (SELECT a.id*10000000 + b.id AS issue, {_AB[0]} FROM areas a JOIN areas b ON a.id < b.id AND {_AB[1]}),
+ p AS (SELECT DISTINCT parent, CAST((ea_id*31)%211 // 40 * 40 + 230*(ea_id // 1000) AS DOUBLE) AS x0, CAST((ea_id*59)%199 // 40 * 40 AS DOUBLE) AS y0, x0 + 40 AS x1, y0 + 40 AS y1 FROM (SELECT parent, ea_id FROM eas)),
+ c AS (SELECT * FROM (SELECT issue, parent, {_IP[0]} FROM i JOIN p ON {_IP[1]}) QUALIFY row_number() OVER (PARTITION BY issue ORDER BY (x1-x0)*(y1-y0) DESC, parent) = 1),
+ m AS (SELECT issue, ea_id, {_CE[0]} FROM c JOIN eas e ON {_CE[1]}),
+ o AS (SELECT issue, ea_id FROM m QUALIFY row_number() OVER (PARTITION BY issue ORDER BY (x1-x0)*(y1-y0) DESC, ea_id) = 1),
+ f AS (SELECT parent, min(ea_id) AS first FROM eas GROUP BY parent), n AS ({UNIT.format(k='ea_id', t='m')})
+ SELECT c.parent, (SELECT max(ea_id) FROM eas) + row_number() OVER (ORDER BY c.issue) AS fid, c.issue, coalesce(o.ea_id, f.first) AS source_id, s.ean, (c.x1-c.x0)*(c.y1-c.y0) AS area
+ FROM c LEFT JOIN o USING (issue) LEFT JOIN f ON f.parent = c.parent LEFT JOIN eas s ON s.ea_id = coalesce(o.ea_id, f.first)
+ UNION ALL SELECT parent, ea_id, NULL, NULL, ean, (x1-x0)*(y1-y0) - coalesce(n.area, 0) FROM eas LEFT JOIN n USING (ea_id)""")
 def e01(spark, sf):
-    """Overlaps of areas as special areas of the parent that they overlap most, with the
-    attributes of the area there that they overlap most and new numbers."""
-    pairs = spatial.overlap_pairs(load(spark, sf, "areas").select("id", *spatial.BOX), CELL)
-    issues = pairs.select((F.col("a.id") * 10_000_000 + F.col("b.id")).alias("issue"), *spatial.BOX)
-    eas = load(spark, sf, "eas").select("ea_id", "parent", "ean", *spatial.BOX)
-    best = spatial.best_overlap(issues, eas.select("ea_id", *spatial.BOX), CELL, "issue", "ea_id")
-    top = eas.agg(F.coalesce(F.max("ea_id"), F.lit(0))).first()[0]  # one number
-    special = spatial.numbered(best.join(eas.select("ea_id", "parent", "ean"), "ea_id"), "issue", "fid", top)
-    return special.select("parent", "fid", "issue", F.col("ea_id").alias("source_id"), "ean", geo.floor_round(F.col("area"), 6).alias("area"))
+    """Overlaps of areas as special areas, taken out of the enumeration areas."""
+    areas = load(spark, sf, "areas").select("id", *spatial.BOX)
+    pairs = spatial.overlap_pairs(areas, CELL).select((F.col("a.id") * 10_000_000 + F.col("b.id")).alias("issue"), wkb.rectangle(*[F.col(c) for c in spatial.BOX]).alias("geom"))
+    x, y = F.expr("CAST((ea_id*31)%211 div 40 * 40 + 230*(ea_id div 1000) AS DOUBLE)"), F.expr("CAST((ea_id*59)%199 div 40 * 40 AS DOUBLE)")
+    parents = load(spark, sf, "eas").select("parent", x.alias("px"), y.alias("py")).distinct().select("parent", wkb.rectangle(F.col("px"), F.col("py"), F.col("px") + 40, F.col("py") + 40).alias("geom"))
+    done = special.inject_special(_polygons(spark, sf).select("ea_id", "parent", "ean", "geom"), pairs, parents, CELL)
+    return done.select("parent", F.col("ea_id").alias("fid"), "issue", "source_id", "ean", geo.floor_round(ops.area_of("geom"), 6).alias("area"))
+
+
+_PAIRS = f"FROM areas a JOIN areas b ON a.id < b.id AND {_AB[1]}"
+_COMMON = "(least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0))"
+
+
+def _overlapping(spark, sf):
+    areas = load(spark, sf, "areas").select("id", *spatial.BOX).withColumn("g", wkb.rectangle(*[F.col(c) for c in spatial.BOX]))
+    pairs = spatial.overlap_pairs(areas, CELL).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), F.col("a.g").alias("g1"), F.col("b.g").alias("g2"))
+    return polygons.dealt(pairs)
+
+
+@query("G05_intersection", f"{A} SELECT a.id AS id1, b.id AS id2, {_AB[0]} {_PAIRS}")
+def g05(spark, sf):
+    found = spatial.cut_lineage(_overlapping(spark, sf).select("id1", "id2", ops.intersection_of("g1", "g2").alias("geom")))
+    return polygons.boxed(found).select("id1", "id2", *[geo.floor_round(F.col(c), 6).alias(c) for c in spatial.BOX])
+
+
+@query("G07_union_area", f"{A} SELECT a.id AS id1, b.id AS id2, (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) - {_COMMON} AS area {_PAIRS}")
+def g07(spark, sf):
+    return _overlapping(spark, sf).select("id1", "id2", geo.floor_round(ops.area_of(ops.union_of("g1", "g2")), 6).alias("area"))
+
+
+def _multi(spark, sf):
+    """Areas of three parts: the box, a sliver of side 0.01 and a square beside them."""
+    @F.pandas_udf("binary")
+    def make(i: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        def box(x, y, w, h):
+            return [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]]
+
+        return pd.Series([wkb.dump([box(x0, y0, x1 - x0, y1 - y0), box(x0, y1 + 1, 0.01, 0.01), box(x1 + 10, y0, 1 + k % 3, 1 + k % 3)]) for k, x0, y0, x1, y1 in zip(i, a, b, c, d)])
+
+    return load(spark, sf, "areas").select("id", make("id", *spatial.BOX).alias("geom"))
+
+
+@query("G03_single_parts", f"{A} SELECT id, part, CASE part WHEN 0 THEN (x1-x0)*(y1-y0) WHEN 1 THEN 1e-4 ELSE (1+id%3)*(1+id%3)::DOUBLE END AS area FROM areas, (SELECT unnest([0, 1, 2]) AS part)")
+def g03(spark, sf):
+    return ops.single_parts(_multi(spark, sf)).select("id", "part", geo.floor_round(ops.area_of("geom"), 6).alias("area"))
+
+
+@query("G29_force_single", f"{A} SELECT id, greatest((x1-x0)*(y1-y0), (1+id%3)*(1+id%3)::DOUBLE) AS area FROM areas")
+def g29(spark, sf):
+    return _multi(spark, sf).select("id", geo.floor_round(ops.area_of(ops.largest_part_of("geom")), 6).alias("area"))
+
+
+@query("A19_sliver_cleanup", f"{A} SELECT id, (x1-x0)*(y1-y0) + (1+id%3)*(1+id%3) AS area FROM areas")
+def a19(spark, sf):
+    return ops.without_slivers(_multi(spark, sf), "id").select("id", geo.floor_round(ops.area_of("geom"), 6).alias("area"))

@@ -295,13 +295,6 @@ def a18(spark, sf):
     return n.agg(geo.floor_round(F.least(F.greatest(0.01 * d * d, F.lit(0.5)), F.lit(100.0)), 6).alias("threshold"))
 
 
-@query("A19_sliver_cleanup", "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY l_extendedprice * l_discount >= 0.05 * max(l_extendedprice * l_discount) OVER (PARTITION BY l_orderkey)")
-def a19(spark, sf):
-    size = F.col("l_extendedprice") * F.col("l_discount")
-    df = load(spark, sf, "lineitem").withColumn("size", size).withColumn("top", F.max("size").over(Window.partitionBy("l_orderkey")))
-    return df.where(F.col("size") >= 0.05 * F.col("top")).select("l_orderkey", "l_linenumber")
-
-
 @query("A20_max_bsn", f"{S} SELECT ea_geocode, coalesce(max(CASE WHEN CAST(bsn AS INT) > 60000 AND CAST(bsn AS INT) < 70000 THEN CAST(bsn AS INT) END), 60000) AS bsn_2, lpad(CAST(coalesce(max(CASE WHEN bsn LIKE '7%' THEN CAST(bsn AS INT) END), 70000) AS VARCHAR), 5, '0') AS bsn_3 FROM survey GROUP BY ea_geocode")
 def a20(spark, sf):
     n = F.col("bsn").cast("int")
@@ -438,14 +431,6 @@ def u04(spark, sf):
     return load(spark, sf, "names").groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min_by("name", "id").alias("first_casing"))
 
 
-@query("G03_single_parts", f"{A} SELECT id, part, CASE part WHEN 0 THEN x0 ELSE (x0+x1)/2 END AS px0 FROM areas, (SELECT unnest([0, 1]) AS part)")
-def g03(spark, sf):
-    mid = (F.col("x0") + F.col("x1")) / 2
-    parts = F.array(geo.rect_ring(F.col("x0"), F.col("y0"), mid, F.col("y1")), geo.rect_ring(mid, F.col("y0"), F.col("x1"), F.col("y1")))
-    df = load(spark, sf, "areas").select("id", F.posexplode(parts).alias("part", "ring"))
-    return df.select("id", "part", F.col("ring")[0]["x"].alias("px0"))
-
-
 @query("G04_bounding_rect", f"{A} SELECT a.id AS id1, b.id AS id2, greatest(least(a.x1,b.x1)-greatest(a.x0,b.x0), least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS height, least(least(a.x1,b.x1)-greatest(a.x0,b.x0), least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS width FROM areas a JOIN areas b ON a.id < b.id AND {CROSS}")
 def g04(spark, sf):
     p = spatial.overlap_pairs(load(spark, sf, "areas").select("id", *spatial.BOX), CELL)
@@ -453,19 +438,6 @@ def g04(spark, sf):
     return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), F.greatest(w, h).alias("height"), F.least(w, h).alias("width"))
 
 
-@query("G05_intersection", f"{A} SELECT a.id AS id1, b.id AS id2, greatest(a.x0,b.x0) AS x0, greatest(a.y0,b.y0) AS y0, least(a.x1,b.x1) AS x1, least(a.y1,b.y1) AS y1 FROM areas a JOIN areas b ON a.id < b.id AND {CROSS}")
-def g05(spark, sf):
-    p = spatial.overlap_pairs(load(spark, sf, "areas").select("id", *spatial.BOX), CELL)
-    return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), *spatial.BOX)
-
-
-@query("G07_union_area", f"{A} SELECT a.id AS id1, b.id AS id2, (a.x1-a.x0)*(a.y1-a.y0) + (b.x1-b.x0)*(b.y1-b.y0) - {COMMON} AS area FROM areas a JOIN areas b ON a.id < b.id AND {CROSS}")
-def g07(spark, sf):
-    p = spatial.overlap_pairs(load(spark, sf, "areas").select("id", *spatial.BOX), CELL)
-    size = lambda t: spatial.box_area(*[F.col(f"{t}.{c}") for c in spatial.BOX])
-    return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), (size("a") + size("b") - spatial.box_area(*[F.col(c) for c in spatial.BOX])).alias("area"))
-
-
 @query("G10_within_distance", f"{A} SELECT a.id AS id1, b.id AS id2 FROM areas a JOIN areas b ON a.id < b.id AND a.x0 - 1 <= b.x1 AND b.x0 <= a.x1 + 1 AND a.y0 - 1 <= b.y1 AND b.y0 <= a.y1 + 1")
 def g10(spark, sf):
     areas = load(spark, sf, "areas").select("id", *spatial.BOX)
@@ -486,12 +458,6 @@ def g21(spark, sf):
     return spatial.strips(eas, F.greatest(F.lit(2), F.ceil(F.col("hhcount") / 300.0))).select("ea_id", "strip", "x0", "y0")
 
 
-@query("G29_force_single", f"{A} SELECT id, greatest((x1-x0)*(y1-y0), CAST(id % 60 AS DOUBLE)) AS area FROM areas")
-def g29(spark, sf):
-    parts = F.array(F.struct(spatial.box_area(*[F.col(c) for c in spatial.BOX]).alias("area"), F.lit(0).alias("part")), F.struct((F.col("id") % 60).cast("double").alias("area"), F.lit(1).alias("part")))
-    return load(spark, sf, "areas").select("id", F.array_max(parts)["area"].alias("area"))
-
-
 @query("E02_classify", f"{E} SELECT ea_id, CASE WHEN lower(trim(eadel_indi)) IN ('for delineation', 'for_delineation') OR hhcount >= 300 THEN 'delineate' WHEN hhcount <= 100 THEN 'merge' ELSE 'none' END AS class, CASE WHEN hhcount = 0 THEN 1.0 ELSE 300.0 / hhcount END AS ratio FROM eas")
 def e02(spark, sf):
     c = rules.ea_class(F.col("hhcount"), F.col("eadel_indi"), None, F.lit(False))
@@ -511,6 +477,19 @@ def e04(spark, sf):
     return spatial.first_containing(load(spark, sf, "buildings").select("pid", "x", "y"), wanted, CELL, "pid", "ea_id")
 
 
+_CLASS = "CASE WHEN lower(trim(eadel_indi)) IN ('for delineation', 'for_delineation') OR hhcount >= 300 THEN 'delineate' WHEN hhcount <= 100 THEN 'merge' ELSE 'none' END"
+
+
+@query("E05_preview", f"{duck('eas', 'buildings')}, c AS (SELECT *, {_CLASS} AS class FROM eas), m AS (SELECT b.pid, min(a.ea_id) AS ea_id FROM buildings b JOIN c a ON {HIT} AND class <> 'none' GROUP BY b.pid) SELECT c.ea_id, class, hhcount, count(m.pid) AS bldg_count FROM c LEFT JOIN m USING (ea_id) WHERE class <> 'none' GROUP BY ALL")
+def e05(spark, sf):
+    """Candidates and their buildings, without splitting or merging any."""
+    c = rules.ea_class(F.col("hhcount"), F.col("eadel_indi"), None, F.lit(False))
+    wanted = load(spark, sf, "eas").withColumn("class", c).where("class <> 'none'")
+    found = spatial.first_containing(load(spark, sf, "buildings").select("pid", "x", "y"), wanted.select("ea_id", *spatial.BOX), CELL, "pid", "ea_id")
+    counts = found.groupBy("ea_id").agg(F.count("*").alias("n"))
+    return wanted.join(counts, "ea_id", "left").select("ea_id", "class", "hhcount", F.coalesce("n", F.lit(0)).alias("bldg_count"))
+
+
 @query("E06_load_needed", f"{E}, c AS (SELECT * FROM eas WHERE hhcount >= 300 OR hhcount <= 100 OR eadel_indi IS NOT NULL) SELECT ea_id FROM c UNION SELECT b.ea_id FROM c a JOIN eas b ON a.parent = b.parent AND a.ea_id <> b.ea_id AND {MEET}")
 def e06(spark, sf):
     eas = load(spark, sf, "eas").select("ea_id", "parent", "hhcount", "eadel_indi", *spatial.BOX)
@@ -519,10 +498,9 @@ def e06(spark, sf):
     return c.select("ea_id").union(met.select(F.col("b.ea_id").alias("ea_id"))).distinct()
 
 
-@query("E15_code_assignment", f"{_SEQ}, v AS (SELECT *, CASE WHEN NOT is_new THEN ean WHEN substr(ean, 1, 3) = '000' THEN lpad(CAST(sequence AS VARCHAR), 3, '0') || '000' ELSE substr(ean, 1, 3) || lpad(CAST(sequence AS VARCHAR), 3, '0') END AS new_ea FROM q) SELECT parent, count(*) AS n, count(DISTINCT new_ea) AS codes, max(new_ea) AS last FROM v GROUP BY parent")
+@query("E15_code_assignment", f"{_SEQ} SELECT parent, ea_id, CASE WHEN NOT is_new THEN ean WHEN substr(ean, 1, 3) = '000' THEN lpad(CAST(sequence AS VARCHAR), 3, '0') || '000' ELSE substr(ean, 1, 3) || lpad(CAST(sequence AS VARCHAR), 3, '0') END AS new_ea FROM q")
 def e15(spark, sf):
-    v = _sequenced(spark, sf).withColumn("new_ea", F.when(~F.col("is_new"), F.col("ean")).otherwise(codes.compose_ea_code(F.col("ean"), F.col("sequence"))))
-    return v.groupBy("parent").agg(F.count("*").alias("n"), F.countDistinct("new_ea").alias("codes"), F.max("new_ea").alias("last"))
+    return _sequenced(spark, sf).select("parent", "ea_id", F.when(~F.col("is_new"), F.col("ean")).otherwise(codes.compose_ea_code(F.col("ean"), F.col("sequence"))).alias("new_ea"))
 
 
 @query("E16_output_routing", f"{E} SELECT ea_id, CASE WHEN hhcount >= 300 OR ea_id % 29 = 0 THEN 'delineated' WHEN hhcount <= 100 THEN 'merged' ELSE 'retained' END AS sink FROM eas")

@@ -230,13 +230,15 @@ def f12(spark, sf):
     return load(spark, sf, "areas").select("id", codes.psgc_to_14(F.substring("geocode", 5, 10)).alias("v"))
 
 
-@query("F13_city_detect", "SELECT c_custkey, p.p_name AS city FROM (SELECT c_custkey, 'x' || replace(b.p_name, ' ', '') || '_bgy' AS layer FROM customer JOIN part b ON b.p_partkey = c_custkey) l JOIN (SELECT DISTINCT p_name FROM part) p ON replace(p.p_name, ' ', '') = substr(replace(layer, '_bgy', ''), 2)")
+_LAYER = "CASE c_custkey % 4 WHEN 0 THEN concat(p_name, '_BGY') WHEN 1 THEN concat('North ', p_name, ' - Barangay') WHEN 2 THEN concat(substr(p_name, 2, 5), '_bgy') ELSE concat('qz ', substr(p_name, 4, 6)) END"
+
+
+@query("F13_city_detect", f"""WITH l AS (SELECT c_custkey, {_LAYER} AS layer FROM customer JOIN part ON p_partkey = c_custkey), k AS (SELECT c_custkey, regexp_replace(lower(regexp_replace(layer, '[_\\-\\s]+(bgy|barangay)$', '', 'i')), '[^a-z0-9]', '', 'g') AS k FROM l),
+ p AS (SELECT replace(lower(p_name), ' ', '') AS c, min(p_partkey) AS o, arg_min(p_name, p_partkey) AS city FROM part GROUP BY 1) SELECT c_custkey, arg_min(city, o) AS city FROM k LEFT JOIN p ON k <> '' AND (contains(k, c) OR contains(c, k)) GROUP BY c_custkey""")
 def f13(spark, sf):
-    layers = load(spark, sf, "customer").join(load(spark, sf, "part"), F.col("p_partkey") == F.col("c_custkey"))
-    layers = layers.select("c_custkey", F.concat(F.lit("x"), F.replace("p_name", F.lit(" "), F.lit("")), F.lit("_bgy")).alias("layer"))
-    key = F.regexp_replace(F.regexp_replace(F.lower("layer"), "_bgy|_barangay", ""), "[^a-z0-9]", "")
-    cities = load(spark, sf, "part").select(F.col("p_name").alias("city")).distinct().withColumn("k", F.replace("city", F.lit(" "), F.lit("")))
-    return layers.withColumn("k", F.substring(key, 2, 1000)).join(cities, "k").select("c_custkey", "city")
+    part = load(spark, sf, "part")
+    layers = load(spark, sf, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select("c_custkey", F.expr(_LAYER).alias("layer"))
+    return rel.city_detect(layers, part.select("p_name", "p_partkey"), "layer", "p_name", "p_partkey").select("c_custkey", "city")
 
 
 @query("F14_mbi_level", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 + 1 > 1 THEN '1_Inter-Region' WHEN l_partkey % 3 > 1 THEN '2_Inter-Province' WHEN l_suppkey % 4 > 1 THEN '3_Inter-City/Municipality' WHEN l_orderkey % 3 > 1 THEN '4_Inter-Barangay' ELSE '5_Within-Barangay' END AS mbi_level FROM lineitem")

@@ -119,3 +119,12 @@ def test_affine_is_recovered_with_swap_and_outliers(spark):
 def test_aliases():
     assert rel.resolve_first_column(["id", "EAN"], ["ean", "id"]) == "id"
     assert rel.resolve_first_alias(["id", "City/Mun"], ["ean", "city_mun", "id"]) == "City/Mun"
+
+
+def test_city_of_a_layer(spark):
+    cities = spark.createDataFrame([("San Jose", 2), ("San", 3), ("Quezon City", 1), ("", 0), (None, 0)], "name string, o int")
+    layers = spark.createDataFrame([(1, "SanJose_bgy"), (2, "quezon - Barangay"), (3, "Quezzon Citi_bgy"), (4, "zzz"), (5, None), (6, "_bgy"), (7, "x San Pedro"), (7, "x San Pedro")], "id long, layer string")
+    found = lambda cutoff: sorted((r["id"], r["city"]) for r in rel.city_detect(layers, cities, "layer", "name", "o", cutoff).collect())
+    sure = [(1, "San Jose"), (2, "Quezon City"), (3, None), (4, None), (5, None), (6, None), (7, "San"), (7, "San")]
+    assert found(None) == sure
+    assert found(0.75) == [(3, "Quezon City") if r[0] == 3 else r for r in sure]

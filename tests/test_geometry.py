@@ -11,6 +11,7 @@ from cadastra.geometry import wkb
 from cadastra.operators import spatial
 from cadastra.plans import enumeration as ea
 from cadastra.plans import geometry_ops as ops
+from cadastra.plans import special
 from cadastra.sources import layers
 
 
@@ -199,3 +200,32 @@ def test_writers(spark, tmp_path):
     assert (tmp_path / "packages" / "geocode=01").is_dir()
     with pytest.raises(ValueError):
         layers.require_columns(df, "n", "m")
+
+
+def test_special_areas_are_clipped_and_taken_out(spark):
+    shape = lambda *a: wkb.dump(square(*a))
+    eas = spark.createDataFrame([(1, "p", "001", shape(0, 0, 2, 4)), (2, "p", "002", shape(2, 0, 2, 4)), (3, "q", "003", shape(4, 0, 4, 4)), (4, "q", "004", None)], "ea_id long, parent string, ean string, geom binary")
+    parents = spark.createDataFrame([("p", shape(0, 0, 4, 4)), ("q", shape(4, 0, 4, 4)), ("r", shape(20, 0, 4, 4))], "parent string, geom binary")
+    issues = spark.createDataFrame([(10, shape(1, 1, 4, 2)), (11, shape(5, 5, 1, 1)), (12, shape(21, 1, 1, 1)), (13, None), (14, shape(2, 0, 2, 4))], "issue long, geom binary")
+    got = {r["ea_id"]: (r["parent"], r["ean"], r["issue"], r["source_id"], r["geom"] and arr.area(wkb.parse(r["geom"]))) for r in special.inject_special(eas, issues, parents, 4.0).collect()}
+    assert got == {
+        1: ("p", "001", None, None, 6.0), 2: ("p", "002", None, None, 0.0), 3: ("q", "003", None, None, 16.0), 4: ("q", "004", None, None, None),
+        5: ("p", "002", 10, 2, 6.0), 6: ("r", None, 12, None, 1.0), 7: ("p", "002", 14, 2, 8.0)}
+    assert special.inject_special(eas, issues.limit(0), parents, 4.0).count() == 4
+    assert special.inject_special(eas.limit(0), issues, parents, 4.0).count() == 3
+
+
+def test_borders_of_split_areas(spark):
+    rows = [("p", 1, "delineated", wkb.dump(square(0, 0, 2, 4))), ("p", 1, "delineated", wkb.dump(square(2, 0, 2, 4))), ("p", 1, "delineated", wkb.dump(square(4, 0, 2, 4))), ("p", 2, "retained", wkb.dump(square(6, 0, 2, 4)))]
+    done = spark.createDataFrame(rows, "parent string, ea_id long, sink string, geom binary")
+    got = [(r["ea_id"], r["line"], r["length"], sorted(map(tuple, r["points"]))) for r in ea.split_borders(done).orderBy("line").collect()]
+    assert got == [(1, 0, 4.0, [(2.0, 0.0), (2.0, 4.0)]), (1, 1, 4.0, [(4.0, 0.0), (4.0, 4.0)])]
+
+
+def test_parts_and_slivers(spark):
+    many = [*square(0, 0, 10, 10), *square(20, 0, 0.05, 0.05), *square(30, 0, 0.2, 0.2)]
+    rows = [("a", wkb.dump(many)), ("a", wkb.dump(square(40, 0, 1, 1))), ("b", wkb.dump(square(0, 0, 0.01, 0.01))), ("c", None), ("d", wkb.dump([]))]
+    layer = spark.createDataFrame(rows, "name string, geom binary")
+    assert sorted((r["name"], r["part"]) for r in ops.single_parts(layer).collect()) == [("a", 0), ("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    assert {r["name"]: arr.area(wkb.parse(r["geom"])) for r in ops.without_slivers(layer, "name").collect()} == pytest.approx({"a": 101.04, "b": 0.0001})
+    assert [r[0] and round(arr.area(wkb.parse(r[0])), 9) for r in layer.where("name <> 'a'").select(ops.largest_part_of("geom")).collect()] == [0.0001, None, 0]
