@@ -130,8 +130,8 @@ def identify(
 
     Nulls: missing evidence (null or empty) is no evidence; a text without letters
     has none of its own and is rejected, as language ``und``.  Ties go to the first
-    language in alphabetical order.  Repeated rows get equal results; an empty table
-    gives no rows; names of columns cannot clash."""
+    language in alphabetical order.  Very long texts count whole.  Repeated rows get
+    equal results; an empty table gives no rows; names of columns cannot clash."""
     spark = docs.sparkSession
     none = F.lit(None).cast("string")
     names = [f"c{i}" for i in range(len(docs.columns))]

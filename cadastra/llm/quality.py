@@ -193,8 +193,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Nulls: a null text is an empty one, which has a score like any other; a null id
     is not held out; a null length is a feature of its own.  Without labelled rows
-    every score is 0.5.  Repeated rows get equal scores; an empty table gives no
-    rows; other columns are ignored, whatever their names."""
+    every score is 0.5.  Very long texts are scored whole.  Repeated rows get equal
+    scores; an empty table gives no rows; other columns are ignored, whatever their names."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(chars_col).cast("long") if chars_col in docs.columns else F.lit(None).cast("long")).alias("n_chars"))
     machine = train(docs, labels, id_col, text_col, chars_col)
     model = docs.sparkSession.sparkContext.broadcast(machine)

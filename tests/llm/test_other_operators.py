@@ -72,6 +72,13 @@ def test_main_text_table(spark):
     assert got == sorted([(1, "Text of the page.", 17), (2, "", 0), (None, "", 0), (3, "deep", 4), (3, "deep", 4)], key=repr)
 
 
+def test_main_text_of_an_empty_table_and_of_equal_lines(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.main_text(pages).count() == 0
+    line = "<p>The same line of words stands here every time.</p>"
+    assert html.extract(f"<article>{line * 4}</article>").split("\n") == ["The same line of words stands here every time."] * 4
+
+
 def test_two_means_splits():
     assert 10 < html.two_means([1, 2, 1, 40, 50, 45]) < 40
 

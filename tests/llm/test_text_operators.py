@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -309,6 +309,65 @@ def test_language(spark, docs, empty):
     assert language.identify_documents(empty).count() == 0
 
 
+def test_language_of_all_rows(docs, rows):
+    """Null ids, repeated and very long rows come back, one result each."""
+    found = language.identify_documents(docs).select("row.c0", "language", "accepted", "posterior").collect()
+    assert sorted((r[0] for r in found), key=repr) == sorted((r[0] for r in rows), key=repr)
+    twice = [tuple(r) for r in found if r[0] == 202]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    long = next(r for r in found if r[0] == 203)
+    assert long["language"] == "en" and long["accepted"] and sum(r[0] is None for r in found) == 1
+
+
+def test_language_equals_a_plain_sum_of_evidence(spark):
+    rng = random.Random(5)
+    words = {"en": "the of and to in is that for", "de": "der die und das ist nicht mit ein", "fr": "le la de et les des en un"}
+    hosts = ["a.site.de", "b.site.de", "site.com", None, "x.org"]
+    rows = [(i, " ".join(rng.choice(words[w].split()) for _ in range(rng.choice((1, 2, 5)))), rng.choice((w, w, None, "xx")), rng.choice(hosts)) for i, w in enumerate(rng.choice(list(words)) for _ in range(80))]
+    rows += [(90, None, "en", "site.com"), (91, "", None, None)]
+    every, n = language.LANGUAGES, len(language.LANGUAGES)
+    told = [lang if lang in every else None for *_, lang, _ in rows]
+    counts = [Counter(language.trigrams(language.SEEDS[x]).tolist()) for x in every]
+    for (_, text, *_), lang in zip(rows, told):
+        if lang:
+            counts[every.index(lang)].update(language.trigrams(text).tolist())
+
+    def shares(picked, base, weight):
+        k = Counter(told[i] for i in picked if told[i])
+        return [(k[x] + weight * b) / (k.total() + weight) for x, b in zip(every, base)]
+
+    def rows_of(test):
+        return [i for i, r in enumerate(rows) if r[3] and test(r[3])]
+
+    want = {}
+    for (i, text, _, host), lang in zip(rows, told):
+        index = language.trigrams(text).tolist()
+        if not index:
+            want[i] = ("und", 0.0, False)
+            continue
+        domain = host and ".".join(host.split(".")[-2:])
+        total = shares(rows_of(lambda h: True), [1 / n] * n, n)
+        prior = shares(rows_of(lambda h: h == host), shares(rows_of(lambda h: h.endswith(domain)), total, language.DOMAIN_WEIGHT), language.HOST_WEIGHT) if host else [1 / n] * n
+        ending = language.SUFFIX_LANGUAGE.get(host.rsplit(".", 1)[-1]) if host else None
+        score = []
+        for k, x in enumerate(every):
+            size = sum(counts[k].values()) + language.ALPHA * language.BUCKETS
+            s = language.TEMPER * sum(math.log((counts[k][b] + language.ALPHA) / size) for b in index)
+            for value, right in ((lang, language.DECLARED), (ending, language.SUFFIX)):
+                if value:
+                    s += math.log(right if value == x else (1 - right) / (n - 1))
+            score.append(s + math.log((1 - language.UNKNOWN_PRIOR) * prior[k]))
+        score.append(-language.TEMPER * len(index) * math.log(language.BUCKETS) - math.log(n) * ((lang is not None) + (ending is not None)) + math.log(language.UNKNOWN_PRIOR))
+        best = max(range(n + 1), key=lambda k: score[k])
+        posterior = 1 / sum(math.exp(v - score[best]) for v in score)
+        want[i] = ([*every, "und"][best], posterior, best < n and posterior >= language.ACCEPT)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r[0]: r for r in language.identify_documents(docs).select("row.c0", "language", "posterior", "accepted").collect()}
+    assert got.keys() == want.keys()
+    for i, (lang, posterior, accepted) in want.items():
+        assert got[i]["language"] == lang and got[i]["posterior"] == pytest.approx(posterior, abs=1e-4) and (got[i]["accepted"] == accepted or abs(posterior - language.ACCEPT) < 1e-4), rows[i if i < 80 else -1]
+
+
 def test_hot_hosts_are_dealt(spark, docs, monkeypatch):
     found = lambda: sorted(map(tuple, language.identify_documents(docs).select("row.c0", "language", "posterior", "accepted").collect()), key=repr)
     want = found()
@@ -359,6 +418,18 @@ def test_quality(spark, empty):
     assert {r["score"] for r in quality.scored(docs, told.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_repeated_and_long_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, junk(rng, 50) if i % 2 else prose(rng, 50), "en", "s", 50, "", "", "") for i in range(200)]
+    told = spark.createDataFrame([(r[0], 1 - r[0] % 2, 0) for r in rows] * 2, "doc_id long, quality int, toxic int")
+    rows += [(500, prose(rng, 200_000), "en", "s", None, "", "", "")] + [(501, "the same words", "en", "s", 14, "", "", "")] * 3
+    got = defaultdict(list)
+    for r in quality.scored(spark.createDataFrame(rows, DOCS), told).collect():
+        got[r["id"]].append(r["score"])
+    assert {i: len(v) for i, v in got.items()} == {**dict.fromkeys(range(200), 1), 500: 1, 501: 3}
+    assert len(set(got[501])) == 1 and got[500][0] > 0.7
+
+
 def test_machine_is_linear_time_identity():
     rng = np.random.default_rng(1)
     m = quality.Machine(0.3, rng.normal(size=quality.SIZE), rng.normal(size=(quality.SIZE, quality.RANK)) * 0.1)
@@ -380,6 +451,18 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {600 + i for i in range(120)} <= ids and len(ids & set(range(60, 66))) <= 1
 
 
+def test_pipeline_of_empty_tables(spark, docs, empty, tmp_path):
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, table in (("full", docs), ("none", empty)):
+        table.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").where("piece = 0").collect()]
+    # null and empty texts have no language; of each group of copies one is left
+    assert 203 in ids and not {200, 201} & set(ids) and ids.count(202) <= 1 and len(set(ids) & set(range(60, 66))) == 1
+
+
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_connected_components(spark, monkeypatch, bound):
     monkeypatch.setattr(shared, "TASK_EDGES", bound)
