@@ -90,11 +90,32 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50).withColumnRenamed("id", "doc_id")
+
+
+def op12_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(table(spark, sf_dir, "documents"), weights=[1.0] * 16, grown=[1.0] * 17).withColumnRenamed("id", "doc_id")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, first=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, licenses
+    from . import decontaminate, lexical, licenses, phrases, sharding
 
-    return {"op4_license_scan": licenses.oracle_sql(), "op9_benchmark_contamination": decontaminate.ORACLE_SQL}
+    return {
+        "op4_license_scan": licenses.oracle_sql(), "op9_benchmark_contamination": decontaminate.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL,
+        "op12_rendezvous_sharding": sharding.oracle_sql(), "op13_phrase_collocations": phrases.ORACLE_SQL,
+    }
