@@ -27,6 +27,8 @@ from . import shared
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Terms or item terms of no more rows than this are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: A term of more postings than this is dealt over several buckets.
+BUCKET_ROWS = 20_000
 #: Documents scored whole first are found by terms that at most 1 in so many documents hold.
 RARE = 32
 
@@ -92,8 +94,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
     stats = shared.materialise(posting.groupBy("term").agg(F.count("*").alias("df"), F.max("t").alias("most")), "term-stats")
     weight = F.floor(1000 * F.log((F.lit(2 * total["docs"] + 2).cast("double")) / (2 * F.col("df") + 1))).cast("long")
     query = shared.materialise(asked.join(stats, "term").withColumn("w", weight), "query")
-    buckets = shared.join_unique(posting, stats.select("term"), ["term"], stats.select("term", F.col("df").alias("rows")), ["rid"])
-    postings = shared.materialise(buckets.sortWithinPartitions("term"), "postings")
+    known = shared.join_unique(posting, stats.select("term", "df"), ["term"], stats.select("term", F.col("df").alias("rows")), ["rid"])
+    dealt = known.select("term", "rid", "t", "top", F.pmod(F.xxhash64("rid"), F.ceil(F.col("df") / BUCKET_ROWS)).alias("part"))
+    postings = shared.materialise(dealt.repartition("term", "part").sortWithinPartitions("term").drop("part"), "postings")
 
     seeds = _summed(postings, query.where(F.col("df") * RARE <= total["docs"]))
     hot = query.where(F.col("df") * RARE > total["docs"]).groupBy("item").agg(F.sum("w").alias("hot"))
