@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
+from cadastra.operators import topology
 from cadastra.operators.polygons import dealt
 
 MIN_HOUSEHOLDS, MAX_HOUSEHOLDS = 100, 300
@@ -136,6 +137,17 @@ def cells_to_parts(ea: dict, groups: list[list[int]], how: str) -> list[dict]:
         used |= {points[i] for i in group}
         whole = arr.intersection(ea["geom"], arr.union([[[r]] for r in own if len(r) > 2])) if own else []
         parts += [_part(ea, [polygon], how) for polygon in whole]
+    return _covering(ea, parts)
+
+
+def _covering(ea: dict, parts: list[dict]) -> list[dict]:
+    """Parts with the ground and the buildings of the area that none of them has."""
+    missing = arr.area(ea["geom"]) - sum(arr.area(p["geom"]) for p in parts)
+    if parts and missing > 1e-9 * arr.area(ea["geom"]):
+        for p, geom in zip(parts, topology.allocated([p["geom"] for p in parts], ea["geom"])):
+            if geom is not p["geom"]:
+                more = _part(ea, geom, p["split_by"])["buildings"]  # those no part has taken
+                p.update(geom=geom, buildings=p["buildings"] + more, hh=p["hh"] + sum(b[2] for b in more))
     return parts
 
 
@@ -154,7 +166,7 @@ def strips(ea: dict, n: int) -> list[dict]:
         cut = arr.intersection(ea["geom"], [[box]])
         if cut:
             out.append(_part(ea, cut, "strips"))
-    return out
+    return _covering(ea, out)
 
 
 def merge_into(parts: list[dict], at: int, to: int) -> None:
@@ -366,13 +378,19 @@ def split_lines(parts: list[dict]) -> list[arr.Ring]:
 LINES = "parent string, ea_id long, line int, length double, points array<array<double>>"
 
 
-def split_borders(done: DataFrame) -> DataFrame:
+def split_borders(done: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """The lines along which areas were split, from the rows of ``delineate``: a row per
-    joined line, numbered within its area.  A task sees the parts of one area."""
+    joined line, numbered within its area.  A task sees the parts of one area.  With a
+    snapping ``tolerance`` gaps up to four times as wide are bridged and loose ends under
+    twice its length go."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shapes = sorted((wkb.parse(g) for g in pdf["geom"]), key=arr.centroid)
         lines = sorted(split_lines([{"geom": g} for g in shapes]))
         rows = [(*key, i, sum(math.dist(p, q) for p, q in zip(line, line[1:])), [list(map(float, p)) for p in line]) for i, line in enumerate(lines)]
         return pd.DataFrame(rows, columns=["parent", "ea_id", "line", "length", "points"])
 
-    return done.where("sink = 'delineated'").groupBy("parent", "ea_id").applyInPandas(run, LINES)
+    lines = done.where("sink = 'delineated'").groupBy("parent", "ea_id").applyInPandas(run, LINES)
+    if tolerance <= 0:
+        return lines
+    fine = topology.refine_lines(lines, ["parent", "ea_id"], 4 * tolerance, 2 * tolerance)
+    return fine.withColumn("length", topology.line_length(F.col("points"))).select("parent", "ea_id", "line", "length", "points")

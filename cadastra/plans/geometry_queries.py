@@ -115,7 +115,7 @@ def e12(spark, sf):
 @query("E17_split_lines")
 def e17(spark, sf):
     eas, buildings = _engine(spark, sf)
-    return enumeration.split_borders(enumeration.delineate(eas, buildings)).select("parent", "ea_id", "line", geo.floor_round(F.col("length"), 6).alias("length"))
+    return enumeration.split_borders(enumeration.delineate(eas, buildings), tolerance=0.05).select("parent", "ea_id", "line", geo.floor_round(F.col("length"), 6).alias("length"))
 
 
 _CROSS = "{a}.x0 < {b}.x1 AND {b}.x0 < {a}.x1 AND {a}.y0 < {b}.y1 AND {b}.y0 < {a}.y1"
