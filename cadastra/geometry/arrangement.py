@@ -25,9 +25,8 @@ def ring_area(ring: Ring) -> float:
     a = np.asarray(ring, dtype=float)
     if len(a) < 3:
         return 0.0
-    a = a - a[0]
-    b = np.roll(a, -1, axis=0)
-    return float((a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]).sum() / 2)
+    x, y = a[1:, 0] - a[0, 0], a[1:, 1] - a[0, 1]  # from the first point, whose terms are zero
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
 
 
 def area(g: Geometry) -> float:
@@ -61,7 +60,8 @@ def bounds(g: Geometry) -> tuple[float, float, float, float]:
 
 
 def segments(g: Geometry) -> np.ndarray:
-    out = [np.hstack([np.asarray(r, dtype=float), np.roll(np.asarray(r, dtype=float), -1, axis=0)]) for p in g for r in p if len(r) > 1]
+    rings = [np.asarray(r, dtype=float) for p in g for r in p if len(r) > 1]
+    out = [np.hstack([a, np.concatenate([a[1:], a[:1]])]) for a in rings]
     return np.vstack(out) if out else np.empty((0, 4))
 
 
@@ -86,6 +86,33 @@ def contains(g: Geometry, points: np.ndarray, boundary: bool = True, tol: float
     return inside | on if boundary else inside & ~on
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows in order, and for each row its place among them."""
+    order = np.lexsort(rows.T[::-1])
+    ordered = rows[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+    place = np.empty(len(rows), dtype=int)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def _meeting(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``i < j`` of boxes that meet, found in blocks."""
+    found = [np.empty((0, 2), dtype=int)]
+    n = len(lo)
+    step = max(1, 1_000_000 // max(n, 1))
+    for at in range(0, n, step):
+        rows, rest = slice(at, at + step), slice(at + 1, n)
+        hit = (lo[None, rest, 0] <= hi[rows, None, 0]) & (hi[None, rest, 0] >= lo[rows, None, 0]) & (lo[None, rest, 1] <= hi[rows, None, 1]) & (hi[None, rest, 1] >= lo[rows, None, 1])
+        pairs = np.argwhere(hit)
+        pairs[:, 0] += at
+        pairs[:, 1] += at + 1
+        found.append(pairs[pairs[:, 0] < pairs[:, 1]])
+    pairs = np.vstack(found)
+    return pairs[:, 0], pairs[:, 1]
+
+
 class Arrangement:
     """Faces of the common subdivision of several geometries (and lines)."""
 
@@ -107,17 +134,16 @@ class Arrangement:
     def _noded(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = self._snap(s)
         for _ in range(4):  # cuts are snapped, which may need cutting anew
-            s = np.unique(np.where((s[:, :2] > s[:, 2:]).any(axis=1, keepdims=True) & self._swap(s), s[:, [2, 3, 0, 1]], s), axis=0)
+            s, _ = _distinct(np.where(self._swap(s), s[:, [2, 3, 0, 1]], s))
             s = s[(s[:, :2] != s[:, 2:]).any(axis=1)]
             cut = self._cut(s)
             if len(cut) == len(s):
                 break
             s = cut
         points = np.vstack([s[:, :2], s[:, 2:]]) if len(s) else np.empty((0, 2))
-        nodes, index = np.unique(points, axis=0, return_inverse=True)
-        index = index.reshape(-1)
+        nodes, index = _distinct(points)
         edges = np.stack([index[: len(s)], index[len(s) :]], axis=1) if len(s) else np.empty((0, 2), dtype=int)
-        edges = np.unique(np.sort(edges, axis=1), axis=0)
+        edges, _ = _distinct(np.sort(edges, axis=1))
         return nodes, edges[edges[:, 0] != edges[:, 1]] if len(edges) else edges
 
     @staticmethod
@@ -126,46 +152,43 @@ class Arrangement:
 
     def _cut(self, s: np.ndarray) -> np.ndarray:
         """Segments split where another one crosses, touches or overlaps them."""
-        n, tol = len(s), self.grid * 2
-        cuts: dict[int, list[Point]] = defaultdict(list)
+        tol = self.grid * 2
         lo, hi = np.minimum(s[:, :2], s[:, 2:]) - tol, np.maximum(s[:, :2], s[:, 2:]) + tol
         d = s[:, 2:] - s[:, :2]
         size = np.hypot(d[:, 0], d[:, 1])
-        for i in range(n):
-            j = np.flatnonzero((lo[i + 1 :] <= hi[i]).all(axis=1) & (hi[i + 1 :] >= lo[i]).all(axis=1)) + i + 1
-            if not len(j):
-                continue
-            for end in (s[j, :2], s[j, 2:]):  # ends of others on this one
-                off = end - s[i, :2]
-                t = off @ d[i] / (size[i] ** 2)
-                gap = np.abs(d[i, 0] * off[:, 1] - d[i, 1] * off[:, 0]) / size[i]
-                for p in end[(gap <= tol) & (t * size[i] > tol) & ((1 - t) * size[i] > tol)]:
-                    cuts[i].append((p[0], p[1]))
-            for end in (s[i, :2], s[i, 2:]):  # this one's ends on others
-                off = end - s[j, :2]
-                t = (off * d[j]).sum(axis=1) / size[j] ** 2
-                gap = np.abs(d[j, 0] * off[:, 1] - d[j, 1] * off[:, 0]) / size[j]
-                for k in j[(gap <= tol) & (t * size[j] > tol) & ((1 - t) * size[j] > tol)]:
-                    cuts[int(k)].append((end[0], end[1]))
-            cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
-            off = s[j, :2] - s[i, :2]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t = (off[:, 0] * d[j, 1] - off[:, 1] * d[j, 0]) / cross
-                u = (off[:, 0] * d[i, 1] - off[:, 1] * d[i, 0]) / cross
-            a, b = tol / size[i], tol / size[j]
-            meet = (np.abs(cross) > 1e-14 * size[i] * size[j]) & (t > a) & (t < 1 - a) & (u > b) & (u < 1 - b)
-            for k in np.flatnonzero(meet):
-                p = self._snap(s[i, :2] + t[k] * d[i])
-                cuts[i].append((p[0], p[1]))
-                cuts[int(j[k])].append((p[0], p[1]))
-        if not cuts:
+        i, j = _meeting(lo, hi)
+        who, where = [], []
+
+        def ends_on(k: np.ndarray, ends: np.ndarray) -> None:
+            off = ends - s[k, :2]
+            along = (off * d[k]).sum(axis=1) / size[k]
+            gap = np.abs(d[k, 0] * off[:, 1] - d[k, 1] * off[:, 0]) / size[k]
+            hit = (gap <= tol) & (along > tol) & (size[k] - along > tol)
+            who.append(k[hit])
+            where.append(ends[hit])
+
+        for k, other in ((i, j), (j, i)):
+            ends_on(k, s[other, :2])
+            ends_on(k, s[other, 2:])
+        cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+        off = s[j, :2] - s[i, :2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (off[:, 0] * d[j, 1] - off[:, 1] * d[j, 0]) / cross
+            u = (off[:, 0] * d[i, 1] - off[:, 1] * d[i, 0]) / cross
+        a, b = tol / size[i], tol / size[j]
+        meet = np.flatnonzero((np.abs(cross) > 1e-14 * size[i] * size[j]) & (t > a) & (t < 1 - a) & (u > b) & (u < 1 - b))
+        p = self._snap(s[i[meet], :2] + t[meet, None] * d[i[meet]])
+        k, p = np.concatenate([*who, i[meet], j[meet]]), np.vstack([*where, p, p])
+        if not len(k):
             return s
-        out = [s[[i for i in range(n) if i not in cuts]]]
-        for i, points in cuts.items():
-            a = s[i, :2]
-            chain = [tuple(a), *sorted(set(points), key=lambda p: (p[0] - a[0]) ** 2 + (p[1] - a[1]) ** 2), tuple(s[i, 2:])]
-            out.append(np.array([[*p, *q] for p, q in zip(chain, chain[1:])]))
-        return np.vstack(out)
+        whole = np.ones(len(s), dtype=bool)
+        whole[k] = False
+        cut = np.flatnonzero(~whole)
+        k, p = np.concatenate([k, cut, cut]), np.vstack([p, s[cut, :2], s[cut, 2:]])
+        order = np.lexsort((((p - s[k, :2]) ** 2).sum(axis=1), k))
+        k, p = k[order], p[order]
+        new = (k[1:] == k[:-1]) & (p[1:] != p[:-1]).any(axis=1)
+        return np.vstack([s[whole], np.hstack([p[:-1], p[1:]])[new]])
 
     def _link(self) -> None:
         """Half-edges 2k and 2k+1 of edge k; the next one keeps the face on the left."""
@@ -288,7 +311,7 @@ def intersection(a: Geometry, b: Geometry) -> Geometry:
 
 
 def difference(a: Geometry, *others: Geometry) -> Geometry:
-    others = [o for o in others if o]
+    others = [o for o in others if o and not apart(a, o)]
     if not a or not others:
         return make_valid(a) if a else []
     return _combine([a, *others], lambda x: x[:, 0] & ~x[:, 1:].any(axis=1))

@@ -16,6 +16,7 @@ from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
 
 from . import spatial
+from .polygons import dealt
 
 #: Decimals at which two coordinates are the same.
 DIGITS = 8
@@ -244,7 +245,7 @@ def clean_vertices(layer: DataFrame, tolerance: float, size: float, key: str = "
         return pdf.drop(columns=["_free", "_points"])
 
     shape = work.drop("_free", "_points").schema
-    tried = work.repartition(int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")), parent).groupBy(parent).applyInPandas(run, shape)
+    tried = dealt(spatial.cut_lineage(work), parent).groupBy(parent).applyInPandas(run, shape)
     return layer.join(parents, parent, "left_anti").select(*layer.columns).union(tried.select(*layer.columns))
 
 
@@ -308,18 +309,14 @@ def allocate_residue(wholes: DataFrame, parts: DataFrame, key: str = "id", part:
     """``key, part, geom``: parts of areas (``key, geom``) that together cover them, with
     the ground no part had given to one of them.  A task sees the parts of one area; areas
     without parts give no rows, parts of no area stay as they are."""
-    left = wholes.select(key, F.col("geom").alias("_whole"))
-    both = parts.select(key, part, "geom").join(left, key, "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(part)
-        whole = pdf["_whole"].iloc[0]
-        if whole is not None:
-            pdf["geom"] = [wkb.dump(g) for g in allocated([wkb.parse(g) for g in pdf["geom"]], wkb.parse(whole))]
-        return pdf.drop(columns="_whole")
-
-    dealt = both.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return dealt.groupBy(key).applyInPandas(run, both.drop("_whole").schema)
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(part)
+        if len(left) and len(right) and right["_whole"].iloc[0] is not None:
+            left["geom"] = [wkb.dump(g) for g in allocated([wkb.parse(g) for g in left["geom"]], wkb.parse(right["_whole"].iloc[0]))]
+        return left
+
+    parts = parts.select(key, part, "geom")
+    return dealt(parts, key).groupBy(key).cogroup(dealt(wholes.select(key, F.col("geom").alias("_whole")), key).groupBy(key)).applyInPandas(run, parts.schema)
 
 
 def dangles(lines: DataFrame, size: float, key: str = "id", points: str = "points", near: float = 1e-8) -> DataFrame:
