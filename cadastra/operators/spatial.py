@@ -116,8 +116,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def nearest(points: DataFrame, others: DataFrame, key: str, other_key: str, size: float, group: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, other key, d2)``: the nearest other point that does not coincide.
+def nearest(points: DataFrame, others: DataFrame, key: str, other_key: str, size: float, group: tuple[str, ...] = (), same: bool = False) -> DataFrame:
+    """``(key, other key, d2)``: the nearest other point that does not coincide (with
+    ``same``: that may).
 
     Looks into the nine grid cells around a point; points whose nearest is further
     than a cell's side go on with cells twice as large, until none is open or a cell
@@ -133,7 +134,7 @@ def nearest(points: DataFrame, others: DataFrame, key: str, other_key: str, size
         near = near.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
         cell = b.withColumn("cx", F.floor(F.col("ox") / size)).withColumn("cy", F.floor(F.col("oy") / size))
         d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-        met = near.join(cell, ["cx", "cy", *group]).withColumn("d2", d2).where("d2 > 0")
+        met = near.join(cell, ["cx", "cy", *group]).withColumn("d2", d2).where("d2 >= 0" if same else "d2 > 0")
         best = met.groupBy(key).agg(F.min(F.struct("d2", "ok")).alias("m")).select(key, F.col("m.ok").alias(other_key), F.col("m.d2").alias("d2"))
         sure = cut_lineage(best if last else best.where(F.col("d2") <= size * size))
         found = sure if found is None else found.union(sure)
@@ -145,6 +146,46 @@ def nearest(points: DataFrame, others: DataFrame, key: str, other_key: str, size
         size *= 2
 
 
+def in_unit_square(points: DataFrame) -> DataFrame:
+    """Points with ``x`` and ``y`` scaled to 0 to 1 over their own extent, one axis at a
+    time; an axis without extent is only moved.  Points without a place are left out."""
+    points = points.where("x IS NOT NULL AND y IS NOT NULL")
+    box = points.agg(*[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]).first()
+    for c in "xy":
+        low, high = box[f"{c}0"] or 0.0, box[f"{c}1"] or 0.0
+        points = points.withColumn(c, (F.col(c) - low) / ((high - low) if high > low else 1.0))
+    return points
+
+
+def nearest_in_place(source: DataFrame, reference: DataFrame, key: str, other_key: str, cells: int = 64) -> DataFrame:
+    """``(key, other key, d2)``: the reference point that lies nearest within its table's
+    extent as the source point does in its own; ties go to the least key.  For sheets in
+    local coordinates that show the same places as a reference layer."""
+    return nearest(cut_lineage(in_unit_square(source)), cut_lineage(in_unit_square(reference)), key, other_key, 1.0 / cells, same=True)
+
+
+def by_position(source: DataFrame, reference: DataFrame, key: str, other_key: str) -> DataFrame:
+    """``(key, other key)`` of rows that stand at the same place in the order of their
+    keys; the longer table's rest meets nothing."""
+    left, right = numbered(source.select(key), key, "_n"), numbered(reference.select(other_key), other_key, "_n")
+    return left.join(right, "_n").select(key, other_key)
+
+
+def control_points(source: DataFrame, reference: DataFrame, key: str, other_key: str, on: str | None = None) -> DataFrame:
+    """``(key, other key)``: reference points of control points.  By the common attribute
+    ``on`` (lower case, trimmed; the least reference key) where both tables have it, else
+    by nearest place, else, where there are no places, by position."""
+    if on and on in source.columns and on in reference.columns:
+        def norm(df: DataFrame, k: str) -> DataFrame:
+            return df.where(F.col(on).isNotNull()).select(k, F.lower(F.trim(F.col(on).cast("string"))).alias("_k"))
+
+        first = norm(reference, other_key).groupBy("_k").agg(F.min(other_key).alias(other_key))
+        return norm(source, key).join(first, "_k").select(key, other_key)
+    if {"x", "y"} <= set(source.columns) & set(reference.columns):
+        return nearest_in_place(source, reference, key, other_key).select(key, other_key)
+    return by_position(source, reference, key, other_key)
+
+
 def extent(df: DataFrame, *by: str) -> DataFrame:
     """Bounding box of all boxes, or of each group."""
     return df.groupBy(*by).agg(F.min("x0").alias("xmin"), F.min("y0").alias("ymin"), F.max("x1").alias("xmax"), F.max("y1").alias("ymax"))

@@ -131,3 +131,24 @@ def e12_conserved(spark, sf):
     eas, buildings = _engine(spark, sf)
     done = enumeration.delineate(eas, buildings)
     return done.groupBy("parent").agg(geo.floor_round(F.sum("hh"), 6).alias("hh"), F.sum("bldg_count").cast("long").alias("buildings"))
+
+
+_PLACES = """s AS (SELECT s_suppkey, ((s_suppkey*37)%197)::DOUBLE AS x, ((s_suppkey*53)%193)::DOUBLE AS y FROM supplier), r AS (SELECT c_custkey, 1000 + 3.5 * ((c_custkey*53)%1193) AS x, 9 + 0.25 * ((c_custkey*37)%1009) AS y FROM customer),
+ su AS (SELECT s_suppkey, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS y FROM s), ru AS (SELECT c_custkey, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS x, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS y FROM r)"""
+
+
+def _control(spark, sf):
+    source = load(spark, sf, "supplier").select("s_suppkey", F.expr("CAST((s_suppkey*37)%197 AS DOUBLE)").alias("x"), F.expr("CAST((s_suppkey*53)%193 AS DOUBLE)").alias("y"))
+    reference = load(spark, sf, "customer").select("c_custkey", F.expr("1000 + 3.5D * ((c_custkey*53)%1193)").alias("x"), F.expr("9 + 0.25D * ((c_custkey*37)%1009)").alias("y"))
+    return source, reference
+
+
+@query("J14_nearest_in_place", f"WITH {_PLACES} SELECT s_suppkey, c_custkey FROM su, ru QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY (su.x-ru.x)*(su.x-ru.x) + (su.y-ru.y)*(su.y-ru.y), c_custkey) = 1")
+def j14_nearest(spark, sf):
+    return spatial.control_points(*_control(spark, sf), "s_suppkey", "c_custkey", on="barangay")
+
+
+@query("J14_by_position", "SELECT s_suppkey, c_custkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) USING (n)")
+def j14_position(spark, sf):
+    source, reference = _control(spark, sf)
+    return spatial.control_points(source.drop("x", "y"), reference.drop("x", "y"), "s_suppkey", "c_custkey")
