@@ -184,17 +184,22 @@ FROM ds JOIN sh USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n
 """
 
 
-def without_items(docs: DataFrame, bench: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item; nulls and empty tables as in
-    ``contained_items``, extra columns stay.  An item of fewer words than a shingle, a
-    name or a number, tells only if it is the whole document: clean documents stay."""
+def without_items(docs: DataFrame, bench: DataFrame, text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, item_text_col: str = "text", short_anywhere: bool = True) -> DataFrame:
+    """The rows of ``docs`` that contain no item.
+
+    Nulls: null texts, of documents or items, contain nothing and are contained in
+    nothing; null ids are carried.  Very long texts are hashed whole; repeated rows stay or
+    go together; ties do not matter; an empty benchmark keeps every row, an empty table
+    gives none; extra columns stay, whatever their names.  An item of fewer words than a
+    shingle, a name or a number, drops the documents in which its words follow each other;
+    without ``short_anywhere`` only those that consist of it."""
     spark = docs.sparkSession
     items = bench.select(F.col(item_text_col).cast("string").alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Sketches([(i, r["text"]) for i, r in enumerate(part.collect())], size, threshold, inside=False))  # at most one block of text
+        index = spark.sparkContext.broadcast(Sketches([(i, r["text"]) for i, r in enumerate(part.collect())], size, threshold, inside=short_anywhere))  # at most one block of text
         found = shared.annotate(docs, [text_col], _hits(index), "hits int")
         docs = shared.restore(found.where("hits = 0"), docs)
     return docs

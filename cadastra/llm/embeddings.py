@@ -276,3 +276,14 @@ def neardup_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     linked = shared.join_unique(rows.where("sound").drop("sound"), result, ["label", "v"], copies, ["id"]).select("id", "n_links", "component", (F.col("id") == F.col("component")).alias("kept"))
     alone = rows.where("NOT sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.col("id").isNotNull().alias("kept"))
     return linked.union(alone)
+
+
+#: DuckDB SQL of the query: every pair of one label compared.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.seen),
+component AS (SELECT vec_id, min(seen) AS c FROM reach GROUP BY vec_id), links AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM component LEFT JOIN links ON a = vec_id
+"""

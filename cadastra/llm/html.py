@@ -8,10 +8,12 @@ lines above the threshold with little of their text in links are content lines.
 Content lines select the regions: the article elements that hold any, or else the main
 element, or else the lowest element that holds all of them.  A region gives all its
 blocks, short ones included, but for furniture.  Tags and roles that mean furniture
-always count as such.  Names in classes and ids only weigh: an element around the article,
+always count as such, inline ones too, and so do inline elements named like it: their text
+is dropped as it comes.  Names of other elements only weigh: an element around the article,
 or on a page without one around more than half of the content, is a wrapper whatever it is
 called, a form too, and inside an article ambiguous names count only for elements with
-little content that no heading begins.
+little content that no heading begins.  A name that is only a part of a class or id, or that
+of a paragraph or heading, counts only where most of the element is no content.
 
 Lines and elements are lists in page order and every pass over them is linear."""
 
@@ -47,7 +49,11 @@ AMBIGUOUS = frozenset(
     "header masthead topbar footer bottombar aside rail widget widgets notice notices notification alert banner overlay related recommended trending reply replies "
     "discussion toolbar search copyright disclaimer hidden skip form".split()
 )
+#: Words beside names that do not change what the name means.
+GENERIC = frozenset("box slot list wrapper wrap container block section area bar unit inner outer button buttons link links item items group panel top bottom left right icon icons row col".split())
 COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: Elements of one text each, which are no region.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote summary figcaption caption legend".split())
 _NAME = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _CLOSES_P = BLOCK - {"option", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -60,6 +66,16 @@ def names_of(value: str) -> set[str]:
     return {w.lower() for w in _NAME.findall(value)}
 
 
+def whole_names(value: str) -> set[str]:
+    """Names that a class or id as a whole stands for: ``ad-slot`` but not ``ad-hoc``."""
+    out: set[str] = set()
+    for token in value.split():
+        words = names_of(token)
+        if words & (NAMES | AMBIGUOUS) and words <= NAMES | AMBIGUOUS | GENERIC:
+            out |= words - GENERIC
+    return out
+
+
 class Page(HTMLParser):
     """Events into elements and lines, both numbered in page order."""
 
@@ -67,10 +83,10 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent: list[int] = []
         self.tag_of: list[str] = []
-        self.hint: list[str] = []  # "", "always", "wrapper" or "ambiguous"
+        self.hint: list[str] = []  # "", "always", "wrapper", "ambiguous" or "weak"
         self.comments: list[bool] = []
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags met, linked characters, block element
-        self.stack: list[tuple[str, int, int]] = []  # tag, element, nearest block element
+        self.stack: list[tuple[str, int, int, bool]] = []  # tag, element, nearest block element, whether text counts for nothing
         self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -109,24 +125,29 @@ class Page(HTMLParser):
             self._close(("p",), _P_ENDS)
         if tag in _SAME:
             self._close(_SAME[tag], _HOLDS[tag])
-        number, above = len(self.tag_of), self.stack[-1] if self.stack else ("", -1, -1)
+        number, above = len(self.tag_of), self.stack[-1] if self.stack else ("", -1, -1, False)
         told = {k: v or "" for k, v in attrs}
-        names = names_of(told.get("class", "")) | names_of(told.get("id", ""))
+        names = whole_names(told.get("class", "")) | whole_names(told.get("id", ""))
+        some = names_of(told.get("class", "")) | names_of(told.get("id", ""))
         self.tag_of.append("main" if told.get("role", "").lower() == "main" else tag)
         self.parent.append(above[1])
-        self.hint.append(self._hint(tag, told, names))
+        hint = self._hint(tag, told, names, some)
+        self.hint.append(hint)
         self.comments.append(bool(names & COMMENTS))
-        self.stack.append((tag, number, number if tag in BLOCK else above[2]))
+        inline = tag not in BLOCK and bool(names & NAMES)  # is no element of lines of its own
+        self.stack.append((tag, number, number if tag in BLOCK else above[2], above[3] or hint == "always" or inline))
         self.open[tag] += 1
 
-    def _hint(self, tag: str, told: dict[str, str], names: set[str]) -> str:
+    def _hint(self, tag: str, told: dict[str, str], names: set[str], some: set[str]) -> str:
         if tag in FURNITURE or told.get("role", "").lower() in ROLES or "hidden" in told or told.get("aria-hidden") == "true" or _HIDDEN.search(told.get("style", "")):
             return "always"
         if tag in ("html", "body", "main", "article"):
             return "wrapper" if tag == "article" and names & COMMENTS else ""
-        if tag in ("form", "fieldset") or names & NAMES:
+        if tag in ("form", "fieldset") or names & NAMES and tag not in _TEXTS:
             return "wrapper"
-        return "ambiguous" if tag == "header" or names & AMBIGUOUS else ""
+        if tag == "header" or names & AMBIGUOUS and tag not in _TEXTS:
+            return "ambiguous"
+        return "weak" if some & NAMES else ""
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -149,7 +170,7 @@ class Page(HTMLParser):
         return None
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][0] in ("script", "style"):
+        if self.stack and self.stack[-1][3]:
             return
         self.text.append(data)
         if self.open["a"]:
@@ -200,13 +221,15 @@ def extract(html: str | None) -> str:
     is_content = [r >= cut and p for r, p in zip(ratio, plain)]
     if not any(is_content):
         is_content = plain
-    content, every = [0] * (n + 1), [0] * (n + 1)
-    for (text, _, _, e), good in zip(lines, is_content):
+    content, every, linked_in = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for (text, _, linked, e), good in zip(lines, is_content):
         every[e] += len(text)
+        linked_in[e] += linked
         content[e] += len(text) * good
     for e in range(n - 1, -1, -1):
         every[parent[e]] += every[e]
         content[parent[e]] += content[e]
+        linked_in[parent[e]] += linked_in[e]
     total = content[-1]
     marks = [tag in ("article", "main") and not c and not b for tag, c, b in zip(tag_of, page.comments, barred)] + [False]
     for e in range(n - 1, -1, -1):
@@ -222,14 +245,16 @@ def extract(html: str | None) -> str:
         if hint[e] and not gone[e]:
             # a form may stand around the text anywhere, another wrapper around the article only
             around = tag == "form" or not within[up] and (marks[e] or not marks[-1])
-            if page.comments[e] or not around or 2 * content[e] <= total:
+            if hint[e] == "weak":  # the lines must agree with the name
+                gone[e] = 2 * content[e] < every[e] and not marks[e]
+            elif page.comments[e] or not around or 2 * content[e] <= total:
                 part = within[up] and (2 * content[e] >= every[e] or _heads(tag_of, parent, e))
                 gone[e] = hint[e] != "ambiguous" or not part
         if not gone[e] and tag == "article":
             articles.append(e)
         elif not gone[e] and tag == "main":
             mains.append(e)
-    held = [e for e in articles if content[e]] or articles or [e for e in mains if content[e]] or mains
+    held = [e for e in articles if content[e] or 2 * linked_in[e] < every[e]] or articles or [e for e in mains if content[e]] or mains
     marked = bool(held)
     if not held:
         kept = [(line, good) for line, good in zip(lines, is_content) if not gone[line[3]]]
@@ -254,10 +279,6 @@ def _heads(tag_of: list[str], parent: list[int], e: int) -> bool:
     return e + 1 < len(tag_of) and parent[e + 1] == e and tag_of[e + 1] in ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
-#: Elements of one text each, which are no region.
-_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote summary figcaption caption legend".split())
-
-
 def _common(parent: list[int], tag_of: list[str], elements: list[int]) -> int:
     """Lowest element around all of ``elements`` that can hold several; -1 if none."""
     count = Counter(elements)

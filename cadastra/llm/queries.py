@@ -113,9 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, lexical, licenses, phrases, sharding
+    from . import decontaminate, embeddings, lexical, licenses, phrases, sharding, warc
 
     return {
-        "op4_license_scan": licenses.oracle_sql(), "op9_benchmark_contamination": decontaminate.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL,
+        "op3_embedding_neardup": embeddings.ORACLE_SQL, "op5_warc_roundtrip": warc.ORACLE_SQL, "op4_license_scan": licenses.oracle_sql(), "op9_benchmark_contamination": decontaminate.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL,
         "op12_rendezvous_sharding": sharding.oracle_sql(), "op13_phrase_collocations": phrases.ORACLE_SQL,
     }

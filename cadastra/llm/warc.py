@@ -227,3 +227,11 @@ def archived_pages(spark: SparkSession, path: str) -> DataFrame:
     revisits = records.where("kind = 'revisit'").select("id", "digest", "refers").join(target, "refers", "left")
     return stored.select("id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).union(
         revisits.select("id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"))
+
+
+#: DuckDB SQL of the query: digests and the largest page of equal payloads.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM q
+"""

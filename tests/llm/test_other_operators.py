@@ -219,3 +219,27 @@ def test_deep_pages_take_time_in_proportion():
         began = time.process_time()
         html.extract(deep)
         assert time.process_time() - began < 10
+
+
+LONG = "The first paragraph of this article is long enough to be counted as content, and certainly it is."
+ROUND = f'<html><body><nav><a href="/">Home</a></nav><article><h1>A title</h1><p>{LONG}</p>%s<p>{LONG}</p></article></body></html>'
+
+
+@pytest.mark.parametrize(
+    "inner, kept",
+    [
+        (f"<p>{LONG} <button>Share</button></p>", [LONG]), ("<svg><text>AXIS</text></svg>", []), ("<iframe>frame</iframe>", []), ("<video>none</video>", []), ("<textarea>area</textarea>", []),
+        (f'<p>{LONG} <span class="advert">Buy now</span></p>', [LONG]), (f'<p><span style="display:none">HIDDEN</span>{LONG}</p>', [LONG]), (f'<p class="ad-hoc">{LONG}</p>', [LONG]),
+        (f'<p class="comment-on-results">{LONG}</p>', [LONG]), (f'<div class="social-history"><p>{LONG}</p></div>', [LONG]), (f'<p id="promotion">{LONG}</p>', [LONG]), ('<div class="ad-slot">Buy a car</div>', []),
+        ('<div class="ad">Buy this thing today, it is very good and cheap.</div>', []), ('<div class="share-buttons"><a href="x">Tweet</a></div>', []), (f'<p>{LONG} <em class="note">noted</em></p>', [LONG + " noted"]),
+        ("<button>open <b>still</b>", []), (f"<p>{LONG} <button>never closed</p><p>{LONG}</p>", [LONG, LONG]),
+    ],
+)
+def test_inline_furniture_goes_and_names_only_weigh(inner, kept):
+    got = html.extract(ROUND % inner).split("\n")
+    assert got == ["A title", LONG, *kept, LONG] if "open <b>" not in inner else got[:2] == ["A title", LONG] and "open" not in " ".join(got)
+
+
+def test_every_article_is_kept():
+    page = f"<article><p>Short one.</p></article><article><p>{LONG} {LONG} {LONG}</p></article><article><p><a href='/x'>More to read elsewhere</a></p></article>"
+    assert html.extract(page).split("\n") == ["Short one.", f"{LONG} {LONG} {LONG}"]

@@ -250,8 +250,9 @@ def test_contained_items(spark, docs, rows, empty):
                 if n == 5 or words == parts:
                     whole.add((r[0], key))
     assert got == want and {(203, 1), (203, 6), (203, 7), (202, 5)} <= got
-    kept = decontaminate.without_items(docs, bench)
+    kept = decontaminate.without_items(docs, bench, short_anywhere=False)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in whole}
+    assert {r["doc_id"] for r in decontaminate.without_items(docs, bench).collect()} == {r[0] for r in rows} - {d for d, _ in got}
     assert decontaminate.contained_items(empty, bench).count() == 0
     assert decontaminate.without_items(docs, bench.limit(0)).count() == len(rows)
 
