@@ -3,10 +3,12 @@ bounded Arrow batches and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -117,9 +119,15 @@ _MEMOS: dict = {}
 
 def only_memo(name, make):
     """The worker's memo of one operator.  Python workers live on from stage to stage, so
-    a memo that another operator has left behind goes first."""
+    a memo that another operator has left behind goes first, and its memory goes back to
+    the system: it would count against the executor beside the next operator's."""
     if name not in _MEMOS:
-        _MEMOS.clear()
+        if _MEMOS:
+            _MEMOS.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
         _MEMOS[name] = make()
     return _MEMOS[name]
 
