@@ -453,31 +453,74 @@ def voronoi(points: list[Point], extent: tuple[float, float, float, float]) -> l
     return out
 
 
+def kept_between(a: np.ndarray, first: int, last: int, tolerance: float) -> list[int]:
+    """Places of the points that Douglas-Peucker keeps of a line, both ends included."""
+    keep, todo = {first, last}, [(first, last)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        d, off = a[j] - a[i], a[i + 1 : j] - a[i]
+        along = np.clip(off @ d / max(float(d @ d), 1e-300), 0, 1)
+        far = np.hypot(*(off - along[:, None] * d).T)
+        k = int(far.argmax())
+        if far[k] > tolerance:
+            keep.add(i + 1 + k)
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return sorted(keep)
+
+
+def simplified_places(line: list[Point], tolerance: float) -> list[int]:
+    """``kept_between`` of a whole line; a closed one is held at its ends and at the point
+    that lies furthest from them."""
+    a = np.asarray(line, dtype=float)
+    if len(a) < 3:
+        return list(range(len(a)))
+    if line[0] != line[-1]:
+        return kept_between(a, 0, len(a) - 1, tolerance)
+    far = int(((a - a[0]) ** 2).sum(axis=1).argmax())
+    return sorted({*kept_between(a, 0, far, tolerance), *kept_between(a, far, len(a) - 1, tolerance)})
+
+
 def simplify(ring: Ring, tolerance: float) -> Ring:
     """Douglas-Peucker on a closed ring, anchored at its two most distant ends."""
-    a = np.array(ring, dtype=float)
-    if len(a) < 4:
-        return ring
-    far = int(((a - a[0]) ** 2).sum(axis=1).argmax())
-    keep = {0, far}
+    return ring if len(ring) < 4 else [ring[i] for i in simplified_places([*ring, ring[0]], tolerance)[:-1]]
+
+
+#: So many pieces of a buffer are united at a time.
+BUFFER_PIECES = 32
+
+
+def _beside(ring: Ring, d: float, quadrant: int) -> list[Geometry]:
+    """What lies within ``d`` on the right of a directed ring: a rectangle per side and,
+    where the ring turns left, a fan of at least ``quadrant`` steps a right angle."""
+    a = np.array([p for k, p in enumerate(ring) if p != ring[k - 1]], dtype=float)
+    if len(a) < 3:
+        return []
+    v = np.roll(a, -1, axis=0) - a
+    n = np.stack([v[:, 1], -v[:, 0]], axis=1) / np.hypot(v[:, 0], v[:, 1])[:, None] * d
+    out: list[Geometry] = []
+    for k, (p, q) in enumerate(zip(a, np.roll(a, -1, axis=0))):
+        out.append([[[tuple(map(float, x)) for x in (p, p + n[k], q + n[k], q)]]])
+        m, e = n[k - 1], n[k]
+        turn = math.atan2(m[0] * e[1] - m[1] * e[0], float(m @ e))
+        if turn > 1e-12:
+            start, steps = math.atan2(m[1], m[0]), math.ceil(turn / (math.pi / 2 / quadrant) - 1e-9)
+            arc = [(float(p[0] + d * math.cos(start + turn * i / steps)), float(p[1] + d * math.sin(start + turn * i / steps))) for i in range(1, steps)]
+            out.append([[[tuple(map(float, p)), tuple(map(float, p + m)), *arc, tuple(map(float, p + e))]]])
+    return out
 
-    def walk(i, j):
-        if j - i < 2:
-            return
-        p, q = a[i], a[j % len(a)]
-        mid = a[i + 1 : j]
-        d = q - p
-        size = np.hypot(*d)
-        gap = np.abs(d[0] * (mid[:, 1] - p[1]) - d[1] * (mid[:, 0] - p[0])) / size if size else np.hypot(*(mid - p).T)
-        k = int(gap.argmax())
-        if gap[k] > tolerance:
-            keep.add(i + 1 + k)
-            walk(i, i + 1 + k)
-            walk(i + 1 + k, j)
 
-    walk(0, far)
-    walk(far, len(a))
-    return [ring[i] for i in sorted(keep)]
+def buffer(g: Geometry, d: float, quadrant: int = 8) -> Geometry:
+    """All points within ``d`` of an area; for a negative ``d`` those of the area that lie
+    at least as far from its border.  Round corners, ``quadrant`` steps a right angle."""
+    g = make_valid(g) if g else []
+    if not g or not d:
+        return g
+    rings = [r if d > 0 else r[::-1] for p in g for r in p]  # outer ones run left, holes right
+    pieces = [x for r in rings for x in _beside(r, abs(d), quadrant)]
+    joined = [union(pieces[k : k + BUFFER_PIECES]) for k in range(0, len(pieces), BUFFER_PIECES)]
+    return union([g, *joined]) if d > 0 else difference(g, *joined)
 
 
 def snap_to(ring: Ring, targets: np.ndarray, tolerance: float) -> Ring:

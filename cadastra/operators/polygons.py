@@ -88,6 +88,44 @@ def point_join(points: DataFrame, areas: DataFrame, size: float, geom: str = "ge
     return met.where(holds.asNondeterministic()(F.col(f"b.{geom}"), F.col("a.x"), F.col("a.y")))
 
 
+def first_containing(points: DataFrame, areas: DataFrame, size: float, point_key: str, area_key: str, geom: str = "geom") -> DataFrame:
+    """``(point key, area key)``: the area of least key that holds the point."""
+    met = point_join(points, areas, size, geom)
+    return met.groupBy(F.col(f"a.{point_key}").alias(point_key)).agg(F.min(f"b.{area_key}").alias(area_key))
+
+
+def count_points(areas: DataFrame, points: DataFrame, size: float, key: str = "id", geom: str = "geom") -> DataFrame:
+    """``areas`` with ``num_bldg_pts``, the points inside, zero where none."""
+    n = point_join(points, areas.select(key, geom), size, geom).groupBy(F.col(f"b.{key}").alias(key)).agg(F.count("*").alias("num_bldg_pts"))
+    return areas.join(n, key, "left").withColumn("num_bldg_pts", F.coalesce("num_bldg_pts", F.lit(0)).cast("long"))
+
+
+#: Decimals at which two common areas are the same.
+AREA_DIGITS = 9
+
+
+def best_overlap(left: DataFrame, right: DataFrame, size: float, left_key: str, right_key: str, geom: str = "geom") -> DataFrame:
+    """``(left key, right key, area)`` of the largest common part; ties: least key.  Left
+    areas that only touch others, or meet none, give no row."""
+    met = polygon_join(left.select(left_key, geom), right.select(right_key, geom), size, geom=geom)
+    met = met.select(F.col(f"a.{left_key}").alias(left_key), F.round("r.area", AREA_DIGITS).alias("area"), F.col(f"b.{right_key}").alias(right_key)).where("area > 0")
+    best = met.groupBy(left_key).agg(F.min(F.struct((-F.col("area")).alias("m"), F.col(right_key).alias("k"))).alias("o"))
+    return best.select(left_key, F.col("o.k").alias(right_key), (-F.col("o.m")).alias("area"))
+
+
+def adjacency(areas: DataFrame, size: float, key: str, parent: str, geom: str = "geom") -> DataFrame:
+    """Ordered pairs of different areas of one parent that touch or intersect."""
+    shapes = areas.select(key, parent, geom)
+    met = polygon_join(shapes, shapes, size, on=[parent], geom=geom).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
+    return met.select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("neighbour"), F.col(f"a.{parent}").alias(parent))
+
+
+def semi_join(left: DataFrame, right: DataFrame, size: float, key: str, predicates: tuple[int, ...] = (0,), geom: str = "geom") -> DataFrame:
+    """Rows of ``left`` that meet any area of ``right`` by one of the predicates."""
+    hits = polygon_join(left.select(key, geom), right.select(geom), size, predicates, geom=geom).select(F.col(f"a.{key}").alias(key)).distinct()
+    return left.join(hits, key, "left_semi")
+
+
 def overlap_polygons(areas: DataFrame, size: float, key: str = "id", geom: str = "geom") -> DataFrame:
     """``(a, b, part, geom, area, height, width)``: the parts of the common area of every
     two areas, with the sides of the smallest rectangle around a part."""

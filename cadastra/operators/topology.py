@@ -191,7 +191,11 @@ def snap(layer: DataFrame, targets: DataFrame, tolerance: float, size: float, ke
     new = near.select(*[F.col(f"b.{c}").alias(c) for c in (key, "part", "ring")], (F.col("b.pos") + t).alias("pos"), F.col("a.x").alias("x"), F.col("a.y").alias("y"), t.alias("t"), far.alias("far"), (apart[0] & apart[1]).alias("free"))
     new = new.where((F.col("t") > 0) & (F.col("t") < 1) & (F.col("far") <= tolerance) & F.col("free")).select(*at, "x", "y")
 
-    every = moved.select(*at, "x", "y").union(new)
+    return _of_vertices(layer, moved.select(*at, "x", "y").union(new), key, geom)
+
+
+def _of_vertices(layer: DataFrame, every: DataFrame, key: str, geom: str) -> DataFrame:
+    """``layer`` with the shapes that ``key, part, ring, pos, x, y`` describe."""
     found = every.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "ring", "pos", "x", "y"))).alias("_found"))
     done = layer.join(found, key, "left")
     rebuilt = F.pandas_udf(_rebuilt, "binary")
@@ -353,3 +357,100 @@ def duplicates(layer: DataFrame, key: str = "id", geom: str = "geom") -> DataFra
     form = spatial.cut_lineage(form)
     groups = form.groupBy("form").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     return form.join(groups, "form").where(F.col(key) != F.col("first")).select(key, "first", "copies")
+
+
+def noded(layer: DataFrame, size: float, key: str = "id", geom: str = "geom") -> DataFrame:
+    """``layer`` in which a vertex of one area that lies on a side of another (or of the
+    same) is a vertex of that side too.  size: side of the grid cells."""
+    layer = spatial.cut_lineage(layer)
+    points = spatial.cut_lineage(vertices(layer, key, geom=geom))
+    spots = points.select(F.round("x", DIGITS).alias("x"), F.round("y", DIGITS).alias("y")).distinct()
+    met = spatial.box_join(spots, segments(points, key), size, within=ON_LINE)
+    t, _, _, far = _foot("a", "b")
+    apart = [F.sqrt((F.col("a.x") - F.col(f"b.{e}x")) ** 2 + (F.col("a.y") - F.col(f"b.{e}y")) ** 2) > ON_LINE for e in "pq"]
+    new = met.where((far <= ON_LINE) & apart[0] & apart[1]).select(*[F.col(f"b.{c}").alias(c) for c in (key, "part", "ring")], (F.col("b.pos") + t).alias("pos"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))
+    return _of_vertices(layer, points.select(*new.columns).union(new), key, geom)
+
+
+def junctions(points: DataFrame, sides: DataFrame) -> DataFrame:
+    """``rx, ry`` of the places where other than two different sides end, those of all
+    areas taken together: what lies between two of them belongs to the same areas."""
+    def place(x: str, y: str) -> Column:
+        return F.struct(F.round(x, DIGITS).alias("rx"), F.round(y, DIGITS).alias("ry"))
+
+    ends = sides.select(place("px", "py").alias("p"), place("qx", "qy").alias("q"))
+    once = ends.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    return once.select(F.explode(F.array("p", "q")).alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n <> 2").select("v.*")
+
+
+def arcs_simplified(g: arr.Geometry, fixed: set[arr.Point], tolerance: float) -> arr.Geometry:
+    """``g`` with its rings cut at the ``fixed`` places (rounded) and each arc simplified.
+    An arc is walked from its lesser end whatever the ring's direction and a ring without
+    a fixed place from its least point, so that neighbours come to the same line."""
+    def ring(points: arr.Ring) -> arr.Ring:
+        places = [(round(x, DIGITS) + 0.0, round(y, DIGITS) + 0.0) for x, y in points]
+        cuts = [i for i, p in enumerate(places) if p in fixed] or [min(range(len(places)), key=lambda i: places[i])]
+        out: arr.Ring = []
+        for i, j in zip(cuts, [*cuts[1:], cuts[0] + len(points)]):
+            walk = [k % len(points) for k in range(i, j + 1)]
+            back = walk[::-1]
+            if [places[k] for k in back] < [places[k] for k in walk]:
+                out += [points[back[k]] for k in arr.simplified_places([places[k] for k in back], tolerance)][:0:-1]
+            else:
+                out += [points[walk[k]] for k in arr.simplified_places([places[k] for k in walk], tolerance)][:-1]
+        return out
+
+    return [[ring(r) for r in polygon] for polygon in g]
+
+
+def _crossing(size: float) -> Column:
+    """Whether sides ``a`` and ``b`` cross with more than a touch of their ends."""
+    def turn(s: str, o: str, e: str) -> Column:
+        dx, dy = F.col(f"{s}.qx") - F.col(f"{s}.px"), F.col(f"{s}.qy") - F.col(f"{s}.py")
+        return (dx * (F.col(f"{o}.{e}y") - F.col(f"{s}.py")) - dy * (F.col(f"{o}.{e}x") - F.col(f"{s}.px"))) / F.sqrt(dx * dx + dy * dy + 1e-300)
+
+    def parted(s: str, o: str) -> Column:
+        p, q = turn(s, o, "p"), turn(s, o, "q")
+        return (F.least(p, q) < -size) & (F.greatest(p, q) > size)
+
+    return parted("a", "b") & parted("b", "a")
+
+
+def simplify_layer(layer: DataFrame, tolerance: float, size: float, key: str = "id", geom: str = "geom") -> DataFrame:
+    """``layer`` with fewer vertices and no new gap or overlap between neighbours.
+
+    Borders are cut where other than two sides meet, and what lies between two such places
+    is simplified (Douglas-Peucker) alike for all areas that have it; the places are found
+    by two shuffles of sides, an area then sees but its own.  An area that would become
+    invalid, or whose new sides would cross another side, keeps all its vertices, and its
+    neighbours those they share with it: rounds until none is left.  Areas that cross
+    others before are therefore left alone.  Null shapes stay null."""
+    layer = spatial.cut_lineage(noded(layer, size, key, geom))
+    points = spatial.cut_lineage(vertices(layer, key, geom=geom).select("*", F.round("x", DIGITS).alias("rx"), F.round("y", DIGITS).alias("ry")))
+    nodes = spatial.cut_lineage(junctions(points, segments(points, key)))
+
+    @F.pandas_udf("struct<geom:binary,same:boolean,valid:boolean>")
+    def run(shapes: pd.Series, at: pd.Series) -> pd.DataFrame:
+        rows = []
+        for shape, places in zip(shapes, at):
+            if shape is None:
+                rows.append((None, True, True))
+                continue
+            g = wkb.parse(shape)
+            new = arcs_simplified(g, {(p[0] + 0.0, p[1] + 0.0) for p in places} if places is not None else set(), tolerance)
+            rows.append((wkb.dump(new), new == g, new == g or arr.is_valid(new)))
+        return pd.DataFrame(rows, columns=["geom", "same", "valid"])
+
+    kept = layer.select(key).limit(0)
+    while True:
+        marks = nodes.union(points.join(kept, key, "left_semi").select("rx", "ry")).distinct()
+        own = points.join(marks, ["rx", "ry"], "left_semi").groupBy(key).agg(F.collect_list(F.array("rx", "ry")).alias("_at"))
+        done = spatial.cut_lineage(layer.join(own, key, "left").withColumn("_new", run(geom, "_at")).drop("_at"))
+        new = segments(vertices(done.select(key, F.col("_new.geom").alias("geom")), key), key)
+        changed = new.join(done.where("NOT _new.same").select(key), key, "left_semi")
+        crossed = spatial.box_join(changed, new, size).where(_crossing(ON_LINE)).select(F.explode(F.array(f"a.{key}", f"b.{key}")).alias(key))
+        spoiled = done.where("NOT _new.valid").select(key).union(crossed).distinct()
+        spoiled = spatial.cut_lineage(spoiled.join(kept, key, "left_anti"))
+        if spoiled.isEmpty():
+            return done.withColumn(geom, F.col("_new.geom")).select(*layer.columns)
+        kept = spatial.cut_lineage(kept.union(spoiled))

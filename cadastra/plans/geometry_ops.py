@@ -41,6 +41,12 @@ def union_of(a: Column | str, b: Column | str) -> Column:
     return wkb.geometry_udf(lambda x, y: arr.union([x, y]))(a, b)
 
 
+def buffer_of(c: Column | str, distance: float, quadrant: int = 8) -> Column:
+    """What lies within ``distance`` of an area, or for a negative one of it only that
+    deep inside; ``quadrant`` steps make a right angle of round corners."""
+    return wkb.geometry_udf(lambda g: arr.buffer(g, distance, quadrant))(c)
+
+
 def largest_part_of(c: Column | str) -> Column:
     """The largest polygon of a multi-part geometry; ties: the first."""
     return wkb.geometry_udf(lambda g: [max(g, key=lambda p: arr.area([p]))] if g else g)(c)

@@ -60,3 +60,15 @@ def test_reports(spark):
     ring = [(k, f"g{k}", "r", "p", "c", "b", wkb.dump([[square(x, y)]])) for k, (x, y) in enumerate((x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1))]
     hole = boundary.gap_report(spark.createDataFrame(ring, areas.schema), points, 2.0).collect()
     assert [(r["mbi_area"], r["count_involved_areas"], r["num_bldg_pts"], r["mbi_level"]) for r in hole] == [(1.0, 8, 2, "5_Within-Barangay")]
+
+
+def test_joins_of_triangles(spark):
+    left = frame(spark, {1: TRIANGLE, 2: square(20, 20), 3: None})
+    right = frame(spark, {10: square(3, 3), 11: square(1.5, 1.5), 12: square(1.5, 1.5), 13: square(2, 2), 14: None}).withColumnRenamed("id", "other")
+    assert [tuple(r) for r in polygons.best_overlap(left, right, 2.0, "id", "other").collect()] == [(1, 11, 0.5)]
+    assert {r["id"] for r in polygons.semi_join(left, right, 2.0, "id").collect()} == {1}
+    assert {r["id"] for r in polygons.semi_join(left, right.where("other = 10"), 2.0, "id").collect()} == set()
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.5, 2.5), (3, 2.0, 2.0), (3, 2.0, 2.0)], "pid long, x double, y double")
+    assert {tuple(r) for r in polygons.count_points(left, points, 2.0).select("id", "num_bldg_pts").collect()} == {(1, 3), (2, 0), (3, 0)}
+    own = frame(spark, {k: r for k, r in enumerate([TRIANGLE, square(2, 2), square(3, 3), square(2, 2)])}).selectExpr("id", "geom", "if(id = 3, 'b', 'a') AS parent")
+    assert {(r[0], r[1]) for r in polygons.adjacency(own, 2.0, "id", "parent").collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}

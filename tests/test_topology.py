@@ -136,3 +136,88 @@ def test_equal_shapes_and_loose_ends(spark):
     assert sorted((r["id"], r["end"]) for r in topology.dangles(lines, 4.0).collect()) == [(0, 0), (1, 1), (2, 1)]
     assert topology.line_length(F.col("points")) is not None
     assert lines.select(topology.line_length(F.col("points")).alias("n")).agg(F.sum("n")).first()[0] == 18.0
+
+
+def test_buffers_have_known_areas():
+    fan = math.pi / 16
+    assert math.isclose(arr.area(arr.buffer(box(0, 0, 3, 2), 0.5)), 6 + 5 + 4 * 4 * 0.25 * math.sin(fan), rel_tol=1e-9)
+    assert math.isclose(arr.area(arr.buffer(box(0, 0, 3, 2), -0.5)), 2.0, rel_tol=1e-9)
+    assert arr.buffer(box(0, 0, 3, 2), -1.5) == [] and arr.buffer([], 1.0) == [] and arr.area(arr.buffer(box(0, 0, 1, 1), 0.0)) == 1
+    ring = [[*box(0, 0, 9, 9)[0], [(3, 3), (3, 6), (6, 6), (6, 3)]]]
+    assert math.isclose(arr.area(arr.buffer(ring, 0.5)), 81 + 18 + 16 * 0.25 * math.sin(fan) - 4, rel_tol=1e-9)
+    assert math.isclose(arr.area(arr.buffer(ring, 2)), 81 + 72 + 16 * 4 * math.sin(fan), rel_tol=1e-9)  # the hole is closed
+    two = box(0, 0, 1, 1) + box(1.5, 0, 2.5, 1)
+    assert len(arr.buffer(two, 0.2)) == 2 and len(arr.buffer(two, 0.3)) == 1
+    rng = random.Random(4)
+    star = [[[(math.cos(a) * r, math.sin(a) * r) for a, r in ((k * math.pi / 40, rng.uniform(1, 3)) for k in range(80))]]]
+    wide, deep = arr.buffer(star, 0.2), arr.buffer(star, -0.1)
+    points = [(rng.uniform(-4, 4), rng.uniform(-4, 4)) for _ in range(400)]
+    edge = lambda p: min(topology.distance([[list(s)]], p) for s in zip(star[0][0], star[0][0][1:] + star[0][0][:1]))
+    for p in points:
+        inside, d = bool(arr.contains(star, [p])[0]), edge(p)
+        if abs(d - 0.2) > 0.002:
+            assert bool(arr.contains(wide, [p])[0]) == (inside or d < 0.2)
+        if abs(d - 0.1) > 0.001:
+            assert bool(arr.contains(deep, [p])[0]) == (inside and d > 0.1)
+
+
+def test_simplified_lines():
+    assert arr.simplified_places([(0, 0), (1, 0.1), (2, 0)], 0.2) == [0, 2] and arr.simplified_places([(0, 0), (1, 0.3), (2, 0)], 0.2) == [0, 1, 2]
+    assert arr.simplified_places([(0, 0), (3, 0), (1, 0)], 0.5) == [0, 1, 2]  # beyond the end
+    assert arr.simplified_places([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], 0.1) == [0, 1, 2, 3, 4]
+    assert arr.simplified_places([(0, 0), (1, 1)], 5) == [0, 1] and arr.simplified_places([], 5) == []
+    many = [(float(i), (i % 2) * 0.01) for i in range(50_000)]
+    assert arr.simplified_places(many, 0.1) == [0, 49_999]
+
+
+def wavy(rng, n, wave):
+    """A grid of n x n cells with wavy borders, none of which has a vertex too few, and an
+    island in one of them."""
+    at = {(i, j): (4.0 * i + rng.uniform(-0.5, 0.5) * (0 < i < n), 4.0 * j + rng.uniform(-0.5, 0.5) * (0 < j < n)) for i in range(n + 1) for j in range(n + 1)}
+    lines = {}
+
+    def line(p, q):
+        if (q, p) in lines:
+            return lines[q, p][::-1]
+        if (p, q) not in lines:
+            a, b = at[p], at[q]
+            outer = p[0] == q[0] in (0, n) or p[1] == q[1] in (0, n)
+            lines[p, q] = [a, *[(a[0] + (b[0] - a[0]) * t / 6 + (0 if outer else rng.uniform(-wave, wave)), a[1] + (b[1] - a[1]) * t / 6 + (0 if outer else rng.uniform(-wave, wave))) for t in range(1, 6)], b]
+        return lines[p, q]
+
+    shapes = []
+    for i in range(n):
+        for j in range(n):
+            corners = [(i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1)]
+            ring = [p for a, b in zip(corners, corners[1:] + corners[:1]) for p in line(a, b)[:-1]]
+            shapes.append([[ring if rng.random() < 0.5 else ring[::-1]]])
+    hole = [(1.5 + 0.6 * math.cos(k * math.pi / 12), 1.5 + 0.6 * math.sin(k * math.pi / 12)) for k in range(24)]
+    shapes[0][0].append(hole)
+    return [*shapes, [[hole[7:] + hole[:7]]]]
+
+
+def test_simplified_layers_keep_their_neighbours(spark):
+    rng = random.Random(11)
+    for wave, tolerance in ((0.1, 0.15), (0.5, 0.6), (0.5, 3.0)):
+        shapes = wavy(rng, 3, wave)
+        done = {r["id"]: wkb.parse(r["geom"]) for r in topology.simplify_layer(layer(spark, shapes), tolerance, 2.0).collect()}
+        assert len(done) == len(shapes) and all(arr.is_valid(g) for g in done.values())
+        whole = arr.union(list(done.values()))
+        assert math.isclose(sum(map(arr.area, done.values())), arr.area(whole), rel_tol=1e-9) and len(whole) == len(whole[0]) == 1
+        assert tolerance == 3.0 or math.isclose(arr.area(whole), 144, rel_tol=1e-9)  # corners of the layer are further off
+        assert all(arr.area(arr.intersection(done[i], done[j])) < 1e-9 for i in done for j in done if i < j)
+        old, new = (sum(len(r) for g in gs for p in g for r in p) for gs in (shapes, done.values()))
+        assert new < old / 2 or tolerance == 3.0
+
+
+def test_simplified_layers_of_odd_input(spark):
+    # the left one lacks the vertex where the right two meet; a copy, a null, a triangle
+    shapes = [box(0, 0, 4, 4), box(4, 0, 8, 2), [[[(4, 2), (8, 2), (8, 4), (6, 4.05), (4, 4)]]], box(20, 20, 24, 24), box(20, 20, 24, 24), [], [[[(50, 0), (51, 0), (50, 1)]]]]
+    rows = [(i, wkb.dump(g) if g else None, i) for i, g in enumerate(shapes)]
+    frame = spark.createDataFrame(rows, "id long, geom binary, ring int")
+    done = {r["id"]: r["geom"] and wkb.parse(bytes(r["geom"])) for r in topology.simplify_layer(frame, 0.1, 2.0).collect()}
+    assert (4, 2) in done[0][0][0] and len(done[0][0][0]) == 5 and len(done[2][0][0]) == 4
+    assert done[3] == done[4] and len(done[3][0][0]) == 4 and done[5] is None and len(done[6][0][0]) == 3
+    huge = {r["id"]: r["geom"] and wkb.parse(bytes(r["geom"])) for r in topology.simplify_layer(frame, 100.0, 2.0).collect()}
+    assert len(huge[6][0][0]) == 3 and all(g is None or arr.is_valid(g) for g in huge.values())
+    assert topology.simplify_layer(frame.limit(0), 1.0, 2.0).count() == 0
