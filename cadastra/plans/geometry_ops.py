@@ -231,11 +231,13 @@ def _touches_border(g: arr.Geometry, border: np.ndarray) -> bool:
 
 def gap_fill(df: DataFrame, key: str, fid: str, geom: str, target: Column, extent: Column) -> DataFrame:
     """Per group the rows ``(key, role, fid, area, geom)`` with roles ``original``,
-    ``result`` and, where anything was filled, ``gap_fill``."""
+    ``result`` and, where anything was filled, ``gap_fill``; of several targets of a group
+    that of the least ``fid`` is filled."""
     rows = df.select(F.col(key).alias("k"), F.col(fid).alias("fid"), F.col(geom).alias("geom"), target.alias("target"), extent.alias("extent"))
     kinds = [df.schema[key].dataType.simpleString(), df.schema[fid].dataType.simpleString()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fid")
         shapes = [wkb.parse(g) for g in pdf["geom"]]
         at = next((i for i, t in enumerate(pdf["target"]) if t and shapes[i]), None)
         out = []

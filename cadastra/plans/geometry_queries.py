@@ -12,7 +12,7 @@ from cadastra.operators import polygons, spatial
 
 from . import enumeration, special
 from . import geometry_ops as ops
-from .fixtures import CELL, duck, load
+from .fixtures import CELL, duck, duck_sql, load
 from .registry import query
 
 E, A = duck("eas"), duck("areas")
@@ -47,7 +47,20 @@ def g06(spark, sf):
     return p.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), geo.floor_round(ops.area_of(ops.difference_of("a.g", "b.g")), 6).alias("area"))
 
 
-@query("G09_gap_finder")
+def _holes(shown: str = "true") -> str:
+    """Views of the ground that a parent's areas enclose: ``k`` has the cells of each hole
+    with the place of its least cell.  Free cells reached from outside are no holes."""
+    step = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy)"
+    return f"""WITH RECURSIVE eas AS ({duck_sql("eas")}), u AS (SELECT DISTINCT parent, gx, unnest(range(y0::BIGINT, y1::BIGINT)) AS gy FROM (SELECT parent, y0, y1, unnest(range(x0::BIGINT, x1::BIGINT)) AS gx FROM eas WHERE {shown})),
+ b AS (SELECT parent, min(gx) - 1 AS a, max(gx) + 1 AS c, min(gy) - 1 AS b, max(gy) + 1 AS d FROM u GROUP BY parent),
+ g AS (SELECT parent, gx, unnest(range(b, d + 1)) AS gy FROM (SELECT *, unnest(range(a, c + 1)) AS gx FROM b) EXCEPT SELECT parent, gx, gy FROM u),
+ o AS (SELECT parent, a AS gx, b AS gy FROM b UNION SELECT g.parent, g.gx, g.gy FROM o, {step} JOIN g ON g.parent = o.parent AND g.gx = o.gx + dx AND g.gy = o.gy + dy),
+ h AS (SELECT * FROM g EXCEPT SELECT * FROM o),
+ r AS (SELECT parent, gx, gy, gx AS sx, gy AS sy FROM h UNION SELECT r.parent, h.gx, h.gy, sx, sy FROM r, {step} JOIN h ON h.parent = r.parent AND h.gx = r.gx + dx AND h.gy = r.gy + dy),
+ k AS (SELECT parent, gx, gy, min((sx, sy)) AS hole FROM r GROUP BY ALL)"""
+
+
+@query("G09_gap_finder", f"{_holes()}, z AS (SELECT parent, hole, count(*)::DOUBLE AS area FROM k GROUP BY ALL) SELECT parent, (row_number() OVER (PARTITION BY parent ORDER BY area DESC) - 1)::INT AS part, area FROM z")
 def g09(spark, sf):
     return ops.gap_finder(_polygons(spark, sf), "parent").select("parent", "part", geo.floor_round(F.col("area"), 6).alias("area"))
 
@@ -66,26 +79,30 @@ def g12(spark, sf):
     return done.select("parent", geo.floor_round(F.col("area"), 6).alias("area"))
 
 
-@query("G13_layer_checks")
+@query("G13_layer_checks", f"{E} SELECT ea_id AS fid, 'null' AS issue FROM eas WHERE ea_id % 50 = 0 UNION ALL SELECT min(ea_id), 'duplicate' FROM eas WHERE ea_id % 50 > 0 GROUP BY x0, y0, x1, y1 HAVING count(*) > 1")
 def g13(spark, sf):
     layer = _polygons(spark, sf).select(F.col("ea_id").alias("fid"), F.when(F.col("ea_id") % 50 > 0, F.col("geom")).alias("geom"))
     return ops.check_layer(layer)
 
 
-@query("G14_repair")
+@query("G14_repair", f"{E} SELECT parent, ea_id AS fid, (x1-x0)*(y1-y0) AS area, ea_id % 10 = 0 AS repaired FROM eas")
 def g14(spark, sf):
     layer = _polygons(spark, sf).select("parent", F.col("ea_id").alias("fid"), "geom")
     done = ops.repair(layer, "parent", selected=F.col("fid") % 10 == 0)
     return done.select("parent", "fid", geo.floor_round(ops.area_of("geom"), 6).alias("area"), "repaired")
 
 
-@query("G15_recover_null")
+@query("G15_recover_null", f"""{_holes("ea_id % 41 > 0")}, f AS (SELECT parent FROM eas GROUP BY parent HAVING count(*) > 1 AND count(*) FILTER (ea_id % 41 = 0) = 1 AND parent IN (SELECT parent FROM h))
+ SELECT parent, ea_id AS fid, ea_id % 41 = 0 AND parent IN (FROM f) AS recovered, ea_id % 41 = 0 AND parent NOT IN (FROM f) AS missing FROM eas""")
 def g15(spark, sf):
     layer = _polygons(spark, sf).select("parent", F.col("ea_id").alias("fid"), F.when(F.col("ea_id") % 41 > 0, F.col("geom")).alias("geom"))
     return ops.recover_null(layer, "parent").select("parent", "fid", "recovered", F.col("geom").isNull().alias("missing"))
 
 
-@query("G17_gap_fill")
+@query("G17_gap_fill", f"""{_holes()}, t AS (SELECT parent, min(ea_id) AS ea_id FROM eas WHERE hhcount > 200 GROUP BY parent), q AS (SELECT * FROM t JOIN eas USING (parent, ea_id)),
+ n AS (SELECT DISTINCT k.parent, hole FROM k JOIN q ON k.parent = q.parent AND (gx BETWEEN x0 - 1 AND x1 AND gy BETWEEN y0 AND y1 - 1 OR gx BETWEEN x0 AND x1 - 1 AND gy BETWEEN y0 - 1 AND y1)),
+ f AS (SELECT parent, count(*)::DOUBLE AS gained FROM k JOIN n USING (parent, hole) GROUP BY parent)
+ SELECT parent, 'original' AS role, ea_id AS fid, (x1-x0)*(y1-y0) AS area FROM q UNION ALL SELECT parent, 'result', ea_id, (x1-x0)*(y1-y0) + coalesce(gained, 0) FROM q LEFT JOIN f USING (parent) UNION ALL SELECT parent, 'gap_fill', ea_id, gained FROM q JOIN f USING (parent)""")
 def g17(spark, sf):
     layer = _polygons(spark, sf)
     box = spatial.extent(layer, "parent")
