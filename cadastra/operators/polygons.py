@@ -146,7 +146,7 @@ def overlap_polygons(areas: DataFrame, size: float, key: str = "id", geom: str =
     return met.select("a", "b", F.posexplode(parts.asNondeterministic()(F.col(f"a.{geom}"), F.col(f"b.{geom}"))).alias("part", "p")).select("a", "b", "part", "p.*")
 
 
-FREE = "tile string, piece int, edge boolean, geom binary, area double, borders array<struct<side:string,lo:double,hi:double>>"
+FREE = "tile string, piece int, edge boolean, geom binary, borders array<struct<side:string,nx:long,ny:long,lo:double,hi:double>>"
 
 
 #: Links of no more than so many are followed by one task, more by rounds.
@@ -183,47 +183,78 @@ def _spread(pieces: DataFrame, links: DataFrame) -> DataFrame:
         label = now
 
 
+def empty_squares(occupied: DataFrame, levels: int) -> DataFrame:
+    """``l, x, y``: the largest squares of ``2^l`` tiles in which no tile ``x, y`` of
+    ``occupied`` lies, within the one of ``2^levels`` that holds them all.  Their number
+    grows with the occupied tiles and the levels, not with the ground that is free."""
+    up = [F.expr(f"shiftright({c}, l)").alias(c) for c in "xy"]
+    held = spatial.cut_lineage(occupied.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("l")).select("l", *up).distinct())
+    quarter = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    below = held.where("l > 0").select((F.col("l") - 1).alias("l"), "x", "y", quarter.alias("s")).select("l", (F.col("x") * 2 + F.col("s.i")).alias("x"), (F.col("y") * 2 + F.col("s.j")).alias("y"))
+    return below.join(held, ["l", "x", "y"], "left_anti")
+
+
+def _over(l: str, x: Column, y: Column, levels: int) -> Column:
+    """The squares of level ``l`` and above that hold the one at ``x, y``."""
+    return F.transform(F.sequence(F.col(l), F.lit(levels)), lambda m: F.struct(m.alias("l"), *[F.call_function("shiftright", v, m - F.col(l)).alias(c) for c, v in (("x", x), ("y", y))]))
+
+
 def gap_polygons(areas: DataFrame, tile: float, geom: str = "geom") -> DataFrame:
     """``(gap, geom, area)``: what all areas together enclose without covering it.
 
-    The plane is cut into square tiles over the layer's extent.  A tile's free pieces are
-    what its areas leave of it; pieces of neighbouring tiles that share a stretch of
-    border are one, and those that do not reach the border of the extent are gaps.
-    A task sees one tile's areas or one gap's pieces."""
+    The plane is cut into square tiles.  Free pieces are what a tile's areas leave of it
+    and the largest squares of tiles without any area; those that share a stretch of
+    border are one, and those that do not reach the border of the whole are gaps.  A task
+    sees one tile's areas or one gap's pieces; free ground costs nothing by its size, so
+    that areas may lie far apart."""
     shapes = boxed(areas.select(F.col(geom).alias("geom")))
     box = shapes.agg(F.floor((F.min("x0")) / tile).alias("a"), F.floor(F.min("y0") / tile).alias("b"), F.floor(F.max("x1") / tile).alias("c"), F.floor(F.max("y1") / tile).alias("d")).first()  # one row
     if box["a"] is None:
         return shapes.select(F.lit("").alias("gap"), "geom", F.lit(0.0).alias("area")).where("false")
-    spark = areas.sparkSession
-    wide, high = box["c"] - box["a"] + 1, box["d"] - box["b"] + 1
-    grid = spark.range(wide * high).select((F.lit(box["a"]) + F.col("id") % wide).alias("cx"), (F.lit(box["b"]) + F.floor(F.col("id") / wide)).alias("cy"))
+    # a free tile at least on every side of the extent
+    levels = int(max(box["c"] - box["a"], box["d"] - box["b"]) + 2).bit_length()
     held = spatial.cells(shapes, tile).select("cx", "cy", "geom")
-    # tiles without any area are free as a whole: a null shape stands for them
-    every = held.union(grid.select("cx", "cy", F.lit(None).cast("binary")))
 
     def free(pdf: pd.DataFrame) -> pd.DataFrame:
         cx, cy = int(pdf["cx"].iloc[0]), int(pdf["cy"].iloc[0])
         square = [[[(cx * tile, cy * tile), ((cx + 1) * tile, cy * tile), ((cx + 1) * tile, (cy + 1) * tile), (cx * tile, (cy + 1) * tile)]]]
-        rest = arr.difference(square, *[wkb.parse(g) for g in pdf["geom"] if g is not None])
-        rows, outer = [], (cx == box["a"], cy == box["b"], cx == box["c"], cy == box["d"])
+        rest = arr.difference(square, *[wkb.parse(g) for g in pdf["geom"]])
+        rows = []
         for i, p in enumerate(rest):
-            borders, edge = [], False
+            borders = []
             for (px, py), (qx, qy) in zip(p[0], p[0][1:] + p[0][:1]):
-                for k, (on, side, lo, hi) in enumerate(((px == qx == cx * tile, f"x|{cx}|{cy}", py, qy), (py == qy == cy * tile, f"y|{cx}|{cy}", px, qx), (px == qx == (cx + 1) * tile, f"x|{cx + 1}|{cy}", py, qy), (py == qy == (cy + 1) * tile, f"y|{cx}|{cy + 1}", px, qx))):
+                for on, side, nx, ny, lo, hi in ((px == qx == cx * tile, f"x|{cx}|{cy}", cx - 1, cy, py, qy), (py == qy == cy * tile, f"y|{cx}|{cy}", cx, cy - 1, px, qx), (px == qx == (cx + 1) * tile, f"x|{cx + 1}|{cy}", cx + 1, cy, py, qy), (py == qy == (cy + 1) * tile, f"y|{cx}|{cy + 1}", cx, cy + 1, px, qx)):
                     if on:
-                        borders.append({"side": side, "lo": min(lo, hi), "hi": max(lo, hi)})
-                        edge |= outer[k]
-            rows.append((f"{cx}|{cy}", i, edge, wkb.dump([p]), arr.area([p]), borders))
-        return pd.DataFrame(rows, columns=["tile", "piece", "edge", "geom", "area", "borders"])
+                        borders.append({"side": side, "nx": nx, "ny": ny, "lo": min(lo, hi), "hi": max(lo, hi)})
+            rows.append((f"{cx}|{cy}", i, False, wkb.dump([p]), borders))
+        return pd.DataFrame(rows, columns=["tile", "piece", "edge", "geom", "borders"])
+
+    pieces = spatial.cut_lineage(dealt(held, "cx", "cy").groupBy("cx", "cy").applyInPandas(free, FREE).withColumn("id", F.concat_ws("|", "tile", "piece")))
+    shift = {"x": 1 - box["a"], "y": 1 - box["b"]}
+    squares = empty_squares(held.select(*[(F.col(f"c{c}") + shift[c]).alias(c) for c in "xy"]).distinct(), levels)
+    last = F.shiftleft(F.lit(1).cast("long"), levels)
+    side = F.expr("shiftleft(1L, l)")
+    outer = (F.col("x") == 0) | (F.col("y") == 0) | ((F.col("x") + 1) * side == last) | ((F.col("y") + 1) * side == last)
+    squares = spatial.cut_lineage(squares.select("l", "x", "y", F.concat_ws("|", F.lit("q"), "l", "x", "y").alias("id"), outer.alias("edge")))
 
-    pieces = spatial.cut_lineage(dealt(every, "cx", "cy").groupBy("cx", "cy").applyInPandas(free, FREE).withColumn("id", F.concat_ws("|", "tile", "piece")))
     sides = pieces.select("id", F.explode("borders").alias("s")).select("id", "s.*")
-    x, y = sides.toDF("a", "side", "l1", "h1"), sides.toDF("b", "side", "l2", "h2")
-    links = spatial.cut_lineage(x.join(y, "side").where("a <> b AND l1 < h2 AND l2 < h1").select("a", "b").distinct())
-    label = _spread(pieces, links) if links.count() > TASK_LINKS else spatial.cut_lineage(
-        pieces.join(links.coalesce(1).mapInPandas(_united, "id string, g string"), "id", "left").select("id", F.coalesce("g", "id").alias("gap"), "edge"))
+    x, y = (sides.select(F.col("id").alias(k), "side", F.col("lo").alias(f"l{n}"), F.col("hi").alias(f"h{n}")) for n, k in ((1, "a"), (2, "b")))
+    links = x.join(y, "side").where("a <> b AND l1 < h2 AND l2 < h1").select("a", "b")
+    near = sides.select("id", F.lit(0).alias("l"), *[(F.col(f"n{c}") + shift[c]).alias(c) for c in "xy"])
+    for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+        near = near.union(squares.select("id", "l", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")))
+    over = near.distinct().select(F.col("id").alias("a"), F.explode(_over("l", F.col("x"), F.col("y"), levels)).alias("o")).select("a", "o.*")
+    beside = over.join(squares.select(F.col("id").alias("b"), "l", "x", "y"), ["l", "x", "y"]).select("a", "b")
+    links = spatial.cut_lineage(links.union(beside).union(beside.select("b", "a")).distinct())
+
+    named = pieces.select("id", "edge").union(squares.select("id", "edge"))
+    label = _spread(named, links) if links.count() > TASK_LINKS else spatial.cut_lineage(
+        named.join(links.coalesce(1).mapInPandas(_united, "id string, g string"), "id", "left").select("id", F.coalesce("g", "id").alias("gap"), "edge"))
     closed = label.groupBy("gap").agg(F.max("edge").alias("open")).where("NOT open").select("gap")
-    inside = pieces.join(label.select("id", "gap"), "id").join(closed, "gap").select("gap", "geom")
+    corner = [((F.col(c) * side - shift[c]) * tile, ((F.col(c) + 1) * side - shift[c]) * tile) for c in "xy"]
+    ground = squares.where("NOT edge").select("id", corner[0][0].alias("x0"), corner[1][0].alias("y0"), corner[0][1].alias("x1"), corner[1][1].alias("y1"))
+    where = label.join(closed, "gap").select("id", "gap")
+    inside = pieces.join(where, "id").select("gap", "geom").union(ground.join(where, "id").select("gap", wkb.rectangle(*[F.col(c) for c in spatial.BOX]).alias("geom")))
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         g = arr.union([wkb.parse(v) for v in pdf["geom"]])

@@ -49,6 +49,22 @@ def test_gaps_do_not_depend_on_the_tiles(spark, monkeypatch, tile, links):
     assert polygons.gap_polygons(frame(spark, {1: None}), tile).count() == 0
 
 
+def test_gaps_of_areas_far_apart(spark):
+    """Free ground between them is not enumerated; a large hole in a thin ring is one gap."""
+    rings = {k: square(x, y) for k, (x, y) in enumerate((x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1))}
+    rings |= {20: square(9e6, -4e6), 30: [(100.0, 100.0), (400.0, 100.0), (400.0, 101.0), (100.0, 101.0)], 31: [(100.0, 399.0), (400.0, 399.0), (400.0, 400.0), (100.0, 400.0)], 32: [(100.0, 101.0), (101.0, 101.0), (101.0, 399.0), (100.0, 399.0)], 33: [(399.0, 101.0), (400.0, 101.0), (400.0, 399.0), (399.0, 399.0)]}
+    assert sorted(round(r["area"], 6) for r in polygons.gap_polygons(frame(spark, rings), 1.5).collect()) == [1.0, 298.0**2]
+    open_ = {k: r for k, r in rings.items() if k != 33}
+    assert [round(r["area"], 6) for r in polygons.gap_polygons(frame(spark, open_), 1.5).collect()] == [1.0]
+
+
+def test_empty_squares_fill_the_rest(spark):
+    tiles = [(1, 1), (2, 1), (5, 6), (1, 6)]
+    found = polygons.empty_squares(spark.createDataFrame(tiles, "x long, y long"), 3).collect()
+    cover = [(i, j) for r in found for i in range(r["x"] << r["l"], (r["x"] + 1) << r["l"]) for j in range(r["y"] << r["l"], (r["y"] + 1) << r["l"])]
+    assert sorted(cover + tiles) == [(i, j) for i in range(8) for j in range(8)]
+
+
 def test_reports(spark):
     rows = [(k, f"g{k}", "r", "p", "c", f"b{k}", wkb.dump([[r]])) for k, r in {1: TRIANGLE, 2: square(1.5, 1.5), 3: square(1.4, 1.4, 0.4)}.items()]
     areas = spark.createDataFrame(rows, "id long, geocode string, region string, province string, city_mun string, barangay string, geom binary")
