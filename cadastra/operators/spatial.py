@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -104,15 +104,21 @@ def semi_location(left: DataFrame, right: DataFrame, size: float, key: str) -> D
     return left.join(hits, key, "left_semi")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the cluster names in ``spark.checkpoint.dir``; only
-    a local master, as in tests, gets a temporary one where there is none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only a local master,
+    as in tests, gets a temporary one where there is none."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context._jsc.sc().getCheckpointDir().isEmpty():
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cadastra-checkpoint-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
-from cadastra.operators import topology
+from cadastra.functions import rules
+from cadastra.operators import polygons, topology
 from cadastra.operators.polygons import dealt
 
 MIN_HOUSEHOLDS, MAX_HOUSEHOLDS = 100, 300
@@ -26,6 +27,17 @@ KMEANS_ROUNDS = 30
 OUTLIER_FACTOR, OUTLIER_PLACES = 3.0, 6
 
 
+def classified(eas: DataFrame, issues: DataFrame, cell: float, key: str = "ea_id", merge: str | None = None) -> DataFrame:
+    """``eas`` with ``class`` (``delineate``, ``merge``, ``none``) and ``ratio``, the limit
+    by the households.  Areas that meet a shape of ``issues(geom)``, gaps or overlaps, are
+    to be delineated whatever their count; ``merge`` names a column that then decides
+    alone on merging.  Null counts are zero; null shapes meet nothing."""
+    hit = polygons.semi_join(eas.select(key, "geom"), issues.select("geom"), cell, key).select(key, F.lit(True).alias("_issue"))
+    flag = F.col(merge) if merge else None
+    found = eas.join(hit, key, "left").withColumn("class", rules.ea_class(F.col("hhcount"), F.col("eadel_indi"), flag, F.col("_issue").isNotNull()))
+    return found.withColumn("ratio", F.when(F.coalesce("hhcount", F.lit(0)) > 0, MAX_HOUSEHOLDS / F.col("hhcount")).otherwise(1.0)).drop("_issue")
+
+
 def greedy_groups(points: list[tuple[float, float, float]], limit: float, barriers: np.ndarray | None = None) -> list[list[int]]:
     """Grow groups from the first free point by the free point nearest to any member;
     a group ends where the way to that point crosses a barrier or its value would

@@ -3,13 +3,19 @@ ground SQL can count by unit cells and whose borders it can compare by two boxes
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from cadastra.functions import codes, geo
 from cadastra.geometry import wkb
-from cadastra.operators import polygons, topology
+from cadastra.operators import polygons, spatial, topology
+from cadastra.sources import layers, packages
 
+from . import enumeration
 from . import geometry_ops as ops
 from .fixtures import CELL, duck, load
 from .polygon_queries import shapes
@@ -120,6 +126,31 @@ def e06(spark, sf):
     return wanted.select("ea_id").union(met.select(F.col("b.ea_id").alias("ea_id"))).distinct()
 
 
+@query("E02_classify_issues", f"""{_BASE}, ov AS (SELECT DISTINCT gx, gy FROM c p JOIN c q USING (gx, gy) JOIN areas s ON s.id = p.id JOIN areas t ON t.id = q.id WHERE p.id < q.id AND s.region = 'ASIA' AND t.region = 'ASIA'),
+ m AS (SELECT DISTINCT ea_id FROM er JOIN ov ON x0 <= gx + 1 AND gx <= x1 AND y0 <= gy + 1 AND gy <= y1)
+ SELECT ea_id, CASE WHEN ea_id IN (FROM m) OR lower(trim(eadel_indi)) IN ('for delineation', 'for_delineation') OR hhcount >= 300 THEN 'delineate' WHEN ea_id % 7 = 0 THEN 'merge' ELSE 'none' END AS class, CASE WHEN hhcount > 0 THEN 300.0::DOUBLE / hhcount ELSE 1.0 END AS ratio FROM eas""")
+def e02(spark, sf):
+    """Enumeration areas that meet an overlap of a region's areas are flagged by it; the
+    merge flag, set for every seventh, decides instead of the count."""
+    flag = F.when(F.col("ea_id") % 7 == 0, " For Merging").when(F.col("ea_id") % 7 == 3, "no")
+    issues = polygons.overlap_polygons(shapes(spark, sf).where("region = 'ASIA'").select("id", "geom"), CELL).select("geom")
+    return enumeration.classified(_eas(spark, sf).withColumn("merge_indi", flag), issues, CELL, merge="merge_indi").select("ea_id", "class", "ratio")
+
+
+@query("S12_packages", f"{duck('areas')} SELECT replace(province, '_', '-') || '_2025_03_bgy' AS layer, '2025_03' AS file_date, count(*) AS n, sum((x1-x0)*(y1-y0) - (x1-x0-1-id%2)*(y1-y0-1-id%2)) AS area FROM areas GROUP BY province")
+def s12(spark, sf):
+    """A package per province, written to the shared folder and read back with the dates
+    that their names tell."""
+    path = os.path.join(packages.local_path(spatial.shared_folder(spark)), f"packages-{uuid.uuid4().hex}")
+    packages.write_geopackages(shapes(spark, sf).select("id", F.translate("province", "_", "-").alias("code"), "geom"), path, "code", "areas {geocode}_2025_03 bgy")
+    try:
+        rows = layers.read_packages(spark, path, "id long, geom binary")
+        found = rows.groupBy("layer").agg(F.count("*").alias("n"), geo.floor_round(F.sum(ops.area_of("geom")), 6).alias("area"))
+        return spatial.cut_lineage(found.join(layers.gpkg_layers(spark, path).select("layer", "file_date"), "layer")).select("layer", "file_date", "n", "area")
+    finally:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 # A quarter around an L-shape: five corners are round, at the inner one two strips share a
 # square; within it five corners share one and the inner one is round.
 @query("G10_buffer", f"""{_BASE}, s AS (SELECT id, (x1-x0)*(y1-y0) - (x1-mx)*(y1-my) AS area, 2 * (x1-x0 + y1-y0) AS round, 0.0625 * 4 * sin(pi() / 16) AS fan FROM l)

@@ -53,6 +53,24 @@ def read_gpkg(spark: SparkSession, path: str, layer: str, schema: str) -> DataFr
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def read_packages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``file, layer`` and the columns of ``schema`` of all layers but styles in a folder
+    of GeoPackages that have these columns in common."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                with _opened(content) as db:
+                    for (layer,) in db.execute("SELECT table_name FROM gpkg_contents WHERE table_name <> 'layer_styles' ORDER BY 1").fetchall():
+                        found = db.execute(f"SELECT {', '.join(f'"{n}"' for n in names)} FROM \"{layer}\"")
+                        while rows := found.fetchmany(10_000):
+                            yield pd.DataFrame([[file, layer, *map(_bare, r)] for r in rows], columns=["file", "layer", *names])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, f"file string, layer string, {schema}")
+
+
 class _opened:
     def __init__(self, content: bytes):
         self.db = sqlite3.connect(":memory:")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 import shutil
 import sqlite3
 import struct
@@ -46,6 +47,15 @@ def file_stem(code: str | None, template: str) -> str:
     return code + template.partition("{geocode}")[2].replace(" ", "_")
 
 
+def local_path(path: str) -> str:
+    """A folder that is mounted, with or without ``file:`` in front; others cannot hold a
+    file that is written in place."""
+    rest = re.sub(r"^file:(//(?=/))?", "", path)
+    if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", rest):
+        raise ValueError(f"{path} is no mounted folder")
+    return os.path.abspath(rest)
+
+
 def blob(shape: bytes, srs: int = SRS) -> tuple[bytes, tuple | None]:
     """Geometry bytes of the format, and the bounds of a shape that is not empty."""
     g = wkb.parse(bytes(shape))
@@ -123,7 +133,7 @@ class Written(WriterCommitMessage):
 
 class PackageWriter(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        self.path, self.overwrite = os.path.abspath(options["path"].removeprefix("file:")), overwrite
+        self.path, self.overwrite = local_path(options["path"]), overwrite
         self.name, self.geometry = options.get("name", "_file"), options.get("geometry", "geom")
         self.columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
         self.staging = os.path.join(self.path, f".staging-{uuid.uuid4().hex}")

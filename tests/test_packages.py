@@ -65,3 +65,10 @@ def test_failed_writes_leave_nothing(spark, rows, tmp_path):
     packages.write_geopackages(rows.select("geocode", "fid"), table, code="geocode")
     with sqlite3.connect(f"{table}/00.gpkg") as db:
         assert db.execute("SELECT data_type FROM gpkg_contents").fetchall() == [("attributes",)]
+
+
+def test_folders_must_be_mounted():
+    assert packages.local_path("file:/a/b") == packages.local_path("file:///a/b") == packages.local_path("/a/b") == "/a/b"
+    with pytest.raises(ValueError, match="no mounted folder"):
+        packages.local_path("hdfs://host/a")
+    assert packages.file_stem("01", "EA {geocode}_bgy areas") == "01_bgy_areas" and packages.file_stem(None, "{geocode}") == "null"

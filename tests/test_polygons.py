@@ -88,3 +88,15 @@ def test_joins_of_triangles(spark):
     assert {tuple(r) for r in polygons.count_points(left, points, 2.0).select("id", "num_bldg_pts").collect()} == {(1, 3), (2, 0), (3, 0)}
     own = frame(spark, {k: r for k, r in enumerate([TRIANGLE, square(2, 2), square(3, 3), square(2, 2)])}).selectExpr("id", "geom", "if(id = 3, 'b', 'a') AS parent")
     assert {(r[0], r[1]) for r in polygons.adjacency(own, 2.0, "id", "parent").collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
+
+
+def test_classes_by_issues_and_flags(spark):
+    from cadastra.plans import enumeration
+
+    rows = [(1, 50.0, None, None, square(0, 0)), (2, 50.0, None, "for merging", square(1, 0)), (3, 300.0, None, "for_merging", square(9, 9)), (4, None, " For Delineation", None, square(20, 20)), (5, None, None, None, None), (6, 10.0, None, None, square(30, 30))]
+    eas = spark.createDataFrame([(i, n, d, m, wkb.dump([[r]]) if r else None) for i, n, d, m, r in rows], "ea_id long, hhcount double, eadel_indi string, merge_indi string, geom binary")
+    issues = frame(spark, {1: square(-1, 0), 2: None})
+    got = {r["ea_id"]: (r["class"], r["ratio"]) for r in enumeration.classified(eas, issues, 2.0).collect()}
+    assert got == {1: ("delineate", 6.0), 2: ("merge", 6.0), 3: ("delineate", 1.0), 4: ("delineate", 1.0), 5: ("merge", 1.0), 6: ("merge", 30.0)}
+    flagged = {r["ea_id"]: r["class"] for r in enumeration.classified(eas, issues.limit(0), 2.0, merge="merge_indi").collect()}
+    assert flagged == {1: "none", 2: "merge", 3: "delineate", 4: "delineate", 5: "none", 6: "none"}
