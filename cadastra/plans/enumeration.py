@@ -6,6 +6,7 @@ buildings ``(x, y, households, value)`` and its code."""
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
-from cadastra.functions import rules
+from cadastra.functions import codes, rules
 from cadastra.operators import polygons, topology
 from cadastra.operators.polygons import dealt
+from cadastra.operators.spatial import cut_lineage
 
 MIN_HOUSEHOLDS, MAX_HOUSEHOLDS = 100, 300
 MERGE_PASSES = 5
+SPLIT_ROUNDS = 5
 KMEANS_ROUNDS = 30
 #: Places whose nearest neighbour is further than so many medians are isolated.
 OUTLIER_FACTOR, OUTLIER_PLACES = 3.0, 6
@@ -232,10 +235,10 @@ def enforce_value(parts: list[dict], limit: float) -> list[dict]:
 
 
 def value_checked(ea: dict, parts: list[dict], low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS) -> list[dict]:
-    """Parts of a split after the check that the value of each stays below ``high`` by
-    the area's households."""
-    limit = high / ea["hh"] if ea["hh"] else 1.0
-    if len(parts) < 2 or max(sum(b[3] for b in p["buildings"]) for p in parts) < limit:
+    """Parts of a split after the check that the value of each stays below the area's
+    ``limit`` (none: no check), where it has no such key below ``high`` by its households."""
+    limit = ea["limit"] if "limit" in ea else high / ea["hh"] if ea["hh"] else 1.0
+    if len(parts) < 2 or limit is None or max(sum(b[3] for b in p["buildings"]) for p in parts) < limit:
         return parts
     return enforce_value(enforce_minimum(parts, low, high, ea.get("flagged", False)), limit)
 
@@ -406,3 +409,96 @@ def split_borders(done: DataFrame, tolerance: float = 0.0) -> DataFrame:
         return lines
     fine = topology.refine_lines(lines, ["parent", "ea_id"], 4 * tolerance, 2 * tolerance)
     return fine.withColumn("length", topology.line_length(F.col("points"))).select("parent", "ea_id", "line", "length", "points")
+
+
+def imputed(eas: DataFrame, buildings: DataFrame) -> DataFrame:
+    """``eas`` whose missing or zero ``hhcount`` is the households of the buildings inside
+    (``buildings``: ea_id, hh; a building without a usable number counts as one); areas
+    without buildings get zero."""
+    inside = buildings.groupBy("ea_id").agg(F.sum(rules.building_population(F.col("hh"))).alias("_n"))
+    known = F.nullif(codes.try_number(F.col("hhcount")), F.lit(0.0))
+    return eas.join(inside, "ea_id", "left").withColumn("hhcount", F.coalesce(known, "_n", F.lit(0.0))).drop("_n")
+
+
+PARTS = "parent string, ea_id long, ean string, part string, flagged boolean, special boolean, hh double, limit double, split_by string, from_split boolean, open boolean, buildings array<array<double>>, geom binary"
+
+
+def split_rounds(eas: DataFrame, buildings: DataFrame, candidates: DataFrame | None = None, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, rounds: int = SPLIT_ROUNDS, resplit: bool = True) -> DataFrame:
+    """Parts of areas that are flagged or have ``high`` households, split in rounds.
+
+    A row is an area or a part with its buildings; ``part`` is its way down from the area
+    (``2.1``: the first part of the second part), ``open`` that it is over the limit
+    still.  Each round deals the open rows over all tasks and splits every one by itself,
+    so no task sees a whole parent; rows that are done are not written again.  Rows that
+    give no two parts are closed as they are.  ``resplit=False`` leaves parts of a split
+    as the first round made them.  ``candidates``: ean, hhcount of the areas whose parts'
+    building values are held below ``high / hhcount``; without it every area's are.  Of
+    several rows with one number the largest count holds.  Null shapes are kept unsplit,
+    null counts are zero, columns besides those named are left out."""
+    names = PARTS.replace(",", "").split()[::2]
+    point = F.array(*[F.col(c).cast("double") for c in ("x", "y", "hh", "value")])
+    own = buildings.groupBy("ea_id").agg(F.sort_array(F.collect_list(point)).alias("buildings"), F.sum(F.col("hh").cast("double")).alias("_hh"))
+    hh = F.coalesce(F.nullif("_hh", F.lit(0.0)), F.col("hhcount").cast("double"), F.lit(0.0))
+    special = F.coalesce(F.col("special"), F.lit(False)) if "special" in eas.columns else F.lit(False)
+    state = eas.join(own, "ea_id", "left").withColumn("hh", hh)
+    if candidates is None:
+        state = state.withColumn("limit", F.when(F.col("hh") > 0, high / F.col("hh")).otherwise(1.0))
+    else:
+        index = candidates.groupBy("ean").agg(F.max(F.col("hhcount").cast("double")).alias("_c"))
+        state = state.join(index, "ean", "left").withColumn("limit", F.when(F.col("_c") > 0, high / F.col("_c")))
+    flagged = F.coalesce(F.col("flagged"), F.lit(False))
+    state = state.select(
+        "parent", "ea_id", "ean", F.lit("").alias("part"), flagged.alias("flagged"), special.alias("special"), "hh", "limit", F.lit("none").alias("split_by"), F.lit(False).alias("from_split"),
+        ((flagged | (F.col("hh") >= high)) & F.col("geom").isNotNull()).alias("open"), F.coalesce("buildings", F.array().cast("array<array<double>>")).alias("buildings"), "geom")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                ea = {**r._asdict(), "geom": wkb.parse(r.geom), "buildings": [tuple(b) for b in r.buildings], "limit": None if r.limit is None or math.isnan(r.limit) else r.limit}
+                parts = value_checked(ea, split(ea, low, high), low, high)
+                if len(parts) < 2:
+                    rows.append({**r._asdict(), "open": False})
+                    continue
+                order = sorted(parts, key=lambda p: (arr.centroid(p["geom"]), p["hh"]))
+                for i, p in enumerate(order, 1):
+                    rows.append({**p, "part": f"{r.part}.{i}".lstrip("."), "flagged": False, "from_split": True, "open": resplit and p["hh"] >= high, "geom": wkb.dump(p["geom"]), "buildings": [list(b) for b in p["buildings"]]})
+            yield pd.DataFrame(rows, columns=names)
+
+    state = cut_lineage(state)
+    done, open_ = [state.where("NOT open")], state.where("open")
+    for _ in range(rounds):
+        state = cut_lineage(dealt(open_).mapInPandas(run, PARTS))
+        done.append(state.where("NOT open"))
+        open_ = state.where("open")
+        if open_.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+    return functools.reduce(DataFrame.unionByName, [*done, open_])
+
+
+def variant(eas: DataFrame, buildings: DataFrame, candidates: DataFrame | None = None, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, rounds: int = SPLIT_ROUNDS, resplit: bool = True) -> DataFrame:
+    """The engine's variant: counts imputed from buildings, ``split_rounds``, then small
+    areas merged and new ones numbered per parent.
+
+    Special areas (boolean column ``special``, if there is one) go to the delineated
+    sink; they neither merge nor are merged into unless they are small themselves.  The
+    columns are those of ``delineate``; rows with null shapes come back as they are."""
+    parts = split_rounds(imputed(eas, buildings), buildings, candidates, low, high, rounds, resplit)
+    total = eas.groupBy("parent").agg(F.count("*").alias("base"))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        areas, bare = [], []
+        for r in pdf.sort_values(["ea_id", "part"]).itertuples(index=False):
+            a = {"id": int(r.ea_id), "ean": r.ean or "", "buildings": [tuple(b) for b in r.buildings], "hh": float(r.hh), "split_by": r.split_by, "from_split": bool(r.from_split), "special": bool(r.special)}
+            if r.geom is None:
+                bare.append((key[0], a["id"], r.ean, r.ean, a["hh"], len(a["buildings"]), "none", "retained", None))
+                continue
+            over = not a["from_split"] and (r.flagged or a["hh"] >= high)
+            areas.append({**a, "geom": wkb.parse(r.geom), "candidate": over or (a["special"] and a["hh"] > low)})
+        rows = [(
+            key[0], a["id"], a["ean"], a["new_ea"], float(a["hh"]), len(a["buildings"]), a["split_by"],
+            "delineated" if a["from_split"] or a["special"] else "merged" if a.get("from_merge") else "retained", wkb.dump(a["geom"])) for a in number(merge_small(areas, low, high), int(pdf["base"].iloc[0]))]
+        return pd.DataFrame(rows + bare, columns=["parent", "ea_id", "ean", "new_ea", "hh", "bldg_count", "split_by", "sink", "geom"])
+
+    whole = parts.join(total, F.equal_null(parts["parent"], total["parent"])).drop(total["parent"])
+    return dealt(whole, "parent").groupBy("parent").applyInPandas(run, RESULT)

@@ -152,3 +152,26 @@ def j14_nearest(spark, sf):
 def j14_position(spark, sf):
     source, reference = _control(spark, sf)
     return spatial.control_points(source.drop("x", "y"), reference.drop("x", "y"), "s_suppkey", "c_custkey")
+
+
+_HELD = f"""{duck('eas', 'buildings')}, o AS (SELECT pid, min(ea_id) AS ea_id FROM buildings b JOIN eas e ON b.x BETWEEN e.x0 AND e.x1 AND b.y BETWEEN e.y0 AND e.y1 GROUP BY pid),
+ t AS (SELECT ea_id, sum(hh * 20)::DOUBLE AS hh, count(*) AS n FROM o JOIN buildings USING (pid) GROUP BY ea_id)"""
+
+
+@query("E19_split_rounds", f"{_HELD} SELECT ea_id, coalesce(t.hh, hhcount)::DOUBLE AS hh, coalesce(n, 0)::BIGINT AS buildings, (x1-x0)*(y1-y0) AS area, true AS settled FROM eas LEFT JOIN t USING (ea_id)")
+def e19_rounds(spark, sf):
+    """Households, buildings and ground of every area over its parts after the rounds,
+    and whether each part is under the limit or lies where no split is possible."""
+    eas, buildings = _engine(spark, sf)
+    parts = enumeration.split_rounds(eas, buildings, rounds=8)
+    return parts.groupBy("ea_id").agg(
+        geo.floor_round(F.sum("hh"), 6).alias("hh"), F.sum(F.size("buildings")).cast("long").alias("buildings"),
+        geo.floor_round(F.sum(ops.area_of("geom")), 6).alias("area"), F.bool_and(~F.col("open")).alias("settled"))
+
+
+@query("E19_variant", f"{_HELD} SELECT parent, sum(coalesce(t.hh, hhcount))::DOUBLE AS hh, sum(coalesce(n, 0))::BIGINT AS buildings FROM eas LEFT JOIN t USING (ea_id) GROUP BY parent")
+def e19(spark, sf):
+    """Households and buildings of every parent after the variant engine."""
+    eas, buildings = _engine(spark, sf)
+    done = enumeration.variant(eas, buildings, eas.where("hhcount >= 300").select("ean", "hhcount"))
+    return done.groupBy("parent").agg(geo.floor_round(F.sum("hh"), 6).alias("hh"), F.sum("bldg_count").cast("long").alias("buildings"))
