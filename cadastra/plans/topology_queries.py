@@ -161,12 +161,13 @@ _HELD = f"""{duck('eas', 'buildings')}, o AS (SELECT pid, min(ea_id) AS ea_id FR
 @query("E19_split_rounds", f"{_HELD} SELECT ea_id, coalesce(t.hh, hhcount)::DOUBLE AS hh, coalesce(n, 0)::BIGINT AS buildings, (x1-x0)*(y1-y0) AS area, true AS settled FROM eas LEFT JOIN t USING (ea_id)")
 def e19_rounds(spark, sf):
     """Households, buildings and ground of every area over its parts after the rounds,
-    and whether each part is under the limit or lies where no split is possible."""
+    and whether each part is under the limit or lies where no split is possible.  Ground
+    to four places: shapes are snapped to 2 ** -22 at these coordinates."""
     eas, buildings = _engine(spark, sf)
     parts = enumeration.split_rounds(eas, buildings, rounds=8)
     return parts.groupBy("ea_id").agg(
         geo.floor_round(F.sum("hh"), 6).alias("hh"), F.sum(F.size("buildings")).cast("long").alias("buildings"),
-        geo.floor_round(F.sum(ops.area_of("geom")), 6).alias("area"), F.bool_and(~F.col("open")).alias("settled"))
+        geo.floor_round(F.sum(ops.area_of("geom")), 4).alias("area"), F.bool_and(~F.col("open")).alias("settled"))
 
 
 @query("E19_variant", f"{_HELD} SELECT parent, sum(coalesce(t.hh, hhcount))::DOUBLE AS hh, sum(coalesce(n, 0))::BIGINT AS buildings FROM eas LEFT JOIN t USING (ea_id) GROUP BY parent")

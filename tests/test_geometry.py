@@ -229,3 +229,46 @@ def test_parts_and_slivers(spark):
     assert sorted((r["name"], r["part"]) for r in ops.single_parts(layer).collect()) == [("a", 0), ("a", 0), ("a", 1), ("a", 2), ("b", 0)]
     assert {r["name"]: arr.area(wkb.parse(r["geom"])) for r in ops.without_slivers(layer, "name").collect()} == pytest.approx({"a": 101.04, "b": 0.0001})
     assert [r[0] and round(arr.area(wkb.parse(r[0])), 9) for r in layer.where("name <> 'a'").select(ops.largest_part_of("geom")).collect()] == [0.0001, None, 0]
+
+
+EAS = "ea_id long, ean string, parent string, hhcount double, flagged boolean, special boolean, geom binary"
+INSIDE = "ea_id long, parent string, x double, y double, hh double, value double"
+
+
+def test_variant_imputes_splits_in_rounds_and_routes(spark):
+    grid = [(x + i, 1.0 + 2 * j) for x in (1.0, 5.9) for i in (0.0, 1.0, 2.0, 3.0) for j in range(5)]
+    heavy = [(1, "p", *p, 10.0, 0.8 if i == 0 else 0.2 / 39) for i, p in enumerate(grid)]
+    eas = spark.createDataFrame([
+        (1, "001000", "p", None, None, None, wkb.dump(square(0, 0, 10, 10))), (2, "002000", "p", 50.0, False, True, wkb.dump(square(20, 0, 4, 4))),
+        (3, "003000", "p", 150.0, False, True, wkb.dump(square(24, 0, 4, 4))), (4, "004000", None, 0.0, True, False, None), (5, None, "q", None, False, None, wkb.dump(square(0, 20, 1, 1)))], EAS)
+    inside = spark.createDataFrame(heavy, INSIDE)
+    assert {r["ea_id"]: r["hhcount"] for r in ea.imputed(eas, inside).collect()} == {1: 400.0, 2: 50.0, 3: 150.0, 4: 0.0, 5: 0.0}
+    # every area's value is checked, or only that of candidates, by their own count
+    held = ea.variant(eas, inside)
+    assert {(r["ea_id"], r["hh"], r["sink"]) for r in held.collect()} == {(1, 400.0, "retained"), (2, 50.0, "delineated"), (3, 150.0, "delineated"), (4, 0.0, "retained"), (5, 0.0, "retained")}
+    other = spark.createDataFrame([("002000", 400.0), ("002000", None)], "ean string, hhcount double")
+    free = ea.variant(eas, inside, other).where("ea_id = 1").collect()
+    assert len(free) > 1 and sum(r["hh"] for r in free) == 400 and {r["sink"] for r in free} == {"delineated"} and sum(r["bldg_count"] for r in free) == 40
+    same = spark.createDataFrame([("001000", 400.0)], "ean string, hhcount double")
+    assert ea.variant(eas, inside, same).where("ea_id = 1").count() == 1
+    empty = ea.variant(eas.limit(0), inside.limit(0), other.limit(0))
+    assert empty.collect() == [] and empty.columns == held.columns
+
+
+def test_parts_over_the_limit_are_split_again(spark):
+    points = [(1, "p", x + 0.5, y + 0.5, 25.0, 1 / 64) for x in range(8) for y in range(8)]
+    eas = spark.createDataFrame([(1, "001000", "p", 1600.0, False, False, wkb.dump(square(0, 0, 8, 8)))], EAS)
+    inside = spark.createDataFrame(points, INSIDE)
+    limit = spark.createDataFrame([], "ean string, hhcount double")
+
+    def sizes(**how):
+        rows = ea.split_rounds(eas, inside, limit, 100, 300, **how).collect()
+        assert sum(r["hh"] for r in rows) == 1600 and sum(len(r["buildings"]) for r in rows) == 64
+        assert sum(arr.area(wkb.parse(r["geom"])) for r in rows) == pytest.approx(64, abs=1e-5)
+        return {r["part"]: r["hh"] for r in rows}
+
+    once, more = sizes(resplit=False), sizes()
+    again = {k for k, n in once.items() if n >= 300}
+    assert again and all("." not in k for k in once)
+    assert all(k in more for k in once.keys() - again)
+    assert {k.split(".")[0] for k in more if "." in k} <= again and max(more.values()) <= max(once.values())
