@@ -60,11 +60,13 @@ def dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def polygon_join(left: DataFrame, right: DataFrame, size: float, predicates: tuple[int, ...] = (0,), on: list[str] = (), geom: str = "geom") -> DataFrame:
+def polygon_join(left: DataFrame, right: DataFrame, size: float, predicates: tuple[int, ...] = (0,), on: list[str] = (), geom: str = "geom", scaled: bool = False) -> DataFrame:
     """Pairs of areas as structs ``a`` and ``b`` with their relation ``r``, for which one
     of the ``predicates`` holds.  on: columns that must be equal besides.  Rows without
-    a geometry meet nothing."""
-    met = spatial.box_join(boxed(left, geom), boxed(right, geom), size, on=on)
+    a geometry meet nothing.  scaled: for layers whose areas differ much in size; the
+    boxes, which are read twice then, are written to the shared folder first."""
+    a, b = boxed(left, geom), boxed(right, geom)
+    met = spatial.scaled_box_join(spatial.cut_lineage(a), spatial.cut_lineage(b), size, on=on) if scaled else spatial.box_join(a, b, size, on=on)
     found = dealt(met).withColumn("r", relation(F.col(f"a.{geom}"), F.col(f"b.{geom}")))
     hit = F.lit(False)
     for p in predicates:

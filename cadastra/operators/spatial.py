@@ -26,6 +26,24 @@ def cells(df: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
     return df.withColumn("cx", F.explode(F.sequence(lo("x0"), hi("x1")))).withColumn("cy", F.explode(F.sequence(lo("y0"), hi("y1"))))
 
 
+def box_level(size: float, pad: float = 0.0) -> Column:
+    """Doublings of ``size`` until a cell is as long as the longer side of the padded box."""
+    longer = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * pad
+    return F.when(longer > size, F.ceil(F.log2(longer / size))).otherwise(0).cast("int")
+
+
+def levelled_cells(df: DataFrame, size: float, others: Column, pad: float = 0.0) -> DataFrame:
+    """Rows with ``cl``, ``cx`` and ``cy`` for the cells that the (padded) box touches on
+    the grid of its own level ``_own``, some four, and on the coarser ones that ``others``
+    lists."""
+    wanted = F.concat(F.array("_own"), F.filter("_others", lambda n: n > F.col("_own")))
+    side = F.lit(size) * F.pow(F.lit(2.0), F.col("cl"))
+    out = df.withColumn("_others", others).withColumn("cl", F.explode(wanted)).drop("_others")
+    for c, name in (("x", "cx"), ("y", "cy")):
+        out = out.withColumn(name, F.explode(F.sequence(F.floor((F.col(f"{c}0") - pad) / side), F.floor((F.col(f"{c}1") + pad) / side))))
+    return out
+
+
 def as_boxes(points: DataFrame) -> DataFrame:
     return points.select("*", *[F.col(c[0]).alias(c) for c in BOX]) if "x0" not in points.columns else points
 
@@ -53,6 +71,33 @@ def box_join(left: DataFrame, right: DataFrame, size: float, closed: bool = True
     return pairs.where(test & first).select("a", "b")
 
 
+def scaled_box_join(left: DataFrame, right: DataFrame, size: float, closed: bool = True, on: list[str] = (), within: float = 0.0) -> DataFrame:
+    """``box_join`` for boxes of very different sizes: those of one size class lie on a
+    grid of cells as large, so a box takes some four cells whatever its size.
+
+    A pair meets on the grid of the larger of both.  So a row also goes to the coarser
+    grids that the other side has boxes on: a scalar subquery over its boxes gives the
+    list, some dozens of numbers at most, and costs a second reading of these columns.
+    Where sizes are alike ``box_join`` is cheaper."""
+    def sided(df: DataFrame, pad: float) -> DataFrame:
+        return as_boxes(df).withColumn("_own", box_level(size, pad))
+
+    def grids(df: DataFrame) -> Column:
+        return df.where("_own IS NOT NULL").agg(F.collect_set("_own")).scalar()
+
+    a, b = sided(left, within), sided(right, 0.0)
+    cut = ["cl", "cx", "cy", *on]
+    a_cells = levelled_cells(a, size, grids(b), within).select(F.struct(*left.columns, *[c for c in BOX if c not in left.columns]).alias("a"), F.col("_own").alias("_la"), *cut)
+    b_cells = levelled_cells(b, size, grids(a)).select(F.struct(*right.columns, *[c for c in BOX if c not in right.columns]).alias("b"), F.col("_own").alias("_lb"), *cut)
+    pairs = a_cells.join(b_cells, cut).where(F.col("cl") == F.greatest("_la", "_lb"))
+    lo = {c: F.greatest(F.col(f"a.{c}") - within, F.col(f"b.{c}")) for c in ("x0", "y0")}
+    hi = {c: F.least(F.col(f"a.{c}") + within, F.col(f"b.{c}")) for c in ("x1", "y1")}
+    test = (lo["x0"] <= hi["x1"]) & (lo["y0"] <= hi["y1"]) if closed else (lo["x0"] < hi["x1"]) & (lo["y0"] < hi["y1"])
+    side = F.lit(size) * F.pow(F.lit(2.0), F.col("cl"))
+    first = (F.floor(lo["x0"] / side) == F.col("cx")) & (F.floor(lo["y0"] / side) == F.col("cy"))
+    return pairs.where(test & first).select("a", "b")
+
+
 def box_area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
 

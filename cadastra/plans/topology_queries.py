@@ -176,3 +176,17 @@ def e19(spark, sf):
     eas, buildings = _engine(spark, sf)
     done = enumeration.variant(eas, buildings, eas.where("hhcount >= 300").select("ean", "hhcount"))
     return done.groupBy("parent").agg(geo.floor_round(F.sum("hh"), 6).alias("hh"), F.sum("bldg_count").cast("long").alias("buildings"))
+
+
+_LADDER = "CASE WHEN o_orderkey % 1000 = 7 THEN 3000.0 WHEN o_orderkey % 50 = 3 THEN 90.0 ELSE 1 + o_orderkey % 3 END"
+
+
+@query("J03_boxes_of_all_sizes", f"""{A}, b AS (SELECT o_orderkey, ((o_orderkey*7919)%2000)::DOUBLE AS x0, ((o_orderkey*6101)%2000)::DOUBLE AS y0, x0 + ({_LADDER})::DOUBLE AS x1, y0 + ({_LADDER})::DOUBLE AS y1 FROM orders)
+ SELECT o_orderkey, count(*) AS n, min(id) AS least FROM b JOIN areas a ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 GROUP BY o_orderkey""")
+def j03_sizes(spark, sf):
+    """Boxes from a side of one to one over the whole extent, with the areas they meet."""
+    side = F.expr(_LADDER).cast("double")
+    x, y = F.expr("CAST((o_orderkey*7919)%2000 AS DOUBLE)"), F.expr("CAST((o_orderkey*6101)%2000 AS DOUBLE)")
+    boxes = load(spark, sf, "orders").select("o_orderkey", x.alias("x0"), y.alias("y0"), (x + side).alias("x1"), (y + side).alias("y1"))
+    met = spatial.scaled_box_join(boxes, load(spark, sf, "areas").select("id", *spatial.BOX), 4.0)
+    return met.groupBy(F.col("a.o_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.min("b.id").alias("least"))
