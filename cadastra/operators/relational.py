@@ -89,35 +89,66 @@ def fuzzy_roman(src: DataFrame, refs: DataFrame, src_key: str, src_name: str, re
     return best.select(src_key, F.col("m.distance").alias("distance"), F.col(f"m.{ref_order}").alias(ref_order), F.col(f"m.{ref_name}").alias(ref_name))
 
 
-#: Keys that one pass of ``close_matches`` compares each name with.
-CLOSE_BLOCK = 20_000
+def _letters(texts: DataFrame) -> DataFrame:
+    """``(v, t)``: the different texts with their letters, each with its running number
+    among equal ones (``a1``, ``n1``, ``a2``), so that two texts' common letters are the
+    common members of both lists."""
+    chars = F.col("_c")
+    numbered = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda o: o == c)).cast("string")))
+    return texts.withColumn("_c", F.regexp_extract_all("v", F.lit("(?s)."), F.lit(0))).select("v", numbered.alias("t"))
+
+
+def _rarest_first(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """The lists of ``_letters`` in the order of how many texts hold a letter."""
+    each = texts.select("v", F.explode("t").alias("l")).join(often, "l")
+    return each.groupBy("v").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "l"))), lambda x: x["l"]).alias("t"))
+
+
+def alike_candidates(src: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
+    """``(name, k)`` of all pairs of the texts ``src.v`` and ``keys.v`` whose common
+    letters allow a ratio of ``cutoff`` or more: twice their number by both lengths.
+
+    Texts of ``p`` and ``q`` letters need ``need = cutoff * (p + q) / 2`` common ones, so
+    among the ``p - need + 1`` rarest of one and the ``q - need + 1`` rarest of the other
+    there is a common letter.  Both are put under these letters and the two lengths and
+    meet in an equi-join; a pair is kept under the rarest letter that both lists share
+    there, so none is seen twice, then all letters are compared."""
+    src, keys = (_letters(df.select("v").where("v <> ''").distinct()) for df in (src, keys))
+    often = src.unionByName(keys).select(F.explode("t").alias("l")).groupBy("l").agg(F.count("*").alias("n"))
+
+    def listed(df: DataFrame, own: str, other: str, out: str) -> DataFrame:
+        mine, theirs = F.col(own), F.col(other)
+        need = F.ceil(cutoff * (F.col("p") + F.col("q")) / 2 - 1e-9)
+        low, high = F.ceil(mine * cutoff / (2 - cutoff) - 1e-9), F.floor(mine * (2 - cutoff) / cutoff + 1e-9)
+        rows = _rarest_first(df, often).withColumn(own, F.size("t")).withColumn(other, F.explode(F.sequence(F.greatest(low, F.lit(1)), high))).withColumn(other, theirs.cast("int"))
+        rows = rows.withColumn("head", F.slice("t", F.lit(1), (mine - need + 1).cast("int")))
+        return rows.select(F.struct("v", "t", "head").alias(out), "p", "q", F.explode("head").alias("l"))
+
+    met = listed(src, "p", "q", "a").join(listed(keys, "q", "p", "b"), ["l", "p", "q"])
+    once = F.get(F.array_intersect("a.head", "b.head"), F.lit(0)) == F.col("l")
+    enough = 2 * F.size(F.array_intersect("a.t", "b.t")) >= cutoff * (F.col("p") + F.col("q")) - 1e-9
+    return met.where(once & enough).select(F.col("a.v").alias("name"), F.col("b.v").alias("k"))
 
 
 def close_matches(src: DataFrame, keys: DataFrame, name: str, key: str, cutoff: float = 0.75) -> DataFrame:
     """``(name, match, ratio)``: the key most alike by matching blocks, of a ratio of
-    ``cutoff`` or more; ties: the last in order.
-
-    For the different names that exact lookups leave.  They are compared with blocks of
-    ``CLOSE_BLOCK`` keys, one broadcast block after the other; the best of each block
-    meet in a grouped maximum."""
-    names_, keys_ = src.select(F.col(name).alias("name")).where("name <> ''").distinct(), keys.select(F.col(key).alias("k")).where("k <> ''").distinct()
-    blocks, out = max(1, -(-keys_.count() // CLOSE_BLOCK)), None
-    for i in range(blocks):
-        part = keys_.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i)
-        held = src.sparkSession.sparkContext.broadcast(sorted(r[0] for r in part.collect()))  # one block
-        found = names_.mapInPandas(_closest(held, cutoff), "name string, match string, ratio double")
-        out = found if out is None else out.union(found)
-    return out.groupBy("name").agg(F.max(F.struct("ratio", "match")).alias("m")).select("name", "m.match", "m.ratio")
-
-
-def _closest(held, cutoff: float):
+    ``cutoff`` (over 0, at most 1) or more; ties: the last in order.
+
+    For the different names that exact lookups leave; null and empty ones match nothing.
+    Only the pairs of ``alike_candidates``, which loses none, are compared by blocks."""
+    if not 0 < cutoff <= 1:
+        raise ValueError(f"cutoff {cutoff} is not over 0 and at most 1")
+    pairs = alike_candidates(src.select(F.col(name).alias("v")), keys.select(F.col(key).alias("v")), cutoff)
+    found = pairs.mapInPandas(_ratios(cutoff), "name string, match string, ratio double")
+    return found.groupBy("name").agg(F.max(F.struct("ratio", "match")).alias("m")).select("name", "m.match", "m.ratio")
+
+
+def _ratios(cutoff: float):
     def run(batches):
         for pdf in batches:
-            rows = []
-            for name in pdf["name"]:
-                for match in difflib.get_close_matches(name, held.value, n=1, cutoff=cutoff):
-                    rows.append((name, match, difflib.SequenceMatcher(None, match, name).ratio()))
-            yield pd.DataFrame(rows, columns=["name", "match", "ratio"])
+            ratio = [difflib.SequenceMatcher(None, k, n).ratio() for n, k in zip(pdf["name"], pdf["k"])]
+            out = pd.DataFrame({"name": pdf["name"], "match": pdf["k"], "ratio": ratio})
+            yield out[out["ratio"] >= cutoff]
 
     return run
 

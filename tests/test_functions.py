@@ -82,10 +82,9 @@ def test_matchers_lose_no_pair(spark):
         assert {tuple(r) for r in rel.fuzzy_roman(a, b, "a", "a", "b", "o", k).collect()} == {tuple(r) for r in want.collect()}
 
 
-def test_close_matches_equal_the_library(spark, monkeypatch):
+def test_close_matches_equal_the_library(spark):
     import difflib
 
-    monkeypatch.setattr(rel, "CLOSE_BLOCK", 3)
     src = ["sanjose", "snjose", "barurao", "zzz", "poblacion1", ""]
     keys = ["sanjoze", "sanjos", "sanjose1", "poblacion", "barurau", "baruraa", "x"]
     got = rel.close_matches(spark.createDataFrame([(v,) for v in [*src, *src]], "n string"), spark.createDataFrame([(k,) for k in keys], "k string"), "n", "k")
@@ -97,6 +96,23 @@ def test_close_matches_equal_the_library(spark, monkeypatch):
     assert {r["id"]: (r["code"], r["status"]) for r in found.collect()} == {1: (1, "EXACT"), 2: (3, "NORMALIZED"), 3: (3, "CLOSE"), 4: (None, "UNMATCHED"), 5: (None, "UNMATCHED")}
 
 
+@pytest.mark.parametrize("cutoff", [0.3, 0.75, 0.9, 1.0])
+def test_close_matches_of_random_names(spark, cutoff):
+    """Few letters, many repeats, all lengths: every pair that the library finds, ties too."""
+    import difflib
+    import random
+
+    r = random.Random(5)
+    made = ["".join(r.choice("aabno ñ\n😀") for _ in range(r.choice((1, 2, 3, 5, 9, 14)))) for _ in range(260)]
+    src, keys = made[:130], [*made[120:], "ab" * 130]
+    got = rel.close_matches(spark.createDataFrame([(v,) for v in [*src, None]], "n string"), spark.createDataFrame([(k,) for k in [*keys, None, ""]], "n string"), "n", "n", cutoff)
+    want = {s: m[0] for s in src if (m := difflib.get_close_matches(s, sorted(set(keys)), n=1, cutoff=cutoff))}
+    rows = got.collect()
+    assert {x["name"]: x["match"] for x in rows} == want and len(rows) == len(want)
+    none = spark.createDataFrame([], "n string")
+    assert rel.close_matches(none, none, "n", "n", cutoff).collect() == []
+
+
 def test_fixed_forms(spark):
     assert values(spark, ["CON", "CON.txt", "con", "a.", "a|b", "x" * 255, "ok.csv"], codes.is_valid_filename) == [False, True, False, False, False, False, True]
     assert values(spark, [".git/a", "x/y.pyc", "x/y.py", "docs", "docs2"], lambda c: rules.is_excluded(F.substring_index(c, "/", -1), c)) == [True, True, False, True, False]
