@@ -166,8 +166,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     wide = vocabulary(tokenizer_path, end_id) > 1 << 16
 
     def run(batches):
-        for b in batches:
-            coded = [np.frombuffer(x + end, dtype="<u4") for x in tokens.encoder(source.value).encode(b.column(1).to_pylist())]
+        for b in tokens.gathered(batches, 1):
+            coded = [np.frombuffer(x + end, dtype="<u4") for x in tokens.encoder(source.value).encode(b.column(1))]
             packed = [c.tobytes() if wide else c.astype("<u2").tobytes() for c in coded]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(packed, pa.binary()), pa.array(range_of(b.column(0), packed, ranges.value), pa.int32())], names=["id", "n", "ids", "p"])
 

@@ -77,9 +77,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def first_round(batches):
         ids, piece, start, length, crc = [], [], [], [], []
-        for b in batches:
+        for b in tokens.gathered(batches, 1):
             keys = b.column(0).to_pylist()
-            for key, coded in zip(keys, tokens.encoder(source.value).encode(b.column(1).to_pylist())):
+            for key, coded in zip(keys, tokens.encoder(source.value).encode(b.column(1))):
                 coded += end
                 for k, (at, n) in enumerate(pieces_of(len(coded) // 4, capacity)):
                     ids.append(key), piece.append(k), start.append(at), length.append(n)

@@ -4,31 +4,41 @@ A public tokenizer's file is read once on the driver and its text (a few MB, fix
 by the vocabulary) is broadcast, so executors need no file.  Invented or natural
 prose repeats its words; both supported pre-tokenizers treat a space-delimited chunk
 the same wherever it stands, so every distinct chunk goes through the library once
-and later occurrences are looked up.  Texts with chunks for which that is not
+and later occurrences are looked up, once for some megabytes of text.  Texts with chunks for which that is not
 certain (runs of white space, other white space than space and line feed) are
 encoded whole by the library itself."""
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
+import re
 import string
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from . import shared
 
-#: Chunks kept in a worker's memo before it starts anew.
+#: Chunks kept in a worker's memo, half of them in each of two generations.
 MEMO_CHUNKS = 700_000
 PUNCTUATION = string.punctuation
+#: Bytes of text that are looked up together, and texts whose ids are put together at once.
+TEXT_BYTES, TEXTS = 8 << 20, 500
 
 
 #: Byte-level BPE writes bytes that are no printable Latin-1 characters as those from U+0100 on.
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
-SPACE = chr(ALPHABET[32])
+#: The alphabet by byte, line feeds apart.
+LINES = "".join(chr(ALPHABET.get(b, b)) if b != 10 else "\n" for b in range(256))
+#: Letters that normalisation may change in other ways than by case.
+FAR = re.compile("[\u0180-\U0010ffff]")
 
 
 class ChunkEncoder:
@@ -38,81 +48,116 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.model = self.tokenizer.model
+        if forget := getattr(self.model, "_resize_cache", None):
+            forget(0)  # the memo stands before the library's own, which only costs then
         self.mode = mode_of(json.loads(source))
-        self.memo: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes | bool] = {}  # False: must be seen in its place
+        self.older: dict[str, bytes | bool] = {}
         self.tails: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text (null: empty)."""
-        texts = [t or "" for t in texts]
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text (null: empty).
+
+        Arrow cuts the texts and numbers the distinct chunks of the batch, Python sees
+        each of these once, and NumPy puts their ids in the places of the chunks."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
         if self.mode == "whole":
-            return self._library(texts)
+            return self._library(texts.to_pylist())
         if self.mode == "word":
-            chunks = [t.replace("\n", " ").split(" ") for t in texts]
+            told = pc.replace_substring(texts, "\n", " ")
         else:
-            chunks = [["\0"] if "\0" in t else ("\0" + t.replace("\n", " \n")).split(" ") if t else [] for t in texts]
-        self._learn(chunks)
-        get, out, rest = self.memo.__getitem__, [], []
-        for i, part in enumerate(chunks):
-            try:
-                out.append(b"".join(map(get, part)))
-            except TypeError:  # a chunk that must be seen in its place
-                out.append(b"")
-                rest.append(i)
-        for i, ids in zip(rest, self._library([texts[i] for i in rest])):
-            out[i] = ids
+            nul = pa.scalar("\0", pa.large_string())
+            told = pc.if_else(pc.match_substring(texts, "\0"), nul, pc.binary_join_element_wise(nul, pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())))
+        parts = pc.split_pattern(told, " ")
+        chunks = parts.flatten().dictionary_encode()
+        known = self._known(_listed(chunks.dictionary))
+        apart = np.array([k is False for k in known], dtype=bool)
+        known = [k or b"" for k in known]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), dtype="<u4")
+        which, of_text = chunks.indices.to_numpy(), parts.offsets.to_numpy()
+        out: list[bytes] = []
+        for a in range(0, len(texts), TEXTS):
+            cuts = of_text[a : a + TEXTS + 1]
+            here = which[cuts[0] : cuts[-1]]
+            n = sizes[here]
+            ends = np.cumsum(n)
+            ids = flat[np.arange(n.sum()) + np.repeat(starts[here] - (ends - n), n)].tobytes()
+            marks = (4 * np.append(0, ends)[cuts - cuts[0]]).tolist()
+            out += [ids[i:j] for i, j in zip(marks, marks[1:])]
+        if apart.any():
+            rest = np.flatnonzero(np.diff(np.append(0, np.cumsum(apart[which]))[of_text])).tolist()
+            for i, ids in zip(rest, self._library(texts.take(pa.array(rest)).to_pylist())):
+                out[i] = ids
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, chunks: list[list[str]]) -> None:
-        memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        wanted = [c for c in set().union(*chunks) if c not in memo] if chunks else []
-        names, told, parts = [], [], []
-        atoms: set[str] = set()
+    def _known(self, chunks: list[str]) -> list[bytes | bool]:
+        """Ids per chunk.  The memo has two generations: when the younger is full it takes
+        the place of the older, and what is met again there moves on, so frequent chunks stay."""
+        if 2 * len(self.memo) > MEMO_CHUNKS:
+            self.older, self.memo = self.memo, {}
+        known = list(map(self.memo.get, chunks))
+        new = [i for i, k in enumerate(known) if k is None]
+        self._learn([chunks[i] for i in new])
+        for i in new:
+            known[i] = self.memo[chunks[i]]
+        return known
+
+    def _learn(self, wanted: list[str]) -> None:
+        memo, older = self.memo, self.older
+        words, names, told, parts = [], [], [], []
         for c in wanted:
-            core = c.rstrip(PUNCTUATION)
-            if len(core) != len(c) and core.isalpha():
-                # letters, then ASCII punctuation: both patterns part them, and neither part sees the other
-                tail = c[len(core) :]
-                parts.append((c, core, tail))
-                atoms.add(core)
-                if tail not in self.tails:
-                    if len(self.tails) > MEMO_CHUNKS:
-                        self.tails.clear()
-                    self.tails[tail] = self._library([tail])[0]
-                continue
-            if core and c.isalpha():
-                atoms.add(c)
-                continue
-            said = self._standing(c)
-            if said is None:
-                memo[c] = None
-            elif not said:
-                memo[c] = b""
+            if (ids := older.get(c)) is not None:
+                memo[c] = ids
+            elif c.isalpha():
+                words.append(c)
             else:
-                names.append(c)
-                told.append(said)
+                core = c.rstrip(PUNCTUATION)
+                if len(core) != len(c) and core.isalpha():
+                    # letters, then ASCII punctuation: both patterns part them, and neither part sees the other
+                    parts.append((c, core, c[len(core) :]))
+                    continue
+                said = self._standing(c)
+                if not said:
+                    memo[c] = False if said is None else b""
+                else:
+                    names.append(c)
+                    told.append(said)
         memo.update(zip(names, self._library(told)))
-        for c in atoms:
-            if c not in memo:
-                memo[c] = self._model(c)
+        memo.update(zip(words, self._model(words)))
+        words = []
+        for core in {core for _, core, _ in parts if core not in memo}:
+            if (ids := older.get(core)) is not None:
+                memo[core] = ids
+            else:
+                words.append(core)
+        memo.update(zip(words, self._model(words)))
+        if len(self.tails) > MEMO_CHUNKS:
+            self.tails.clear()
+        tails = list({tail for *_, tail in parts} - self.tails.keys())
+        self.tails.update(zip(tails, self._library(tails)))
         for c, core, tail in parts:
             memo[c] = memo[core] + self.tails[tail]
 
-    def _model(self, word: str) -> bytes:
-        """A word of letters straight from the library's BPE model.  Normalisation and
-        pre-tokenisation of such a word are known: (lower case and) its bytes as the
-        byte-level alphabet writes them, with the space before it in ``byte`` mode."""
-        told = " " + word if self.mode == "byte" else word.lower()
-        if word.isascii():
-            return array("I", [t.id for t in self.model.tokenize(SPACE + word if self.mode == "byte" else told)]).tobytes()
-        if max(told) >= "\u0180":
-            return self._library([self._standing(word)])[0]
-        return array("I", [t.id for t in self.model.tokenize(told.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Words of letters straight from the library's BPE model.  Normalisation and
+        pre-tokenisation of such words are known: (lower case and) their bytes as the
+        byte-level alphabet writes them, with the space before it in ``byte`` mode.  All
+        are written in one go, a line each."""
+        if not words:
+            return []
+        lines = " " + "\n ".join(words) if self.mode == "byte" else "\n".join(words).lower()
+        far = [i for i, x in enumerate(lines.split("\n")) if FAR.search(x)] if FAR.search(lines) else []
+        tokenize = self.model.tokenize
+        out = [array("I", [t.id for t in tokenize(x)]).tobytes() for x in codecs.charmap_decode(lines.encode(), "strict", LINES)[0].split("\n")]
+        for i, ids in zip(far, self._library([self._standing(words[i]) for i in far])):
+            out[i] = ids
+        return out
 
     def _standing(self, chunk: str) -> str | None:
         """The string that the library gets for a chunk; None if it depends on its neighbours."""
@@ -127,6 +172,13 @@ class ChunkEncoder:
         return {"\n": chunk, "\0": body}.get(first, " " + chunk)
 
 
+def _listed(chunks: pa.Array) -> list[str]:
+    """Chunks without spaces as a list, by one string."""
+    if not len(chunks):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), pa.scalar(" ", chunks.type))[0].as_py().split(" ")
+
+
 def mode_of(spec: dict) -> str:
     """``byte``: byte-level BPE whose pattern ties one leading space to a word;
     ``word``: white space only separates; ``whole``: anything else."""
@@ -147,6 +199,21 @@ def mode_of(spec: dict) -> str:
     return "whole"
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``TEXT_BYTES`` of a text column, so that a frequent chunk
+    is looked up once in more texts; a larger batch stays as it is."""
+    held, size = [], 0
+    for b in batches:
+        n = b.column(column).nbytes
+        if held and size + n > TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoder(source: str) -> ChunkEncoder:
     """One encoder per worker process and tokenizer."""
     return shared.only_memo(("tokens", hash(source)), lambda: ChunkEncoder(source))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -184,6 +185,45 @@ def test_chunks_encode_as_whole_texts():
             assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_frequent_chunks_stay_when_the_memo_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 40)
+    rng = random.Random(5)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        with open(path) as f:
+            ours = tokens.ChunkEncoder(f.read())
+        theirs, model, asked = Tokenizer.from_file(path), ours.model, defaultdict(int)
+
+        class Counted:
+            def tokenize(self, word):
+                asked[word.removeprefix(chr(tokens.ALPHABET[32]))] += 1
+                return model.tokenize(word)
+
+        ours.model = Counted()
+        for _ in range(20):
+            texts = ["x always", "y  always, " + " ".join("".join(rng.choices("abcdeö", k=9)) + rng.choice(["", ".", "?!", " ΑΣ"]) for _ in range(15)), ""]
+            for text, ids in zip(texts, ours.encode(texts)):
+                assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+        assert asked["always"] == 1 and len(asked) > 200
+
+
+def test_gathered_batches_keep_rows_and_order(monkeypatch):
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 200)
+    monkeypatch.setattr(tokens, "TEXTS", 3)
+    texts = [None if i % 7 == 0 else "" if i % 5 == 0 else "word " * (i % 11) + f"w{i}\n\0"[: 1 + i % 6] for i in range(100)] + ["long " * 90, "end"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part))), pa.array(part, pa.string())], names=["id", "text"]) for i in range(0, len(texts), 4) for part in [texts[i : i + 4]]]
+    met = list(tokens.gathered((b.slice(j, 2) for b in batches for j in (0, 2)), 1))
+    assert [i for b in met for i in b.column(0).to_pylist()] == list(range(len(texts))) and len(met) < len(batches)
+    assert list(tokens.gathered([], 1)) == []
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        with open(path) as f:
+            ours = tokens.ChunkEncoder(f.read())
+        theirs = Tokenizer.from_file(path)
+        found = [np.frombuffer(x, "<u4").tolist() for b in met for x in ours.encode(b.column(1))]
+        assert found == [theirs.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_huffman_codes_are_limited_and_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 511, 512, 513, 1024, 5000):
