@@ -77,7 +77,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def first_round(batches):
         ids, piece, start, length, crc = [], [], [], [], []
-        for b in tokens.gathered(batches, 1):
+        for b in batches:  # not gathered: packing leaves a worker less memory
             keys = b.column(0).to_pylist()
             for key, coded in zip(keys, tokens.encoder(source.value).encode(b.column(1))):
                 coded += end
