@@ -29,7 +29,7 @@ from . import shared
 MEMO_CHUNKS = 700_000
 PUNCTUATION = string.punctuation
 #: Bytes of text that are looked up together, and texts whose ids are put together at once.
-TEXT_BYTES, TEXTS = 8 << 20, 500
+TEXT_BYTES, TEXTS = 8 << 20, 100
 
 
 #: Byte-level BPE writes bytes that are no printable Latin-1 characters as those from U+0100 on.
