@@ -36,7 +36,7 @@ def g02(spark, sf):
 
         return pd.Series([wkb.dump([[[(p, q), (r, s), (r, q), (p, s)]]]) for p, q, r, s in zip(a, b, c, d)])
 
-    df = load(spark, sf, "areas").select("id", bow(*[F.col(c) for c in spatial.BOX]).alias("g"))
+    df = polygons.dealt(load(spark, sf, "areas").select("id", *spatial.BOX)).select("id", bow(*[F.col(c) for c in spatial.BOX]).alias("g"))
     return df.select("id", geo.floor_round(ops.area_of(ops.make_valid_of("g")), 6).alias("area"))
 
 
