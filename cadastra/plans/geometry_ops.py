@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
-from cadastra.operators.polygons import dealt
+from cadastra.operators.polygons import by_group, dealt
 
 
 def area_of(c: Column | str) -> Column:
@@ -65,21 +65,20 @@ def single_parts(df: DataFrame, geom: str = "geom") -> DataFrame:
 def without_slivers(df: DataFrame, key: str, geom: str = "geom", share: float = 1e-4) -> DataFrame:
     """``(key, geom)``: the parts of all rows of a key, without those smaller than
     ``share`` of its largest, united to one row.  Null keys are left out."""
-    parts = single_parts(df.select(key, geom), geom).withColumn("_size", area_of(geom))
-    top = parts.groupBy(key).agg((share * F.max("_size")).alias("_least"))
-    return dissolve(parts.join(top, key).where("_size >= _least"), key, geom)
+    parts = single_parts(dealt(df.where(F.col(key).isNotNull()).select(key, geom)), geom).withColumn("_size", area_of(geom))
+    least = share * F.max("_size").over(Window.partitionBy(key))
+    return dissolve(parts.withColumn("_least", least).where("_size >= _least"), key, geom)
 
 
 def dissolve(df: DataFrame, key: str, geom: str = "geom", parts: int = 8) -> DataFrame:
     """Union per key in two levels: ``parts`` partial unions of a key, then theirs."""
     salted = df.where(F.col(geom).isNotNull()).select(key, F.col(geom).alias("geom"), F.pmod(F.xxhash64(geom), F.lit(parts)).alias("s"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf[key].iloc[0], wkb.dump(arr.union([wkb.parse(g) for g in pdf["geom"]])))], columns=[key, "geom"])
+    def merge(k: tuple, own: list[tuple]) -> list[tuple]:
+        return [(k[0], own[0].geom if len(k) > 1 and len(own) == 1 else wkb.dump(arr.union([wkb.parse(r.geom) for r in own])))]
 
-    kind = df.schema[key].dataType.simpleString()
-    first = dealt(salted, key, "s").groupBy(key, "s").applyInPandas(merge, f"{key} {kind}, geom binary")
-    return first.groupBy(key).applyInPandas(merge, f"{key} {kind}, geom binary")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, geom binary"
+    return by_group(by_group(salted, [key, "s"], merge, schema), [key], merge, schema)
 
 
 def gap_finder(df: DataFrame, key: str, geom: str = "geom") -> DataFrame:
@@ -109,7 +108,9 @@ def check_layer(df: DataFrame, fid: str = "fid", geom: str = "geom", layer_type:
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.substring(F.hex(F.substring("geom", 2, 1)), 1, 2))
     sound = rows.where(~empty)
     wrong = sound.where(F.coalesce(kind != layer_type, F.lit(True))).select("fid", F.lit("wrong_type").alias("issue"))
-    bad = sound.where(kind == layer_type).where(~valid_of("geom")).select("fid", F.lit("self_intersection").alias("issue"))
+    # not repeatable, so that the test is not taken before the rows are dealt
+    valid = wkb.geometry_udf(arr.is_valid, "boolean").asNondeterministic()
+    bad = dealt(sound.where(kind == layer_type)).where(~valid("geom")).select("fid", F.lit("self_intersection").alias("issue"))
     same = sound.groupBy(F.sha2("geom", 256).alias("h")).agg(F.min("fid").alias("fid"), F.count("*").alias("n")).where("n > 1").select("fid", F.lit("duplicate").alias("issue"))
     return rows.where(empty).select("fid", F.lit("null").alias("issue")).union(wrong).union(bad).union(same)
 
