@@ -16,7 +16,7 @@ from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
 
 from . import spatial
-from .polygons import dealt
+from .polygons import by_group, dealt
 
 #: Decimals at which two coordinates are the same.
 DIGITS = 8
@@ -76,12 +76,12 @@ def refine_lines(lines: DataFrame, keys: list[str], gap: float, branch: float) -
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in lines.select(*keys).schema], "line int", "points array<array<double>>"])
 
-    def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(arr.merge_lines([[tuple(p) for p in line] for line in pdf["points"]]))
-        return pd.DataFrame([(*key, i, [list(p) for p in line]) for i, line in enumerate(found)], columns=[*keys, "line", "points"])
+    def joined(key: tuple, own: list[tuple]) -> list[tuple]:
+        found = sorted(arr.merge_lines([[tuple(p) for p in r.points] for r in own]))
+        return [(*key, i, [list(p) for p in line]) for i, line in enumerate(found)]
 
     same = single.union(lost).select(*keys, F.col("line").cast("int").alias("line"), "points")
-    return every.groupBy(*keys).applyInPandas(joined, schema).union(same)
+    return by_group(every, keys, joined, schema).union(same)
 
 
 def first_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,7 +224,7 @@ def clean_vertices(layer: DataFrame, tolerance: float, size: float, key: str = "
     to ``CLEANING_PASSES`` passes in the order of ``key`` try each vertex and leave it out
     if the shape stays valid, keeps its ``buildings`` (``key, x, y``) and overlaps no
     neighbour more than before.  Null shapes stay; sides of a triangle stay."""
-    layer = spatial.cut_lineage(layer)
+    layer = spatial.cut_lineage(dealt(layer))
     free = spatial.cut_lineage(free_vertices(layer, key, fixed, size, geom))
     sides = segments(vertices(layer, key, geom=geom), key).withColumnRenamed(key, "_other")
     met = spatial.box_join(free, sides, size, within=tolerance).where(F.col(f"a.{key}") != F.col("b._other"))
@@ -239,17 +239,18 @@ def clean_vertices(layer: DataFrame, tolerance: float, size: float, key: str = "
     else:
         work = work.withColumn("_points", F.lit(None).cast("array<array<double>>"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        def pairs(v):
-            return [tuple(map(float, p)) for p in v] if v is not None else []
+    def pairs(v):
+        return [tuple(map(float, p)) for p in v] if v is not None else []
+
+    columns = [c for c in layer.columns if c != geom]
+    work = work.select(*columns, F.col(geom).alias("_geom"), "_free", "_points")
+    n = len(columns)
 
-        done = cleaned([wkb.parse(g) if g is not None else [] for g in pdf[geom]], [set(pairs(v)) for v in pdf["_free"]], [pairs(v) for v in pdf["_points"]], tolerance)
-        pdf[geom] = [wkb.dump(g) if g else None for g in done]
-        return pdf.drop(columns=["_free", "_points"])
+    def run(_, own: list[tuple]) -> list[tuple]:
+        done = cleaned([wkb.parse(r[n]) if r[n] is not None else [] for r in own], [set(pairs(r[n + 1])) for r in own], [pairs(r[n + 2]) for r in own], tolerance)
+        return [(*r[:n], wkb.dump(g) if g else None) for r, g in zip(own, done)]
 
-    shape = work.drop("_free", "_points").schema
-    tried = dealt(spatial.cut_lineage(work), parent).groupBy(parent).applyInPandas(run, shape)
+    tried = by_group(spatial.cut_lineage(work), [parent], run, layer.select(*columns, geom).schema, [key])
     return layer.join(parents, parent, "left_anti").select(*layer.columns).union(tried.select(*layer.columns))
 
 
@@ -313,14 +314,18 @@ def allocate_residue(wholes: DataFrame, parts: DataFrame, key: str = "id", part:
     """``key, part, geom``: parts of areas (``key, geom``) that together cover them, with
     the ground no part had given to one of them.  A task sees the parts of one area; areas
     without parts give no rows, parts of no area stay as they are."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(part)
-        if len(left) and len(right) and right["_whole"].iloc[0] is not None:
-            left["geom"] = [wkb.dump(g) for g in allocated([wkb.parse(g) for g in left["geom"]], wkb.parse(right["_whole"].iloc[0]))]
-        return left
+    def run(k: tuple, own: list[tuple]) -> list[tuple]:
+        whole = next((r.whole for r in own if r.whole is not None), None)
+        left = [r for r in own if not r.is_whole]
+        if whole is None:
+            return [(*k, r.part, r.geom) for r in left]
+        return [(*k, r.part, wkb.dump(g)) for r, g in zip(left, allocated([wkb.parse(r.geom) for r in left], wkb.parse(whole)))]
 
     parts = parts.select(key, part, "geom")
-    return dealt(parts, key).groupBy(key).cogroup(dealt(wholes.select(key, F.col("geom").alias("_whole")), key).groupBy(key)).applyInPandas(run, parts.schema)
+    kinds = [parts.schema[c].dataType.simpleString() for c in (key, part)]
+    rows = parts.select(F.col(key).alias("k"), F.col(part).alias("part"), "geom", F.lit(None).cast("binary").alias("whole"), F.lit(False).alias("is_whole"))
+    rows = rows.union(wholes.select(F.col(key).alias("k"), F.lit(None).cast(kinds[1]), F.lit(None).cast("binary"), F.col("geom"), F.lit(True)))
+    return by_group(rows, ["k"], run, f"{key} {kinds[0]}, {part} {kinds[1]}, geom binary", ["part"])
 
 
 def dangles(lines: DataFrame, size: float, key: str = "id", points: str = "points", near: float = 1e-8) -> DataFrame:
