@@ -19,7 +19,7 @@ from cadastra.geometry import arrangement as arr
 from cadastra.geometry import wkb
 from cadastra.functions import codes, rules
 from cadastra.operators import polygons, topology
-from cadastra.operators.polygons import dealt
+from cadastra.operators.polygons import by_group, dealt
 from cadastra.operators.spatial import cut_lineage
 
 MIN_HOUSEHOLDS, MAX_HOUSEHOLDS = 100, 300
@@ -28,6 +28,8 @@ SPLIT_ROUNDS = 5
 KMEANS_ROUNDS = 30
 #: Places whose nearest neighbour is further than so many medians are isolated.
 OUTLIER_FACTOR, OUTLIER_PLACES = 3.0, 6
+#: Room and share of the extent around shapes that cells of points reach into.
+AROUND = 0.02, 0.25
 
 
 def classified(eas: DataFrame, issues: DataFrame, cell: float, key: str = "ea_id", merge: str | None = None) -> DataFrame:
@@ -196,6 +198,8 @@ def merge_into(parts: list[dict], at: int, to: int) -> None:
 def _best_sibling(parts: list[dict], at: int, high: float | None) -> int | None:
     """Longest common border, else the nearest centre (within ``high`` if possible)."""
     others = [j for j in range(len(parts)) if j != at]
+    if len(others) < 2:  # no choice
+        return others[0] if others else None
     lengths = {j: arr.shared_boundary(parts[at]["geom"], parts[j]["geom"]) for j in others}
     touching = [j for j in others if lengths[j] >= 0]
     if touching:
@@ -267,6 +271,8 @@ def split(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS, b
 def split_strips(ea: dict, low: float = MIN_HOUSEHOLDS, high: float = MAX_HOUSEHOLDS) -> list[dict]:
     """The first number of strips that gives two parts, all within ``high`` if one does;
     parts above it are cut to strips again until they give no two parts."""
+    if len({b[:2] for b in ea["buildings"]}) < 2:
+        return [ea]  # parts without buildings join a sibling, so one place stays one part
     base, best = max(2, math.ceil(ea["hh"] / high)), None
     for n in range(base, base + 5):
         parts = enforce_minimum(_kept(ea, strips(ea, n)), low, high, ea.get("flagged", False))
@@ -295,23 +301,31 @@ def merge_small(areas: list[dict], low: float = MIN_HOUSEHOLDS, high: float = MA
     without passing ``high``, first of those that were not split."""
     for _ in range(MERGE_PASSES):
         changed = False
+        box = {id(a): arr.bounds(a["geom"]) for a in areas if a["geom"]}  # of shapes that are held by this pass
+
+        def touching(ea: dict, others: list[dict]) -> list[dict]:
+            own = box.get(id(ea))
+            met = [n for n in others if own and (b := box.get(id(n))) and not arr.boxes_apart(own, b)]
+            return [n for n in met if arr.shared_boundary(ea["geom"], n["geom"]) >= 0]
+
         for ea in sorted(areas, key=lambda e: e["id"]):
-            if ea not in areas or ea.get("candidate") or (ea.get("from_split") and ea["hh"] >= low):
+            if not any(a is ea for a in areas) or ea.get("candidate") or (ea.get("from_split") and ea["hh"] >= low):
                 continue
             empty, small = ea["hh"] == 0, ea["hh"] <= low
             if not small:
                 continue
-            near = [n for n in areas if n is not ea and not n.get("candidate") and arr.shared_boundary(ea["geom"], n["geom"]) >= 0]
+            others = [n for n in areas if n is not ea and not n.get("candidate")]
             if empty:
-                choice = min(near, key=lambda n: (n["hh"], n["id"]), default=None)
+                choice = min(touching(ea, others), key=lambda n: (n["hh"], n["id"]), default=None)
             else:
-                fit = [n for n in near if n["hh"] > low and ea["hh"] + n["hh"] <= high]
+                fit = touching(ea, [n for n in others if n["hh"] > low and ea["hh"] + n["hh"] <= high])
                 pool = [n for n in fit if not n.get("from_split")] or fit
                 choice = min(pool, key=lambda n: (abs(ea["hh"] + n["hh"] - (high - 1)), n["id"]), default=None)
             if choice is None:
                 continue
             big, other = (ea, choice) if ea["hh"] >= choice["hh"] else (choice, ea)
             joined = {**big, "geom": arr.union([ea["geom"], choice["geom"]]), "buildings": ea["buildings"] + choice["buildings"], "hh": ea["hh"] + choice["hh"], "from_merge": True}
+            box[id(joined)] = arr.bounds(joined["geom"])
             areas = [a for a in areas if a is not ea and a is not choice] + [joined]
             changed = True
         if not changed:
@@ -347,19 +361,16 @@ def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS,
     points do not cross.
 
     A failing group fails the job; nothing is dropped."""
-    columns = ["parent", "ea_id", "ean", "new_ea", "hh", "bldg_count", "split_by", "sink", "geom"]
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own: dict[int, list] = {}
-        for r in right.sort_values(["b_ea_id", "b_x", "b_y"]).itertuples():
-            own.setdefault(r.b_ea_id, []).append((r.b_x, r.b_y, r.b_hh, r.b_value))
+    def run(key: tuple, left: list[tuple]) -> list[tuple]:
+        shapes = [wkb.parse(r.geom) for r in left]
+        ox, oy = arr.origin(shapes, *AROUND)
         done = []
-        for r in left.sort_values("ea_id").itertuples():
-            b = own.get(r.ea_id, [])
+        for r, shape in zip(left, shapes):
+            b = [(x - ox, y - oy, hh, value) for x, y, hh, value in r.buildings or []]
             total = sum(x[2] for x in b)
-            ea = {"id": int(r.ea_id), "ean": r.ean, "geom": wkb.parse(r.geom), "buildings": b, "hh": float(total or r.hhcount or 0), "flagged": bool(r.flagged), "split_by": "none"}
+            ea = {"id": int(r.ea_id), "ean": r.ean, "geom": shape and arr.shifted(shape, -ox, -oy), "buildings": b, "hh": float(total or r.hhcount or 0), "flagged": bool(r.flagged), "split_by": "none"}
             if ea["flagged"] or ea["hh"] >= high:
-                walls = np.array([list(w) for w in r.barriers], dtype=float).reshape(-1, 4) if r.barriers is not None and len(r.barriers) else None
+                walls = np.array(r.barriers, dtype=float).reshape(-1, 4) - (ox, oy, ox, oy) if r.barriers else None
                 parts = value_checked(ea, split(ea, low, high, walls), low, high)
                 if len(parts) > 1:
                     done += parts
@@ -367,18 +378,20 @@ def delineate(eas: DataFrame, buildings: DataFrame, low: float = MIN_HOUSEHOLDS,
                 ea["candidate"] = True
             done.append(ea)
         merged = number(merge_small(done, low, high), len(left))
-        rows = [(
+        return [(
             key[0], a["id"], a["ean"], a["new_ea"], float(a["hh"]), len(a["buildings"]), a["split_by"],
-            "delineated" if a.get("from_split") else "merged" if a.get("from_merge") else "retained", wkb.dump(a["geom"])) for a in merged]
-        return pd.DataFrame(rows, columns=columns)
+            "delineated" if a.get("from_split") else "merged" if a.get("from_merge") else "retained", wkb.dump(a["geom"] and arr.shifted(a["geom"], ox, oy))) for a in merged]
 
-    inside = buildings.select(*[F.col(c).alias(f"b_{c}") for c in ("parent", "ea_id", "x", "y", "hh", "value")])
+    point = F.array(*[F.col(c).cast("double") for c in ("x", "y", "hh", "value")])
+    inside = buildings.groupBy(F.col("parent").alias("_parent"), F.col("ea_id").alias("_ea")).agg(F.sort_array(F.collect_list(point)).alias("buildings"))
+    eas = eas.select(*[c for c in ("ea_id", "ean", "parent", "hhcount", "flagged", "geom")])
+    eas = eas.join(inside, F.col("parent").eqNullSafe(F.col("_parent")) & (F.col("ea_id") == F.col("_ea")), "left").drop("_parent", "_ea")
     if barriers is None:
         eas = eas.withColumn("barriers", F.lit(None).cast("array<array<double>>"))
     else:
         segment = F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
         eas = eas.join(barriers.groupBy("parent").agg(F.collect_list(segment).alias("barriers")), "parent", "left")
-    return dealt(eas, "parent").groupBy("parent").cogroup(dealt(inside, "b_parent").groupBy("b_parent")).applyInPandas(run, RESULT)
+    return by_group(eas, ["parent"], run, RESULT, ["ea_id"])
 
 
 def split_lines(parts: list[dict]) -> list[arr.Ring]:
@@ -398,13 +411,14 @@ def split_borders(done: DataFrame, tolerance: float = 0.0) -> DataFrame:
     joined line, numbered within its area.  A task sees the parts of one area.  With a
     snapping ``tolerance`` gaps up to four times as wide are bridged and loose ends under
     twice its length go."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shapes = sorted((wkb.parse(g) for g in pdf["geom"]), key=arr.centroid)
+    def run(key: tuple, own: list[tuple]) -> list[tuple]:
+        shapes = [wkb.parse(r.geom) for r in own]
+        ox, oy = arr.origin(shapes, *AROUND)
+        shapes = sorted((arr.shifted(g, -ox, -oy) for g in shapes), key=arr.centroid)
         lines = sorted(split_lines([{"geom": g} for g in shapes]))
-        rows = [(*key, i, sum(math.dist(p, q) for p, q in zip(line, line[1:])), [list(map(float, p)) for p in line]) for i, line in enumerate(lines)]
-        return pd.DataFrame(rows, columns=["parent", "ea_id", "line", "length", "points"])
+        return [(*key, i, sum(math.dist(p, q) for p, q in zip(line, line[1:])), [[x + ox, y + oy] for x, y in line]) for i, line in enumerate(lines)]
 
-    lines = done.where("sink = 'delineated'").groupBy("parent", "ea_id").applyInPandas(run, LINES)
+    lines = by_group(done.where("sink = 'delineated'").select("parent", "ea_id", "geom"), ["parent", "ea_id"], run, LINES)
     if tolerance <= 0:
         return lines
     fine = topology.refine_lines(lines, ["parent", "ea_id"], 4 * tolerance, 2 * tolerance)
@@ -455,14 +469,16 @@ def split_rounds(eas: DataFrame, buildings: DataFrame, candidates: DataFrame | N
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                ea = {**r._asdict(), "geom": wkb.parse(r.geom), "buildings": [tuple(b) for b in r.buildings], "limit": None if r.limit is None or math.isnan(r.limit) else r.limit}
+                shape = wkb.parse(r.geom)
+                ox, oy = arr.origin([shape], *AROUND)
+                ea = {**r._asdict(), "geom": arr.shifted(shape, -ox, -oy), "buildings": [(x - ox, y - oy, hh, value) for x, y, hh, value in r.buildings], "limit": None if r.limit is None or math.isnan(r.limit) else r.limit}
                 parts = value_checked(ea, split(ea, low, high), low, high)
                 if len(parts) < 2:
                     rows.append({**r._asdict(), "open": False})
                     continue
                 order = sorted(parts, key=lambda p: (arr.centroid(p["geom"]), p["hh"]))
                 for i, p in enumerate(order, 1):
-                    rows.append({**p, "part": f"{r.part}.{i}".lstrip("."), "flagged": False, "from_split": True, "open": resplit and p["hh"] >= high, "geom": wkb.dump(p["geom"]), "buildings": [list(b) for b in p["buildings"]]})
+                    rows.append({**p, "part": f"{r.part}.{i}".lstrip("."), "flagged": False, "from_split": True, "open": resplit and p["hh"] >= high, "geom": wkb.dump(arr.shifted(p["geom"], ox, oy)), "buildings": [[x + ox, y + oy, hh, value] for x, y, hh, value in p["buildings"]]})
             yield pd.DataFrame(rows, columns=names)
 
     state = cut_lineage(state)
@@ -486,19 +502,21 @@ def variant(eas: DataFrame, buildings: DataFrame, candidates: DataFrame | None =
     parts = split_rounds(imputed(eas, buildings), buildings, candidates, low, high, rounds, resplit)
     total = eas.groupBy("parent").agg(F.count("*").alias("base"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, own: list[tuple]) -> list[tuple]:
         areas, bare = [], []
-        for r in pdf.sort_values(["ea_id", "part"]).itertuples(index=False):
+        shapes = [wkb.parse(r.geom) for r in own]
+        ox, oy = arr.origin(shapes, *AROUND)
+        for r, shape in zip(own, shapes):
             a = {"id": int(r.ea_id), "ean": r.ean or "", "buildings": [tuple(b) for b in r.buildings], "hh": float(r.hh), "split_by": r.split_by, "from_split": bool(r.from_split), "special": bool(r.special)}
-            if r.geom is None:
+            if shape is None:
                 bare.append((key[0], a["id"], r.ean, r.ean, a["hh"], len(a["buildings"]), "none", "retained", None))
                 continue
             over = not a["from_split"] and (r.flagged or a["hh"] >= high)
-            areas.append({**a, "geom": wkb.parse(r.geom), "candidate": over or (a["special"] and a["hh"] > low)})
+            areas.append({**a, "geom": arr.shifted(shape, -ox, -oy), "candidate": over or (a["special"] and a["hh"] > low)})
         rows = [(
             key[0], a["id"], a["ean"], a["new_ea"], float(a["hh"]), len(a["buildings"]), a["split_by"],
-            "delineated" if a["from_split"] or a["special"] else "merged" if a.get("from_merge") else "retained", wkb.dump(a["geom"])) for a in number(merge_small(areas, low, high), int(pdf["base"].iloc[0]))]
-        return pd.DataFrame(rows + bare, columns=["parent", "ea_id", "ean", "new_ea", "hh", "bldg_count", "split_by", "sink", "geom"])
+            "delineated" if a["from_split"] or a["special"] else "merged" if a.get("from_merge") else "retained", wkb.dump(arr.shifted(a["geom"], ox, oy))) for a in number(merge_small(areas, low, high), int(own[0].base))]
+        return rows + bare
 
     whole = parts.join(total, F.equal_null(parts["parent"], total["parent"])).drop(total["parent"])
-    return dealt(whole, "parent").groupBy("parent").applyInPandas(run, RESULT)
+    return by_group(whole, ["parent"], run, RESULT, ["ea_id", "part"])
