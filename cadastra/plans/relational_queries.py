@@ -261,9 +261,15 @@ def a13(spark, sf):
 @query("A14_case_report", f"""{C}, k AS (SELECT DISTINCT region, province, mbi_type FROM cases), n AS (SELECT province, mbi_type, count(*) AS total, count(*) FILTER (mbi_status = 'O') AS remaining FROM cases GROUP BY 1, 2), d AS (SELECT province, max_by(filed, load_order) AS updated FROM cases GROUP BY 1)
  SELECT region, province, mbi_type, total, remaining, updated FROM k JOIN n USING (province, mbi_type) JOIN d USING (province)""")
 def a14(spark, sf):
+    """Lines of an order share their number now and then, so cases their ``load_order``:
+    of equal ones the first in the files counts, as in the SQL's engine, and none without
+    a date."""
     c = load(spark, sf, "cases")
+    at = load(spark, sf, "lineitem").select(
+        F.expr("CAST(l_suppkey%11 AS STRING)").alias("province"), F.col("l_shipdate").alias("filed"),
+        F.when(F.expr("l_shipdate IS NOT NULL AND l_orderkey + l_linenumber IS NOT NULL"), F.struct(F.expr("-(l_orderkey*10 + l_linenumber)"), "_metadata.file_path", "_metadata.row_index")).alias("place"))
     n = c.groupBy("province", "mbi_type").agg(F.count("*").alias("total"), F.count_if(F.col("mbi_status") == "O").alias("remaining"))
-    d = c.groupBy("province").agg(F.max_by("filed", "load_order").alias("updated"))
+    d = at.groupBy("province").agg(F.min_by("filed", "place").alias("updated"))
     return c.select("region", "province", "mbi_type").distinct().join(n, ["province", "mbi_type"]).join(d, "province").select("region", "province", "mbi_type", "total", "remaining", "updated")
 
 
