@@ -86,7 +86,8 @@ def j08(spark, sf):
 def j10(spark, sf):
     eas = _eas(spark, sf)
     pairs = polygons.adjacency(eas, CELL, "ea_id", "parent")
-    return pairs.join(eas.where("hhcount < 300").select(F.col("ea_id").alias("neighbour")), "neighbour", "left_semi").select("ea_id", "neighbour")
+    open_ = spatial.not_broadcast(eas.where("hhcount < 300").select(F.col("ea_id").alias("neighbour")))
+    return pairs.join(open_, "neighbour", "left_semi").select("ea_id", "neighbour")
 
 
 @query("J16_polygon_select", f"{_BASE} SELECT DISTINCT a.ea_id FROM er a JOIN r b ON {_MEET} AND b.region = 'ASIA'")

@@ -47,11 +47,12 @@ def inject_special(eas: DataFrame, issues: DataFrame, parents: DataFrame, size:
 
     source = pairs.groupBy("issue").agg(F.min_by("ea_id", F.struct(-F.col("area"), "ea_id")).alias("most"))
     first = eas.groupBy("parent").agg(F.min("ea_id").alias("first"))
-    special = special.join(source, "issue", "left").join(first, "parent", "left").withColumn("source_id", F.coalesce("most", "first"))
-    new = special.join(eas.drop("geom", "parent").withColumnRenamed("ea_id", "source_id"), "source_id", "left").withColumnRenamed("fid", "ea_id")
+    large = spatial.not_broadcast
+    special = special.join(large(source), "issue", "left").join(large(first), "parent", "left").withColumn("source_id", F.coalesce("most", "first"))
+    new = special.join(large(eas.drop("geom", "parent").withColumnRenamed("ea_id", "source_id")), "source_id", "left").withColumnRenamed("fid", "ea_id")
 
     taken = ops.dissolve(pairs.select("ea_id", "geom"), "ea_id").withColumnRenamed("geom", "_taken")
-    left = eas.join(taken, "ea_id", "left").withColumn("geom", F.coalesce(ops.difference_of("geom", "_taken"), "geom"))
+    left = polygons.dealt(eas.join(large(taken), "ea_id", "left")).withColumn("geom", F.coalesce(ops.difference_of("geom", "_taken"), "geom"))
     kept = left.withColumn("issue", F.lit(None).cast("long")).withColumn("source_id", F.lit(None).cast("long"))
     columns = [*eas.columns, "issue", "source_id"]
     return kept.select(columns).unionByName(new.select(columns))
